@@ -12,6 +12,8 @@ from pointlake.llm.mixing import mix
 from pointlake.llm.quality import fit_quality, score_quality
 from pointlake.llm.sampling import fold
 from pointlake.llm.sharding import shard_documents
+from pointlake.llm.simhash import near_duplicates
+from pointlake.llm.suffixes import remove_repeats
 from pointlake.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -24,6 +26,16 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "draws")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"), keep=False)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op5_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -54,6 +66,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_simhash": op3_simhash,
     "op5_shard_documents": op5_shard_documents,
     "op8_language_id": op8_language_id,
     "op9_toxicity": op9_toxicity,
