@@ -9,8 +9,8 @@ that bits that go together lie in the same part, and gives each part its own thr
 so that two linked fingerprints must lie within the threshold in at least one part. Thresholds
 come from dynamic programming over the parts, on candidate numbers estimated from all
 fingerprints: the exact number of pairs that agree in a part, and how often each bit differs.
-Each fingerprint probes the values within the threshold of its own; a join on (part, value)
-checks the whole distance as its condition. The cheapest number of parts is taken.
+Of each pair one fingerprint lists the values within half of the threshold of its own, the
+other those within the rest; a join on (part, value) checks the whole distance as its condition. The cheapest number of parts is taken.
 
 Copies share a fingerprint and are one row of the search, however many there are. All links
 between different fingerprints are found; components come from alternating stars.
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointlake.llm.common import materialise
+from pointlake.llm.common import materialise, mix64
 from pointlake.llm.components import connected_components
 
 _SLICE = 1 << 17  # shingles hashed at once
@@ -166,7 +166,7 @@ def plan_parts(codes: DataFrame, radius: int = 3, part_counts: tuple[int, ...] =
                 near = np.convolve(near, [1.0, b])[: radius + 1]
             for t in range(radius + 1):
                 sums += near[t] if t < len(near) else 0.0
-                probes = sum(comb(width, i) for i in range(t + 1))
+                probes = sum(comb(width, i) for i in range(t - t // 2 + 1)) + sum(comb(width, i) for i in range(t // 2 + 1))
                 if probes <= most_probes:
                     cost[t] = (max(pairs[f"{m}.{k}"], n * n * float(np.prod(1 - differ[bits])) * 0.5) * sums) + 2.0 * n * probes
             costs.append(cost)
@@ -188,28 +188,50 @@ def _masks(width: int, radius: int) -> list[int]:
     return out
 
 
-def hamming_links(codes: DataFrame, radius: int = 3, parts: Parts | None = None) -> DataFrame:
-    """All pairs (u, v), u < v, of the distinct `fp` of codes that differ in at most radius bits.
+def hamming_links(
+    codes: DataFrame, radius: int = 3, parts: Parts | None = None, node: str = "fp", sketch: tuple[str, ...] = (), apart: int = 0
+) -> DataFrame:
+    """All pairs (u, v) of nodes, u < v, whose fingerprints `fp` differ in at most radius bits.
 
-    A pair may come more than once. It is enough that the smaller one probes.
+    A part's threshold is shared out: one side lists the values within half of it, the other
+    those within the rest. A pair is made only in the first part that can find it. With
+    sketch columns, a pair must also differ in at most `apart` bits of those.
     """
     parts = parts or plan_parts(codes, radius)
-    probes, entries = [], []
+    probes, entries, earlier, fresh = [], [], [], F.lit(True)
+    differing = F.col("fp").bitwiseXOR(F.col("fp2"))
     for k, (at, width, t) in enumerate(parts.cuts):
-        if t >= 0:
-            value = _take_bits(F.col("fp"), parts.order[at : at + width])
-            masks = F.array(*[F.lit(m - (m >> 63 << 64)).cast("long") for m in _masks(width, t)])
-            entries.append(F.struct(F.lit(k).alias("part"), value.alias("value")))
-            probes.append(_around(masks, value, k))
-    probe = codes.select(F.col("fp").alias("u"), F.explode(F.flatten(F.array(*probes))).alias("x")).select("u", "x.part", "x.value")
-    index = codes.select(F.col("fp").alias("v"), F.explode(F.array(*entries)).alias("x"))
-    index = index.select("v", F.col("x.part").alias("p2"), F.col("x.value").alias("v2"))
-    near = (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
-    return probe.join(index, (F.col("part") == F.col("p2")) & (F.col("value") == F.col("v2")) & near).select("u", "v")
+        if t < 0:
+            continue
+        bits = parts.order[at : at + width]
+        value = _take_bits(F.col("fp"), bits)
+        probes.append(_around(_masks(width, t - t // 2), value, k))
+        entries.append(_around(_masks(width, t // 2), value, k))
+        fresh = F.when(F.col("part") == k, F.lit(True) if not earlier else ~_any(earlier)).otherwise(fresh)
+        mask = sum(1 << b for b in bits)
+        earlier.append(F.bit_count(differing.bitwiseAND(F.lit(mask - (mask >> 63 << 64)).cast("long"))) <= t)
+    probe = codes.select(F.col(node).alias("u"), "fp", *sketch, F.explode(F.flatten(F.array(*probes))).alias("x"))
+    probe = probe.select("u", "fp", *sketch, "x.part", "x.value")
+    index = codes.select(F.col(node).alias("v"), F.col("fp").alias("fp2"), *[F.col(c).alias(f"{c}_2") for c in sketch], F.explode(F.flatten(F.array(*entries))).alias("x"))
+    index = index.select("v", "fp2", *[f"{c}_2" for c in sketch], F.col("x.part").alias("part2"), F.col("x.value").alias("value2"))
+    near = (F.col("u") < F.col("v")) & (F.bit_count(differing) <= radius)
+    if sketch:
+        near = near & (sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_2"))) for c in sketch), F.lit(0)) <= apart)
+    met = (F.col("part") == F.col("part2")) & (F.col("value") == F.col("value2")) & near & fresh
+    return probe.join(index, met).select("u", "v")
+
+
+def _any(of: list[Column]) -> Column:
+    out = of[0]
+    for c in of[1:]:
+        out = out | c
+    return out
 
 
-def _around(masks: Column, value: Column, part: int) -> Column:
-    return F.transform(masks, lambda m: F.struct(F.lit(part).alias("part"), value.bitwiseXOR(m).alias("value")))
+def _around(masks: list[int], value: Column, part: int) -> Column:
+    """(part, value) for value changed by each of the masks."""
+    listed = F.array(*[F.lit(m - (m >> 63 << 64)).cast("long") for m in masks])
+    return F.transform(listed, lambda m: F.struct(F.lit(part).alias("part"), value.bitwiseXOR(m).alias("value")))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
@@ -223,3 +245,94 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
     best = group.groupBy("g").agg(F.min("least").alias("component_id"))
     of_code = materialise(group.select("fp", "g").join(best, "g").select(F.col("fp").alias("__fp"), "component_id"), "simhash-groups")
     return marked.join(of_code, F.col("fp") == F.col("__fp")).drop("__fp")
+
+
+# --- similar documents: candidates by fingerprints, similarity by sketches -------------------------
+
+SKETCH = ("s0", "s1", "s2", "s3")
+
+
+def _shingle_hashes(parts: list[bytes], words: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles."""
+    if not parts:
+        return np.zeros(0, np.uint64)
+    n = max(1, len(parts) - words + 1)
+    joined = b" ".join(parts)
+    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
+    stops = ends[min(words, len(parts)) - 1 :].tolist()
+    h = np.fromiter((xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+    return np.unique(h)
+
+
+def _votes(h: np.ndarray) -> int:
+    votes = np.zeros(64, np.int64)
+    for k in range(0, len(h), _SLICE):
+        votes += np.unpackbits(h[k : k + _SLICE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > len(h), bitorder="little").view(np.int64)[0])
+
+
+def _one_bit_minima(h: np.ndarray) -> np.ndarray:
+    """256 one-bit minimum hashes as four longs: hashes fall into 256 bins, empty bins take from the next filled one."""
+    if not len(h):
+        return np.zeros(4, np.int64)
+    bins = (h >> np.uint64(56)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], bins[1:] != bins[:-1]]))
+    filled, least = bins[first], h[first]
+    at = np.searchsorted(filled, np.arange(256))
+    gap = np.where(at < len(filled), filled[at % len(filled)] - np.arange(256), filled[0] + 256 - np.arange(256)).astype(np.uint64)
+    bit = (mix64(least[at % len(filled)] + gap) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bit).view(np.int64)
+
+
+def similar_documents(
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, probe_words: int = 2, radius: int = 8, slack: float = 0.05
+) -> DataFrame:
+    """All columns of docs, `rid` (a row number) and `group` (the smallest rid that is linked, over any number of links).
+
+    Fingerprints of the distinct probe_words-shingles find the candidates: a text that shares
+    four fifths of its longer shingles shares far more of the shorter ones, so its fingerprint is
+    within a radius that parts of 16 bits can search. A link also needs an estimated Jaccard
+    similarity of the words-shingles of at least similarity - slack, by 256 one-bit minima
+    (standard error 0.04 at 0.8); it is part of the join's condition, so that families of many
+    near copies don't become all their pairs. Texts with equal fingerprints and minima are one.
+    """
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, sketch = [], []
+            for t in batch.column("text"):
+                parts = (t.as_py() or "").encode().lower().split()
+                fp.append(_votes(_shingle_hashes(parts, probe_words)))
+                sketch.append(_one_bit_minima(_shingle_hashes(parts, words)))
+            cols = np.array(sketch, np.int64).reshape(-1, 4).T
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp, pa.int64()), *map(pa.array, cols)], [*batch.schema.names, "fp", *SKETCH])
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+    numbered = docs.withColumn("rid", F.monotonically_increasing_id())
+    schema = ", ".join([*kinds, "rid long, fp long", *(f"{s} long" for s in SKETCH)])
+    marked = materialise(numbered.mapInArrow(run, schema), "similar-marked")
+    codes = materialise(marked.groupBy("fp", *SKETCH).agg(F.min("rid").alias("node")), "similar-codes")
+    apart = int(256 * (1 - (similarity - slack)) / 2)
+    parts = plan_parts(codes.select("fp").distinct(), radius, (4,))
+    linked = materialise(connected_components(hamming_links(codes, radius, parts, "node", SKETCH, apart)), "similar-linked")
+    at = F.col("__node")
+    group = codes.withColumnRenamed("node", "__node").join(linked, at == F.col("node"), "left")
+    group = materialise(group.select(*[F.col(c).alias(f"__{c}") for c in ("fp", *SKETCH)], F.coalesce("component", at).alias("group")), "similar-groups")
+    same = F.lit(True)
+    for c in ("fp", *SKETCH):
+        same = same & (F.col(c) == F.col(f"__{c}"))
+    return marked.join(group, same).select(*names, "rid", "group")
+
+
+def keep_one_of_each(docs: DataFrame, **options: float) -> DataFrame:
+    """docs without near copies: of each group the row with the smallest doc_id stays (of equal ones, the first row).
+
+    Null doc_ids come last. Columns are those of docs.
+    """
+    grouped = similar_documents(docs, **options)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
+    grouped = materialise(grouped, "similar-grouped")
+    first = grouped.groupBy("group").agg(F.min(key).alias("k")).select(F.col("k.rid").alias("__rid"))
+    return grouped.join(first, F.col("rid") == F.col("__rid"), "left_semi").select(*docs.columns)

@@ -234,7 +234,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 64 << 2
     total = docs.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))).first()[0] or 0
     batches = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // batch_bytes))
     rows = docs.withColumn("rid", F.monotonically_increasing_id()).withColumn("batch", F.pmod(F.xxhash64("rid"), F.lit(batches)).cast("int"))
-    rows = rows.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("body", body).drop("text")
+    rows = rows.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("body", body).withColumn("none", F.col("text").isNull()).drop("text")
     table = f"passages_{uuid.uuid4().hex}"
     rows.repartition(batches, "batch").write.bucketBy(batches, "batch").option("path", shared_path(spark, "passages")).saveAsTable(table)
     rows = spark.table(table)
@@ -374,9 +374,10 @@ def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 64 << 2
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, keep: bool = True, **options: int) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept (binary, null unless keep) and the other columns.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept, text (both null unless keep) and the other columns.
 
-    A row for each row of docs. The text itself is left out; `kept` is what remains of its bytes.
+    A row for each row of docs. `kept` is what remains of the bytes, `text` the same as text:
+    parts of characters that a cut left are dropped, and a null text stays null.
     """
     rows, marks = repeated_spans(docs, length, **options)
 
@@ -386,18 +387,18 @@ def remove_repeats(docs: DataFrame, length: int = 50, keep: bool = True, **optio
         d, start, stop = _runs(row.loc[gone["rid"]].to_numpy(np.int64), gone["start"].to_numpy(np.int64), gone["stop"].to_numpy(np.int64))
         at = np.searchsorted(d, np.arange(len(frame) + 1))
         out = []
-        for k, body in enumerate(frame["body"]):
+        for k, (body, none) in enumerate(zip(frame["body"], frame["none"], strict=True)):
             starts, stops = start[at[k] : at[k + 1]].tolist(), stop[at[k] : at[k + 1]].tolist()
             rest = b"".join(body[a:b] for a, b in zip([0, *stops], [*starts, len(body)], strict=True))
             spans = [{"start": a, "stop": b} for a, b in zip(starts, stops, strict=True)]
-            out.append((len(body), len(body) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), spans, rest if keep else None))
-        got = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
+            out.append((len(body), len(body) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), spans, rest if keep else None, rest.decode("utf-8", "ignore") if keep and not none else None))
+        got = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept", "text"])
         return pd.concat([frame[["rid", "id"]], got], axis=1)
 
-    kind = "rid long, id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, stop: long>>, kept binary"
-    got = rows.select("batch", "rid", "id", "body").groupBy("batch").cogroup(marks.groupBy("batch")).applyInPandas(cut, kind)
+    kind = "rid long, id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, stop: long>>, kept binary, text string"
+    got = rows.select("batch", "rid", "id", "body", "none").groupBy("batch").cogroup(marks.groupBy("batch")).applyInPandas(cut, kind)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     if others:
         got = got.join(rows.select(F.col("rid").alias("__rid"), *others), F.col("rid") == F.col("__rid")).drop("__rid")
     doc_id = F.when(F.col("id") != _NO_ID, F.col("id")).cast(docs.schema["doc_id"].dataType).alias("doc_id")
-    return got.select(doc_id, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept", *others)
+    return got.select(doc_id, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept", "text", *others)
