@@ -14,6 +14,9 @@ batches of documents (a bucketed table, so that no scan shuffles the texts again
    so that a hot passage sends one suffix a batch. The suffixes of an anchor meet in one bucket;
    there the distinct ones are cut to the `length`-byte strings around the anchor, sorted the
    same way, and each run of equal strings marks its members but for the smallest doc_id.
+   Anchors with over `hot_anchor` occurrences don't meet in one place: their suffixes go to
+   the bucket of the suffix's own hash, and what is left of them, if an anchor has several, is
+   cut to strings batch by batch, which go to the bucket of the string's hash.
 3. Removal. Marks meet their batch again, are merged to runs, and the rest is kept.
 
 Comparison is always of bytes; hashes only choose what to compare. Work follows the text plus
@@ -29,14 +32,16 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointlake.llm.common import doc_slices, mix64, powers, prefix_hash, shared_path, text_buffer
+from pointlake.llm.common import doc_slices, materialise, mix64, powers, prefix_hash, shared_path, text_buffer
 
 K = 20  # bytes of an anchor
 _NO_ID = np.iinfo(np.int64).max
@@ -201,6 +206,20 @@ def _contexts(padded: np.ndarray, places: np.ndarray, before: np.ndarray, behind
     return rows
 
 
+def _joined(strings: pd.Series) -> np.ndarray:
+    """Equally long byte strings as rows."""
+    return np.frombuffer(b"".join(strings), np.uint8).reshape(len(strings), -1)
+
+
+def _row_hash(rows: np.ndarray) -> np.ndarray:
+    """A non-negative hash of each row."""
+    up, _ = powers(rows.shape[1])
+    out = np.zeros(len(rows), np.uint64)
+    for c in range(rows.shape[1]):
+        out += (rows[:, c].astype(np.uint64) + np.uint64(1)) * up[c]
+    return (mix64(out) >> np.uint64(33)).astype(np.int64)
+
+
 def _runs(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Union of ranges by document: overlapping and touching ones become one."""
     if not len(doc):
@@ -216,9 +235,27 @@ def _runs(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndar
 
 
 def _batch(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes, offsets and doc_ids of a batch, in the order of rid."""
-    data, offsets = text_buffer(pa.array(frame["body"], pa.binary()))
-    return data, offsets, frame["id"].to_numpy(np.int64)
+    """Bytes, offsets and doc_ids of a batch's rows."""
+    open_ = zstandard.ZstdDecompressor().decompress
+    bodies = [open_(x) for x in frame["body"]]
+    offsets = np.concatenate([[0], np.cumsum([len(b) for b in bodies], dtype=np.int64)])
+    return np.frombuffer(b"".join(bodies), np.uint8), offsets, frame["id"].to_numpy(np.int64)
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """docs with `text` replaced by `body`: the UTF-8 bytes, compressed, so that they travel small."""
+    names = [c for c in docs.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            data, offsets = text_buffer(batch.column("text"))
+            whole = data.tobytes()
+            body = [pack(whole[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(body, pa.binary())], [*names, "body"])
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
+    return docs.mapInArrow(run, ", ".join([*kinds, "body binary"]))
 
 
 def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 64 << 20, hot_anchor: int = 2_000) -> tuple[DataFrame, DataFrame]:
@@ -230,17 +267,25 @@ def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 64 << 2
     side = length - K
     if side < 1:
         raise ValueError(f"length must be over {K}")
-    body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     total = docs.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))).first()[0] or 0
     batches = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // batch_bytes))
     rows = docs.withColumn("rid", F.monotonically_increasing_id()).withColumn("batch", F.pmod(F.xxhash64("rid"), F.lit(batches)).cast("int"))
-    rows = rows.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("body", body).withColumn("none", F.col("text").isNull()).drop("text")
+    rows = rows.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("none", F.col("text").isNull())
+    rows = _packed(rows.withColumn("digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))))
     table = f"passages_{uuid.uuid4().hex}"
     rows.repartition(batches, "batch").write.bucketBy(batches, "batch").option("path", shared_path(spark, "passages")).saveAsTable(table)
     rows = spark.table(table)
     texts = rows.select("batch", "rid", "id", "body")
-
-    def sketch(frame: pd.DataFrame) -> pd.DataFrame:
+    # a copy of a text with a smaller doc_id goes whole, so it needn't be looked at
+    least = rows.groupBy("digest").agg(F.min("id").alias("__least"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    least = least.select(F.col("digest").alias("__digest"), "__least")
+    copies = rows.select("batch", "rid", "id", "digest").join(least, (F.col("digest") == F.col("__digest")) & (F.col("id") > F.col("__least")))
+    copies = materialise(copies.select("batch", "rid"), "passage-copies")
+
+    def sketch(frame: pd.DataFrame, copied: pd.DataFrame) -> pd.DataFrame:
+        frame = frame[~frame["rid"].isin(copied["rid"])]
+        if not len(frame):
+            return pd.DataFrame({n: [] for n in ("bucket", "batch", "once", "many")})
         data, offsets, _ = _batch(frame)
         h, n = np.unique(anchors(data, offsets, length)[2], return_counts=True)
         at = _bucket(h, batches)
@@ -266,13 +311,21 @@ def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 64 << 2
         out = pd.DataFrame({"batch": frame["batch"], "bucket": frame["bucket"], "some": back(some), "hot": back(hot)})
         return out[(out["some"].map(len) > 0) | (out["hot"].map(len) > 0)]
 
-    seen = texts.groupBy("batch").applyInPandas(sketch, "bucket int, batch int, once binary, many binary")
-    shared = seen.groupBy("bucket").applyInPandas(twice, "batch int, bucket int, some binary, hot binary")
+    seen = texts.groupBy("batch").cogroup(copies.groupBy("batch")).applyInPandas(sketch, "bucket int, batch int, once binary, many binary")
+    shared = seen.groupBy("bucket").applyInPandas(twice, "batch int, bucket int, some binary, hot binary").withColumn("rid", F.lit(None).cast("long"))
+    told = shared.unionByName(copies, allowMissingColumns=True)
+    no_mark = {"start": -1, "stop": -1}
     columns = ["bucket", "h", "batch", "rid", "id", "place", "before", "behind", "context", "start", "stop"]
 
     def suffixes(frame: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        if not len(frame) or not len(known):
-            return pd.DataFrame({n: [] for n in columns})
+        copied = frame["rid"].isin(known["rid"])
+        known = known[known["rid"].isna()]
+        whole = frame[copied]
+        whole_size = np.diff(_batch(whole)[1])
+        frame, batch = frame[~copied], np.int32(frame["batch"].iloc[0])
+        out = [as_marks(batch, whole["rid"].to_numpy()[whole_size >= length], 0, whole_size[whole_size >= length])]
+        if not len(known):
+            return out[0][columns]
         data, offsets, ids = _batch(frame)
         padded = np.concatenate([np.zeros(side, np.uint8), data, np.zeros(side, np.uint8)])
         doc, place, h = anchors(data, offsets, length)
@@ -284,21 +337,13 @@ def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 64 << 2
         doc, place, h, at, hot = doc[hit], place[hit], h[hit], at[hit], hot[hit]
         before = np.minimum(place - offsets[doc], side)
         behind = np.minimum(offsets[doc + 1] - place - K, side)
-        rid, batch = frame["rid"].to_numpy(), np.int32(frame["batch"].iloc[0])
+        rid = frame["rid"].to_numpy()
         gone: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        out = []
-
-        def send(who: np.ndarray, bucket: np.ndarray, context: np.ndarray, shift: int | None) -> None:
-            d, p, own = doc[who], place[who], shift is not None
-            out.append(
-                pd.DataFrame(
-                    {
-                        "bucket": bucket.astype(np.int32), "h": h[who].view(np.int64), "batch": batch, "rid": rid[d], "id": ids[d],
-                        "place": p - offsets[d] - (shift if own else 0), "before": 0 if own else before[who],
-                        "behind": 0 if own else behind[who], "context": [x.tobytes() for x in context], "start": -1, "stop": -1,
-                    }
-                )
-            )
+
+        def send(who: np.ndarray, bucket: np.ndarray, context: np.ndarray) -> None:
+            d = doc[who]
+            rest = {"place": place[who] - offsets[d], "before": before[who], "behind": behind[who], "context": [x.tobytes() for x in context]}
+            out.append(pd.DataFrame({"bucket": bucket, "h": h[who].view(np.int64), "batch": batch, "rid": rid[d], "id": ids[d], **rest, **no_mark}))
 
         # anchors of one hash stay together, so that equal suffixes meet; slices bound the memory
         by = np.lexsort((h, hot))
@@ -313,39 +358,50 @@ def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 64 << 2
             left = np.sort(order[~later])
             cold = left[~hot[who[left]]]
             if len(cold):
-                send(who[cold], at[who[cold]], rows_[cold], None)
+                send(who[cold], at[who[cold]], rows_[cold])
             warm = left[hot[who[left]]]
-            # an anchor that very many rows share sends its strings one by one, each to the bucket of its own hash
-            for shift in range(side + 1):
-                fit = warm[(before[who[warm]] >= shift) & (behind[who[warm]] >= side - shift)]
-                if len(fit):
-                    strings = rows_[fit, side - shift : side - shift + length]
-                    order, run, least = least_of_equals(strings, ids[doc[who[fit]]])
-                    later = ids[doc[who[fit[order]]]] > least[run]
-                    drop = who[fit[order[later]]]
-                    gone.append((doc[drop], place[drop] - shift, place[drop] - shift + length))
-                    stay = order[~later]
-                    to = mix64((strings[stay].astype(np.uint64) * powers(length)[0][None, :]).sum(1, dtype=np.uint64)) % np.uint64(batches)
-                    send(who[fit[stay]], to.astype(np.int64) + batches, strings[stay], shift)
+            if len(warm):
+                send(who[warm], _row_hash(rows_[warm]) % batches + batches, rows_[warm])
         gd, gs, ge = _runs(*(np.concatenate(x) for x in zip(*gone, strict=True))) if gone else (doc[:0], place[:0], place[:0])
-        out.append(
-            pd.DataFrame(
-                {
-                    "bucket": np.int32(-1), "h": 0, "batch": batch, "rid": rid[gd], "id": 0, "place": 0, "before": 0,
-                    "behind": 0, "context": b"", "start": gs - offsets[gd], "stop": ge - offsets[gd],
-                }
-            )
-        )
+        out.append(as_marks(batch, rid[gd], gs - offsets[gd], ge - offsets[gd]))
         return pd.concat(out)[columns]
 
+    def as_marks(batch: np.ndarray, rid: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"bucket": -1 - np.asarray(rid) % batches, "h": 0, "batch": batch, "rid": rid, "id": 0, "place": 0, "before": 0, "behind": 0, "context": b"", "start": start, "stop": stop})
+
+    def one_of_each(frame: pd.DataFrame) -> pd.DataFrame:
+        """Of equal suffixes those of the smallest doc_id stay; the others' reach is marked."""
+        rows_, ids = _joined(frame["context"]), frame["id"].to_numpy()
+        order, run, least = least_of_equals(np.hstack([rows_, frame[["before", "behind"]].to_numpy(np.uint8)]), ids)
+        later = ids[order] > least[run]
+        gone, stay = frame.iloc[order[later]], frame.iloc[order[~later]]
+        return pd.concat([stay, as_marks(gone["batch"], gone["rid"], gone["place"] - gone["before"], gone["place"] + K + gone["behind"])])[columns]
+
+    def single_strings(frame: pd.DataFrame) -> pd.DataFrame:
+        """A batch's suffixes cut to strings: one of each stays, at the bucket of its own hash."""
+        rows_, ids, out = _joined(frame["context"]), frame["id"].to_numpy(), []
+        before, behind = frame["before"].to_numpy(), frame["behind"].to_numpy()
+        for shift in range(side + 1):
+            fit = np.flatnonzero((before >= shift) & (behind >= side - shift))
+            strings = rows_[fit, side - shift : side - shift + length]
+            order, run, least = least_of_equals(strings, ids[fit])
+            later = ids[fit[order]] > least[run]
+            gone, stay = frame.iloc[fit[order[later]]], frame.iloc[fit[order[~later]]]
+            out.append(as_marks(gone["batch"], gone["rid"], gone["place"] - shift, gone["place"] - shift + length))
+            own = strings[order[~later]]
+            out.append(stay.assign(bucket=_row_hash(own) % batches, place=stay["place"] - shift, before=0, behind=0, context=[x.tobytes() for x in own]))
+        return pd.concat(out)[columns]
+
+    def equal_single(frame: pd.DataFrame) -> pd.DataFrame:
+        ids = frame["id"].to_numpy()
+        order, run, least = least_of_equals(_joined(frame["context"]), ids)
+        gone = frame.iloc[order[ids[order] > least[run]]]
+        return pd.DataFrame({"batch": gone["batch"], "rid": gone["rid"], "start": gone["place"], "stop": gone["place"] + length})
+
     def equal_strings(frame: pd.DataFrame) -> pd.DataFrame:
         ids, before, behind = frame["id"].to_numpy(), frame["before"].to_numpy(), frame["behind"].to_numpy()
-        rows_ = np.frombuffer(b"".join(frame["context"]), np.uint8).reshape(len(frame), -1)
+        rows_ = _joined(frame["context"])
         place, batch, rid = frame["place"].to_numpy(), frame["batch"].to_numpy(), frame["rid"].to_numpy()
-        if frame["bucket"].iloc[0] >= batches:  # single strings
-            order, run, least = least_of_equals(rows_, ids)
-            who = order[ids[order] > least[run]]
-            return pd.DataFrame({"batch": batch[who], "rid": rid[who], "start": place[who], "stop": place[who] + length})
         marks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         # whole suffixes first: what equals one of a smaller doc_id goes, and one of each kind stays to be compared
         order, run, least = least_of_equals(np.hstack([rows_, np.column_stack([before, behind]).astype(np.uint8)]), ids)
@@ -361,16 +417,24 @@ def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 64 << 2
                 later = at[order[ids[at[order]] > least[run]]]
                 marks.append((later, np.full(len(later), side - shift), np.full(len(later), side - shift + length)))
         who, start, stop = _runs(*(np.concatenate(x) for x in zip(*marks, strict=True)))
-        return pd.DataFrame({"batch": batch[who], "rid": rid[who], "start": place[who] + start - side, "stop": place[who] + stop - side})
-
-    found = texts.groupBy("batch").cogroup(shared.groupBy("batch")).applyInPandas(
-        suffixes, "bucket int, h long, batch int, rid long, id long, place long, before int, behind int, context binary, start long, stop long"
-    )
-    path = shared_path(spark, "suffixes")
-    found.write.parquet(path)
-    found = spark.read.schema(found.schema).parquet(path)
-    across = found.where("bucket >= 0").groupBy("bucket").applyInPandas(equal_strings, "batch int, rid long, start long, stop long")
-    return rows, across.union(found.where("bucket < 0").select("batch", "rid", "start", "stop"))
+        return as_marks(batch[who], rid[who], place[who] + start - side, place[who] + stop - side)[columns]
+
+    def meet(frame: pd.DataFrame) -> pd.DataFrame:
+        """A bucket: of one anchor's suffixes, of equal suffixes, or of marks that are ready."""
+        bucket = frame["bucket"].iloc[0]
+        return frame if bucket < 0 else equal_strings(frame) if bucket < batches else one_of_each(frame)
+
+    kind = "bucket int, h long, batch int, rid long, id long, place long, before int, behind int, context binary, start long, stop long"
+    range_ = "batch int, rid long, start long, stop long"
+    found = texts.groupBy("batch").cogroup(told.groupBy("batch")).applyInPandas(suffixes, kind)
+    kinds = materialise(found.groupBy("bucket").applyInPandas(meet, kind), "suffix-kinds")
+    # a hot anchor with a single suffix is done; the others' strings are compared one by one
+    many = kinds.where("bucket >= 0").groupBy("h").agg(F.min("context").alias("a"), F.max("context").alias("b")).where("a <> b").select(F.col("h").alias("__h"))
+    cut = kinds.where("bucket >= 0").join(many, F.col("h") == F.col("__h")).drop("__h").groupBy("batch").applyInPandas(single_strings, kind)
+    cut = materialise(cut, "suffix-strings")
+    single = cut.where("bucket >= 0").groupBy("bucket").applyInPandas(equal_single, range_)
+    marked = [x.where("bucket < 0").select("batch", "rid", "start", "stop") for x in (kinds, cut)]
+    return rows, single.union(marked[0]).union(marked[1])
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, keep: bool = True, **options: int) -> DataFrame:
@@ -386,8 +450,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, keep: bool = True, **optio
         row = pd.Series(frame.index, index=frame["rid"])
         d, start, stop = _runs(row.loc[gone["rid"]].to_numpy(np.int64), gone["start"].to_numpy(np.int64), gone["stop"].to_numpy(np.int64))
         at = np.searchsorted(d, np.arange(len(frame) + 1))
-        out = []
-        for k, (body, none) in enumerate(zip(frame["body"], frame["none"], strict=True)):
+        out, open_ = [], zstandard.ZstdDecompressor().decompress
+        for k, (body, none) in enumerate(zip(map(open_, frame["body"]), frame["none"], strict=True)):
             starts, stops = start[at[k] : at[k + 1]].tolist(), stop[at[k] : at[k + 1]].tolist()
             rest = b"".join(body[a:b] for a, b in zip([0, *stops], [*starts, len(body)], strict=True))
             spans = [{"start": a, "stop": b} for a, b in zip(starts, stops, strict=True)]
