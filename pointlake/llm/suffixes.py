@@ -258,7 +258,7 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, ", ".join([*kinds, "body binary"]))
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 64 << 20, hot_anchor: int = 2_000) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 32 << 20, hot_anchor: int = 2_000) -> tuple[DataFrame, DataFrame]:
     """(the batched rows, their marks): rows have batch, rid, id, body and the columns of docs.
 
     marks: batch, rid, start, stop of bytes to remove, not merged.
@@ -268,12 +268,13 @@ def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 64 << 2
     if side < 1:
         raise ValueError(f"length must be over {K}")
     total = docs.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))).first()[0] or 0
-    batches = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // batch_bytes))
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (2 * batch_bytes)))
+    batches = 2 * files
     rows = docs.withColumn("rid", F.monotonically_increasing_id()).withColumn("batch", F.pmod(F.xxhash64("rid"), F.lit(batches)).cast("int"))
     rows = rows.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("none", F.col("text").isNull())
     rows = _packed(rows.withColumn("digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))))
     table = f"passages_{uuid.uuid4().hex}"
-    rows.repartition(batches, "batch").write.bucketBy(batches, "batch").option("path", shared_path(spark, "passages")).saveAsTable(table)
+    rows.repartition(files, "batch").write.bucketBy(files, "batch").option("path", shared_path(spark, "passages")).saveAsTable(table)
     rows = spark.table(table)
     texts = rows.select("batch", "rid", "id", "body")
     # a copy of a text with a smaller doc_id goes whole, so it needn't be looked at
@@ -327,8 +328,9 @@ def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 64 << 2
         if not len(known):
             return out[0][columns]
         data, offsets, ids = _batch(frame)
-        padded = np.concatenate([np.zeros(side, np.uint8), data, np.zeros(side, np.uint8)])
         doc, place, h = anchors(data, offsets, length)
+        padded = np.concatenate([np.zeros(side, np.uint8), data, np.zeros(side, np.uint8)])
+        del data
         at = _bucket(h, batches)
         key = (at.astype(np.uint64) << np.uint64(32)) | _short(h).astype(np.uint64)
         among = lambda of: np.sort(np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(x, np.uint32).astype(np.uint64) for b, x in zip(known["bucket"], known[of], strict=True)]))
