@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _OWN_DIR: list[str] = []
 
@@ -43,6 +45,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fields(schema: StructType, more: str, *without: str) -> StructType:
+    """The schema without some columns, and more fields as DDL."""
+    return StructType([*(f for f in schema.fields if f.name not in without), *StructType.fromDDL(more).fields])
+
+
+def pack_rest(docs: DataFrame, *own: str) -> DataFrame:
+    """The named columns and all others as one struct, so that no other column's name can clash."""
+    others = [c for c in docs.columns if c not in own]
+    rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0).alias("none"))
+    return docs.select(*own, rest.alias("__rest"))
+
+
+def unpack_rest(df: DataFrame, columns: list[str], *own: str) -> DataFrame:
+    """The columns again, in their order."""
+    return df.select(*[F.col(c) if c in own else F.col("__rest")[c].alias(c) for c in columns])
+
+
 def uniform(*cols: Column | str) -> Column:
     """A hash of cols as a double in (0, 1)."""
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") + F.lit(0.5)) * F.lit(2.0**-53)
@@ -125,6 +144,14 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: workers are used again, and what they keep adds up."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+_LIBC = ctypes.CDLL(None)
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MULT_INV = np.uint64(pow(int(_MULT), -1, 1 << 64))
 
@@ -144,7 +171,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the multiplier and of its inverse modulo 2**64."""
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 18)
         _POWERS["up"], _POWERS["down"] = _powers(_MULT, size), _powers(_MULT_INV, size)
     return _POWERS["up"][:n], _POWERS["down"][:n]
 

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointlake.llm.common import materialise, running_rank, uniform
+from pointlake.llm.common import materialise, pack_rest, running_rank, uniform, unpack_rest
 
 #: Fixed value: what a word is.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -190,8 +190,8 @@ def mixed_documents(docs: DataFrame, shards: int = 8, **options: object) -> Data
     half of it. Rows are dealt out by range of (shard, position), so each shard lies together
     in shuffled order and may span any number of partitions.
     """
-    keep = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
-    taken = mix(docs, shards, keep=keep, **options)
+    packed = pack_rest(docs, "doc_id", "source", "text")
+    taken = mix(packed, shards, keep=("text", "__rest"), **options)
     rows = taken.withColumn("__d", F.explode(F.filter("draws", lambda d: d["words"] * 2 >= F.col("size"))))
     placed = rows.repartitionByRange(F.col("__d.shard"), F.col("__d.position")).sortWithinPartitions("__d.shard", "__d.position")
-    return placed.select(*docs.columns)
+    return unpack_rest(placed, docs.columns, "doc_id", "source", "text")

@@ -27,6 +27,8 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from pointlake.llm.common import fields
+
 BLANK = "▁"
 _LITERAL = "\udfff"  # stands for U+2581 in a text; no text holds a lone surrogate
 _NEVER = float("-inf")
@@ -280,8 +282,7 @@ def encode_texts(docs: DataFrame, model: PieceModel, column: str = "ids", check:
             cols = [*(batch.column(n) for n in names), pa.array(ids, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(intact)] if check else cols, [*names, column, *["intact"] * check])
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
-    return docs.mapInArrow(run, ", ".join([*kinds, f"`{column}` array<int>", *["intact boolean"] * check]))
+    return docs.mapInArrow(run, fields(docs.schema, f"`{column}` array<int>" + ", intact boolean" * check, "text"))
 
 
 def decode_ids(rows: DataFrame, model: PieceModel, column: str = "ids") -> DataFrame:
@@ -295,5 +296,4 @@ def decode_ids(rows: DataFrame, model: PieceModel, column: str = "ids") -> DataF
             texts = [None if x.as_py() is None else own.decode(x.as_py()) for x in batch.column(column)]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], [*names, "text"])
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != column]
-    return rows.mapInArrow(run, ", ".join([*kinds, "text string"]))
+    return rows.mapInArrow(run, fields(rows.schema, "text string", column))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointlake.llm.common import doc_slices, mix64, prefix_hash, span_hash, text_buffer, word_bounds
+from pointlake.llm.common import doc_slices, fields, mix64, prefix_hash, span_hash, text_buffer, word_bounds
 from pointlake.llm.sampling import labelled_sample
 
 FEATURES = (
@@ -241,8 +241,7 @@ def quality_features(docs: DataFrame, keep: list[str]) -> DataFrame:
             flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*rest, flat], [*keep, "features"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), "features array<double>"])
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, fields(docs.select(*keep).schema, "features array<double>"))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, train: Column | None = None, max_train: int = 20_000) -> AdditiveModel:
@@ -266,5 +265,4 @@ def score_quality(docs: DataFrame, model: AdditiveModel, column: str = "score")
             score = model.score(_batch_statistics(batch.column("text")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*names, column])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{column}` double"])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, fields(docs.schema, f"`{column}` double"))

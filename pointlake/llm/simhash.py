@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointlake.llm.common import materialise, mix64
+from pointlake.llm.common import fields, materialise, mix64, pack_rest, unpack_rest
 from pointlake.llm.components import connected_components
 
 _SLICE = 1 << 17  # shingles hashed at once
@@ -68,8 +68,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             fp = [fingerprint(t.as_py(), words) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp, pa.int64())], [*names, "fp"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "fp long"])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, fields(docs.schema, "fp long"))
 
 
 @dataclass
@@ -235,8 +234,13 @@ def _around(masks: list[int], value: Column, part: int) -> Column:
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
-    """All columns of docs but text, `fp long`, `component_id` (smallest doc_id reachable)."""
-    marked = materialise(fingerprints(docs, words).drop("text"), "simhash-fp")
+    """All columns of docs but text, `fp long`, `component_id` (smallest doc_id reachable).
+
+    Columns of docs that are called fp or component_id give way.
+    """
+    columns = [c for c in docs.columns if c not in ("text", "fp", "component_id")]
+    packed = pack_rest(docs.select("text", *columns), "doc_id", "text")
+    marked = materialise(fingerprints(packed, words).drop("text"), "simhash-fp")
     codes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-codes")
     # components on dense code ids would need a rank; the codes themselves do as nodes
     linked = connected_components(hamming_links(codes.select("fp"), radius))
@@ -244,7 +248,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
     group = codes.join(linked, codes.fp == linked.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("g"))
     best = group.groupBy("g").agg(F.min("least").alias("component_id"))
     of_code = materialise(group.select("fp", "g").join(best, "g").select(F.col("fp").alias("__fp"), "component_id"), "simhash-groups")
-    return marked.join(of_code, F.col("fp") == F.col("__fp")).drop("__fp")
+    found = marked.join(of_code, F.col("fp") == F.col("__fp"))
+    return found.select(*[F.col(c) if c == "doc_id" else F.col("__rest")[c].alias(c) for c in columns], "fp", "component_id")
 
 
 # --- similar documents: candidates by fingerprints, similarity by sketches -------------------------
@@ -309,9 +314,8 @@ def similar_documents(
             cols = np.array(sketch, np.int64).reshape(-1, 4).T
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp, pa.int64()), *map(pa.array, cols)], [*batch.schema.names, "fp", *SKETCH])
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
     numbered = docs.withColumn("rid", F.monotonically_increasing_id())
-    schema = ", ".join([*kinds, "rid long, fp long", *(f"{s} long" for s in SKETCH)])
+    schema = fields(numbered.schema, ", ".join(f"{s} long" for s in ("fp", *SKETCH)))
     marked = materialise(numbered.mapInArrow(run, schema), "similar-marked")
     codes = materialise(marked.groupBy("fp", *SKETCH).agg(F.min("rid").alias("node")), "similar-codes")
     apart = int(256 * (1 - (similarity - slack)) / 2)
@@ -331,8 +335,7 @@ def keep_one_of_each(docs: DataFrame, **options: float) -> DataFrame:
 
     Null doc_ids come last. Columns are those of docs.
     """
-    grouped = similar_documents(docs, **options)
+    grouped = materialise(similar_documents(pack_rest(docs, "doc_id", "text"), **options), "similar-grouped")
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
-    grouped = materialise(grouped, "similar-grouped")
     first = grouped.groupBy("group").agg(F.min(key).alias("k")).select(F.col("k.rid").alias("__rid"))
-    return grouped.join(first, F.col("rid") == F.col("__rid"), "left_semi").select(*docs.columns)
+    return unpack_rest(grouped.join(first, F.col("rid") == F.col("__rid"), "left_semi"), docs.columns, "doc_id", "text")

@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointlake.llm.common import doc_slices, materialise, mix64, powers, prefix_hash, shared_path, text_buffer
+from pointlake.llm.common import doc_slices, fields, give_back, materialise, mix64, powers, prefix_hash, shared_path, text_buffer
 
 K = 20  # bytes of an anchor
 _NO_ID = np.iinfo(np.int64).max
@@ -137,7 +137,7 @@ def least_of_equals(rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.n
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document number, place and hash of every anchor: of each window the least k-mer, leftmost of equals."""
     docs, places, hashes = [], [], []
-    for i, j in doc_slices(offsets, 1 << 20):
+    for i, j in doc_slices(offsets, 1 << 19):
         lo, part = offsets[i], data[offsets[i] : offsets[j]]
         kmers = len(part) - K + 1
         windows = len(part) - length + 1
@@ -254,8 +254,7 @@ def _packed(docs: DataFrame) -> DataFrame:
             body = [pack(whole[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(body, pa.binary())], [*names, "body"])
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
-    return docs.mapInArrow(run, ", ".join([*kinds, "body binary"]))
+    return docs.mapInArrow(run, fields(docs.schema, "body binary", "text"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 32 << 20, hot_anchor: int = 2_000) -> tuple[DataFrame, DataFrame]:
@@ -284,6 +283,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 32 << 2
     copies = materialise(copies.select("batch", "rid"), "passage-copies")
 
     def sketch(frame: pd.DataFrame, copied: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         frame = frame[~frame["rid"].isin(copied["rid"])]
         if not len(frame):
             return pd.DataFrame({n: [] for n in ("bucket", "batch", "once", "many")})
@@ -300,6 +300,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 32 << 2
         return pd.DataFrame({"bucket": at[cut].astype(np.int32), "batch": np.int32(frame["batch"].iloc[0]), "once": once, "many": many})
 
     def twice(frame: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         once = [np.frombuffer(x, np.uint32) for x in frame["once"]]
         many = [np.frombuffer(x, np.uint32).reshape(-1, 2) for x in frame["many"]]
         every = np.concatenate([*once, *[m[:, 0] for m in many]])
@@ -319,6 +320,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 32 << 2
     columns = ["bucket", "h", "batch", "rid", "id", "place", "before", "behind", "context", "start", "stop"]
 
     def suffixes(frame: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         copied = frame["rid"].isin(known["rid"])
         known = known[known["rid"].isna()]
         whole = frame[copied]
@@ -381,6 +383,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 32 << 2
 
     def single_strings(frame: pd.DataFrame) -> pd.DataFrame:
         """A batch's suffixes cut to strings: one of each stays, at the bucket of its own hash."""
+        give_back()
         rows_, ids, out = _joined(frame["context"]), frame["id"].to_numpy(), []
         before, behind = frame["before"].to_numpy(), frame["behind"].to_numpy()
         for shift in range(side + 1):
@@ -423,6 +426,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 32 << 2
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
         """A bucket: of one anchor's suffixes, of equal suffixes, or of marks that are ready."""
+        give_back()
         bucket = frame["bucket"].iloc[0]
         return frame if bucket < 0 else equal_strings(frame) if bucket < batches else one_of_each(frame)
 
@@ -448,6 +452,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, keep: bool = True, **optio
     rows, marks = repeated_spans(docs, length, **options)
 
     def cut(frame: pd.DataFrame, gone: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         frame = frame.reset_index(drop=True)
         row = pd.Series(frame.index, index=frame["rid"])
         d, start, stop = _runs(row.loc[gone["rid"]].to_numpy(np.int64), gone["start"].to_numpy(np.int64), gone["stop"].to_numpy(np.int64))

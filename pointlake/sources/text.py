@@ -19,7 +19,7 @@ SEPARATORS = {"comma": ",", "tab": "\t", "dot": ".", "colon": ":", "semicolon":
 
 def _number(value: Column) -> Column:
     """Six decimals without trailing zeros."""
-    return F.regexp_replace(F.regexp_replace(F.format_string("%.6f", value), "0+$", ""), "\\.$", "")
+    return F.when(value.isNotNull(), F.regexp_replace(F.regexp_replace(F.format_string("%.6f", value), "0+$", ""), "\\.$", ""))
 
 
 def to_text(points: DataFrame, parse: str = "xyz", separator: str = "space", scaling: ScaleOffset = DEFAULT_SCALE) -> DataFrame:
