@@ -41,7 +41,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     size of the table, so that it broadcasts only what is small enough.
     """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -302,7 +302,12 @@ def similar_documents(
     (standard error 0.04 at 0.8); it is part of the join's condition, so that families of many
     near copies don't become all their pairs. Texts with equal fingerprints and minima are one.
     """
-    names = docs.columns
+    marked, group = _families(docs, words, similarity, probe_words, radius, slack)
+    return _with_group(marked, group).select(*docs.columns, "rid", "group")
+
+
+def _families(docs: DataFrame, words: int = 5, similarity: float = 0.8, probe_words: int = 2, radius: int = 8, slack: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """(docs with rid, fingerprint and minima; the group of each fingerprint and minima), both written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,10 +329,14 @@ def similar_documents(
     at = F.col("__node")
     group = codes.withColumnRenamed("node", "__node").join(linked, at == F.col("node"), "left")
     group = materialise(group.select(*[F.col(c).alias(f"__{c}") for c in ("fp", *SKETCH)], F.coalesce("component", at).alias("group")), "similar-groups")
+    return marked, group
+
+
+def _with_group(marked: DataFrame, group: DataFrame) -> DataFrame:
     same = F.lit(True)
     for c in ("fp", *SKETCH):
         same = same & (F.col(c) == F.col(f"__{c}"))
-    return marked.join(group, same).select(*names, "rid", "group")
+    return marked.join(group, same)
 
 
 def keep_one_of_each(docs: DataFrame, **options: float) -> DataFrame:
@@ -335,7 +344,9 @@ def keep_one_of_each(docs: DataFrame, **options: float) -> DataFrame:
 
     Null doc_ids come last. Columns are those of docs.
     """
-    grouped = materialise(similar_documents(pack_rest(docs, "doc_id", "text"), **options), "similar-grouped")
+    marked, group = _families(pack_rest(docs, "doc_id", "text"), **options)
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
+    grouped = _with_group(marked.select("doc_id", "rid", "fp", *SKETCH), group)
     first = grouped.groupBy("group").agg(F.min(key).alias("k")).select(F.col("k.rid").alias("__rid"))
-    return unpack_rest(grouped.join(first, F.col("rid") == F.col("__rid"), "left_semi"), docs.columns, "doc_id", "text")
+    first = materialise(first, "similar-kept")  # ids only: texts are written once, and meet one join
+    return unpack_rest(marked.join(first, F.col("rid") == F.col("__rid"), "left_semi"), docs.columns, "doc_id", "text")
