@@ -139,12 +139,15 @@ def contours(triangles: DataFrame, every: float) -> DataFrame:
 
 
 def _interpolate(xy: np.ndarray, z: np.ndarray, tri: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Surface heights at places; NaN outside."""
+    """Surface heights at places; NaN outside. Places are sorted by x, so a triangle looks at its own strip only."""
     out = np.full(len(at), np.nan)
+    by_x = np.argsort(at[:, 0], kind="stable")
+    xs = at[by_x, 0]
     for t in tri:
         a, b, c = xy[t]
         low, high = np.minimum(np.minimum(a, b), c), np.maximum(np.maximum(a, b), c)
-        near = np.flatnonzero((at >= low).all(1) & (at <= high).all(1))
+        strip = by_x[np.searchsorted(xs, low[0]) : np.searchsorted(xs, high[0], "right")]
+        near = strip[(at[strip, 1] >= low[1]) & (at[strip, 1] <= high[1])]
         if len(near):
             m = np.array([b - a, c - a]).T
             det = m[0, 0] * m[1, 1] - m[0, 1] * m[1, 0]

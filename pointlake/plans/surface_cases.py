@@ -38,7 +38,7 @@ QUERIES["dem"] = lambda spark, sf: surface.dem(_tin(spark, sf), 10.0)
 QUERIES["hillshade"] = lambda spark, sf: surface.hillshade(_tin(spark, sf)).select("tile_col", "tile_row", "shade")
 QUERIES["contours"] = lambda spark, sf: surface.contours(_tin(spark, sf), 100.0)
 QUERIES["boundary"] = lambda spark, sf: surface.boundary(_tin(spark, sf), 50.0)
-QUERIES["height_above_ground"] = lambda spark, sf: surface.height_above_ground(_few(spark, sf).union(lineitem_points(spark, sf).where("classification = 1 AND zi % 10 = 0").withColumns({"cx": F.lit(0).cast("long"), "cy": F.lit(0).cast("long")})), TILE, BUFFER)
+QUERIES["height_above_ground"] = lambda spark, sf: surface.height_above_ground(_few(spark, sf).union(lineitem_points(spark, sf).where("classification = 1").withColumns({"cx": F.lit(0).cast("long"), "cy": F.lit(0).cast("long")})), TILE, BUFFER)
 QUERIES["classify_ground"] = lambda spark, sf: surface.classify_ground(_few(spark, sf), TILE, BUFFER, 40.0, 30.0)
 QUERIES["convex_hull"] = lambda spark, sf: surface.convex_hull(lineitem_points(spark, sf))
 
