@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointlake.llm.common import fields, materialise, mix64, pack_rest, unpack_rest
+from pointlake.llm.common import doc_slices, fields, materialise, mix64, pack_rest, prefix_hash, span_hash, text_buffer, unpack_rest, word_bounds
 from pointlake.llm.components import connected_components
 
 _SLICE = 1 << 17  # shingles hashed at once
@@ -187,14 +187,11 @@ def _masks(width: int, radius: int) -> list[int]:
     return out
 
 
-def hamming_links(
-    codes: DataFrame, radius: int = 3, parts: Parts | None = None, node: str = "fp", sketch: tuple[str, ...] = (), apart: int = 0
-) -> DataFrame:
+def hamming_links(codes: DataFrame, radius: int = 3, parts: Parts | None = None, node: str = "fp") -> DataFrame:
     """All pairs (u, v) of nodes, u < v, whose fingerprints `fp` differ in at most radius bits.
 
     A part's threshold is shared out: one side lists the values within half of it, the other
-    those within the rest. A pair is made only in the first part that can find it. With
-    sketch columns, a pair must also differ in at most `apart` bits of those.
+    those within the rest. A pair is made only in the first part that can find it.
     """
     parts = parts or plan_parts(codes, radius)
     probes, entries, earlier, fresh = [], [], [], F.lit(True)
@@ -209,13 +206,11 @@ def hamming_links(
         fresh = F.when(F.col("part") == k, F.lit(True) if not earlier else ~_any(earlier)).otherwise(fresh)
         mask = sum(1 << b for b in bits)
         earlier.append(F.bit_count(differing.bitwiseAND(F.lit(mask - (mask >> 63 << 64)).cast("long"))) <= t)
-    probe = codes.select(F.col(node).alias("u"), "fp", *sketch, F.explode(F.flatten(F.array(*probes))).alias("x"))
-    probe = probe.select("u", "fp", *sketch, "x.part", "x.value")
-    index = codes.select(F.col(node).alias("v"), F.col("fp").alias("fp2"), *[F.col(c).alias(f"{c}_2") for c in sketch], F.explode(F.flatten(F.array(*entries))).alias("x"))
-    index = index.select("v", "fp2", *[f"{c}_2" for c in sketch], F.col("x.part").alias("part2"), F.col("x.value").alias("value2"))
+    probe = codes.select(F.col(node).alias("u"), "fp", F.explode(F.flatten(F.array(*probes))).alias("x"))
+    probe = probe.select("u", "fp", "x.part", "x.value")
+    index = codes.select(F.col(node).alias("v"), F.col("fp").alias("fp2"), F.explode(F.flatten(F.array(*entries))).alias("x"))
+    index = index.select("v", "fp2", F.col("x.part").alias("part2"), F.col("x.value").alias("value2"))
     near = (F.col("u") < F.col("v")) & (F.bit_count(differing) <= radius)
-    if sketch:
-        near = near & (sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_2"))) for c in sketch), F.lit(0)) <= apart)
     met = (F.col("part") == F.col("part2")) & (F.col("value") == F.col("value2")) & near & fresh
     return probe.join(index, met).select("u", "v")
 
@@ -252,101 +247,171 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
     return found.select(*[F.col(c) if c == "doc_id" else F.col("__rest")[c].alias(c) for c in columns], "fp", "component_id")
 
 
-# --- similar documents: candidates by fingerprints, similarity by sketches -------------------------
+# --- similar documents: candidates by bands of minima, similarity by the sets themselves ------------
 
+KEYS = ("k0", "k1")
 SKETCH = ("s0", "s1", "s2", "s3")
+_BAND, _BANDS = 5, 28  # minima in a band, bands
+_RNG = np.random.default_rng(97)
+_ADDED = _RNG.integers(0, 1 << 32, 256, dtype=np.uint32)
+_TIMES = _RNG.integers(0, 1 << 32, 256, dtype=np.uint32) | np.uint32(1)
+_BAND_TIMES = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, _BAND + 1)], np.uint64)
+_BLOCK = 1 << 11  # shingles whose 256 hashes are held at once
+
+
+def _shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct hashes of its shingles; fewer words than a shingle are one, no words none."""
+    data, offsets = text_buffer(texts)
+    for i, j in doc_slices(offsets):
+        part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        part = np.where((part >= 65) & (part <= 90), part + np.uint8(32), part)
+        starts, ends, first = word_bounds(part, own)
+        w = span_hash(prefix_hash(part), starts, ends)
+        step, times, shingle = np.uint64(0x9E3779B97F4A7C15), np.uint64(1), np.zeros(len(w), np.uint64)
+        scaled = []
+        for k in range(words):
+            shingle[: max(len(w) - k, 0)] += w[k:] * times
+            scaled.append(times)
+            times = times * step
+        shingle = mix64(shingle)
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            if b - a >= words:
+                yield np.unique(shingle[a : b - words + 1])
+            elif b > a:
+                yield mix64((w[a:b] * np.array(scaled[: b - a], np.uint64)).sum(dtype=np.uint64).reshape(1))
+            else:
+                yield np.zeros(0, np.uint64)
+
+
+def _minima(h: np.ndarray) -> np.ndarray:
+    """The least values of 256 hash functions over a set."""
+    out = np.full(256, 0xFFFFFFFF, np.uint32)
+    short = (h >> np.uint64(32)).astype(np.uint32)[:, None]
+    for k in range(0, len(h), _BLOCK):
+        np.minimum(out, ((short[k : k + _BLOCK] ^ _ADDED) * _TIMES).min(0), out=out)
+    return out
 
 
-def _shingle_hashes(parts: list[bytes], words: int) -> np.ndarray:
-    """Sorted distinct hashes of the shingles."""
-    if not parts:
-        return np.zeros(0, np.uint64)
-    n = max(1, len(parts) - words + 1)
-    joined = b" ".join(parts)
-    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
-    stops = ends[min(words, len(parts)) - 1 :].tolist()
-    h = np.fromiter((xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
-    return np.unique(h)
-
-
-def _votes(h: np.ndarray) -> int:
-    votes = np.zeros(64, np.int64)
-    for k in range(0, len(h), _SLICE):
-        votes += np.unpackbits(h[k : k + _SLICE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > len(h), bitorder="little").view(np.int64)[0])
-
-
-def _one_bit_minima(h: np.ndarray) -> np.ndarray:
-    """256 one-bit minimum hashes as four longs: hashes fall into 256 bins, empty bins take from the next filled one."""
-    if not len(h):
-        return np.zeros(4, np.int64)
-    bins = (h >> np.uint64(56)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], bins[1:] != bins[:-1]]))
-    filled, least = bins[first], h[first]
-    at = np.searchsorted(filled, np.arange(256))
-    gap = np.where(at < len(filled), filled[at % len(filled)] - np.arange(256), filled[0] + 256 - np.arange(256)).astype(np.uint64)
-    bit = (mix64(least[at % len(filled)] + gap) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(bit).view(np.int64)
-
-
-def similar_documents(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, probe_words: int = 2, radius: int = 8, slack: float = 0.05
-) -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """All columns of docs, `rid` (a row number) and `group` (the smallest rid that is linked, over any number of links).
 
-    Fingerprints of the distinct probe_words-shingles find the candidates: a text that shares
-    four fifths of its longer shingles shares far more of the shorter ones, so its fingerprint is
-    within a radius that parts of 16 bits can search. A link also needs an estimated Jaccard
-    similarity of the words-shingles of at least similarity - slack, by 256 one-bit minima
-    (standard error 0.04 at 0.8); it is part of the join's condition, so that families of many
-    near copies don't become all their pairs. Texts with equal fingerprints and minima are one.
+    Two texts link if the Jaccard similarity of their sets of words-shingles is at least
+    similarity. Candidates share one of 28 bands of five minima of the sets, which a pair at 0.8
+    misses with a chance of 0.000015, at 0.85 of 2e-7, whatever the edits and the length; every
+    candidate's sets are made again and compared whole. Texts with equal sets are one.
+
+    Large families don't become all their pairs: first each text is compared with one leader of
+    its bands, twice, and only texts of a band that are in different components after that are
+    paired, if 256 one-bit minima don't rule it out (by 5.5 standard errors).
     """
-    marked, group = _families(docs, words, similarity, probe_words, radius, slack)
+    marked, group = _families(docs, words, similarity)
     return _with_group(marked, group).select(*docs.columns, "rid", "group")
 
 
-def _families(docs: DataFrame, words: int = 5, similarity: float = 0.8, probe_words: int = 2, radius: int = 8, slack: float = 0.05) -> tuple[DataFrame, DataFrame]:
-    """(docs with rid, fingerprint and minima; the group of each fingerprint and minima), both written."""
+def _families(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(docs with rid, keys of the set, bands and one-bit minima; the group of each set), both written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, sketch = [], []
-            for t in batch.column("text"):
-                parts = (t.as_py() or "").encode().lower().split()
-                fp.append(_votes(_shingle_hashes(parts, probe_words)))
-                sketch.append(_one_bit_minima(_shingle_hashes(parts, words)))
-            cols = np.array(sketch, np.int64).reshape(-1, 4).T
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp, pa.int64()), *map(pa.array, cols)], [*batch.schema.names, "fp", *SKETCH])
+            n = batch.num_rows
+            keys, bands, bits = np.zeros((n, 2), np.uint64), np.zeros((n, _BANDS), np.uint64), np.zeros((n, 256), np.uint8)
+            filled = np.zeros(n, bool)
+            for i, h in enumerate(_shingle_sets(batch.column("text"), words)):
+                if len(h):
+                    filled[i] = True
+                    keys[i] = h.sum(dtype=np.uint64), mix64(h ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
+                    least = _minima(h)
+                    bands[i] = mix64((least[: _BAND * _BANDS].reshape(_BANDS, _BAND) * _BAND_TIMES).sum(1, dtype=np.uint64))
+                    bits[i] = (least * np.uint32(0x9E3779B1)) >> np.uint32(31)
+            sketch = np.packbits(bits, axis=1).view(np.int64).T
+            short = (bands >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            ends = np.concatenate([[0], np.cumsum(filled) * _BANDS]).astype(np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(short[filled].ravel()))
+            more = [*map(pa.array, keys.view(np.int64).T), listed, *map(pa.array, sketch)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *KEYS, "bands", *SKETCH])
 
     numbered = docs.withColumn("rid", F.monotonically_increasing_id())
-    schema = fields(numbered.schema, ", ".join(f"{s} long" for s in ("fp", *SKETCH)))
+    schema = fields(numbered.schema, "k0 long, k1 long, bands array<int>, " + ", ".join(f"{s} long" for s in SKETCH))
     marked = materialise(numbered.mapInArrow(run, schema), "similar-marked")
-    codes = materialise(marked.groupBy("fp", *SKETCH).agg(F.min("rid").alias("node")), "similar-codes")
-    apart = int(256 * (1 - (similarity - slack)) / 2)
-    parts = plan_parts(codes.select("fp").distinct(), radius, (4,))
-    linked = materialise(connected_components(hamming_links(codes, radius, parts, "node", SKETCH, apart)), "similar-linked")
+    first = F.min(F.struct("rid", "bands", *SKETCH)).alias("x")
+    codes = materialise(marked.groupBy(*KEYS).agg(first).select(*KEYS, F.col("x.rid").alias("node"), "x.bands", *[f"x.{s}" for s in SKETCH]), "similar-codes")
+    linked = _linked(codes, marked.select("rid", "text"), words, similarity)
     at = F.col("__node")
-    group = codes.withColumnRenamed("node", "__node").join(linked, at == F.col("node"), "left")
-    group = materialise(group.select(*[F.col(c).alias(f"__{c}") for c in ("fp", *SKETCH)], F.coalesce("component", at).alias("group")), "similar-groups")
-    return marked, group
+    group = codes.select(*[F.col(c).alias(f"__{c}") for c in KEYS], F.col("node").alias("__node")).join(linked, at == F.col("node"), "left")
+    return marked, materialise(group.select(*[f"__{c}" for c in KEYS], F.coalesce("component", at).alias("group")), "similar-groups")
+
+
+def _linked(codes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(node, component) of the nodes that are linked to others."""
+    entries = codes.select("node", F.posexplode("bands").alias("band", "short"))
+    value = F.shiftleft(F.col("band").cast("long"), 32).bitwiseOR(F.col("short").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    entries = entries.select("node", value.alias("value"))
+    shared = entries.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("value").alias("__value"))
+    met = materialise(entries.join(shared, F.col("value") == F.col("__value")).select("value", "node"), "similar-met")
+    wrong = (1 - similarity) / 2  # share of one-bit minima that differ
+    apart = int(np.ceil(256 * wrong + 5.5 * np.sqrt(256 * wrong * (1 - wrong))))
+    other = [F.col(s).alias(f"{s}_2") for s in SKETCH]
+    near = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"{s}_2"))) for s in SKETCH), F.lit(0)) <= apart
+    links, linked = None, None
+    for turn in range(3):
+        of = codes.select(F.col("node").alias("__n"), *SKETCH)
+        if linked is None:
+            of = of.withColumn("own", F.col("__n"))
+        else:
+            of = of.join(linked, F.col("__n") == F.col("node"), "left").select("__n", *SKETCH, F.coalesce("component", "__n").alias("own"))
+        seen = met.join(of, F.col("node") == F.col("__n")).select("value", "node", "own", *SKETCH)
+        seen = materialise(seen, "similar-seen")
+        mixed = seen.groupBy("value").agg(
+            F.min("own").alias("low"), F.max("own").alias("high"), F.min_by(F.struct("node", "own", *SKETCH), F.xxhash64(F.lit(turn), "node")).alias("x")
+        ).where("low <> high")
+        if turn < 2:
+            lead = mixed.select(F.col("value").alias("value_2"), F.col("x.node").alias("lead"), F.col("x.own").alias("own_2"), *[F.col(f"x.{s}").alias(f"{s}_2") for s in SKETCH])
+            pairs = seen.join(lead, (F.col("value") == F.col("value_2")) & (F.col("own") != F.col("own_2")) & near)
+            pairs = pairs.groupBy("node").agg(F.min_by("lead", F.xxhash64(F.lit(turn), "lead")).alias("lead")).select(F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v"))
+        else:
+            left = seen.join(mixed.select(F.col("value").alias("__value")), F.col("value") == F.col("__value")).drop("__value")
+            right = left.select(F.col("value").alias("value_2"), F.col("node").alias("node_2"), F.col("own").alias("own_2"), *other)
+            pairs = left.join(right, (F.col("value") == F.col("value_2")) & (F.col("node") < F.col("node_2")) & (F.col("own") != F.col("own_2")) & near)
+            pairs = pairs.select(F.col("node").alias("u"), F.col("node_2").alias("v"))
+        pairs = materialise(pairs.distinct(), "similar-pairs")
+        found = materialise(_as_similar(pairs, texts, words, similarity), "similar-links")
+        links = found if links is None else links.union(found)
+        linked = materialise(connected_components(links), "similar-linked")
+    return linked
+
+
+def _as_similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose texts have that Jaccard similarity of shingles, by their whole sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(_shingle_sets(batch.column("a"), words), _shingle_sets(batch.column("b"), words), strict=True):
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    first = texts.select(F.col("rid").alias("__a"), F.col("text").alias("a"))
+    second = texts.select(F.col("rid").alias("__b"), F.col("text").alias("b"))
+    met = pairs.join(first, F.col("u") == F.col("__a")).join(second, F.col("v") == F.col("__b"))
+    return met.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
 def _with_group(marked: DataFrame, group: DataFrame) -> DataFrame:
     same = F.lit(True)
-    for c in ("fp", *SKETCH):
+    for c in KEYS:
         same = same & (F.col(c) == F.col(f"__{c}"))
     return marked.join(group, same)
 
 
-def keep_one_of_each(docs: DataFrame, **options: float) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without near copies: of each group the row with the smallest doc_id stays (of equal ones, the first row).
 
     Null doc_ids come last. Columns are those of docs.
     """
-    marked, group = _families(pack_rest(docs, "doc_id", "text"), **options)
+    marked, group = _families(pack_rest(docs, "doc_id", "text"), words, similarity)
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
-    grouped = _with_group(marked.select("doc_id", "rid", "fp", *SKETCH), group)
+    grouped = _with_group(marked.select("doc_id", "rid", *KEYS), group)
     first = grouped.groupBy("group").agg(F.min(key).alias("k")).select(F.col("k.rid").alias("__rid"))
     first = materialise(first, "similar-kept")  # ids only: texts are written once, and meet one join
     return unpack_rest(marked.join(first, F.col("rid") == F.col("__rid"), "left_semi"), docs.columns, "doc_id", "text")
