@@ -1,4 +1,10 @@
-"""Operator 7: SentencePiece encoding and decoding with a streaming Viterbi.
+"""Operator 7: SentencePiece encoding and decoding: a streaming Viterbi, or the merges of a BPE model.
+
+The scores of a BPE model are ranks of its merges, not log probabilities, and their best sum is
+not what SentencePiece gives. encode_texts() therefore takes such a model's ids from its merges,
+by the library itself, in parts of about a million characters that no piece crosses; the ids
+are those of SentencePieceProcessor.encode for every text without U+2581. With a unigram model it
+takes the Viterbi.
 
 A text becomes a stream of characters: a blank before it, blanks written as U+2581, all else
 as it is. The Viterbi keeps, for the places within the longest piece's length of the newest
@@ -27,7 +33,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from pointlake.llm.common import fields
+from pointlake.llm.common import doc_slices, fields, text_buffer
 
 BLANK = "▁"
 _LITERAL = "\udfff"  # stands for U+2581 in a text; no text holds a lone surrogate
@@ -35,6 +41,9 @@ _NEVER = float("-inf")
 _STRETCH = re.compile(" +[^ \n]*|[^ \n]+|\n")
 _MEMO_SIZE = 600_000
 _LONG = 32  # a longer stretch is streamed and isn't kept
+_PART = 1 << 20  # characters of a text that are merged at once
+_CUT = re.compile("(?<! ) |\n")  # no piece goes across the place before these
+_NO_PREFIX = b"\x1a\x02\x18\x00"  # at the end of a model file: normalizer_spec.add_dummy_prefix = false
 _SLICE = 1 << 23  # characters of the texts that are looked at together
 _STEP, _SPREAD, _SLOTS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), 18
 
@@ -52,10 +61,12 @@ class PieceModel:
     scores: np.ndarray  # by id, and what -1 reads is never used
     slot_keys: np.ndarray
     slot_ids: np.ndarray
+    proto: bytes = b""  # of a BPE model the whole file
     memo: dict[str, bytes] = field(default_factory=dict)
+    mergers: list[sentencepiece.SentencePieceProcessor] = field(default_factory=list)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"memo": {}}
+        return self.__dict__ | {"memo": {}, "mergers": []}
 
     @staticmethod
     def load(path: str) -> PieceModel:
@@ -87,10 +98,34 @@ class PieceModel:
             while keys[slot]:
                 slot = (slot + 1) % (1 << _SLOTS)
             scores[i], keys[slot], ids[slot] = score, h, i
-        return PieceModel(prefixes, byte_ids, text_of, max(map(len, pieces)), low - 10.0, crosses, scores, keys, ids)
+        proto = sp.serialized_model_proto()
+        return PieceModel(prefixes, byte_ids, text_of, max(map(len, pieces)), low - 10.0, crosses, scores, keys, ids, proto if _is_bpe(proto) else b"")
 
     # --- encoding -----------------------------------------------------------------
 
+    def ids_of(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """The ids of each text as SentencePiece gives them: by merges with a BPE model, else by the Viterbi."""
+        return [None if x is None else self._merged(x) for x in texts] if self.proto else self.encode_all(texts)
+
+    def _merged(self, text: str) -> np.ndarray:
+        """The ids by the model's merges; U+2581 becomes its bytes, so that decoding gives it back."""
+        if not self.mergers:
+            self.mergers += [sentencepiece.SentencePieceProcessor(model_proto=self.proto + more) for more in (b"", _NO_PREFIX)]
+        whole, inner = self.mergers
+        if not text or (BLANK not in text and (len(text) <= _PART or self.crosses)):
+            return np.array(whole.encode(text, num_threads=1), np.int32)
+        literal = np.frombuffer(b"".join(self.byte_ids[b] for b in BLANK.encode()), np.int32)
+        out: list[np.ndarray] = []
+        for k, run in enumerate((" " + text).split(BLANK)):
+            out += [literal] * (k > 0)
+            at = 0
+            while at < len(run):
+                cut = None if self.crosses else _CUT.search(run, at + _PART)
+                stop = cut.start() if cut else len(run)
+                out.append(np.array(inner.encode(run[at:stop], num_threads=1), np.int32))
+                at = stop
+        return np.concatenate(out)
+
     def stream(self, parts: Iterable[str]) -> Iterator[bytes]:
         """Ids as packed 32-bit integers, each as soon as it is final, of the characters that come in parts.
 
@@ -245,6 +280,35 @@ class PieceModel:
         return (out[1:] if out.startswith(b" ") else out).decode("utf-8", "replace")
 
 
+def _is_bpe(proto: bytes) -> bool:
+    """Whether the model file says so: field 3 (model_type) of field 2 (trainer_spec) is 2; unset means unigram."""
+
+    def parts(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+        at = 0
+
+        def number() -> int:
+            nonlocal at
+            out = shift = 0
+            while True:
+                byte = data[at]
+                at += 1
+                out |= (byte & 127) << shift
+                shift += 7
+                if byte < 128:
+                    return out
+
+        while at < len(data):
+            name, kind = divmod(number(), 8)
+            if kind == 0:
+                yield name, number()
+                continue
+            size = number() if kind == 2 else 8 if kind == 1 else 4
+            yield name, data[at : at + size]
+            at += size
+
+    return any(value == 2 for name, spec in parts(proto) if name == 2 for own, value in parts(spec) if own == 3)
+
+
 def _packed(i: int) -> bytes:
     return i.to_bytes(4, "little")
 
@@ -276,11 +340,13 @@ def encode_texts(docs: DataFrame, model: PieceModel, column: str = "ids", check:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            ids = own.encode_all(texts)
-            intact = [x is None or own.decode(i) == x for x, i in zip(texts, ids, strict=True)] if check else []
-            cols = [*(batch.column(n) for n in names), pa.array(ids, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(intact)] if check else cols, [*names, column, *["intact"] * check])
+            for i, j in doc_slices(text_buffer(batch.column("text"))[1]):
+                part = batch.slice(i, j - i)
+                texts = part.column("text").to_pylist()
+                ids = own.ids_of(texts)
+                intact = [x is None or own.decode(i) == x for x, i in zip(texts, ids, strict=True)] if check else []
+                cols = [*(part.column(n) for n in names), pa.array(ids, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(intact)] if check else cols, [*names, column, *["intact"] * check])
 
     return docs.mapInArrow(run, fields(docs.schema, f"`{column}` array<int>" + ", intact boolean" * check, "text"))
 
