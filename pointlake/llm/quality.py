@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointlake.llm.common import doc_slices, fields, mix64, prefix_hash, span_hash, text_buffer, word_bounds
-from pointlake.llm.sampling import labelled_sample
+from pointlake.llm.sampling import labelled_sample, one_text_each
 
 FEATURES = (
     "log_words", "mean_word", "upper", "digits", "symbols", "non_ascii", "bang", "pipe", "distinct_words",
@@ -245,12 +245,12 @@ def quality_features(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, train: Column | None = None, max_train: int = 20_000) -> AdditiveModel:
-    """Fit on at most max_train labelled rows, drawn by a hash of doc_id.
+    """Fit on at most max_train labelled rows, drawn by a hash of doc_id; of a repeated doc_id one text counts.
 
     Only their statistics (18 numbers each) come to the driver, never their texts.
     """
     sample = labelled_sample(labels, "quality", F.lit(True) if train is None else train, max_train)
-    rows = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(sample), "doc_id")  # at most max_train rows of 12 bytes
+    rows = one_text_each(docs, sample)
     got = quality_features(rows, ["doc_id", "y"]).orderBy("doc_id", "features").toPandas()
     x = np.stack(got["features"].to_numpy()) if len(got) else np.zeros((0, len(FEATURES)))
     return fit_additive_model(x, got["y"].to_numpy(float))

@@ -25,3 +25,9 @@ def labelled_sample(labels: DataFrame, label: str, keep: Column, limit: int, see
         .agg(F.max("y").alias("y"))
     )
     return one.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(limit)
+
+
+def one_text_each(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """(doc_id, y, text) of the sample's doc_ids, one row each: of a repeated doc_id the text of the least hash."""
+    met = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # a sample has 12 bytes a row
+    return met.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))

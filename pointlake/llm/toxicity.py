@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointlake.llm.common import doc_slices, fields, mix64, prefix_hash, span_hash, text_buffer, word_bounds
-from pointlake.llm.sampling import labelled_sample
+from pointlake.llm.sampling import labelled_sample, one_text_each
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -120,9 +120,9 @@ def sample_features(rows: DataFrame, bits: int) -> DataFrame:
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, train: Column | None = None, max_train: int = 8_000, bits: int = 20
 ) -> SparseLogit:
-    """Fit on at most max_train labelled rows, drawn by a hash of doc_id; their hashed features come to the driver."""
+    """Fit on at most max_train labelled rows, drawn by a hash of doc_id (of a repeated one, one text counts); their hashed features come to the driver."""
     sample = labelled_sample(labels, "toxic", F.lit(True) if train is None else train, max_train)
-    rows = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(sample), "doc_id")  # at most max_train rows of 12 bytes
+    rows = one_text_each(docs, sample)
     got = sample_features(rows, bits).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "f").toPandas()
     return fit_ftrl([np.frombuffer(f, np.uint32) for f in got["f"]], got["y"].to_numpy(float), bits)
 
