@@ -30,6 +30,7 @@ FEATURES = (
     "long_words", "commas", "capital_words",
 )
 
+ACCEPT_FROM = 0.7  # from this score up a text counts as good, in operator 10 and in the pipeline
 _KIND = np.zeros((6, 256), np.int8)
 _KIND[0, 65:91] = 1
 _KIND[1, 48:58] = 1

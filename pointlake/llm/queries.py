@@ -13,7 +13,7 @@ from pointlake.llm.language import fit_language, predict_language
 from pointlake.llm.mixing import mix
 from pointlake.llm.mtree import exact_top_k
 from pointlake.llm.pieces import PieceModel, encode_texts
-from pointlake.llm.quality import fit_quality, score_quality
+from pointlake.llm.quality import ACCEPT_FROM, fit_quality, score_quality
 from pointlake.llm.sampling import fold
 from pointlake.llm.sharding import shard_documents
 from pointlake.llm.simhash import near_duplicates
@@ -84,7 +84,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_quality(docs, _read(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
     return score_quality(docs, model).select(
-        "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+        "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= ACCEPT_FROM).cast("int").alias("predicted")
     )
 
 
