@@ -43,9 +43,15 @@ QUERIES["classify_ground"] = lambda spark, sf: surface.classify_ground(_few(spar
 QUERIES["convex_hull"] = lambda spark, sf: surface.convex_hull(lineitem_points(spark, sf))
 
 
+def _objects_of(points: DataFrame) -> DataFrame:
+    """source_file, point_index and classification of every point; planes are those of the points above ground."""
+    heights = surface.height_above_ground(points, TILE, BUFFER)
+    high = points.join(heights.where("height > 2.0"), ["source_file", "point_index"])
+    return surface.classify_objects(heights, points, spatial.planes(high, 50.0), 50.0).select("source_file", "point_index", "classification")
+
+
 def _objects(spark: SparkSession, sf: str) -> DataFrame:
-    points = _few(spark, sf).drop("cx", "cy")
-    return surface.classify_objects(surface.height_above_ground(points, TILE, BUFFER), points, spatial.planes(points, 50.0), 50.0).groupBy("classification").agg(F.count(F.lit(1)).alias("n"))
+    return _objects_of(lineitem_points(spark, sf))
 
 
 QUERIES["classify_objects"] = _objects
