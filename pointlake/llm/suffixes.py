@@ -1,24 +1,27 @@
 """Operator 2: removing repeated passages by sorting suffixes, deep-shallow.
 
 Every byte that lies in a `length`-byte string which also starts in a document with a smaller
-doc_id goes. Which strings those are is found in three scans of the whole texts, dealt out in
+doc_id goes. Which strings those are is found in scans of the whole texts, dealt out in
 batches of documents (a bucketed table, so that no scan shuffles the texts again):
 
-1. Anchors. In each window of `length` bytes the k-mer of least hash is an anchor. Equal
+1. Anchors. In each string of `length` bytes the k-mer of least hash is its anchor. Equal
    strings have equal anchors at equal places, so only anchors that occur twice matter.
-   Batches send their anchors' hashes, packed by bucket; buckets return those seen twice.
-2. Suffixes. Each repeated anchor sends the suffix that starts `length - k` bytes before it,
-   as long as any string with that anchor can reach. Suffixes are sorted deep-shallow:
-   multikey quicksort on super-characters of eight bytes down to a shallow depth, then blind
-   tries for groups that still agree. Equal suffixes within a batch leave the smallest doc_id,
-   so that a hot passage sends one suffix a batch. The suffixes of an anchor meet in one bucket;
-   there the distinct ones are cut to the `length`-byte strings around the anchor, sorted the
-   same way, and each run of equal strings marks its members but for the smallest doc_id.
-   Anchors with over `hot_anchor` occurrences don't meet in one place: their suffixes go to
-   the bucket of the suffix's own hash, and what is left of them, if an anchor has several, is
-   cut to strings batch by batch, which go to the bucket of the string's hash.
-3. Removal. Marks meet their batch again, are merged to runs, and the rest is kept.
-
+   Batches send the distinct hashes of their anchors, packed by bucket; buckets return those
+   that two batches have.
+2. Strings. The suffix of a repeated anchor starts where the first string that the anchor
+   stands for starts and ends where the last one ends. A batch sorts its own suffixes
+   deep-shallow: multikey quicksort on super-characters of eight bytes down to a shallow
+   depth, then blind tries for groups that still agree. What equals something of a smaller
+   doc_id of the batch is marked; of equal strings one of the smallest doc_id goes on. Their
+   hashes go out like those of the anchors.
+3. Suffixes. Only suffixes that hold a string which another batch has as well are sent, one of
+   each kind and batch, to the bucket of their anchor and of half of what lies beside it.
+   There they are sorted the same way, and each is answered which of its strings have a
+   smaller doc_id. Other occurrences in the same document follow the one that was sent.
+4. Removal. Marks meet their batch again, are merged to runs, and the rest is kept.
+
+All anchors go one way, however often they occur: a passage that a third of all documents
+hold is one suffix a batch, and the differing texts around it are sent only if they repeat.
 Comparison is always of bytes; hashes only choose what to compare. Work follows the text plus
 the repeated part of it.
 
@@ -33,6 +36,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -41,9 +45,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointlake.llm.common import doc_slices, fields, give_back, materialise, mix64, powers, prefix_hash, shared_path, text_buffer
+from pointlake.llm.common import doc_slices, fields, give_back, materialise, mix64, pack_rest, powers, prefix_hash, shared_path, text_buffer
 
-K = 20  # bytes of an anchor
+_SLICE = 1 << 16  # suffixes that are compared at once
 _NO_ID = np.iinfo(np.int64).max
 _SHALLOW = 2  # super-characters of eight bytes that the quicksort looks at
 
@@ -134,19 +138,25 @@ def least_of_equals(rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.n
 # --- anchors ------------------------------------------------------------------------------
 
 
+def anchor_size(length: int) -> int:
+    """Bytes of an anchor: most of a string, so that few anchors repeat by chance."""
+    return max(length * 16 // 25, length - 60)
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document number, place and hash of every anchor: of each window the least k-mer, leftmost of equals."""
+    """Document number, place and hash of every anchor: of each window the k-mers of least hash."""
+    k = anchor_size(length)
     docs, places, hashes = [], [], []
     for i, j in doc_slices(offsets, 1 << 19):
         lo, part = offsets[i], data[offsets[i] : offsets[j]]
-        kmers = len(part) - K + 1
+        kmers = len(part) - k + 1
         windows = len(part) - length + 1
         if windows < 1:
             continue
         prefix = prefix_hash(part)
         _, down = powers(kmers)
-        h = mix64((prefix[K:] - prefix[:kmers]) * down)
-        span = length - K + 1
+        h = np.maximum(mix64((prefix[k:] - prefix[:kmers]) * down), np.uint64(1))
+        span = length - k + 1
         best = _sliding(h, span, np.minimum)
         # only windows that lie within one document choose
         ends, starts = offsets[i + 1 : j + 1] - lo, offsets[i:j] - lo
@@ -157,9 +167,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
         best[np.cumsum(inside[:-1]) == 0] = 0
         # a k-mer is the least of some window if the largest least of its windows is its own hash
         edge = np.zeros(span - 1, np.uint64)
-        picked = _sliding(np.concatenate([edge, best, edge]), span, np.maximum) == h
-        picked &= h != 0
-        at = np.flatnonzero(picked)
+        at = np.flatnonzero(_sliding(np.concatenate([edge, best, edge]), span, np.maximum) == h)
         docs.append(i + np.searchsorted(ends, at, "right"))
         places.append(at + lo)
         hashes.append(h[at])
@@ -168,6 +176,25 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return np.concatenate(docs), np.concatenate(places), np.concatenate(hashes)
 
 
+def own_windows(doc: np.ndarray, place: np.ndarray, h: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each anchor the least and the largest shift (place less the window's start) of the windows it stands for.
+
+    A window belongs to its anchor of least hash, the leftmost of equals, so it counts once.
+    """
+    side = length - anchor_size(length)
+    low = np.maximum(0, place + length - offsets[doc + 1])
+    high = np.minimum(side, place - offsets[doc])
+    for d in range(1, min(side, len(place) - 1) + 1):
+        gap = place[d:] - place[:-d]
+        near = (gap <= side) & (doc[d:] == doc[:-d])
+        if not near.any():
+            break
+        before, after = near & (h[:-d] <= h[d:]), near & (h[d:] < h[:-d])
+        high[d:][before] = np.minimum(high[d:][before], gap[before] - 1)
+        low[:-d][after] = np.maximum(low[:-d][after], side - gap[after] + 1)
+    return low, high
+
+
 def _sliding(values: np.ndarray, span: int, of: np.ufunc) -> np.ndarray:
     """The least (or largest) of each run of `span` values, by doubling."""
     have = 1
@@ -185,39 +212,34 @@ def _found(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
 
 
-def _short(h: np.ndarray) -> np.ndarray:
-    return (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-
-
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _contexts(padded: np.ndarray, places: np.ndarray, before: np.ndarray, behind: np.ndarray, length: int) -> np.ndarray:
-    """The bytes from length - K before each anchor to length - K behind it; zero outside its document.
+def _key(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and 32 bits of a hash, which is what batches tell each other."""
+    return (_bucket(h, buckets).astype(np.uint64) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
 
-    padded: the batch's bytes with length - K zeros at both ends.
-    """
-    side = length - K
-    rows = np.lib.stride_tricks.sliding_window_view(padded, K + 2 * side)[places]
-    for edge in np.flatnonzero((before < side) | (behind < side)):
-        rows[edge, : side - before[edge]] = 0
-        rows[edge, side + K + behind[edge] :] = 0
-    return rows
 
+def _contexts(padded: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> np.ndarray:
+    """The bytes from `side` before each anchor to `side` behind it; zero outside its own windows.
 
-def _joined(strings: pd.Series) -> np.ndarray:
-    """Equally long byte strings as rows."""
-    return np.frombuffer(b"".join(strings), np.uint8).reshape(len(strings), -1)
+    padded: the batch's bytes with `side` zeros at both ends.
+    """
+    side = length - anchor_size(length)
+    rows = np.lib.stride_tricks.sliding_window_view(padded, length + side)[place]
+    column = np.arange(length + side)
+    return rows * ((column >= (side - high)[:, None]) & (column < (side - low + length)[:, None]))
 
 
-def _row_hash(rows: np.ndarray) -> np.ndarray:
-    """A non-negative hash of each row."""
-    up, _ = powers(rows.shape[1])
-    out = np.zeros(len(rows), np.uint64)
-    for c in range(rows.shape[1]):
-        out += (rows[:, c].astype(np.uint64) + np.uint64(1)) * up[c]
-    return (mix64(out) >> np.uint64(33)).astype(np.int64)
+def _string_hashes(rows: np.ndarray, length: int) -> np.ndarray:
+    """Of each row of contexts the hashes of its strings; column s is that of shift s."""
+    side = rows.shape[1] - length
+    up, down = powers(rows.shape[1] + 1)
+    total = np.zeros((len(rows), rows.shape[1] + 1), np.uint64)
+    np.cumsum((rows.astype(np.uint64) + np.uint64(1)) * up[:-1], axis=1, out=total[:, 1:])
+    first = np.arange(side, -1, -1)
+    return mix64((total[:, first + length] - total[:, first]) * down[first])
 
 
 def _runs(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -234,6 +256,20 @@ def _runs(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndar
     return doc[first], start[first], reach[np.append(first[1:], len(doc)) - 1] - base[first]
 
 
+def _spread(mask: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, shift) of every bit that is set."""
+    parts = [np.flatnonzero(mask >> s & 1) for s in range(side + 1)]
+    return np.concatenate(parts), np.repeat(np.arange(side + 1), [len(p) for p in parts])
+
+
+def _bits(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A mask of the shifts from low to high."""
+    return np.where(high >= low, (np.int64(1) << (high + 1)) - (np.int64(1) << low), 0)
+
+
+# --- a batch ------------------------------------------------------------------------------
+
+
 def _batch(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes, offsets and doc_ids of a batch's rows."""
     open_ = zstandard.ZstdDecompressor().decompress
@@ -253,25 +289,177 @@ def _packed(docs: DataFrame) -> DataFrame:
             whole = data.tobytes()
             body = [pack(whole[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(body, pa.binary())], [*names, "body"])
+            give_back()
 
     return docs.mapInArrow(run, fields(docs.schema, "body binary", "text"))
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 32 << 20, hot_anchor: int = 2_000) -> tuple[DataFrame, DataFrame]:
-    """(the batched rows, their marks): rows have batch, rid, id, body and the columns of docs.
+@dataclass
+class Slice:
+    """What a batch knows of some of its repeated anchors before it hears of the other batches.
+
+    Suffixes are numbered by `who` (places in the batch's anchors). `alive` are those with
+    strings to be compared elsewhere, `mask` which shifts; of equal strings of the batch only
+    one of the smallest doc_id is alive, all of a larger doc_id are `gone`, and the others of
+    the same doc_id follow the one that is alive: by shift (`twins`) or whole (`copies`).
+    """
+
+    who: np.ndarray
+    rows: np.ndarray
+    alive: np.ndarray
+    mask: np.ndarray
+    gone: tuple[np.ndarray, np.ndarray]  # suffix, mask
+    twins: tuple[np.ndarray, np.ndarray, np.ndarray]  # suffix, shift, the suffix it follows
+    copies: tuple[np.ndarray, np.ndarray]  # suffix, the suffix it follows
+
+
+def _first_of_run(order: np.ndarray, run: np.ndarray, is_least: np.ndarray) -> np.ndarray:
+    """For each sorted row the first row of its run that has the run's smallest id."""
+    at = np.flatnonzero(is_least)
+    _, where = np.unique(run[at], return_index=True)
+    return order[at[where]][run]
+
+
+def _compare_within(rows: np.ndarray, who: np.ndarray, h: np.ndarray, ids: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> Slice:
+    """Whole suffixes first, then, where an anchor has several, their strings shift by shift."""
+    side = rows.shape[1] - length
+    order, run, least = least_of_equals(np.hstack([rows, np.column_stack([low, high]).astype(np.uint8)]), ids)
+    later = ids[order] > least[run]
+    first = _first_of_run(order, run, ~later)
+    copy = ~later & (first != order)
+    full = _bits(low, high)
+    gone = [(order[later], full[order[later]])]
+    copies = order[copy], first[copy]
+    alive = np.sort(order[~later & ~copy])
+    mask = full[alive]
+    _, kind, n = np.unique(h[alive], return_inverse=True, return_counts=True)
+    several = n[kind] > 1
+    twins = []
+    for s in range(side + 1):
+        at = np.flatnonzero(several & ((mask >> s & 1) == 1))
+        if len(at) < 2:
+            continue
+        order, run, least = least_of_equals(rows[alive[at], side - s : side - s + length], ids[alive[at]])
+        later = ids[alive[at[order]]] > least[run]
+        first = _first_of_run(order, run, ~later)
+        twin = ~later & (first != order)
+        gone.append((alive[at[order[later]]], np.full(later.sum(), np.int64(1) << s)))
+        twins.append((alive[at[order[twin]]], np.full(twin.sum(), s), alive[at[first[twin]]]))
+        mask[at[order[later | twin]]] &= ~(np.int64(1) << s)
+    joined = lambda parts, n: tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * n
+    return Slice(who, rows, alive[mask != 0], mask[mask != 0], joined(gone, 2), joined(twins, 3), copies)
+
+
+def _slices(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, known: np.ndarray, buckets: int, length: int) -> Iterator[tuple[Slice, tuple[np.ndarray, ...]]]:
+    """The batch's suffixes whose anchors other places have as well, some anchors at a time.
 
-    marks: batch, rid, start, stop of bytes to remove, not merged.
+    With each slice (doc, place, h, low, high) of the anchors. Anchors of one hash stay together.
+    """
+    doc, place, h = anchors(data, offsets, length)
+    low, high = own_windows(doc, place, h, offsets, length)
+    by = np.argsort(h, kind="stable")
+    again = np.zeros(len(h), bool)
+    if len(h) > 1:
+        same = h[by[1:]] == h[by[:-1]]
+        again[by[1:][same]] = True
+        again[by[:-1][same]] = True
+    hit = (again | _found(_key(h, buckets), known)) & (low <= high)
+    by = by[hit[by]]
+    side = length - anchor_size(length)
+    padded = np.concatenate([np.zeros(side, np.uint8), data, np.zeros(side, np.uint8)])
+    at = 0
+    while at < len(by):
+        stop = min(at + _SLICE, len(by))
+        while stop < len(by) and stop < at + 4 * _SLICE and h[by[stop]] == h[by[stop - 1]]:
+            stop += 1
+        who = by[at:stop]
+        rows = _contexts(padded, place[who], low[who], high[who], length)
+        yield _compare_within(rows, who, h[who], ids[doc[who]], low[who], high[who], length), (doc, place, h, low, high)
+        at = stop
+
+
+def _by_bucket(at: np.ndarray, values: np.ndarray, batch: int) -> pd.DataFrame:
+    """A row for each bucket that gets something."""
+    by = np.argsort(at, kind="stable")
+    at, values = at[by], values[by]
+    cut = np.flatnonzero(np.diff(at, prepend=-1))
+    packed = [x.tobytes() for x in np.split(values, cut[1:])] if len(cut) else []
+    return pd.DataFrame({"bucket": at[cut].astype(np.int32), "batch": np.full(len(cut), batch, np.int32), "packed": packed})
+
+
+def _hashes_by_bucket(h: np.ndarray, batch: int, buckets: int) -> pd.DataFrame:
+    h = np.unique(h)
+    return _by_bucket(_bucket(h, buckets), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), batch)
+
+
+def _seen_twice(frame: pd.DataFrame) -> pd.DataFrame:
+    """A bucket of hashes: each batch gets back those of its own that another batch has as well."""
+    give_back()
+    own = [np.frombuffer(x, np.uint32) for x in frame["packed"]]
+    values, n = np.unique(np.concatenate(own), return_counts=True)
+    shared = values[n > 1]
+    back = pd.DataFrame({"batch": frame["batch"], "bucket": frame["bucket"], "packed": [x[_found(x, shared)].tobytes() for x in own]})
+    return back[back["packed"].map(len) > 0]
+
+
+def _keys_of(told: pd.DataFrame, role: int) -> np.ndarray:
+    """The sorted keys that a batch was told in that role."""
+    told = told[told["role"] == role]
+    parts = [(np.uint64(b) << np.uint64(32)) | np.frombuffer(x, np.uint32).astype(np.uint64) for b, x in zip(told["bucket"], told["packed"], strict=True)]
+    return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def _suffix_type(length: int) -> np.dtype:
+    side = length - anchor_size(length)
+    return np.dtype([("h", "u8"), ("rid", "i8"), ("id", "i8"), ("place", "i8"), ("mask", "i8"), ("text", "u1", (length + side,))])
+
+
+def _meet(frame: pd.DataFrame, length: int) -> pd.DataFrame:
+    """A bucket of suffixes: what batches have to remove, (rid, place, mask), packed by batch."""
+    give_back()
+    own = [np.frombuffer(x, _suffix_type(length)) for x in frame["packed"]]
+    batch = np.repeat(frame["batch"].to_numpy(np.int64), [len(x) for x in own])
+    items = np.concatenate(own)
+    ids, mask, text = items["id"], items["mask"].copy(), items["text"]
+    removed = np.zeros(len(items), np.int64)
+    order, run, least = least_of_equals(np.hstack([text, np.ascontiguousarray(mask).view(np.uint8).reshape(len(mask), 8)]), ids)
+    later = order[ids[order] > least[run]]
+    removed[later] = mask[later]
+    mask[later] = 0
+    # of equal suffixes those of the smallest doc_id stay to be compared string by string
+    left = np.flatnonzero(mask)
+    _, kind, n = np.unique(items["h"][left], return_inverse=True, return_counts=True)
+    left = left[n[kind] > 1]
+    side = text.shape[1] - length
+    for s in range(side + 1):
+        at = left[(mask[left] >> s & 1) == 1]
+        if len(at) > 1:
+            order, run, least = least_of_equals(text[at, side - s : side - s + length], ids[at])
+            removed[at[order[ids[at[order]] > least[run]]]] |= np.int64(1) << s
+    at = np.flatnonzero(removed)
+    out = _by_bucket(batch[at], np.column_stack([items["rid"][at], items["place"][at], removed[at]]), 0)
+    return pd.DataFrame({"batch": out["bucket"], "role": np.int32(_REPLY), "packed": out["packed"]})
+
+
+_RANGE, _REPLY, _TWIN, _COPY, _SUFFIX = range(5)  # what a packed value is
+
+
+def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 16 << 20) -> tuple[DataFrame, DataFrame]:
+    """(the batched rows, what to remove from them) of docs (doc_id, text, and anything in __rest).
+
+    The rows have batch, rid, id, no_id, none, body and __rest; the second table, for remove_ranges(), batch, role, packed.
     """
     spark = docs.sparkSession
-    side = length - K
-    if side < 1:
-        raise ValueError(f"length must be over {K}")
+    side = length - anchor_size(length)
+    if not 1 <= side <= 60:
+        raise ValueError("length must be 8 bytes or more")
     total = docs.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))).first()[0] or 0
     files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (2 * batch_bytes)))
     batches = 2 * files
     rows = docs.withColumn("rid", F.monotonically_increasing_id()).withColumn("batch", F.pmod(F.xxhash64("rid"), F.lit(batches)).cast("int"))
-    rows = rows.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("none", F.col("text").isNull())
-    rows = _packed(rows.withColumn("digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))))
+    rows = rows.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("no_id", F.col("doc_id").isNull())
+    rows = rows.withColumn("none", F.col("text").isNull()).withColumn("digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    rows = _packed(rows.drop("doc_id"))
     table = f"passages_{uuid.uuid4().hex}"
     rows.repartition(files, "batch").write.bucketBy(files, "batch").option("path", shared_path(spark, "passages")).saveAsTable(table)
     rows = spark.table(table)
@@ -279,183 +467,155 @@ def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 32 << 2
     # a copy of a text with a smaller doc_id goes whole, so it needn't be looked at
     least = rows.groupBy("digest").agg(F.min("id").alias("__least"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
     least = least.select(F.col("digest").alias("__digest"), "__least")
-    copies = rows.select("batch", "rid", "id", "digest").join(least, (F.col("digest") == F.col("__digest")) & (F.col("id") > F.col("__least")))
-    copies = materialise(copies.select("batch", "rid"), "passage-copies")
+    copied = rows.select("batch", "rid", "id", "digest").join(least, (F.col("digest") == F.col("__digest")) & (F.col("id") > F.col("__least")))
+    copied = materialise(copied.select("batch", "rid"), "passage-copies")
 
-    def sketch(frame: pd.DataFrame, copied: pd.DataFrame) -> pd.DataFrame:
+    def anchors_of(frame: pd.DataFrame, without: pd.DataFrame) -> pd.DataFrame:
         give_back()
-        frame = frame[~frame["rid"].isin(copied["rid"])]
-        if not len(frame):
-            return pd.DataFrame({n: [] for n in ("bucket", "batch", "once", "many")})
+        frame = frame[~frame["rid"].isin(without["rid"])]
+        batch = int(frame["batch"].iloc[0]) if len(frame) else 0
         data, offsets, _ = _batch(frame)
-        h, n = np.unique(anchors(data, offsets, length)[2], return_counts=True)
-        at = _bucket(h, batches)
-        by = np.argsort(at, kind="stable")
-        h, n, at = h[by], n[by], at[by]
-        cut = np.flatnonzero(np.diff(at, prepend=-1))
-        once, many = [], []
-        for x, c in zip(np.split(_short(h), cut[1:]), np.split(n, cut[1:]), strict=True) if len(h) else ():
-            once.append(x[c == 1].tobytes())
-            many.append(np.column_stack([x[c > 1], np.minimum(c[c > 1], 1 << 30)]).astype(np.uint32).tobytes())
-        return pd.DataFrame({"bucket": at[cut].astype(np.int32), "batch": np.int32(frame["batch"].iloc[0]), "once": once, "many": many})
-
-    def twice(frame: pd.DataFrame) -> pd.DataFrame:
+        return _hashes_by_bucket(anchors(data, offsets, length)[2], batch, batches)
+
+    hashes, told = "bucket int, batch int, packed binary", "batch int, bucket int, packed binary"
+    seen = texts.groupBy("batch").cogroup(copied.groupBy("batch")).applyInPandas(anchors_of, hashes)
+    known = seen.groupBy("bucket").applyInPandas(_seen_twice, told).withColumn("role", F.lit(0)).withColumn("rid", F.lit(-1).cast("long"))
+    known = known.unionByName(copied.withColumn("role", F.lit(2)), allowMissingColumns=True)
+    known = materialise(known, "passage-anchors")
+
+    def strings_of(frame: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         give_back()
-        once = [np.frombuffer(x, np.uint32) for x in frame["once"]]
-        many = [np.frombuffer(x, np.uint32).reshape(-1, 2) for x in frame["many"]]
-        every = np.concatenate([*once, *[m[:, 0] for m in many]])
-        count = np.concatenate([*[np.ones(len(x)) for x in once], *[m[:, 1] for m in many]])
-        values, kind = np.unique(every, return_inverse=True)
-        total = np.bincount(kind, count, len(values))
-        some, hot = values[(total > 1) & (total <= hot_anchor)], values[total > hot_anchor]
-        mine = [np.concatenate([x, m[:, 0]]) for x, m in zip(once, many, strict=True)]
-        back = lambda among: [np.unique(x[_found(x, among)]).tobytes() for x in mine]
-        out = pd.DataFrame({"batch": frame["batch"], "bucket": frame["bucket"], "some": back(some), "hot": back(hot)})
-        return out[(out["some"].map(len) > 0) | (out["hot"].map(len) > 0)]
-
-    seen = texts.groupBy("batch").cogroup(copies.groupBy("batch")).applyInPandas(sketch, "bucket int, batch int, once binary, many binary")
-    shared = seen.groupBy("bucket").applyInPandas(twice, "batch int, bucket int, some binary, hot binary").withColumn("rid", F.lit(None).cast("long"))
-    told = shared.unionByName(copies, allowMissingColumns=True)
-    no_mark = {"start": -1, "stop": -1}
-    columns = ["bucket", "h", "batch", "rid", "id", "place", "before", "behind", "context", "start", "stop"]
-
-    def suffixes(frame: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        frame = frame[~frame["rid"].isin(known["rid"])]
+        batch = int(frame["batch"].iloc[0]) if len(frame) else 0
+        out = [np.zeros(0, np.uint64)]
+        for own, _ in _slices(*_batch(frame), _keys_of(known, 0), batches, length):
+            row, shift = _spread(own.mask, side)
+            out.append(np.unique(_string_hashes(own.rows[own.alive], length)[row, shift]))
+        return _hashes_by_bucket(np.concatenate(out), batch, batches)
+
+    strings = texts.groupBy("batch").cogroup(known.groupBy("batch")).applyInPandas(strings_of, hashes)
+    strings = strings.groupBy("bucket").applyInPandas(_seen_twice, told).withColumn("role", F.lit(1)).withColumn("rid", F.lit(-1).cast("long"))
+    all_known = known.unionByName(strings)
+
+    def suffixes_of(frame: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         give_back()
-        copied = frame["rid"].isin(known["rid"])
-        known = known[known["rid"].isna()]
-        whole = frame[copied]
-        whole_size = np.diff(_batch(whole)[1])
-        frame, batch = frame[~copied], np.int32(frame["batch"].iloc[0])
-        out = [as_marks(batch, whole["rid"].to_numpy()[whole_size >= length], 0, whole_size[whole_size >= length])]
-        if not len(known):
-            return out[0][columns]
+        batch = int(frame["batch"].iloc[0]) if len(frame) else 0
+        whole = frame["rid"].isin(known["rid"])
+        size = np.diff(_batch(frame[whole])[1])
+        ranges = [np.column_stack([frame["rid"][whole].to_numpy()[size >= length], np.zeros((size >= length).sum(), np.int64), size[size >= length]])]
+        frame, twins, copies, out = frame[~whole], [], [], []
         data, offsets, ids = _batch(frame)
-        doc, place, h = anchors(data, offsets, length)
-        padded = np.concatenate([np.zeros(side, np.uint8), data, np.zeros(side, np.uint8)])
-        del data
-        at = _bucket(h, batches)
-        key = (at.astype(np.uint64) << np.uint64(32)) | _short(h).astype(np.uint64)
-        among = lambda of: np.sort(np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(x, np.uint32).astype(np.uint64) for b, x in zip(known["bucket"], known[of], strict=True)]))
-        hot = _found(key, among("hot"))
-        hit = hot | _found(key, among("some"))
-        doc, place, h, at, hot = doc[hit], place[hit], h[hit], at[hit], hot[hit]
-        before = np.minimum(place - offsets[doc], side)
-        behind = np.minimum(offsets[doc + 1] - place - K, side)
-        rid = frame["rid"].to_numpy()
-        gone: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def send(who: np.ndarray, bucket: np.ndarray, context: np.ndarray) -> None:
-            d = doc[who]
-            rest = {"place": place[who] - offsets[d], "before": before[who], "behind": behind[who], "context": [x.tobytes() for x in context]}
-            out.append(pd.DataFrame({"bucket": bucket, "h": h[who].view(np.int64), "batch": batch, "rid": rid[d], "id": ids[d], **rest, **no_mark}))
-
-        # anchors of one hash stay together, so that equal suffixes meet; slices bound the memory
-        by = np.lexsort((h, hot))
-        for i in range(0, len(by), 1 << 17):
-            who = by[i : i + (1 << 17)]
-            rows_ = _contexts(padded, place[who], before[who], behind[who], length)
-            ends = np.column_stack([before[who], behind[who]]).astype(np.uint8)
-            order, run, least = least_of_equals(np.hstack([rows_, ends]), ids[doc[who]])
-            later = ids[doc[who[order]]] > least[run]
-            drop = who[order[later]]
-            gone.append((doc[drop], place[drop] - before[drop], place[drop] + K + behind[drop]))
-            left = np.sort(order[~later])
-            cold = left[~hot[who[left]]]
-            if len(cold):
-                send(who[cold], at[who[cold]], rows_[cold])
-            warm = left[hot[who[left]]]
-            if len(warm):
-                send(who[warm], _row_hash(rows_[warm]) % batches + batches, rows_[warm])
-        gd, gs, ge = _runs(*(np.concatenate(x) for x in zip(*gone, strict=True))) if gone else (doc[:0], place[:0], place[:0])
-        out.append(as_marks(batch, rid[gd], gs - offsets[gd], ge - offsets[gd]))
-        return pd.concat(out)[columns]
-
-    def as_marks(batch: np.ndarray, rid: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"bucket": -1 - np.asarray(rid) % batches, "h": 0, "batch": batch, "rid": rid, "id": 0, "place": 0, "before": 0, "behind": 0, "context": b"", "start": start, "stop": stop})
-
-    def one_of_each(frame: pd.DataFrame) -> pd.DataFrame:
-        """Of equal suffixes those of the smallest doc_id stay; the others' reach is marked."""
-        rows_, ids = _joined(frame["context"]), frame["id"].to_numpy()
-        order, run, least = least_of_equals(np.hstack([rows_, frame[["before", "behind"]].to_numpy(np.uint8)]), ids)
-        later = ids[order] > least[run]
-        gone, stay = frame.iloc[order[later]], frame.iloc[order[~later]]
-        return pd.concat([stay, as_marks(gone["batch"], gone["rid"], gone["place"] - gone["before"], gone["place"] + K + gone["behind"])])[columns]
-
-    def single_strings(frame: pd.DataFrame) -> pd.DataFrame:
-        """A batch's suffixes cut to strings: one of each stays, at the bucket of its own hash."""
-        give_back()
-        rows_, ids, out = _joined(frame["context"]), frame["id"].to_numpy(), []
-        before, behind = frame["before"].to_numpy(), frame["behind"].to_numpy()
-        for shift in range(side + 1):
-            fit = np.flatnonzero((before >= shift) & (behind >= side - shift))
-            strings = rows_[fit, side - shift : side - shift + length]
-            order, run, least = least_of_equals(strings, ids[fit])
-            later = ids[fit[order]] > least[run]
-            gone, stay = frame.iloc[fit[order[later]]], frame.iloc[fit[order[~later]]]
-            out.append(as_marks(gone["batch"], gone["rid"], gone["place"] - shift, gone["place"] - shift + length))
-            own = strings[order[~later]]
-            out.append(stay.assign(bucket=_row_hash(own) % batches, place=stay["place"] - shift, before=0, behind=0, context=[x.tobytes() for x in own]))
-        return pd.concat(out)[columns]
-
-    def equal_single(frame: pd.DataFrame) -> pd.DataFrame:
-        ids = frame["id"].to_numpy()
-        order, run, least = least_of_equals(_joined(frame["context"]), ids)
-        gone = frame.iloc[order[ids[order] > least[run]]]
-        return pd.DataFrame({"batch": gone["batch"], "rid": gone["rid"], "start": gone["place"], "stop": gone["place"] + length})
-
-    def equal_strings(frame: pd.DataFrame) -> pd.DataFrame:
-        ids, before, behind = frame["id"].to_numpy(), frame["before"].to_numpy(), frame["behind"].to_numpy()
-        rows_ = _joined(frame["context"])
-        place, batch, rid = frame["place"].to_numpy(), frame["batch"].to_numpy(), frame["rid"].to_numpy()
-        marks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        # whole suffixes first: what equals one of a smaller doc_id goes, and one of each kind stays to be compared
-        order, run, least = least_of_equals(np.hstack([rows_, np.column_stack([before, behind]).astype(np.uint8)]), ids)
-        later = order[ids[order] > least[run]]
-        marks.append((later, side - before[later], side + K + behind[later]))
-        left = order[ids[order] == least[run]]
-        _, kind, n = np.unique(frame["h"].to_numpy()[left], return_inverse=True, return_counts=True)
-        left = left[n[kind] > 1]
-        for shift in range(side + 1):  # strings that begin `shift` bytes before the anchor
-            at = left[(before[left] >= shift) & (behind[left] >= side - shift)]
-            if len(at) > 1:
-                order, run, least = least_of_equals(rows_[at, side - shift : side - shift + length], ids[at])
-                later = at[order[ids[at[order]] > least[run]]]
-                marks.append((later, np.full(len(later), side - shift), np.full(len(later), side - shift + length)))
-        who, start, stop = _runs(*(np.concatenate(x) for x in zip(*marks, strict=True)))
-        return as_marks(batch[who], rid[who], place[who] + start - side, place[who] + stop - side)[columns]
+        rid, shared = frame["rid"].to_numpy(np.int64), _keys_of(known, 1)
+        for own, (doc, place, h, low, high) in _slices(data, offsets, ids, _keys_of(known, 0), batches, length):
+            who = own.who
+            at = place[who] - offsets[doc[who]]  # within the document
+            row = rid[doc[who]]
+            suffix, mask = own.gone
+            n, shift = _spread(mask, side)
+            gd, gs, ge = _runs(doc[who[suffix[n]]], at[suffix[n]] - shift, at[suffix[n]] - shift + length)
+            ranges.append(np.column_stack([rid[gd], gs, ge]))
+            # copies of a suffix lose what it has lost here; what it loses elsewhere they hear of later
+            lost = np.zeros(len(who), np.int64)
+            np.bitwise_or.at(lost, suffix, mask)
+            suffix, lead = own.copies
+            n, shift = _spread(lost[lead], side)
+            ranges.append(np.column_stack([row[suffix[n]], at[suffix[n]] - shift, at[suffix[n]] - shift + length]))
+            live = own.mask.copy()
+            hashes = _string_hashes(own.rows[own.alive], length)
+            n, shift = _spread(live, side)
+            alone = ~_found(_key(hashes[n, shift], batches), shared)
+            np.bitwise_and.at(live, n[alone], ~(np.int64(1) << shift[alone]))
+            sent = np.zeros(len(who), np.int64)
+            sent[own.alive] = live
+            suffix, shift, lead_ = own.twins
+            use = (sent[lead_] >> shift & 1) == 1
+            suffix, shift, lead_ = suffix[use], shift[use], lead_[use]
+            twins.append(np.column_stack([row[suffix], at[suffix], np.int64(1) << shift, row[lead_], at[lead_]]))
+            waits = sent != 0
+            waits[suffix] = True
+            use = waits[lead]
+            suffix, lead = own.copies[0][use], lead[use]
+            copies.append(np.column_stack([row[suffix], at[suffix], row[lead], at[lead]]))
+            # strings with half of the sides before the anchor meet by that half, the others by the one behind
+            half = side // 2
+            for part, of in ((_bits(np.int64(half), np.int64(side)), slice(side - half, length)), (_bits(np.int64(0), np.int64(half - 1)), slice(side, length + half))):
+                go = own.alive[(live & part) != 0]
+                items = np.zeros(len(go), _suffix_type(length))
+                items["h"], items["rid"], items["id"], items["place"] = h[who[go]], row[go], ids[doc[who[go]]], at[go]
+                items["mask"], items["text"] = (live & part)[(live & part) != 0], own.rows[go]
+                key = mix64(_row_hash(own.rows[go][:, of]))
+                out.append(_by_bucket(_bucket(key, batches), items, batch).assign(role=_SUFFIX))
+        for role, parts in ((_RANGE, ranges), (_TWIN, twins), (_COPY, copies)):
+            packed = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+            out.append(pd.DataFrame({"bucket": [-1 - batch], "batch": [batch], "role": [role], "packed": [packed.tobytes()]})[: int(packed.size > 0)])
+        return pd.concat(out)[["bucket", "batch", "role", "packed"]]
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
-        """A bucket: of one anchor's suffixes, of equal suffixes, or of marks that are ready."""
-        give_back()
-        bucket = frame["bucket"].iloc[0]
-        return frame if bucket < 0 else equal_strings(frame) if bucket < batches else one_of_each(frame)
-
-    kind = "bucket int, h long, batch int, rid long, id long, place long, before int, behind int, context binary, start long, stop long"
-    range_ = "batch int, rid long, start long, stop long"
-    found = texts.groupBy("batch").cogroup(told.groupBy("batch")).applyInPandas(suffixes, kind)
-    kinds = materialise(found.groupBy("bucket").applyInPandas(meet, kind), "suffix-kinds")
-    # a hot anchor with a single suffix is done; the others' strings are compared one by one
-    many = kinds.where("bucket >= 0").groupBy("h").agg(F.min("context").alias("a"), F.max("context").alias("b")).where("a <> b").select(F.col("h").alias("__h"))
-    cut = kinds.where("bucket >= 0").join(many, F.col("h") == F.col("__h")).drop("__h").groupBy("batch").applyInPandas(single_strings, kind)
-    cut = materialise(cut, "suffix-strings")
-    single = cut.where("bucket >= 0").groupBy("bucket").applyInPandas(equal_single, range_)
-    marked = [x.where("bucket < 0").select("batch", "rid", "start", "stop") for x in (kinds, cut)]
-    return rows, single.union(marked[0]).union(marked[1])
+        own = frame["role"] != _SUFFIX
+        return frame[own][["batch", "role", "packed"]] if own.all() else _meet(frame, length)
+
+    found = texts.groupBy("batch").cogroup(all_known.groupBy("batch")).applyInPandas(suffixes_of, "bucket int, batch int, role int, packed binary")
+    return rows, found.groupBy("bucket").applyInPandas(meet, "batch int, role int, packed binary")
+
+
+def _row_hash(rows: np.ndarray) -> np.ndarray:
+    up, _ = powers(rows.shape[1])
+    return ((rows.astype(np.uint64) + np.uint64(1)) * up).sum(1, dtype=np.uint64)
+
+
+def _merged(key: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys with the union of their masks."""
+    by = np.argsort(key, kind="stable")
+    key, mask = key[by], mask[by]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[first], np.bitwise_or.reduceat(mask, first) if len(first) else mask
+
+
+def _look_up(key: np.ndarray, keys: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    if not len(keys):
+        return np.zeros(len(key), np.int64)
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    return np.where(keys[at] == key, masks[at], 0)
+
+
+def ranges_to_remove(told: pd.DataFrame, row_of: pd.Series, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, stop), merged, from everything that a batch was told; row_of gives the row of a rid."""
+    side = length - anchor_size(length)
+
+    def all_of(role: int, width: int) -> np.ndarray:
+        parts = [np.frombuffer(x, np.int64).reshape(-1, width) for x in told["packed"][told["role"] == role]]
+        return np.concatenate(parts) if parts else np.zeros((0, width), np.int64)
+
+    at = lambda rid, place: (row_of.loc[rid].to_numpy(np.int64) << 40) + place
+    reply, twin, copy, range_ = all_of(_REPLY, 3), all_of(_TWIN, 5), all_of(_COPY, 4), all_of(_RANGE, 3)
+    keys, masks = _merged(at(reply[:, 0], reply[:, 1]), reply[:, 2])
+    bit = _look_up(at(twin[:, 3], twin[:, 4]), keys, masks) & twin[:, 2]
+    keys, masks = _merged(np.concatenate([keys, at(twin[:, 0], twin[:, 1])]), np.concatenate([masks, bit]))
+    more = _look_up(at(copy[:, 2], copy[:, 3]), keys, masks)
+    keys, masks = _merged(np.concatenate([keys, at(copy[:, 0], copy[:, 1])]), np.concatenate([masks, more]))
+    n, shift = _spread(masks, side)
+    place = (keys[n] & ((1 << 40) - 1)) - shift
+    rows = row_of.loc[range_[:, 0]].to_numpy(np.int64)
+    return _runs(np.concatenate([rows, keys[n] >> 40]), np.concatenate([range_[:, 1], place]), np.concatenate([range_[:, 2], place + length]))
+
+
+OUTPUTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept", "text")
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, keep: bool = True, **options: int) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept, text (both null unless keep) and the other columns.
 
     A row for each row of docs. `kept` is what remains of the bytes, `text` the same as text:
-    parts of characters that a cut left are dropped, and a null text stays null.
+    parts of characters that a cut left are dropped, and a null text stays null. Other columns
+    of docs that are called like one of these give way.
     """
-    rows, marks = repeated_spans(docs, length, **options)
+    others = [c for c in docs.columns if c not in ("doc_id", *OUTPUTS)]
+    rows, told = repeated_spans(pack_rest(docs.select("doc_id", "text", *[F.col(f"`{c}`") for c in others]), "doc_id", "text"), length, **options)
 
-    def cut(frame: pd.DataFrame, gone: pd.DataFrame) -> pd.DataFrame:
+    def cut(frame: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         give_back()
         frame = frame.reset_index(drop=True)
-        row = pd.Series(frame.index, index=frame["rid"])
-        d, start, stop = _runs(row.loc[gone["rid"]].to_numpy(np.int64), gone["start"].to_numpy(np.int64), gone["stop"].to_numpy(np.int64))
+        d, start, stop = ranges_to_remove(told, pd.Series(frame.index, index=frame["rid"]), length)
         at = np.searchsorted(d, np.arange(len(frame) + 1))
         out, open_ = [], zstandard.ZstdDecompressor().decompress
         for k, (body, none) in enumerate(zip(map(open_, frame["body"]), frame["none"], strict=True)):
@@ -463,13 +623,12 @@ def remove_repeats(docs: DataFrame, length: int = 50, keep: bool = True, **optio
             rest = b"".join(body[a:b] for a, b in zip([0, *stops], [*starts, len(body)], strict=True))
             spans = [{"start": a, "stop": b} for a, b in zip(starts, stops, strict=True)]
             out.append((len(body), len(body) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), spans, rest if keep else None, rest.decode("utf-8", "ignore") if keep and not none else None))
-        got = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept", "text"])
-        return pd.concat([frame[["rid", "id"]], got], axis=1)
+        got = pd.DataFrame(out, columns=[*OUTPUTS])
+        return pd.concat([frame[["rid", "id", "no_id"]], got], axis=1)
 
-    kind = "rid long, id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, stop: long>>, kept binary, text string"
-    got = rows.select("batch", "rid", "id", "body", "none").groupBy("batch").cogroup(marks.groupBy("batch")).applyInPandas(cut, kind)
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    kind = "rid long, id long, no_id boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, stop: long>>, kept binary, text string"
+    got = rows.select("batch", "rid", "id", "no_id", "body", "none").groupBy("batch").cogroup(told.groupBy("batch")).applyInPandas(cut, kind)
     if others:
-        got = got.join(rows.select(F.col("rid").alias("__rid"), *others), F.col("rid") == F.col("__rid")).drop("__rid")
-    doc_id = F.when(F.col("id") != _NO_ID, F.col("id")).cast(docs.schema["doc_id"].dataType).alias("doc_id")
-    return got.select(doc_id, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept", "text", *others)
+        got = got.join(rows.select(F.col("rid").alias("__rid"), "__rest"), F.col("rid") == F.col("__rid"))
+    doc_id = F.when(~F.col("no_id"), F.col("id")).cast(docs.schema["doc_id"].dataType).alias("doc_id")
+    return got.select(doc_id, *OUTPUTS, *[F.col("__rest")[c].alias(c) for c in others])

@@ -107,22 +107,45 @@ def brute_removal(rows, length=50):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hot", [2000, 1])
-def test_removal(odd_docs, no_docs, hot):
+def test_removal(odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
-    got = remove_repeats(odd_docs.select("doc_id", "text"), hot_anchor=hot).collect()
+    got = remove_repeats(odd_docs)
+    assert {"rid", "batch", "fp", "size"} <= set(got.columns) and {(r.rid, r.batch, r.fp, r.size) for r in got.collect()} == {(5, "b", 6, "s")}
+    got = got.collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute_removal(rows)
     assert remove_repeats(no_docs.select("doc_id", "text")).count() == 0
 
 
-def test_removal_of_shared_pieces(spark):
-    rng = np.random.default_rng(3)
-    bases = ["".join(rng.choice(list("abcd "), 400)) for _ in range(6)]
-    rows = [(int(i), "".join(bases[k][a : a + n] for k, a, n in zip(rng.integers(0, 6, 5), rng.integers(0, 300, 5), rng.integers(10, 120, 5), strict=True))) for i in rng.permutation(120)]
+@pytest.mark.parametrize("letters", ["ab", "abcd "])
+def test_removal_of_shared_pieces(spark, letters):
+    """Passages in any combination, runs of one letter, repeated and null doc_ids, copies with other doc_ids."""
+    rng = np.random.default_rng(len(letters))
+    bases = [*("".join(rng.choice(list(letters), 400)) for _ in range(6)), "a" * 300, "xy" * 150, "\0" * 200]
+    rows = []
+    for i in rng.permutation(120).tolist():
+        text = "".join(bases[k][a : a + n] for k, a, n in zip(rng.integers(0, 9, 6), rng.integers(0, 300, 6), rng.integers(10, 120, 6), strict=True))
+        i = i if i % 17 else (None if i % 2 else 34)
+        rows.append((i, text))
+        if i is not None:
+            rows += [(i, text)] * (i % 11 == 0) + [(i + 1000, text)] * (i % 13 == 0)
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute_removal(rows)
+
+
+def test_a_hot_line_goes_out_once_a_batch(spark):
+    """A line in all of many documents, and a document that repeats it: few suffixes leave a batch."""
+    from pointlake.llm.suffixes import repeated_spans
+
+    line = "this very line stands in each and every document of the corpus, again and again and again"
+    rng = np.random.default_rng(4)
+    noise = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 60))
+    rows = [(i, f"{noise()} {line} {noise()}") for i in range(600)] + [(700, " ".join([line] * 300))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for hot in (2000, 2):
-        got = remove_repeats(docs, hot_anchor=hot).collect()
-        assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute_removal(rows)
+    got = remove_repeats(docs).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute_removal(rows)
+    _, told = repeated_spans(docs.withColumn("__rest", F.struct(F.lit(0).alias("none"))))
+    replies = told.where("role = 1").agg(F.sum(F.length("packed") / 24)).first()[0]
+    assert replies < 8 * 100  # 8 batches, and in each some letters of noise beside the line that repeat; not the 600 documents
 
 
 def test_deep_shallow_sorts():
@@ -166,6 +189,8 @@ def test_simhash(spark, odd_docs, no_docs):
         ids = [i for i, f in fps.items() if find(f) == find(fps[r.doc_id]) and i is not None]
         assert r.component_id == (min(ids) if ids else None)
     assert near_duplicates(no_docs).count() == 0
+    one = near_duplicates(odd_docs.where("doc_id = 1")).collect()
+    assert [(r.doc_id, r.component_id) for r in one] == [(1, 1)]
 
 
 def test_pigeonhole_finds_all_links(spark):
@@ -227,7 +252,7 @@ def best_path(model, text):
 
 
 def test_pieces_take_the_best_path():
-    model = PieceModel.load(PIECE_MODEL)
+    model = PieceModel.load(PIECE_MODEL, paths=True)
     for text in ("the cat sat on the mat", "Unbelievable internationalization!", "a" * 120, "x1y2  z3", "élève 日本 ▁"):
         ids = model.encode(text)
         score, k = 0.0, 0
@@ -280,10 +305,10 @@ def test_classifiers(spark, odd_docs, no_docs, fit, score, label):
 def test_pipeline_stages(spark, odd_docs, no_docs, tmp_path):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 13)], "doc_id long, quality int, toxic int")
     labels.write.parquet(f"file://{tmp_path}/labels.parquet")
-    for docs in (odd_docs, no_docs):
+    for turn, docs in enumerate((odd_docs, no_docs)):
         for name, stage in corpus_pipeline.STAGES:
             made = stage(spark, docs, f"file://{tmp_path}")
-            path = f"file://{tmp_path}/{name}-{docs is no_docs}"
+            path = f"file://{tmp_path}/{name}-{turn}"
             made.write.parquet(path)
             if name != "pieces":
                 assert made.columns == docs.columns
