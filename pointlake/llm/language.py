@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointlake.llm.common import doc_slices, fields, materialise, mix64, text_buffer, uniform
+from pointlake.llm.common import doc_slices, fields, give_back, materialise, mix64, text_buffer, uniform
 
 _TABLES: dict[str, np.ndarray] = {}
 
@@ -198,5 +198,6 @@ def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
         for batch in batches:
             lang, score = model.predict(*text_buffer(batch.column("text")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
+            give_back()
 
     return docs.mapInArrow(run, fields(docs.schema, "lang_pred string, score double"))

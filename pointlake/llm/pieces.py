@@ -33,18 +33,18 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from pointlake.llm.common import doc_slices, fields, text_buffer
+from pointlake.llm.common import doc_slices, fields, give_back, text_buffer
 
 BLANK = "▁"
 _LITERAL = "\udfff"  # stands for U+2581 in a text; no text holds a lone surrogate
 _NEVER = float("-inf")
 _STRETCH = re.compile(" +[^ \n]*|[^ \n]+|\n")
-_MEMO_SIZE = 600_000
+_MEMO_SIZE = 100_000
 _LONG = 32  # a longer stretch is streamed and isn't kept
 _PART = 1 << 20  # characters of a text that are merged at once
 _CUT = re.compile("(?<! ) |\n")  # no piece goes across the place before these
 _NO_PREFIX = b"\x1a\x02\x18\x00"  # at the end of a model file: normalizer_spec.add_dummy_prefix = false
-_SLICE = 1 << 23  # characters of the texts that are looked at together
+_SLICE = 1 << 20  # characters of the texts that are looked at together
 _STEP, _SPREAD, _SLOTS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), 18
 
 
@@ -69,7 +69,8 @@ class PieceModel:
         return self.__dict__ | {"memo": {}, "mergers": []}
 
     @staticmethod
-    def load(path: str) -> PieceModel:
+    def load(path: str, paths: bool = False) -> PieceModel:
+        """The model file's pieces; the tables of the Viterbi only where the model is no BPE model, or with `paths`."""
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces, byte_ids, text_of = {}, [b""] * 256, []
         for i in range(sp.get_piece_size()):
@@ -86,6 +87,11 @@ class PieceModel:
             raise ValueError("the model has no byte pieces")
         low = min(s for s, _ in pieces.values())
         crosses = any(BLANK in p.lstrip(BLANK) or "\n" in p for p in pieces)
+        proto = sp.serialized_model_proto()
+        proto = proto if _is_bpe(proto) else b""
+        if proto and not paths:
+            none = np.zeros(0)
+            return PieceModel({}, byte_ids, text_of, max(map(len, pieces)), 0.0, crosses, none, none, none, proto)
         prefixes = {p[:k]: () for p in pieces for k in range(1, len(p))} | pieces
         scores, keys, ids = np.zeros(len(text_of)), np.zeros(1 << _SLOTS, np.uint64), np.zeros(1 << _SLOTS, np.int32)
         if len(pieces) > 1 << (_SLOTS - 1):
@@ -98,8 +104,7 @@ class PieceModel:
             while keys[slot]:
                 slot = (slot + 1) % (1 << _SLOTS)
             scores[i], keys[slot], ids[slot] = score, h, i
-        proto = sp.serialized_model_proto()
-        return PieceModel(prefixes, byte_ids, text_of, max(map(len, pieces)), low - 10.0, crosses, scores, keys, ids, proto if _is_bpe(proto) else b"")
+        return PieceModel(prefixes, byte_ids, text_of, max(map(len, pieces)), low - 10.0, crosses, scores, keys, ids, proto)
 
     # --- encoding -----------------------------------------------------------------
 
@@ -198,6 +203,11 @@ class PieceModel:
             while j < len(texts) and (j == i or size < _SLICE):
                 size += len(texts[j] or "")
                 j += 1
+            if size > _PART and j == i + 1:  # a very long text: its window is all that is held of its paths
+                long_ = " " + texts[i]
+                out.append(np.frombuffer(b"".join(self.stream(_characters(long_[a : a + _PART]) for a in range(0, len(long_), _PART))), np.int32))
+                i = j
+                continue
             parts = [_STRETCH.findall(" " + x) if x else [] for x in texts[i:j]]
             fresh = {s for p in parts for s in p}.difference(self.memo)
             if len(self.memo) + len(fresh) > _MEMO_SIZE:
@@ -340,13 +350,15 @@ def encode_texts(docs: DataFrame, model: PieceModel, column: str = "ids", check:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for i, j in doc_slices(text_buffer(batch.column("text"))[1]):
+            for i, j in doc_slices(text_buffer(batch.column("text"))[1], 1 << 20):
                 part = batch.slice(i, j - i)
                 texts = part.column("text").to_pylist()
                 ids = own.ids_of(texts)
                 intact = [x is None or own.decode(i) == x for x, i in zip(texts, ids, strict=True)] if check else []
                 cols = [*(part.column(n) for n in names), pa.array(ids, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(intact)] if check else cols, [*names, column, *["intact"] * check])
+                del texts, ids, cols
+                give_back()
 
     return docs.mapInArrow(run, fields(docs.schema, f"`{column}` array<int>" + ", intact boolean" * check, "text"))
 

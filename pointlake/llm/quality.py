@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointlake.llm.common import doc_slices, fields, mix64, prefix_hash, span_hash, text_buffer, word_bounds
+from pointlake.llm.common import doc_slices, fields, give_back, mix64, prefix_hash, span_hash, text_buffer, word_bounds
 from pointlake.llm.sampling import labelled_sample, one_text_each
 
 FEATURES = (
@@ -241,6 +241,7 @@ def quality_features(docs: DataFrame, keep: list[str]) -> DataFrame:
             rest = [batch.column(c) for c in keep]
             flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*rest, flat], [*keep, "features"])
+            give_back()
 
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, fields(docs.select(*keep).schema, "features array<double>"))
 
@@ -265,5 +266,6 @@ def score_quality(docs: DataFrame, model: AdditiveModel, column: str = "score")
         for batch in batches:
             score = model.score(_batch_statistics(batch.column("text")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*names, column])
+            give_back()
 
     return docs.mapInArrow(run, fields(docs.schema, f"`{column}` double"))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointlake.llm.common import doc_slices, fields, materialise, mix64, pack_rest, prefix_hash, span_hash, text_buffer, unpack_rest, word_bounds
+from pointlake.llm.common import doc_slices, fields, give_back, materialise, mix64, pack_rest, prefix_hash, span_hash, text_buffer, unpack_rest, word_bounds
 from pointlake.llm.components import connected_components
 
 _SLICE = 1 << 17  # shingles hashed at once
@@ -67,6 +67,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
         for batch in batches:
             fp = [fingerprint(t.as_py(), words) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp, pa.int64())], [*names, "fp"])
+            give_back()
 
     return docs.mapInArrow(run, fields(docs.schema, "fp long"))
 
@@ -144,7 +145,7 @@ def plan_parts(codes: DataFrame, radius: int = 3, part_counts: tuple[int, ...] =
     """Grouping and thresholds of least estimated work for these distinct codes."""
     n, both = _bit_statistics(codes)
     if n < 2:
-        return Parts(list(range(64)), [(0, 64, radius)])
+        return Parts(list(range(64)), [])  # no pairs, nothing to search
     p = np.diag(both)[:64] / n
     differ = np.clip(2 * p * (1 - p), 1e-9, 1 - 1e-9)
     layouts = {m: _grouped_order(n, both, m) for m in part_counts if m > 1}
@@ -194,6 +195,8 @@ def hamming_links(codes: DataFrame, radius: int = 3, parts: Parts | None = None,
     those within the rest. A pair is made only in the first part that can find it.
     """
     parts = parts or plan_parts(codes, radius)
+    if not parts.cuts:
+        return codes.select(F.col(node).alias("u"), F.col(node).alias("v")).where("u < v")
     probes, entries, earlier, fresh = [], [], [], F.lit(True)
     differing = F.col("fp").bitwiseXOR(F.col("fp2"))
     for k, (at, width, t) in enumerate(parts.cuts):
@@ -329,6 +332,7 @@ def _families(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tuple
             listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(short[filled].ravel()))
             more = [*map(pa.array, keys.view(np.int64).T), listed, *map(pa.array, sketch)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *KEYS, "bands", *SKETCH])
+            give_back()
 
     numbered = docs.withColumn("rid", F.monotonically_increasing_id())
     schema = fields(numbered.schema, "k0 long, k1 long, bands array<int>, " + ", ".join(f"{s} long" for s in SKETCH))
@@ -390,6 +394,7 @@ def _as_similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: floa
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            give_back()
 
     first = texts.select(F.col("rid").alias("__a"), F.col("text").alias("a"))
     second = texts.select(F.col("rid").alias("__b"), F.col("text").alias("b"))

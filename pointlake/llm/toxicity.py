@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointlake.llm.common import doc_slices, fields, mix64, prefix_hash, span_hash, text_buffer, word_bounds
+from pointlake.llm.common import doc_slices, fields, give_back, mix64, prefix_hash, span_hash, text_buffer, word_bounds
 from pointlake.llm.sampling import labelled_sample, one_text_each
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -135,5 +135,6 @@ def score_toxicity(docs: DataFrame, model: SparseLogit, column: str = "score") -
         for batch in batches:
             score = model.score(*text_buffer(batch.column("text")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*names, column])
+            give_back()
 
     return docs.mapInArrow(run, fields(docs.schema, f"`{column}` double"))
