@@ -36,7 +36,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -176,22 +176,32 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return np.concatenate(docs), np.concatenate(places), np.concatenate(hashes)
 
 
-def own_windows(doc: np.ndarray, place: np.ndarray, h: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each anchor the least and the largest shift (place less the window's start) of the windows it stands for.
+def own_windows(
+    of: np.ndarray, doc: np.ndarray, place: np.ndarray, h: np.ndarray, offsets: np.ndarray, length: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Of the anchors numbered `of` the least and largest shift (place less the window's start) of the windows they stand for.
 
     A window belongs to its anchor of least hash, the leftmost of equals, so it counts once.
     """
     side = length - anchor_size(length)
-    low = np.maximum(0, place + length - offsets[doc + 1])
-    high = np.minimum(side, place - offsets[doc])
-    for d in range(1, min(side, len(place) - 1) + 1):
-        gap = place[d:] - place[:-d]
-        near = (gap <= side) & (doc[d:] == doc[:-d])
-        if not near.any():
-            break
-        before, after = near & (h[:-d] <= h[d:]), near & (h[d:] < h[:-d])
-        high[d:][before] = np.minimum(high[d:][before], gap[before] - 1)
-        low[:-d][after] = np.maximum(low[:-d][after], side - gap[after] + 1)
+    low = np.maximum(0, place[of] + length - offsets[doc[of] + 1])
+    high = np.minimum(side, place[of] - offsets[doc[of]])
+    for step in (-1, 1):
+        todo = np.arange(len(of))
+        for d in range(1, side + 1):
+            todo = todo[(of[todo] + step * d >= 0) & (of[todo] + step * d < len(place))]
+            me, other = of[todo], of[todo] + step * d
+            gap = np.abs(place[other] - place[me])
+            near = (gap <= side) & (doc[other] == doc[me])
+            todo, me, other, gap = todo[near], me[near], other[near], gap[near]
+            if not len(todo):
+                break
+            wins = h[other] <= h[me] if step < 0 else h[other] < h[me]
+            if step < 0:
+                high[todo[wins]] = np.minimum(high[todo[wins]], gap[wins] - 1)
+            else:
+                low[todo[wins]] = np.maximum(low[todo[wins]], side - gap[wins] + 1)
+            todo = todo[~wins]  # the nearest one that wins decides
     return low, high
 
 
@@ -205,6 +215,12 @@ def _sliding(values: np.ndarray, span: int, of: np.ufunc) -> np.ndarray:
     return values
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values (by sorting: quicker here than by hashing)."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def _found(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     """Which of x are among the sorted values."""
     if not len(ordered):
@@ -278,6 +294,31 @@ def _batch(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(bodies), np.uint8), offsets, frame["id"].to_numpy(np.int64)
 
 
+def _with_lead(docs: DataFrame) -> DataFrame:
+    """docs and `lead`: the least hash of the text's k-mers that start at some bytes, equal for most near copies."""
+    names, k = docs.columns, 32
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffer(batch.column("text"))
+            lead = np.full(batch.num_rows, np.iinfo(np.uint64).max, np.uint64)
+            for i, j in doc_slices(offsets, 1 << 19):
+                part = data[offsets[i] : offsets[j]]
+                at = np.flatnonzero(part[: max(len(part) - k + 1, 0)] & 7 == 0)
+                doc = i + np.searchsorted(offsets[i + 1 : j + 1] - offsets[i], at, "right")
+                fits = at + k <= offsets[doc + 1] - offsets[i]
+                at, doc = at[fits], doc[fits]
+                prefix = prefix_hash(part)
+                h = mix64((prefix[at + k] - prefix[at]) * powers(len(prefix))[1][at])
+                first = np.flatnonzero(np.diff(doc, prepend=-1))
+                if len(first):
+                    lead[doc[first]] = np.minimum.reduceat(h, first)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lead.view(np.int64))], [*names, "lead"])
+            give_back()
+
+    return docs.mapInArrow(run, fields(docs.schema, "lead long"))
+
+
 def _packed(docs: DataFrame) -> DataFrame:
     """docs with `text` replaced by `body`: the UTF-8 bytes, compressed, so that they travel small."""
     names = [c for c in docs.columns if c != "text"]
@@ -353,18 +394,17 @@ def _compare_within(rows: np.ndarray, who: np.ndarray, h: np.ndarray, ids: np.nd
 def _slices(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, known: np.ndarray, buckets: int, length: int) -> Iterator[tuple[Slice, tuple[np.ndarray, ...]]]:
     """The batch's suffixes whose anchors other places have as well, some anchors at a time.
 
-    With each slice (doc, place, h, low, high) of the anchors. Anchors of one hash stay together.
+    With each slice (doc, place, h) of all anchors. Anchors of one hash stay together.
     """
     doc, place, h = anchors(data, offsets, length)
-    low, high = own_windows(doc, place, h, offsets, length)
-    by = np.argsort(h, kind="stable")
-    again = np.zeros(len(h), bool)
-    if len(h) > 1:
-        same = h[by[1:]] == h[by[:-1]]
-        again[by[1:][same]] = True
-        again[by[:-1][same]] = True
-    hit = (again | _found(_key(h, buckets), known)) & (low <= high)
-    by = by[hit[by]]
+    by = np.argsort(h)
+    again = np.zeros(len(h) + 1, bool)  # of sorted anchors: equal to the one before
+    again[1:-1] = h[by[1:]] == h[by[:-1]]
+    elsewhere = np.zeros(len(h), bool)
+    elsewhere[by] = _found(_key(h[by], buckets), known)
+    by = by[again[:-1] | again[1:] | elsewhere[by]]
+    low, high = own_windows(by, doc, place, h, offsets, length)
+    by, low, high = by[low <= high], low[low <= high], high[low <= high]
     side = length - anchor_size(length)
     padded = np.concatenate([np.zeros(side, np.uint8), data, np.zeros(side, np.uint8)])
     at = 0
@@ -373,14 +413,16 @@ def _slices(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, known: np.nd
         while stop < len(by) and stop < at + 4 * _SLICE and h[by[stop]] == h[by[stop - 1]]:
             stop += 1
         who = by[at:stop]
-        rows = _contexts(padded, place[who], low[who], high[who], length)
-        yield _compare_within(rows, who, h[who], ids[doc[who]], low[who], high[who], length), (doc, place, h, low, high)
+        rows = _contexts(padded, place[who], low[at:stop], high[at:stop], length)
+        own = _compare_within(rows, who, h[who], ids[doc[who]], low[at:stop], high[at:stop], length)
+        go = elsewhere[who[own.alive]]  # a string that another batch has has an anchor there
+        yield replace(own, alive=own.alive[go], mask=own.mask[go]), (doc, place, h)
         at = stop
 
 
 def _by_bucket(at: np.ndarray, values: np.ndarray, batch: int) -> pd.DataFrame:
     """A row for each bucket that gets something."""
-    by = np.argsort(at, kind="stable")
+    by = np.argsort(at)
     at, values = at[by], values[by]
     cut = np.flatnonzero(np.diff(at, prepend=-1))
     packed = [x.tobytes() for x in np.split(values, cut[1:])] if len(cut) else []
@@ -388,7 +430,7 @@ def _by_bucket(at: np.ndarray, values: np.ndarray, batch: int) -> pd.DataFrame:
 
 
 def _hashes_by_bucket(h: np.ndarray, batch: int, buckets: int) -> pd.DataFrame:
-    h = np.unique(h)
+    h = _distinct(h)
     return _by_bucket(_bucket(h, buckets), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), batch)
 
 
@@ -396,8 +438,8 @@ def _seen_twice(frame: pd.DataFrame) -> pd.DataFrame:
     """A bucket of hashes: each batch gets back those of its own that another batch has as well."""
     give_back()
     own = [np.frombuffer(x, np.uint32) for x in frame["packed"]]
-    values, n = np.unique(np.concatenate(own), return_counts=True)
-    shared = values[n > 1]
+    every = np.sort(np.concatenate(own))  # each batch's are distinct
+    shared = _distinct(every[1:][every[1:] == every[:-1]])
     back = pd.DataFrame({"batch": frame["batch"], "bucket": frame["bucket"], "packed": [x[_found(x, shared)].tobytes() for x in own]})
     return back[back["packed"].map(len) > 0]
 
@@ -417,7 +459,7 @@ def _suffix_type(length: int) -> np.dtype:
 def _meet(frame: pd.DataFrame, length: int) -> pd.DataFrame:
     """A bucket of suffixes: what batches have to remove, (rid, place, mask), packed by batch."""
     give_back()
-    own = [np.frombuffer(x, _suffix_type(length)) for x in frame["packed"]]
+    own = [np.frombuffer(zstandard.decompress(x), _suffix_type(length)) for x in frame["packed"]]
     batch = np.repeat(frame["batch"].to_numpy(np.int64), [len(x) for x in own])
     items = np.concatenate(own)
     ids, mask, text = items["id"], items["mask"].copy(), items["text"]
@@ -453,10 +495,19 @@ def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 16 << 2
     side = length - anchor_size(length)
     if not 1 <= side <= 60:
         raise ValueError("length must be 8 bytes or more")
-    total = docs.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))).first()[0] or 0
+    # texts with much in common go to one batch, which then sends what they share once; a group of
+    # such texts that is large for a batch is dealt out over several
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    groups = materialise(_with_lead(docs.select("text")).groupBy("lead").agg(F.sum(size).alias("n")), "passage-groups")
+    total = groups.agg(F.sum("n")).first()[0] or 0
     files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (2 * batch_bytes)))
     batches = 2 * files
-    rows = docs.withColumn("rid", F.monotonically_increasing_id()).withColumn("batch", F.pmod(F.xxhash64("rid"), F.lit(batches)).cast("int"))
+    part = max(1, min(batch_bytes, total // batches) // 8)
+    large = groups.where(F.col("n") > part).select(F.col("lead").alias("__lead"), F.ceil(F.col("n") / part).alias("__parts"))
+    rows = _with_lead(docs.withColumn("rid", F.monotonically_increasing_id()))
+    rows = rows.join(large, F.col("lead") == F.col("__lead"), "left").withColumn("__parts", F.coalesce("__parts", F.lit(1)))
+    rows = rows.withColumn("batch", F.pmod(F.xxhash64("lead", F.pmod(F.xxhash64("rid"), F.col("__parts"))), F.lit(batches)).cast("int"))
+    rows = rows.drop("lead", "__lead", "__parts")
     rows = rows.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("no_id", F.col("doc_id").isNull())
     rows = rows.withColumn("none", F.col("text").isNull()).withColumn("digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
     rows = _packed(rows.drop("doc_id"))
@@ -490,7 +541,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 16 << 2
         out = [np.zeros(0, np.uint64)]
         for own, _ in _slices(*_batch(frame), _keys_of(known, 0), batches, length):
             row, shift = _spread(own.mask, side)
-            out.append(np.unique(_string_hashes(own.rows[own.alive], length)[row, shift]))
+            out.append(_string_hashes(own.rows[own.alive], length)[row, shift])
         return _hashes_by_bucket(np.concatenate(out), batch, batches)
 
     strings = texts.groupBy("batch").cogroup(known.groupBy("batch")).applyInPandas(strings_of, hashes)
@@ -506,7 +557,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 16 << 2
         frame, twins, copies, out = frame[~whole], [], [], []
         data, offsets, ids = _batch(frame)
         rid, shared = frame["rid"].to_numpy(np.int64), _keys_of(known, 1)
-        for own, (doc, place, h, low, high) in _slices(data, offsets, ids, _keys_of(known, 0), batches, length):
+        for own, (doc, place, h) in _slices(data, offsets, ids, _keys_of(known, 0), batches, length):
             who = own.who
             at = place[who] - offsets[doc[who]]  # within the document
             row = rid[doc[who]]
@@ -544,7 +595,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 16 << 2
                 items["h"], items["rid"], items["id"], items["place"] = h[who[go]], row[go], ids[doc[who[go]]], at[go]
                 items["mask"], items["text"] = (live & part)[(live & part) != 0], own.rows[go]
                 key = mix64(_row_hash(own.rows[go][:, of]))
-                out.append(_by_bucket(_bucket(key, batches), items, batch).assign(role=_SUFFIX))
+                sent_ = _by_bucket(_bucket(key, batches), items, batch)
+                out.append(sent_.assign(role=_SUFFIX, packed=[zstandard.compress(x, 1) for x in sent_["packed"]]))
         for role, parts in ((_RANGE, ranges), (_TWIN, twins), (_COPY, copies)):
             packed = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
             out.append(pd.DataFrame({"bucket": [-1 - batch], "batch": [batch], "role": [role], "packed": [packed.tobytes()]})[: int(packed.size > 0)])
