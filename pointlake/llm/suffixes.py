@@ -486,7 +486,7 @@ def _meet(frame: pd.DataFrame, length: int) -> pd.DataFrame:
 _RANGE, _REPLY, _TWIN, _COPY, _SUFFIX = range(5)  # what a packed value is
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 16 << 20) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 16 << 20, least_batches: int = 12) -> tuple[DataFrame, DataFrame]:
     """(the batched rows, what to remove from them) of docs (doc_id, text, and anything in __rest).
 
     The rows have batch, rid, id, no_id, none, body and __rest; the second table, for remove_ranges(), batch, role, packed.
@@ -500,8 +500,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 16 << 2
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
     groups = materialise(_with_lead(docs.select("text")).groupBy("lead").agg(F.sum(size).alias("n")), "passage-groups")
     total = groups.agg(F.sum("n")).first()[0] or 0
-    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (2 * batch_bytes)))
-    batches = 2 * files
+    batches = max(least_batches, -(-total // batch_bytes))  # by the data alone: batches tell each other through as many buckets
+    files = -(-batches // 2)
     part = max(1, min(batch_bytes, total // batches) // 8)
     large = groups.where(F.col("n") > part).select(F.col("lead").alias("__lead"), F.ceil(F.col("n") / part).alias("__parts"))
     rows = _with_lead(docs.withColumn("rid", F.monotonically_increasing_id()))
