@@ -29,7 +29,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointlake.llm.common import doc_slices, fields, give_back, materialise, mix64, pack_rest, prefix_hash, span_hash, text_buffer, unpack_rest, word_bounds
@@ -270,12 +270,9 @@ def _shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
         part = np.where((part >= 65) & (part <= 90), part + np.uint8(32), part)
         starts, ends, first = word_bounds(part, own)
         w = span_hash(prefix_hash(part), starts, ends)
-        step, times, shingle = np.uint64(0x9E3779B97F4A7C15), np.uint64(1), np.zeros(len(w), np.uint64)
-        scaled = []
-        for k in range(words):
+        scaled, shingle = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(words)], np.zeros(len(w), np.uint64)
+        for k, times in enumerate(scaled):
             shingle[: max(len(w) - k, 0)] += w[k:] * times
-            scaled.append(times)
-            times = times * step
         shingle = mix64(shingle)
         for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
             if b - a >= words:
@@ -304,8 +301,9 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     candidate's sets are made again and compared whole. Texts with equal sets are one.
 
     Large families don't become all their pairs: first each text is compared with one leader of
-    its bands, twice, and only texts of a band that are in different components after that are
-    paired, if 256 one-bit minima don't rule it out (by 5.5 standard errors).
+    its bands, twice. Texts of a band that are in different components after that are paired by
+    prefixes of their sets (`_prefix_pairs`), if 256 one-bit minima don't rule it out (by 5.5
+    standard errors).
     """
     marked, group = _families(docs, words, similarity)
     return _with_group(marked, group).select(*docs.columns, "rid", "group")
@@ -357,31 +355,80 @@ def _linked(codes: DataFrame, texts: DataFrame, words: int, similarity: float) -
     other = [F.col(s).alias(f"{s}_2") for s in SKETCH]
     near = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"{s}_2"))) for s in SKETCH), F.lit(0)) <= apart
     links, linked = None, None
-    for turn in range(3):
+
+    def with_own(linked: DataFrame | None) -> DataFrame:
         of = codes.select(F.col("node").alias("__n"), *SKETCH)
         if linked is None:
-            of = of.withColumn("own", F.col("__n"))
-        else:
-            of = of.join(linked, F.col("__n") == F.col("node"), "left").select("__n", *SKETCH, F.coalesce("component", "__n").alias("own"))
-        seen = met.join(of, F.col("node") == F.col("__n")).select("value", "node", "own", *SKETCH)
+            return of.withColumn("own", F.col("__n"))
+        return of.join(linked, F.col("__n") == F.col("node"), "left").select("__n", *SKETCH, F.coalesce("component", "__n").alias("own"))
+
+    for turn in range(2):
+        seen = met.join(with_own(linked), F.col("node") == F.col("__n")).select("value", "node", "own", *SKETCH)
         seen = materialise(seen, "similar-seen")
         mixed = seen.groupBy("value").agg(
             F.min("own").alias("low"), F.max("own").alias("high"), F.min_by(F.struct("node", "own", *SKETCH), F.xxhash64(F.lit(turn), "node")).alias("x")
         ).where("low <> high")
-        if turn < 2:
-            lead = mixed.select(F.col("value").alias("value_2"), F.col("x.node").alias("lead"), F.col("x.own").alias("own_2"), *[F.col(f"x.{s}").alias(f"{s}_2") for s in SKETCH])
-            pairs = seen.join(lead, (F.col("value") == F.col("value_2")) & (F.col("own") != F.col("own_2")) & near)
-            pairs = pairs.groupBy("node").agg(F.min_by("lead", F.xxhash64(F.lit(turn), "lead")).alias("lead")).select(F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v"))
-        else:
-            left = seen.join(mixed.select(F.col("value").alias("__value")), F.col("value") == F.col("__value")).drop("__value")
-            right = left.select(F.col("value").alias("value_2"), F.col("node").alias("node_2"), F.col("own").alias("own_2"), *other)
-            pairs = left.join(right, (F.col("value") == F.col("value_2")) & (F.col("node") < F.col("node_2")) & (F.col("own") != F.col("own_2")) & near)
-            pairs = pairs.select(F.col("node").alias("u"), F.col("node_2").alias("v"))
+        lead = mixed.select(F.col("value").alias("value_2"), F.col("x.node").alias("lead"), F.col("x.own").alias("own_2"), *[F.col(f"x.{s}").alias(f"{s}_2") for s in SKETCH])
+        pairs = seen.join(lead, (F.col("value") == F.col("value_2")) & (F.col("own") != F.col("own_2")) & near)
+        pairs = pairs.groupBy("node").agg(F.min_by("lead", F.xxhash64(F.lit(turn), "lead")).alias("lead")).select(F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v"))
         pairs = materialise(pairs.distinct(), "similar-pairs")
         found = materialise(_as_similar(pairs, texts, words, similarity), "similar-links")
         links = found if links is None else links.union(found)
         linked = materialise(connected_components(links), "similar-linked")
-    return linked
+    seen = met.join(with_own(linked).select("__n", "own"), F.col("node") == F.col("__n"))
+    mixed = seen.groupBy("value").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select(F.col("value").alias("__value"))
+    left = seen.select("value", "node", "own").join(mixed, F.col("value") == F.col("__value")).groupBy("node").agg(F.min("own").alias("own"))
+    pairs = _prefix_pairs(materialise(left, "similar-open"), texts, words, similarity)
+    first, second = codes.select(F.col("node").alias("__u"), *SKETCH), codes.select(F.col("node").alias("__v"), *other)
+    pairs = pairs.join(first, F.col("u") == F.col("__u")).join(second, F.col("v") == F.col("__v")).where(near).select("u", "v")
+    found = materialise(_as_similar(materialise(pairs, "similar-pairs"), texts, words, similarity), "similar-links")
+    return materialise(connected_components(links.union(found)), "similar-linked")
+
+
+def _prefix_pairs(left: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Of the sets of `left` (node, own) all pairs (u, v) of different `own` that can reach the similarity, and few others.
+
+    Prefix and positional filters: in an order of all shingles, two similar sets x and y, y not
+    the larger, have a first common shingle behind which enough is left on both sides, so it is
+    within the first fifth of x and the first ninth of y. In the order those come first that
+    sets of one `own` alone have, then the rare ones. A text that differs by more than a fifth
+    from all others, however many share the rest of it, then meets none.
+    """
+    t, eps = similarity, 1e-9
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(_shingle_sets(batch.column("text"), words))
+            ends = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
+            listed = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("own"), pa.array([len(h) for h in sets], pa.int32()), listed], ["node", "own", "n", "tokens"])
+            give_back()
+
+    sets = texts.join(left, F.col("rid") == F.col("node")).select("node", "own", "text").mapInArrow(run, "node long, own long, n int, tokens array<long>")
+    tokens = materialise(sets.select("node", "own", "n", F.explode("tokens").alias("token")), "similar-tokens")
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f"), F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high")
+    hits = tokens.join(shared.select(F.col("token").alias("__t"), "f"), F.col("token") == F.col("__t"))
+    of = Window.partitionBy("node")
+    at = F.col("n") - F.count(F.lit(1)).over(of) + F.row_number().over(of.orderBy("f", "token")) - 1
+    hits = hits.select("node", "own", "n", "token", at.cast("int").alias("p"))
+    # the largest and the least size of a smaller partner that this place still allows
+    most = F.least(F.col("n").cast("double"), (F.col("n") - F.col("p")) * ((1 + t) / t) - F.col("n") + eps)
+    least = F.col("n") * t - eps
+    step = lambda size: F.floor(F.log(size) / float(np.log(1.1))).cast("int")
+    probe = hits.where(most >= least).withColumn("size", F.explode(F.sequence(step(F.greatest(least, F.lit(1.0)) - eps), step(F.greatest(most, F.lit(1.0)) + eps)))).withColumn("probe", F.lit(True))
+    entry = hits.where(F.col("p") <= F.col("n") - F.col("n") * (2 * t / (1 + t)) + eps).withColumn("size", step(F.col("n").cast("double") + eps)).withColumn("probe", F.lit(False))
+    keyed = materialise(probe.unionByName(entry), "similar-prefixes")
+    # of a key's components the one with the most rows isn't paired with itself
+    owns = keyed.groupBy("token", "size", "own").agg(F.count(F.lit(1)).alias("c")).groupBy("token", "size").agg(F.max_by("own", F.struct("c", "own")).alias("mode"), F.count(F.lit(1)).alias("owns"))
+    owns = owns.where("owns > 1").select(F.col("token").alias("__t"), F.col("size").alias("__s"), "mode")
+    keyed = keyed.join(owns, (F.col("token") == F.col("__t")) & (F.col("size") == F.col("__s"))).withColumn("main", F.col("own") == F.col("mode"))
+    keyed = materialise(keyed.select("token", "size", "probe", "node", "own", "n", "p", "main"), "similar-keyed")
+    x = keyed.where("probe").select("token", "size", *[F.col(c).alias(f"{c}_x") for c in ("node", "own", "n", "p", "main")])
+    y = keyed.where("not probe").select(F.col("token").alias("__t"), F.col("size").alias("__s"), *[F.col(c).alias(f"{c}_y") for c in ("node", "own", "n", "p", "main")])
+    enough = F.least(F.col("n_x") - F.col("p_x"), F.col("n_y") - F.col("p_y")) >= (F.col("n_x") + F.col("n_y")) * (t / (1 + t)) - eps
+    fit = (F.col("token") == F.col("__t")) & (F.col("size") == F.col("__s")) & (F.col("own_x") != F.col("own_y")) & (F.col("n_y") <= F.col("n_x")) & (F.col("n_y") >= F.col("n_x") * t - eps) & enough
+    met = x.where("not main_x").join(y, fit).unionByName(x.where("main_x").join(y.where("not main_y"), fit))
+    return met.select(F.least("node_x", "node_y").alias("u"), F.greatest("node_x", "node_y").alias("v")).distinct()
 
 
 def _as_similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
