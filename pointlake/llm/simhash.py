@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointlake.llm.common import doc_slices, fields, give_back, materialise, mix64, pack_rest, prefix_hash, span_hash, text_buffer, unpack_rest, word_bounds
+from pointlake.llm.common import doc_slices, fields, give_back, materialise, mix64, pack_rest, prefix_hash, span_hash, text_buffer, uniform, unpack_rest, word_bounds
 from pointlake.llm.components import connected_components
 
 _SLICE = 1 << 17  # shingles hashed at once
@@ -343,13 +343,14 @@ def _families(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tuple
     return marked, materialise(group.select(*[f"__{c}" for c in KEYS], F.coalesce("component", at).alias("group")), "similar-groups")
 
 
-def _linked(codes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+def _linked(codes: DataFrame, texts: DataFrame, words: int, similarity: float, turns: int = 3) -> DataFrame:
     """(node, component) of the nodes that are linked to others."""
     entries = codes.select("node", F.posexplode("bands").alias("band", "short"))
     value = F.shiftleft(F.col("band").cast("long"), 32).bitwiseOR(F.col("short").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
     entries = entries.select("node", value.alias("value"))
-    shared = entries.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("value").alias("__value"))
-    met = materialise(entries.join(shared, F.col("value") == F.col("__value")).select("value", "node"), "similar-met")
+    shared = entries.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("value").alias("__value"), "n")
+    met = materialise(entries.join(shared, F.col("value") == F.col("__value")).select("value", "node", "n"), "similar-met")
+    central = met.groupBy("node").agg(F.sum("n").alias("central")).select(F.col("node").alias("__c"), "central")  # a family's base shares the most bands
     wrong = (1 - similarity) / 2  # share of one-bit minima that differ
     apart = int(np.ceil(256 * wrong + 5.5 * np.sqrt(256 * wrong * (1 - wrong))))
     other = [F.col(s).alias(f"{s}_2") for s in SKETCH]
@@ -359,14 +360,16 @@ def _linked(codes: DataFrame, texts: DataFrame, words: int, similarity: float) -
     def with_own(linked: DataFrame | None) -> DataFrame:
         of = codes.select(F.col("node").alias("__n"), *SKETCH)
         if linked is None:
-            return of.withColumn("own", F.col("__n"))
+            return of.withColumn("own", F.col("__n"))  # every set is a component of its own
         return of.join(linked, F.col("__n") == F.col("node"), "left").select("__n", *SKETCH, F.coalesce("component", "__n").alias("own"))
 
-    for turn in range(2):
-        seen = met.join(with_own(linked), F.col("node") == F.col("__n")).select("value", "node", "own", *SKETCH)
+    for turn in range(turns):
+        of = with_own(linked).join(central, F.col("__n") == F.col("__c"))
+        of = of.withColumn("fitness", F.col("central") * (uniform("__n", F.lit(turn)) if turn else 1.0))
+        seen = met.join(of, F.col("node") == F.col("__n")).select("value", "node", "own", "fitness", *SKETCH)
         seen = materialise(seen, "similar-seen")
         mixed = seen.groupBy("value").agg(
-            F.min("own").alias("low"), F.max("own").alias("high"), F.min_by(F.struct("node", "own", *SKETCH), F.xxhash64(F.lit(turn), "node")).alias("x")
+            F.min("own").alias("low"), F.max("own").alias("high"), F.max_by(F.struct("node", "own", *SKETCH), F.struct("fitness", "node")).alias("x")
         ).where("low <> high")
         lead = mixed.select(F.col("value").alias("value_2"), F.col("x.node").alias("lead"), F.col("x.own").alias("own_2"), *[F.col(f"x.{s}").alias(f"{s}_2") for s in SKETCH])
         pairs = seen.join(lead, (F.col("value") == F.col("value_2")) & (F.col("own") != F.col("own_2")) & near)
