@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointlake.llm.common import materialise
+
 
 def usable(vector: Column, kind: str = "double") -> Column:
     """Not null, and no component null, NaN or infinite."""
@@ -29,12 +31,13 @@ def block_join(
 ) -> DataFrame:
     """search(rows of a cell, queries of a chunk that visit the cell) for every such pair that has queries.
 
-    cells has `cell`; queries has `query_id` and `visits` (array of cells). Each cell goes once to
-    each chunk, so that a task holds one cell and one chunk, both of bounded size.
+    cells has `cell`; queries has `query_id` and `visits` (array of cells). A cell goes once to each
+    chunk that asks for it, so that a task holds one cell and one chunk, both of bounded size.
     """
-    spread = cells.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    asked = queries.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int"))
+    asked = materialise(queries.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int")), "asked")
     asked = asked.withColumn("cell", F.explode("visits")).drop("visits")
+    pairs = asked.select(F.col("cell").alias("__cell"), F.col("chunk").alias("__chunk")).distinct()
+    spread = cells.join(pairs, F.col("cell") == F.col("__cell")).select(*cells.columns, F.col("__chunk").alias("chunk"))
 
     def both(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(wanted):

@@ -3,20 +3,20 @@
 Codes are signs of learned rotations: vectors are lengthened by one component so that nearness
 is a matter of angle, centred, and rotated; each rotation is fitted on a bounded sample by
 alternating between codes and the orthogonal map that brings the sample closest to them. A few
-rotations give `bits` bits. Codes are split into substrings of 16 bits, each with its own
-table of postings. A code within Hamming radius r agrees with the query up to r // substrings
-bits in at least one substring; so all postings within that are probed, the whole distance is
-checked, and of every code within r the inner product of the original vectors is computed.
-There is no cap on candidates.
+rotations give `bits` bits. Rows are indexed in cells of a hash of their id, each with its own
+tables: codes are split into substrings of 16 bits, each with a table of postings.
 
-The radius is measured: for a bounded number of sampled queries the true neighbours among all
-rows are found, and it is the distance within which `keep` of them lie. Rows are indexed in
-cells, each with its own tables; chunks of queries visit all cells.
+A code within Hamming radius r agrees with the query up to r // substrings bits in at least one
+substring. A query probes the tables with all masks of so many bits and checks the whole
+distance; the radius grows until enough codes lie within it, and of every code within the
+radius at which they do, the inner product of the original vectors is computed. How many are
+enough is measured: for a bounded number of sampled queries the true neighbours among all rows
+are found, and `keep` of them are among so many nearest codes. It is never fewer than k in a
+cell, so a query gets k rows wherever there are k. There is no cap on candidates.
 
 Edge cases: vectors that are null, zero or hold null, NaN or infinite components take no part;
 a shorter vector counts as filled up with zeros; copies tie and rank by id; a query leaves out
-every row with its id; a query with too few neighbours inside the radius returns what there is,
-unless there are fewer rows than asked for, which are then all returned.
+every row with its id; with fewer candidates than asked for all are returned.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ from pointlake.llm.blocks import best, block_join, stack, top, usable
 from pointlake.llm.common import materialise
 
 _SUB = 16
+_WEIGHT = np.bitwise_count(np.arange(1 << _SUB, dtype=np.uint16))
+_BY_WEIGHT = [np.flatnonzero(_WEIGHT == w).astype(np.uint16) for w in range(_SUB + 1)]
 
 
 @dataclass
@@ -72,9 +74,58 @@ def learn_codes(sample: np.ndarray, longest: float, bits: int = 256, rounds: int
     return codes
 
 
+class Tables:
+    """The postings of a cell: for each substring its values and the rows that have them."""
+
+    def __init__(self, codes: np.ndarray, order: np.ndarray) -> None:
+        self.words, self.postings = codes.view(np.uint64), []
+        for s, (o, sub) in enumerate(zip(order, codes.view(np.uint16).T, strict=True)):
+            values, first = np.unique(sub[o], return_index=True)
+            slot = np.full(1 << _SUB, -1, np.int32)
+            slot[values] = np.arange(len(values))
+            self.postings.append((s, o, values, slot, first, np.diff(np.append(first, len(o)))))
+
+    def _probe(self, query: np.ndarray, level: int, upto: bool) -> np.ndarray:
+        """The rows with a substring that differs in `level` bits (or up to so many), once for each such substring."""
+        out = []
+        masks = _BY_WEIGHT[level]
+        for s, order, values, slot, first, count in self.postings:
+            if upto or len(masks) > len(values):  # fewer values than masks: look at the values
+                weight = np.bitwise_count(values ^ query[s])
+                at = np.flatnonzero(weight <= level if upto else weight == level)
+            else:
+                at = slot[masks ^ query[s]]
+                at = at[at >= 0]
+            begin, size = first[at], count[at]
+            out.append(order[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())])
+        return np.concatenate(out)
+
+    def nearest(self, code: np.ndarray, enough: int, level: int = 0) -> np.ndarray:
+        """All rows within the Hamming radius that holds `enough` of them (all rows if there are fewer).
+
+        Substrings that differ in at most `level` bits give every code within tables * (level + 1) - 1;
+        the level grows from the given one until enough lie within that.
+        """
+        words, subs, tables = code.view(np.uint64), code.view(np.uint16), len(self.postings)
+        far = np.iinfo(np.int64).max
+        distance = np.full(len(self.words), far)
+        upto = level > 0
+        while True:
+            rows = np.unique(self._probe(subs, level, upto))
+            rows = rows[distance[rows] == far]
+            distance[rows] = np.bitwise_count(self.words[rows] ^ words).sum(1, dtype=np.int64)
+            sure = np.flatnonzero(distance < tables * (level + 1))
+            if len(sure) >= enough:
+                radius = np.partition(distance[sure], enough - 1)[enough - 1]
+                return sure[distance[sure] <= radius]
+            if level == _SUB:
+                return np.arange(len(self.words))
+            level, upto = level + 1, False
+
+
 def hamming_top_k(
     rows: DataFrame, is_query: Column, k: int = 20, bits: int = 256, sample_rows: int = 4_000, sample_queries: int = 64,
-    keep: float = 0.97, cell_rows: int = 100_000, least_cells: int = 24, chunk_queries: int = 50_000,
+    keep: float = 0.97, cell_rows: int = 100_000, least_cells: int = 8, chunk_queries: int = 50_000,
 ) -> DataFrame:
     """query_id, rank, vec_id, score (inner product) from rows (vec_id, vector array<float or double>)."""
     vector = F.transform("vector", lambda x: x.cast("double"))
@@ -91,21 +142,30 @@ def hamming_top_k(
     probe_code = codes.of(probe_x)
 
     def truth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each sampled query the batch's nearest rows, and how many codes lie at each distance (as rows without score)."""
         for batch in batches:
             x, ids = stack(pd.Series(batch.column("vector").to_pylist()), width, np.float64), np.array(batch.column("vec_id"))
             scores, own, out = x @ probe_x.T, codes.of(x), []
             for j, qid in enumerate(probe_id):
                 some = np.flatnonzero(ids != qid)
+                d = np.bitwise_count(own ^ probe_code[j]).sum(1, dtype=np.int64)
+                n_at = np.bincount(d[some], minlength=bits + 1)
                 some = some[top(ids[some], scores[some, j], k)]
-                out.append((np.full(len(some), qid), ids[some], scores[some, j], np.bitwise_count(own[some] ^ probe_code[j]).sum(1)))
+                out.append((np.full(len(some) + bits + 1, qid), np.append(ids[some], n_at), np.append(scores[some, j], np.full(bits + 1, np.nan)), np.append(d[some], np.arange(bits + 1))))
             cols = [np.concatenate([o[c] for o in out]) for c in range(4)]
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(cols, (np.int64, np.int64, float, np.int64), strict=True)], ["query_id", "vec_id", "score", "d"])
 
-    near = rows.mapInArrow(truth, "query_id long, vec_id long, score double, d long")
-    far = best(near.select("query_id", F.struct("score", "d").alias("score"), "vec_id"), k).select("score.d").toPandas()["d"]  # k a sampled query
-    radius = int(np.quantile(far, keep, method="higher")) if len(far) and n > k + 1 else bits
+    near = materialise(rows.mapInArrow(truth, "query_id long, vec_id long, score double, d long"), "index-truth")
+    far = best(near.where(~F.isnan("score")).select("query_id", F.struct("score", "d").alias("score"), "vec_id"), k).select("query_id", "score.d").toPandas()  # k a sampled query
+    at = near.where(F.isnan("score")).groupBy("query_id", "d").agg(F.sum("vec_id").alias("n")).toPandas()  # bits + 1 a sampled query
+    at = at.pivot(index="query_id", columns="d", values="n").cumsum(axis=1)
+    ranks = [at.loc[q, d] for q, d in zip(far["query_id"], far["d"], strict=True)]
+    wanted_codes = int(np.quantile(ranks, keep, method="higher")) if ranks else n
+    usual = np.quantile([np.searchsorted(r, min(wanted_codes, r[-1])) for r in at.to_numpy()], 0.1, method="lower") if len(at) else 0
 
     cells = max(least_cells, -(-n // cell_rows))
+    share = wanted_codes / cells  # of the nearest codes, in a cell; and what chance may add
+    enough, first_level = k + int(np.ceil(share + 2 * np.sqrt(share))), int(usual) // (bits // _SUB)
     celled = rows.withColumn("cell", F.pmod(F.xxhash64("vec_id", F.lit(31)), F.lit(cells)).cast("int"))
 
     def index(frame: pd.DataFrame) -> pd.DataFrame:
@@ -126,27 +186,13 @@ def hamming_top_k(
         row = cell.iloc[0]
         ids, x = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"]).reshape(-1, width)
         own = np.frombuffer(row["codes"], np.uint8).reshape(-1, bits // 8)
-        words, subs = own.view(np.uint64), own.view(np.uint16)
-        order = np.frombuffer(row["order"], np.int32).reshape(bits // _SUB, -1)
-        tables = []
-        for s, o in enumerate(order):
-            values, first = np.unique(subs[o, s], return_index=True)
-            tables.append((values, first, np.diff(np.append(first, len(o)))))
+        tables = Tables(own, np.frombuffer(row["order"], np.int32).reshape(bits // _SUB, -1))
         q = stack(wanted["vector"], width, np.float64)
         code = np.ascontiguousarray(codes.of(q))
-        q_words, q_subs = code.view(np.uint64), code.view(np.uint16)
-        each, out = radius // (bits // _SUB), []
+        out = []
         for i, qid in enumerate(wanted["query_id"]):
-            hit = np.zeros(len(ids), bool)
-            for s, (values, first, count) in enumerate(tables):
-                at = np.flatnonzero(np.bitwise_count(values ^ q_subs[i, s]) <= each)
-                if len(at) == len(values):
-                    hit[:] = True
-                    break
-                begin, size = first[at], count[at]
-                hit[order[s][np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())]] = True
-            some = np.flatnonzero(hit)
-            some = some[(np.bitwise_count(words[some] ^ q_words[i]).sum(1) <= radius) & (ids[some] != qid)]
+            some = tables.nearest(code[i], enough, first_level)
+            some = some[ids[some] != qid]
             score = np.einsum("ij,j->i", x[some], q[i])
             keep_ = top(ids[some], score, k)
             out.append((np.full(len(keep_), qid), ids[some][keep_], score[keep_]))

@@ -58,3 +58,32 @@ def test_approximate(spark, vectors):
     hits = [len({round(s, 9) for _, s in got[q]} & {round(s, 9) for _, s in want[q]}) / len({round(s, 9) for _, s in want[q]}) for q in want]
     assert np.mean(hits) >= 0.9
     assert hamming_top_k(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_isolated_queries_find_as_many(spark):
+    """Most rows in one tight cluster, a few far from everything: every query gets k rows, the cluster's and the others'."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=16) + 0.01 * rng.normal(size=(900, 16)), 3 * rng.normal(size=(60, 16))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vector array<double>")
+    asked = (F.col("vec_id") % 9 == 0) | (F.col("vec_id") >= 940)
+    got = hamming_top_k(df, asked, 20, sample_queries=16).groupBy("query_id").count().collect()
+    assert len(got) == sum(i % 9 == 0 or i >= 940 for i in range(960)) and {r["count"] for r in got} == {20}
+    few = hamming_top_k(df.where("vec_id < 7"), F.lit(True), 20).groupBy("query_id").count().collect()
+    assert [r["count"] for r in few] == [6] * 7
+
+
+def test_tables_give_every_code_within_the_radius():
+    from pointlake.llm.hashing_index import Tables
+
+    rng = np.random.default_rng(1)
+    codes = rng.integers(0, 256, (600, 8)).astype(np.uint8)
+    codes[200:300] = codes[0]
+    codes[300:400, :7] = codes[1, :7]
+    order = np.argsort(codes.view(np.uint16), axis=0, kind="stable").T.astype(np.int32)
+    tables = Tables(codes, order)
+    for q in (codes[0], codes[1], codes[599], rng.integers(0, 256, 8).astype(np.uint8)):
+        d = np.bitwise_count(codes ^ q).sum(1)
+        for enough, level in ((1, 0), (5, 0), (150, 0), (150, 3), (600, 0), (700, 0)):
+            got = set(tables.nearest(np.ascontiguousarray(q), enough, level).tolist())
+            radius = np.sort(d)[min(enough, 600) - 1]
+            assert got == set(np.flatnonzero(d <= radius).tolist())
