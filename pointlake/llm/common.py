@@ -85,6 +85,7 @@ def running_rank(
         F.col("__b").alias("__gb"),
         F.coalesce(F.sum("__n").over(before), F.lit(0).cast("long")).alias("__before"),
     )
+    sums = materialise(sums, "rank-sums")  # groups x buckets rows of known size, so that df isn't shuffled to meet them
     match = F.col("__b") == F.col("__gb")
     for i, g in enumerate(group):
         match = match & F.col(g).eqNullSafe(F.col(f"__g{i}"))

@@ -12,7 +12,8 @@ inside one projection. There is no shuffle until slots are counted.
 
 Edge cases: a null doc_id hashes like any value (all such rows go to one shard); rows with
 the same doc_id share a shard; null texts have size 1 and crc32 0, empty ones as well. A hot
-doc_id or shard is no trouble: slots are counted within hash buckets and then added up.
+doc_id or shard is no trouble: slots are counted within buckets of a hash of the row and then
+added up. Only rows that are equal in every column share a bucket for certain.
 """
 
 from __future__ import annotations
@@ -92,10 +93,10 @@ def _draw(key: Column, children: list[tuple[str, float, Column]]) -> Column:
 def shard_rows(docs: DataFrame, tree: ShardTree, key: str = "doc_id", buckets: int = 1024) -> DataFrame:
     """All columns of docs, `shard int`, and `slot long`: gapless from 0 in each shard.
 
-    Slots follow a hash of the key. Each of `buckets` hash ranges of a shard is counted on its
+    Slots follow a hash of the row, so that rows of one key are spread as well. Each of `buckets` hash ranges of a shard is counted on its
     own, so that no task sees a whole shard.
     """
-    spread = F.xxhash64(F.col(key), F.lit("slot"))
+    spread = F.xxhash64(*docs.columns, F.lit("slot"))
     df = docs.withColumn("shard", tree.place(F.col(key)).cast("int")).withColumn("__h", spread)
     width = buckets.bit_length() - 1
     rest = [c for c in docs.columns if c != key]

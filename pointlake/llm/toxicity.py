@@ -3,7 +3,7 @@
 Features of a document are the distinct hashes of its words, of pairs of neighbouring words
 and of pairs with one word skipped between them, case folded (ASCII). Training goes through
 a bounded, hashed sample of labelled rows; each coordinate has its own learning rate, and
-the L1 penalty leaves few weights above zero. The weights are an array of 2**bits floats at
+the L1 penalty leaves few weights above zero, and only those go to the tasks. They are 2**bits at
 most, so their size doesn't depend on the corpus.
 
 Edge cases: null and empty texts have no features and get the score of the bias; without
@@ -57,6 +57,15 @@ class SparseLogit:
     weights: np.ndarray
     base: float
 
+    def __getstate__(self) -> dict:
+        """Only the weights that aren't zero travel."""
+        at = np.flatnonzero(self.weights)
+        return {"bits": self.bits, "base": self.base, "at": at.astype(np.uint32), "kept": self.weights[at]}
+
+    def __setstate__(self, state: dict) -> None:
+        self.bits, self.base, self.weights = state["bits"], state["base"], np.zeros(1 << state["bits"], np.float32)
+        self.weights[state["at"]] = state["kept"]
+
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         logit = np.full(len(offsets) - 1, self.base)
         for i, j in doc_slices(offsets):

@@ -81,6 +81,8 @@ def test_shards(spark, odd_docs, no_docs):
     assert got["shard"].between(0, 7).all() and (got["law"] == "key").all()
     assert got.groupby(got["doc_id"].fillna(-1))["shard"].nunique().max() == 1
     assert shard_documents(no_docs).count() == 0
+    hot = shard_documents(spark.range(3000).select(F.lit(5).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"))).toPandas()
+    assert hot["shard"].nunique() == 1 and sorted(hot["slot"]) == list(range(3000))
     tree = ShardTree.balanced(4).with_shard(4, 2.0)
     heavy = spark.range(6000).select(tree.place(F.col("id")).alias("s")).groupBy("s").count().toPandas().set_index("s")["count"]
     assert 0.28 < heavy[4] / 6000 < 0.39
