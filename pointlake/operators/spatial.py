@@ -75,12 +75,13 @@ def clip_many(points: DataFrame, edges: DataFrame, cell: float) -> DataFrame:
     are then counted, so the join is an equality on the row.
     """
     low, high = F.least("y0", "y1"), F.greatest("y0", "y1")
+    points = points.withColumn("__id", F.monotonically_increasing_id())  # equal points are counted apart
     e = edges.where("y0 <> y1").withColumn("band", F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell))))
     p = points.withColumn("__x", xyz("x")).withColumn("__y", xyz("y")).withColumn("band", F.floor(F.col("__y") / cell))
     at = F.col("x0") + (F.col("__y") - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))
     met = p.join(e, "band").where((F.col("__y") >= low) & (F.col("__y") < high) & (F.col("__x") < at))
     counted = met.groupBy("name", *points.columns).agg(F.count(F.lit(1)).alias("__n"))
-    return counted.where("__n % 2 = 1").select(*points.columns, "name")
+    return counted.where("__n % 2 = 1").drop("__id", "__n").select(*[c for c in points.columns if c != "__id"], "name")
 
 
 def quadtree_cell(points: DataFrame, min_x: float, min_y: float, cell: float, levels: int) -> DataFrame:

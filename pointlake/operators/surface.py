@@ -159,6 +159,15 @@ def _interpolate(xy: np.ndarray, z: np.ndarray, tri: np.ndarray, at: np.ndarray)
     return out
 
 
+def _beyond(xy: np.ndarray, z: np.ndarray, at: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """base with the height of the nearest corner where there is no surface."""
+    out, outside = base.copy(), np.flatnonzero(np.isnan(base))
+    for some in np.array_split(outside, len(outside) // 256 + 1):
+        if len(some) and len(xy):
+            out[some] = z[((at[some][:, None, :] - xy[None, :, :]) ** 2).sum(2).argmin(1)]
+    return out
+
+
 def height_above_ground(points: DataFrame, tile: float, buffer: float, ground_class: int = 2) -> DataFrame:
     """source_file, point_index and height: z above the triangulated ground; null outside of it."""
 
@@ -178,7 +187,7 @@ def classify_ground(points: DataFrame, tile: float, buffer: float, step: float,
     """source_file, point_index and is_ground: the lowest point of each cell of `step` begins a surface that grows.
 
     In each round the points within `offset` of the surface join it, and the surface is made
-    anew. An approximation of bare earth by progressive densification.
+    anew; outside of it the nearest point of the surface counts. An approximation of bare earth by progressive densification.
     """
 
     def grow(frame: pd.DataFrame) -> pd.DataFrame:
@@ -188,7 +197,7 @@ def classify_ground(points: DataFrame, tile: float, buffer: float, step: float,
         ground[f.groupby(cell, sort=False)["z"].idxmin()] = True
         for _ in range(rounds):
             xy, z = _distinct(f[ground])
-            base = _interpolate(xy, z, delaunay(xy), f[["x", "y"]].to_numpy(float))
+            base = _beyond(xy, z, f[["x", "y"]].to_numpy(float), _interpolate(xy, z, delaunay(xy), f[["x", "y"]].to_numpy(float)))
             with np.errstate(invalid="ignore"):
                 more = ground | (np.abs(f["z"].to_numpy(float) - base) <= offset)
             if (more == ground).all():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pointlake.plans import point_cases, surface_cases, tool_cases
+from pointlake.plans import point_cases, surface_cases, tool_cases, workflow_cases
 
-QUERIES = point_cases.QUERIES | tool_cases.QUERIES | surface_cases.QUERIES
-ORACLE_SQL = point_cases.ORACLE_SQL | tool_cases.ORACLE_SQL | surface_cases.ORACLE_SQL
+QUERIES = point_cases.QUERIES | tool_cases.QUERIES | surface_cases.QUERIES | workflow_cases.QUERIES
+ORACLE_SQL = point_cases.ORACLE_SQL | tool_cases.ORACLE_SQL | surface_cases.ORACLE_SQL | workflow_cases.ORACLE_SQL

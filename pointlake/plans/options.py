@@ -31,6 +31,9 @@ SPELLINGS = {
     "drop_X_below": "drop_x_raw_below", "drop_X_above": "drop_x_raw_above",
     "drop_Y_below": "drop_y_raw_below", "drop_Y_above": "drop_y_raw_above",
     "drop_Z_below": "drop_z_raw_below", "drop_Z_above": "drop_z_raw_above", "inside": "inside_rectangle",
+    "set_extended_overlap_flag": "set_overlap_flag", "set_extended_scanner_channel": "set_scanner_channel",
+    "change_extended_classification_from_to": "change_classification_from_to",
+    "scale_rgb": "scale_RGB", "scale_rgb_down": "scale_RGB_down", "scale_rgb_up": "scale_RGB_up",
 }
 
 

@@ -13,24 +13,17 @@ from pointlake.functions import projections as proj
 from pointlake.operators import spatial, surface
 from pointlake.plans.point_cases import X, Y, points_sql
 from pointlake.schema import lineitem_points
-from pointlake.sources import text
+from pointlake.sources import las, text
 from pointlake.streaming import points as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-TILE, BUFFER = 200.0, 40.0
-
-
-def _few(spark: SparkSession, sf: str) -> DataFrame:
-    """Ground points: the lowest of each cell, so that a tile's number of points is bounded by its cells."""
-    from pointlake.operators.cleaning import lasthin
-
-    return lasthin(lineitem_points(spark, sf).where("classification = 2"), 8.0)
+TILE, BUFFER = 200.0, 100.0  # the buffer is as long as the longest edge that rasters keep
 
 
 def _tin(spark: SparkSession, sf: str) -> DataFrame:
-    return surface.tin(_few(spark, sf), TILE, BUFFER)
+    return surface.tin(lineitem_points(spark, sf).where("classification = 2"), TILE, BUFFER)
 
 
 QUERIES["tin"] = _tin
@@ -38,8 +31,8 @@ QUERIES["dem"] = lambda spark, sf: surface.dem(_tin(spark, sf), 10.0)
 QUERIES["hillshade"] = lambda spark, sf: surface.hillshade(_tin(spark, sf)).select("tile_col", "tile_row", "shade")
 QUERIES["contours"] = lambda spark, sf: surface.contours(_tin(spark, sf), 100.0)
 QUERIES["boundary"] = lambda spark, sf: surface.boundary(_tin(spark, sf), 50.0)
-QUERIES["height_above_ground"] = lambda spark, sf: surface.height_above_ground(_few(spark, sf).union(lineitem_points(spark, sf).where("classification = 1").withColumns({"cx": F.lit(0).cast("long"), "cy": F.lit(0).cast("long")})), TILE, BUFFER)
-QUERIES["classify_ground"] = lambda spark, sf: surface.classify_ground(_few(spark, sf), TILE, BUFFER, 40.0, 30.0)
+QUERIES["height_above_ground"] = lambda spark, sf: surface.height_above_ground(lineitem_points(spark, sf), TILE, BUFFER)
+QUERIES["classify_ground"] = lambda spark, sf: surface.classify_ground(lineitem_points(spark, sf), TILE, BUFFER, 40.0, 30.0)
 QUERIES["convex_hull"] = lambda spark, sf: surface.convex_hull(lineitem_points(spark, sf))
 
 
@@ -103,9 +96,9 @@ QUERIES["project_albers"] = _albers
 ORACLE_SQL["project_albers"] = "SELECT count(*) AS n FROM lineitem"
 
 # --- text
-QUERIES["las2txt"] = lambda spark, sf: text.to_text(lineitem_points(spark, sf), "xyzirncuptM0", "comma")
+QUERIES["points_to_text"] = lambda spark, sf: text.to_text(lineitem_points(spark, sf), "xyzirncuptM0", "comma")
 _num = lambda v: f"rtrim(rtrim(printf('%.6f', {v}), '0'), '.')"
-ORACLE_SQL["las2txt"] = points_sql(
+ORACLE_SQL["points_to_text"] = points_sql(
     f"SELECT concat_ws(',', {_num(X)}, {_num(Y)}, {_num('(CAST(zi AS DOUBLE) * CAST(0.01 AS DOUBLE))')}, intensity, return_number, number_of_returns, classification, user_data, point_source_id, coalesce({_num('gps_time')}, '0'), point_index + 1, {_num('attr_0')}) AS value FROM pts"
 )
 
@@ -115,15 +108,32 @@ def _txt_round(spark: SparkSession, sf: str) -> DataFrame:
     return text.from_text(lines, "xyzirnRGB").select("xi", "yi", "zi", "intensity", "return_number", "number_of_returns", "red", "green", "blue")
 
 
-QUERIES["txt2las"] = _txt_round
-ORACLE_SQL["txt2las"] = points_sql("SELECT xi, yi, zi, intensity, return_number, number_of_returns, red, green, blue FROM pts")
+QUERIES["text_to_points"] = _txt_round
+ORACLE_SQL["text_to_points"] = points_sql("SELECT xi, yi, zi, intensity, return_number, number_of_returns, red, green, blue FROM pts")
 QUERIES["files_are_flightlines"] = lambda spark, sf: text.with_file_source_id(lineitem_points(spark, sf), 1).select("source_file", "xi", "point_source_id")
 ORACLE_SQL["files_are_flightlines"] = points_sql("SELECT source_file, xi, CAST(dense_rank() OVER (ORDER BY source_file) AS INT) AS point_source_id FROM pts")
 
 
+# --- files: written and read again
+def _las_again(spark: SparkSession, sf: str) -> DataFrame:
+    las.register(spark)
+    folder = scratch(spark)[0]
+    lineitem_points(spark, sf).write.format("las").mode("append").save(folder)
+    fields = ("xi", "yi", "zi", "intensity", "return_number", "number_of_returns", "scan_direction_flag", "edge_of_flight_line", "classification", "withheld_flag", "user_data", "point_source_id", "gps_time", "red")
+    return spark.read.format("las").load(folder).select(*fields)
+
+
+QUERIES["las_write_read"] = _las_again
+ORACLE_SQL["las_write_read"] = points_sql("""SELECT xi, yi, zi, intensity, return_number, number_of_returns, scan_direction_flag, edge_of_flight_line, classification, withheld_flag, user_data, point_source_id,
+    coalesce(gps_time, 0) AS gps_time, red FROM pts""")
+
 # --- streams: run to the end of what there is
-def _scratch(spark: SparkSession) -> tuple[str, str]:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+def scratch(spark: SparkSession) -> tuple[str, str]:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set, and a cluster shares no other folder")
+        base = f"file://{tempfile.gettempdir()}"
     return f"{base}/stream-{uuid.uuid4().hex}", f"{base}/stream-out-{uuid.uuid4().hex}"
 
 
@@ -131,11 +141,14 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
     return streams.event_stream(spark, f"{sf}/events.parquet")
 
 
-QUERIES["stream_thin_time"] = lambda spark, sf: streams.run_to_end(streams.thin_by_time(_events(spark, sf), "user_id", "1 day"), *_scratch(spark)).select("user_id", "event_id", "n")
-QUERIES["stream_dedupe"] = lambda spark, sf: streams.run_to_end(streams.drop_repeats(_events(spark, sf), ["event_id"]).select("event_id", "user_id"), *_scratch(spark))
+QUERIES["stream_thin_time"] = lambda spark, sf: streams.run_whole(streams.thin_by_time(_events(spark, sf), "user_id", "1 day"), *scratch(spark)).select("user_id", "event_id", "n")
+ORACLE_SQL["stream_thin_time"] = "SELECT user_id, min(struct_pack(t := ts, e := event_id)).e AS event_id, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY user_id, date_trunc('day', ts)"
+QUERIES["stream_dedupe"] = lambda spark, sf: streams.run_to_end(streams.drop_repeats(_events(spark, sf), ["event_id"]).select("event_id", "user_id"), *scratch(spark))
 ORACLE_SQL["stream_dedupe"] = "SELECT event_id, user_id FROM events"
-QUERIES["stream_sessions"] = lambda spark, sf: streams.run_to_end(streams.sessions(_events(spark, sf), "user_id", "6 hours"), *_scratch(spark)).select("user_id", "n")
-QUERIES["stream_counts"] = lambda spark, sf: streams.run_complete(streams.counts_by_window(_events(spark, sf), "1 day", "event_type"), f"counts_{uuid.uuid4().hex}").select("event_type", "n")
+QUERIES["stream_sessions"] = lambda spark, sf: streams.run_whole(streams.sessions(_events(spark, sf), "user_id", "6 hours"), *scratch(spark)).select("user_id", "n")
+ORACLE_SQL["stream_sessions"] = """SELECT user_id, count(*) AS n FROM (SELECT user_id, sum(j) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM
+    (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS j FROM events WHERE ts IS NOT NULL)) GROUP BY user_id, s"""
+QUERIES["stream_counts"] = lambda spark, sf: streams.run_whole(streams.counts_by_window(_events(spark, sf), "1 day", "event_type"), *scratch(spark)).select("event_type", "n")
 ORACLE_SQL["stream_counts"] = "SELECT event_type, count(*) AS n FROM events GROUP BY event_type, date_trunc('day', ts)"
 QUERIES["batch_sessions"] = lambda spark, sf: streams.sessions(spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "6 hours").groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("n"))
 ORACLE_SQL["batch_sessions"] = """SELECT user_id, CAST(sum(j) AS BIGINT) AS sessions, count(*) AS n FROM (SELECT user_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS j FROM events) GROUP BY 1"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pointlake.operators import aggregates, cleaning, flightlines, matching, raster, spatial
 from pointlake.operators.filters import FILTERS, xyz
+from pointlake.operators.transforms import map_values
 from pointlake.plans.point_cases import X, Y, Z, points_sql
 from pointlake.schema import ScaleOffset, lineitem_points
 
@@ -128,10 +129,10 @@ ORACLE_SQL["canopy_plots"] = points_sql(f"""SELECT name, count(*) AS n, max({_up
 # --- cleaning
 _K = "source_file, point_index"
 for _which, _by in (("lowest", "zi"), ("highest", "zi DESC")):
-    _case(f"lasthin_{_which}", lambda p, w=_which: cleaning.lasthin(p, 50.0, w).select("cx", "cy", "zi", "source_file", "point_index"),
+    _case(f"thin_{_which}", lambda p, w=_which: cleaning.thin_by_cell(p, 50.0, w).select("cx", "cy", "zi", "source_file", "point_index"),
           f"""SELECT cx, cy, zi, {_K} FROM (SELECT *, row_number() OVER (PARTITION BY cx, cy ORDER BY {_by}, {_K}) AS k FROM
           (SELECT *, CAST(floor({X} / 50.0 + 0.5) AS BIGINT) AS cx, CAST(floor({Y} / 50.0 + 0.5) AS BIGINT) AS cy FROM pts)) WHERE k = 1""")
-QUERIES["lasthin_random"] = lambda spark, sf: cleaning.lasthin(lineitem_points(spark, sf), 50.0, "random").select("cx", "cy", "zi")
+QUERIES["thin_random"] = lambda spark, sf: cleaning.thin_by_cell(lineitem_points(spark, sf), 50.0, "random").select("cx", "cy", "zi")
 _dup = f"SELECT {_K}, zi FROM (SELECT *, row_number() OVER (PARTITION BY {{on}} ORDER BY {{by}}{_K}) AS k FROM pts) WHERE k {{what}} 1"
 _case("duplicates_xy", lambda p: cleaning.drop_duplicates(p).select("source_file", "point_index", "zi"), _dup.format(on="xi, yi", by="", what="="))
 _case("duplicates_xyz", lambda p: cleaning.drop_duplicates(p, ("xi", "yi", "zi")).select("source_file", "point_index", "zi"), _dup.format(on="xi, yi, zi", by="", what="="))
@@ -179,12 +180,18 @@ _case("return_distance_histogram", lambda p: flightlines.return_distances(p, 10.
 _case("scan_lines", lambda p: flightlines.scan_lines(p).groupBy("source_file").agg(F.max("scan_line").alias("lines")), """SELECT source_file, CAST(sum(c) AS BIGINT) AS lines FROM
     (SELECT source_file, CASE WHEN lag(scan_direction_flag) OVER (PARTITION BY source_file ORDER BY point_index) <> scan_direction_flag THEN 1 ELSE 0 END AS c FROM pts) GROUP BY 1""")
 
+# --- values by a table of pairs
+_PAIRS = [(1, 101), (2, 7), (3, 3), (500, 12), (900, 13)]
+for _name, _c in (("map_user_data", "user_data"), ("map_point_source", "point_source_id"), ("map_intensity", "intensity")):
+    QUERIES[_name] = lambda spark, sf, c=_c: map_values(lineitem_points(spark, sf), c, spark.createDataFrame(_PAIRS, "from int, to int")).select("source_file", "point_index", c)
+    ORACLE_SQL[_name] = points_sql(f"SELECT {_K}, CASE {_c} " + " ".join(f"WHEN {a} THEN {b}" for a, b in _PAIRS) + f" ELSE {_c} END AS {_c} FROM pts")
+
 # --- two inputs
 _case("merge_scales", lambda p: matching.merge((p.where("zi % 2 = 0"), ScaleOffset()), (p.where("zi % 2 = 1"), ScaleOffset((0.1, 0.1, 0.1), (5.0, 0.0, 0.0)))).select("xi", "yi", "zi"),
       "SELECT xi, yi, zi FROM pts WHERE zi % 2 = 0 UNION ALL SELECT xi * 10 + 500, yi * 10, zi * 10 FROM pts WHERE zi % 2 = 1")
 _case("diff_points", lambda p: matching.diff(p, p.withColumn("zi", F.when(F.col("zi") % 10 == 0, F.col("zi") + 1).otherwise(F.col("zi"))).where("zi % 7 <> 0"), ["xi", "yi", "zi"]),
-      f"""WITH b AS (SELECT {_K}, CASE WHEN zi % 10 = 0 THEN zi + 1 ELSE zi END AS z2 FROM pts)
-      SELECT {_K}, CASE WHEN z2 % 7 = 0 THEN 'only left' ELSE 'zi' END AS changed FROM pts JOIN b USING ({_K}) WHERE z2 % 7 = 0 OR z2 <> zi""")
+      f"""WITH b AS (SELECT {_K}, zi, CASE WHEN zi % 10 = 0 THEN zi + 1 ELSE zi END AS z2 FROM pts)
+      SELECT {_K}, CASE WHEN z2 % 7 = 0 THEN 'only left' ELSE 'zi' END AS changed FROM b WHERE z2 % 7 = 0 OR z2 <> zi""")
 _case("diff_rows", lambda p: matching.rows_that_differ(p.select("xi", "zi"), p.where("zi % 50 <> 0").select("xi", "zi")), "SELECT xi, zi, 'left' AS side FROM pts WHERE zi % 50 = 0")
 _case("copy_attributes", lambda p: matching.copy_attributes(p, p.where("classification = 2"), ["user_data", "intensity"]).select("source_file", "point_index", "user_data", "intensity"),
       f"""WITH s AS (SELECT gps_time, return_number, min(struct_pack(u := user_data, i := intensity)) AS v FROM pts WHERE classification = 2 AND gps_time IS NOT NULL GROUP BY 1, 2)

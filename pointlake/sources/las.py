@@ -1,7 +1,7 @@
 """LAS files (1.0 to 1.4, uncompressed): a partitioned reader and a writer as Spark data sources.
 
-The reader looks at each file's header only and cuts its records into ranges, so a large file
-is read by many tasks; records are decoded by one numpy view per range. Files are opened
+The reader looks at each file's header only, leaves out files whose box doesn't meet the option
+`inside`, and cuts the others' records into ranges, so a large file is read by many tasks; records are decoded by one numpy view per range. Files are opened
 through pyarrow's file systems, so the path may be any that those know. Register both with
 `register(spark)`, then spark.read.format("las").load(path), df.write.format("las").save(dir).
 """
@@ -10,12 +10,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 #: The size of each record format without extra bytes.
 RECORD_SIZES = (20, 28, 26, 34, 57, 63, 30, 36, 38, 59, 67)
@@ -54,6 +57,7 @@ def read_header(raw: bytes) -> dict:
     n = lambda at, kind, count=1: np.frombuffer(raw, kind, count, at)
     head = {"minor": raw[25], "offset": int(n(96, "<u4")[0]), "format": raw[104] & 0x3F, "size": int(n(105, "<u2")[0]), "points": int(n(107, "<u4")[0])}
     head |= {"scale": n(131, "<f8", 3).tolist(), "shift": n(155, "<f8", 3).tolist()}
+    head |= dict(zip(("max_x", "min_x", "max_y", "min_y", "max_z", "min_z"), n(179, "<f8", 6).tolist(), strict=True))
     if raw[104] & 0x80:
         raise ValueError("compressed points are not read")
     if head["minor"] >= 4 and len(raw) >= 255:
@@ -103,17 +107,31 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
 class LasReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path, self.each = options["path"], int(options.get("recordsPerPartition", 1_000_000))
+        self.inside = options.get("inside", "")
 
     def partitions(self) -> list[InputPartition]:
         store, path = _open(self.path)
         info = store.get_file_info(path)
         found = [info] if info.is_file else store.get_file_info(fs.FileSelector(path, recursive=True))
-        out = []
-        for f in sorted((f.path for f in found if f.is_file and f.path.lower().endswith(".las"))):
-            with store.open_input_file(f) as file:
-                head = read_header(file.read(375))
-            out += [_Range(f, head, a, min(self.each, head["points"] - a)) for a in range(0, head["points"], self.each)]
-        return out
+        files = sorted(f.path for f in found if f.is_file and f.path.lower().endswith(".las"))
+
+        def head_of(file: str) -> dict:
+            with store.open_input_file(file) as opened:
+                return read_header(opened.read(375))
+
+        with ThreadPoolExecutor(16) as pool:
+            heads = list(pool.map(head_of, files))
+        return [
+            _Range(f, head, a, min(self.each, head["points"] - a))
+            for f, head in zip(files, heads, strict=True) if self.meets(head) for a in range(0, head["points"], self.each)
+        ]
+
+    def meets(self, head: dict) -> bool:
+        """Whether a file's box meets that of the option `inside` (min_x,min_y,max_x,max_y); such files are read, others aren't opened again."""
+        if not self.inside:
+            return True
+        low_x, low_y, high_x, high_y = (float(v) for v in self.inside.split(","))
+        return head["min_x"] <= high_x and head["max_x"] >= low_x and head["min_y"] <= high_y and head["max_y"] >= low_y
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         store, _ = _open(self.path)
@@ -125,32 +143,59 @@ class LasReader(DataSourceReader):
                 yield decode(raw, partition.head, partition.path, a)
 
 
-class LasWriter(DataSourceWriter):
-    """One file of format 3 (1.2) for each partition."""
+@dataclass
+class _Written(WriterCommitMessage):
+    waiting: str
+    final: str
+
+
+class LasWriter(DataSourceArrowWriter):
+    """One file of format 3 (1.2) for each partition, written aside and moved to its name when the job commits."""
 
     def __init__(self, options: dict) -> None:
         self.path = options["path"]
         self.scale = [float(s) for s in options.get("scale", "0.01,0.01,0.01").split(",")]
         self.shift = [float(s) for s in options.get("offset", "0,0,0").split(",")]
 
-    def write(self, iterator: Iterator) -> WriterCommitMessage:
-        kind = record_type(3, RECORD_SIZES[3])
-        parts = []
-        for row in iterator:
-            d = row.asDict()
-            g = lambda c, d=d: int(d.get(c) or 0)
-            ret = g("return_number") & 7 | (g("number_of_returns") & 7) << 3 | (g("scan_direction_flag") & 1) << 6 | (g("edge_of_flight_line") & 1) << 7
-            cls = g("classification") & 31 | (g("synthetic_flag") & 1) << 5 | (g("keypoint_flag") & 1) << 6 | (g("withheld_flag") & 1) << 7
-            parts.append((g("xi"), g("yi"), g("zi"), g("intensity"), ret, cls, g("scan_angle_rank"), g("user_data"), g("point_source_id"),
-                          float(d.get("gps_time") or 0.0), g("red"), g("green"), g("blue")))
-        if parts:
-            store, path = _open(self.path)
-            store.create_dir(path, recursive=True)
-            rows = np.array(parts, kind)
-            with store.open_output_stream(f"{path}/part-{uuid.uuid4().hex}.las") as out:
-                out.write(self.header(rows))
-                out.write(rows.tobytes())
-        return WriterCommitMessage()
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        rows = [self.records(batch) for batch in iterator if batch.num_rows]
+        if not rows:
+            return _Written("", "")
+        store, path = _open(self.path)
+        store.create_dir(path, recursive=True)
+        name = uuid.uuid4().hex
+        with store.open_output_stream(f"{path}/_{name}.waiting") as out:
+            out.write(self.header(np.concatenate(rows)))
+            for part in rows:
+                out.write(part.tobytes())
+        return _Written(f"{path}/_{name}.waiting", f"{path}/part-{name}.las")
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        store, _ = _open(self.path)
+        for m in messages:
+            if m is not None and m.waiting:
+                store.move(m.waiting, m.final)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        store, _ = _open(self.path)
+        for m in messages:
+            if m is not None and m.waiting:
+                store.delete_file(m.waiting)
+
+    @staticmethod
+    def records(batch: pa.RecordBatch) -> np.ndarray:
+        """Records of a batch; columns that it lacks, and nulls, are zero."""
+        names, out = batch.schema.names, np.zeros(batch.num_rows, record_type(3, RECORD_SIZES[3]))
+
+        def get(name: str, kind: type = np.int64) -> np.ndarray:
+            return pc.fill_null(batch.column(name), 0).to_numpy(zero_copy_only=False).astype(kind) if name in names else np.zeros(len(out), kind)
+
+        for field, name in (("X", "xi"), ("Y", "yi"), ("Z", "zi"), ("intensity", "intensity"), ("angle", "scan_angle_rank"), ("user_data", "user_data"), ("source", "point_source_id"), ("red", "red"), ("green", "green"), ("blue", "blue")):
+            out[field] = get(name).astype(out.dtype[field])
+        out["time"] = get("gps_time", float)
+        out["returns"] = get("return_number") & 7 | (get("number_of_returns") & 7) << 3 | (get("scan_direction_flag") & 1) << 6 | (get("edge_of_flight_line") & 1) << 7
+        out["classification"] = get("classification") & 31 | (get("synthetic_flag") & 1) << 5 | (get("keypoint_flag") & 1) << 6 | (get("withheld_flag") & 1) << 7
+        return out
 
     def header(self, rows: np.ndarray) -> bytes:
         raw = bytearray(227)

@@ -38,15 +38,25 @@ def counts_by_window(stream: DataFrame, every: str, by: Column | str, late: str
 
 
 def run_to_end(stream: DataFrame, checkpoint: str, out: str) -> DataFrame:
-    """Writes what the stream holds now to `out` as Parquet and reads it. Rows leave in complete windows;
-    the last ones are within the watermark and stay in the state for the next run."""
+    """Writes the rows of what the stream holds now to `out` as Parquet and reads them: for streams whose rows leave at once."""
     query = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint).option("path", out).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
-def run_complete(stream: DataFrame, name: str) -> DataFrame:
-    """All windows as they stand, from a table in memory: for results that are small by nature."""
-    query = stream.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+def run_whole(stream: DataFrame, checkpoint: str, out: str) -> DataFrame:
+    """Aggregates of everything that the stream holds now, those of windows still open included.
+
+    Complete mode hands on all windows after each batch; every batch writes a table of its own
+    below `out`, and the last one is read. A batch that is run again replaces its own table.
+    """
+    last: list[int] = []
+
+    def keep(table: DataFrame, batch: int) -> None:
+        table.write.mode("overwrite").parquet(f"{out}/{batch}")
+        last[:] = [batch]
+
+    query = stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark = stream.sparkSession
+    return spark.read.schema(stream.schema).parquet(f"{out}/{last[0]}") if last else spark.createDataFrame([], stream.schema)
