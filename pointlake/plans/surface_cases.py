@@ -131,7 +131,7 @@ ORACLE_SQL["las_write_read"] = points_sql("""SELECT xi, yi, zi, intensity, retur
 def scratch(spark: SparkSession) -> tuple[str, str]:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir is not set, and a cluster shares no other folder")
         base = f"file://{tempfile.gettempdir()}"
     return f"{base}/stream-{uuid.uuid4().hex}", f"{base}/stream-out-{uuid.uuid4().hex}"
