@@ -20,11 +20,13 @@ _OWN_DIR: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir.
 
-    Only where that is unset (local tests) a temporary folder of this process is used.
+    Only where that is unset and all is one process (local tests) a temporary folder is used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir is not set, and a cluster shares no other folder")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="pointlake-"))
     return f"file://{_OWN_DIR[0]}"
