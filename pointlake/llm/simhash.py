@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointlake.llm.common import doc_slices, fields, give_back, materialise, mix64, pack_rest, prefix_hash, span_hash, text_buffer, uniform, unpack_rest, word_bounds
+from pointlake.llm.common import doc_slices, fields, give_back, materialise, mix64, pack_rest, prefix_hash, span_hash, text_buffer, unpack_rest, word_bounds
 from pointlake.llm.components import connected_components
 
 _SLICE = 1 << 17  # shingles hashed at once
@@ -301,9 +301,8 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     candidate's sets are made again and compared whole. Texts with equal sets are one.
 
     Large families don't become all their pairs: first each text is compared with one leader of
-    its bands, twice. Texts of a band that are in different components after that are paired by
-    prefixes of their sets (`_prefix_pairs`), if 256 one-bit minima don't rule it out (by 5.5
-    standard errors).
+    its bands. Texts of a band that have no leader in common after that are paired by prefixes of
+    their sets (`_prefix_pairs`), if 256 one-bit minima don't rule it out (by 5.5 standard errors).
     """
     marked, group = _families(docs, words, similarity)
     return _with_group(marked, group).select(*docs.columns, "rid", "group")
@@ -343,49 +342,40 @@ def _families(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tuple
     return marked, materialise(group.select(*[f"__{c}" for c in KEYS], F.coalesce("component", at).alias("group")), "similar-groups")
 
 
-def _linked(codes: DataFrame, texts: DataFrame, words: int, similarity: float, turns: int = 3) -> DataFrame:
+def _linked(codes: DataFrame, texts: DataFrame, words: int, similarity: float, jumps: int = 3) -> DataFrame:
     """(node, component) of the nodes that are linked to others."""
     entries = codes.select("node", F.posexplode("bands").alias("band", "short"))
     value = F.shiftleft(F.col("band").cast("long"), 32).bitwiseOR(F.col("short").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
     entries = entries.select("node", value.alias("value"))
     shared = entries.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("value").alias("__value"), "n")
     met = materialise(entries.join(shared, F.col("value") == F.col("__value")).select("value", "node", "n"), "similar-met")
-    central = met.groupBy("node").agg(F.sum("n").alias("central")).select(F.col("node").alias("__c"), "central")  # a family's base shares the most bands
     wrong = (1 - similarity) / 2  # share of one-bit minima that differ
     apart = int(np.ceil(256 * wrong + 5.5 * np.sqrt(256 * wrong * (1 - wrong))))
     other = [F.col(s).alias(f"{s}_2") for s in SKETCH]
     near = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"{s}_2"))) for s in SKETCH), F.lit(0)) <= apart
-    links, linked = None, None
-
-    def with_own(linked: DataFrame | None) -> DataFrame:
-        of = codes.select(F.col("node").alias("__n"), *SKETCH)
-        if linked is None:
-            return of.withColumn("own", F.col("__n"))  # every set is a component of its own
-        return of.join(linked, F.col("__n") == F.col("node"), "left").select("__n", *SKETCH, F.coalesce("component", "__n").alias("own"))
-
-    for turn in range(turns):
-        of = with_own(linked).join(central, F.col("__n") == F.col("__c"))
-        of = of.withColumn("fitness", F.col("central") * (uniform("__n", F.lit(turn)) if turn else 1.0))
-        seen = met.join(of, F.col("node") == F.col("__n")).select("value", "node", "own", "fitness", *SKETCH)
-        seen = materialise(seen, "similar-seen")
-        mixed = seen.groupBy("value").agg(
-            F.min("own").alias("low"), F.max("own").alias("high"), F.max_by(F.struct("node", "own", *SKETCH), F.struct("fitness", "node")).alias("x")
-        ).where("low <> high")
-        lead = mixed.select(F.col("value").alias("value_2"), F.col("x.node").alias("lead"), F.col("x.own").alias("own_2"), *[F.col(f"x.{s}").alias(f"{s}_2") for s in SKETCH])
-        pairs = seen.join(lead, (F.col("value") == F.col("value_2")) & (F.col("own") != F.col("own_2")) & near)
-        pairs = pairs.groupBy("node").agg(F.min_by("lead", F.xxhash64(F.lit(turn), "lead")).alias("lead")).select(F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v"))
-        pairs = materialise(pairs.distinct(), "similar-pairs")
-        found = materialise(_as_similar(pairs, texts, words, similarity), "similar-links")
-        links = found if links is None else links.union(found)
-        linked = materialise(connected_components(links), "similar-linked")
-    seen = met.join(with_own(linked).select("__n", "own"), F.col("node") == F.col("__n"))
+    # a leader of each band: the text that shares the most bands, as the base of a family does; leaders always share more
+    central = met.groupBy("node").agg(F.sum("n").alias("central")).select(F.col("node").alias("__c"), "central")
+    of = codes.select(F.col("node").alias("__n"), *SKETCH).join(central, F.col("__n") == F.col("__c"))
+    seen = materialise(met.join(of, F.col("node") == F.col("__n")).select("value", "node", "central", *SKETCH), "similar-seen")
+    lead = seen.groupBy("value").agg(F.max(F.struct("central", "node", *SKETCH)).alias("x"))
+    lead = lead.select(F.col("value").alias("value_2"), F.col("x.node").alias("lead"), F.col("x.central").alias("central_2"), *[F.col(f"x.{s}").alias(f"{s}_2") for s in SKETCH])
+    led = seen.join(lead, (F.col("value") == F.col("value_2")) & (F.col("node") != F.col("lead")) & near)
+    led = led.groupBy("node").agg(F.max(F.struct("central_2", "lead")).alias("x")).select(F.col("node").alias("u"), F.col("x.lead").alias("v"))
+    led = materialise(_as_similar(materialise(led, "similar-pairs"), texts, words, similarity), "similar-led")
+    # each text's leader, and that one's, and so on: texts of one `own` are known to be linked
+    own = met.select("node").distinct().withColumn("own", F.col("node"))
+    up = led.select(F.col("u").alias("__u"), F.col("v").alias("__v"))
+    for _ in range(jumps):
+        own = own.join(up, F.col("own") == F.col("__u"), "left").select("node", F.coalesce("__v", "own").alias("own"))
+    own = materialise(own, "similar-own")
+    seen = met.select("value", "node").join(own.select(F.col("node").alias("__n"), "own"), F.col("node") == F.col("__n"))
     mixed = seen.groupBy("value").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select(F.col("value").alias("__value"))
     left = seen.select("value", "node", "own").join(mixed, F.col("value") == F.col("__value")).groupBy("node").agg(F.min("own").alias("own"))
     pairs = _prefix_pairs(materialise(left, "similar-open"), texts, words, similarity)
     first, second = codes.select(F.col("node").alias("__u"), *SKETCH), codes.select(F.col("node").alias("__v"), *other)
     pairs = pairs.join(first, F.col("u") == F.col("__u")).join(second, F.col("v") == F.col("__v")).where(near).select("u", "v")
     found = materialise(_as_similar(materialise(pairs, "similar-pairs"), texts, words, similarity), "similar-links")
-    return materialise(connected_components(links.union(found)), "similar-linked")
+    return materialise(connected_components(led.union(found)), "similar-linked")
 
 
 def _prefix_pairs(left: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
