@@ -1,6 +1,7 @@
 """Map projections as columns: everything stays inside generated code.
 
-Transverse Mercator by Krueger's series to the sixth order, Lambert conformal conic and Albers
+Transverse Mercator by Krueger's series to the third order of the third flattening (the terms left out are
+below a tenth of a millimetre), Lambert conformal conic and Albers
 equal area with two parallels, and earth-centred coordinates. Angles are degrees, lengths metres.
 """
 

@@ -107,13 +107,17 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
 class LasReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path, self.each = options["path"], int(options.get("recordsPerPartition", 1_000_000))
-        self.inside = options.get("inside", "")
+        self.inside, self.listed = options.get("inside", ""), options.get("listed", "")
 
     def partitions(self) -> list[InputPartition]:
         store, path = _open(self.path)
         info = store.get_file_info(path)
         found = [info] if info.is_file else store.get_file_info(fs.FileSelector(path, recursive=True))
         files = sorted(f.path for f in found if f.is_file and f.path.lower().endswith(".las"))
+        if self.listed:  # a text file of names below the path, one a line; a repeated one counts once
+            with store.open_input_file(_open(self.listed)[1]) as names:
+                wanted = {n.strip() for n in names.read().decode().splitlines()}
+            files = [f for f in files if f in wanted or f.removeprefix(path).lstrip("/") in wanted]
 
         def head_of(file: str) -> dict:
             with store.open_input_file(file) as opened:

@@ -27,6 +27,10 @@ def test_las_round_trip_and_box(spark, sf_dir, tmp_path):
     some = spark.read.format("las").option("inside", "0,0,50,1000000").load(str(tmp_path))
     assert some.select("source_file").distinct().count() < files and some.where("xi <= 5000").count() == points.where("xi <= 5000").count()
     assert not list(tmp_path.rglob("*.waiting"))
+    one = sorted(tmp_path.rglob("*.las"))[0]
+    (tmp_path / "list.txt").write_text(f"{one.relative_to(tmp_path)}\n{one}\n")
+    listed = spark.read.format("las").option("listed", f"{tmp_path}/list.txt").load(str(tmp_path)).select("source_file").distinct().collect()
+    assert [r.source_file for r in listed] == [str(one)]
 
 
 def test_las_abort_leaves_nothing(tmp_path):
