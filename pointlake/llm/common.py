@@ -44,9 +44,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    free_shuffles(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of jobs that are done: it learns of them from the driver's garbage collection."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def fields(schema: StructType, more: str, *without: str) -> StructType:
     """The schema without some columns, and more fields as DDL."""
     return StructType([*(f for f in schema.fields if f.name not in without), *StructType.fromDDL(more).fields])
