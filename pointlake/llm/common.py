@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _OWN_DIR: list[str] = []
+_SCRATCH = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,7 +36,40 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if open_ := getattr(_SCRATCH, "open", None):
+        open_[-1].append(path)
+    return path
+
+
+def catalogued(name: str) -> None:
+    """Tell the open scratch of a table in the catalogue."""
+    if open_ := getattr(_SCRATCH, "open", None):
+        open_[-1].append(f"table {name}")
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what the operators called inside wrote to the shared folder, and their tables' names.
+
+    Results are lazy: write what is to stay before the end, to a path not made inside. It's deleted after an error, too.
+    """
+    _SCRATCH.open = [*getattr(_SCRATCH, "open", []), []]
+    try:
+        yield
+    finally:
+        *_SCRATCH.open, made = _SCRATCH.open
+        for x in made:
+            if x.startswith("table "):
+                spark.sql(f"DROP TABLE IF EXISTS {x[6:]}")
+            else:
+                drop_path(spark, x)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder by the file system that its path names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

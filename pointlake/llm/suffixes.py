@@ -45,7 +45,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointlake.llm.common import doc_slices, fields, free_shuffles, give_back, materialise, mix64, pack_rest, powers, prefix_hash, shared_path, text_buffer
+from pointlake.llm.common import catalogued, doc_slices, fields, free_shuffles, give_back, materialise, mix64, pack_rest, powers, prefix_hash, shared_path, text_buffer
 
 _SLICE = 1 << 16  # suffixes that are compared at once
 _NO_ID = np.iinfo(np.int64).max
@@ -513,6 +513,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 16 << 2
     rows = _packed(rows.drop("doc_id"))
     table = f"passages_{uuid.uuid4().hex}"
     rows.repartition(files, "batch").write.bucketBy(files, "batch").option("path", shared_path(spark, "passages")).saveAsTable(table)
+    catalogued(table)
     free_shuffles(spark)
     rows = spark.table(table)
     texts = rows.select("batch", "rid", "id", "body")

@@ -1,5 +1,7 @@
 """What of the training sample comes to the driver."""
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from pointlake.llm.sampling import labelled_sample, one_text_each
@@ -28,3 +30,16 @@ def test_fits_read_one_row_each(spark):
         labels = spark.createDataFrame([(i, i % 2) for i in range(60)], f"doc_id long, {label} int")
         a, b = (sorted(map(tuple, score(once, fit(d, labels)).select("doc_id", "score").collect())) for d in (once, hot))
         assert a == b
+
+
+def test_scratch(spark, odd_docs, tmp_path):
+    from pointlake.llm.common import scratch, shared_dir
+    from pointlake.llm.suffixes import remove_repeats
+
+    here = Path(shared_dir(spark).removeprefix("file://"))
+    before, tables = set(here.iterdir()), {t.name for t in spark.catalog.listTables()}
+    with scratch(spark):
+        remove_repeats(odd_docs, 50).write.parquet(f"file://{tmp_path}/kept")
+        assert set(here.iterdir()) > before
+    assert set(here.iterdir()) == before and {t.name for t in spark.catalog.listTables()} == tables
+    assert spark.read.parquet(f"file://{tmp_path}/kept").count() == odd_docs.count()
