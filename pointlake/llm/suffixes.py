@@ -665,6 +665,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, keep: bool = True, **optio
     """
     others = [c for c in docs.columns if c not in ("doc_id", *OUTPUTS)]
     rows, told = repeated_spans(pack_rest(docs.select("doc_id", "text", *[F.col(f"`{c}`") for c in others]), "doc_id", "text"), length, **options)
+    told = materialise(told, "passage-ranges")  # small; the shuffled strings go before the texts are shuffled
 
     def cut(frame: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         give_back()
