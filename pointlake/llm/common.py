@@ -72,13 +72,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back.
+def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back; to `path`, if one was made before.
 
     This cuts the lineage, survives lost executors, and gives Catalyst the real
     size of the table, so that it broadcasts only what is small enough.
     """
-    path = shared_path(df.sparkSession, name)
+    path = path or shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     free_shuffles(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointlake.llm.common import doc_slices, fields, give_back, materialise, mix64, pack_rest, prefix_hash, span_hash, text_buffer, unpack_rest, word_bounds
+from pointlake.llm.common import doc_slices, fields, give_back, materialise, mix64, pack_rest, prefix_hash, scratch, shared_path, span_hash, text_buffer, unpack_rest, word_bounds
 from pointlake.llm.components import connected_components
 
 _SLICE = 1 << 17  # shingles hashed at once
@@ -334,12 +334,15 @@ def _families(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tuple
     numbered = docs.withColumn("rid", F.monotonically_increasing_id())
     schema = fields(numbered.schema, "k0 long, k1 long, bands array<int>, " + ", ".join(f"{s} long" for s in SKETCH))
     marked = materialise(numbered.mapInArrow(run, schema), "similar-marked")
-    first = F.min(F.struct("rid", "bands", *SKETCH)).alias("x")
-    codes = materialise(marked.groupBy(*KEYS).agg(first).select(*KEYS, F.col("x.rid").alias("node"), "x.bands", *[f"x.{s}" for s in SKETCH]), "similar-codes")
-    linked = _linked(codes, marked.select("rid", "text"), words, similarity)
-    at = F.col("__node")
-    group = codes.select(*[F.col(c).alias(f"__{c}") for c in KEYS], F.col("node").alias("__node")).join(linked, at == F.col("node"), "left")
-    return marked, materialise(group.select(*[f"__{c}" for c in KEYS], F.coalesce("component", at).alias("group")), "similar-groups")
+    stays = shared_path(docs.sparkSession, "similar-groups")
+    with scratch(docs.sparkSession):  # only the groups stay of what follows
+        first = F.min(F.struct("rid", "bands", *SKETCH)).alias("x")
+        codes = materialise(marked.groupBy(*KEYS).agg(first).select(*KEYS, F.col("x.rid").alias("node"), "x.bands", *[f"x.{s}" for s in SKETCH]), "similar-codes")
+        linked = _linked(codes, marked.select("rid", "text"), words, similarity)
+        at = F.col("__node")
+        group = codes.select(*[F.col(c).alias(f"__{c}") for c in KEYS], F.col("node").alias("__node")).join(linked, at == F.col("node"), "left")
+        group = group.select(*[f"__{c}" for c in KEYS], F.coalesce("component", at).alias("group"))
+        return marked, materialise(group, "similar-groups", stays)
 
 
 def _linked(codes: DataFrame, texts: DataFrame, words: int, similarity: float, jumps: int = 3) -> DataFrame:
