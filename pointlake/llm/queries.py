@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointlake.llm.audit import AUDIT_SQL, audit_filters
 from pointlake.llm.blocks import usable
 from pointlake.llm.hashing_index import hamming_top_k
 from pointlake.llm.language import fit_language, predict_language
+from pointlake.llm.licenses import scan_licenses, scan_sql
 from pointlake.llm.mixing import mix
 from pointlake.llm.mtree import exact_top_k
 from pointlake.llm.pieces import PieceModel, encode_texts
@@ -88,6 +90,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"), _read(spark, sf_dir, "labels"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -99,6 +109,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
+    "op11_filter_audit": op11_filter_audit,
+    "op13_license_scan": op13_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_filter_audit": AUDIT_SQL, "op13_license_scan": scan_sql()}
