@@ -19,6 +19,7 @@ from pointlake.llm.quality import ACCEPT_FROM, fit_quality, score_quality
 from pointlake.llm.sampling import fold
 from pointlake.llm.sharding import shard_documents
 from pointlake.llm.simhash import near_duplicates
+from pointlake.llm.spelling import spelling_variants
 from pointlake.llm.suffixes import remove_repeats
 from pointlake.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -94,6 +95,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"), _read(spark, sf_dir, "labels"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -110,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
     "op11_filter_audit": op11_filter_audit,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_license_scan": op13_license_scan,
 }
 
