@@ -31,10 +31,10 @@ def block_join(
 ) -> DataFrame:
     """search(rows of a cell, queries of a chunk that visit the cell) for every such pair that has queries.
 
-    cells has `cell`; queries has `query_id` and `visits` (array of cells). A cell goes once to each
+    cells has `cell`; queries has `q`, a number of its own for each query, and `visits` (array of cells). A cell goes once to each
     chunk that asks for it, so that a task holds one cell and one chunk, both of bounded size.
     """
-    asked = materialise(queries.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int")), "asked")
+    asked = materialise(queries.withColumn("chunk", F.pmod(F.xxhash64("q"), F.lit(chunks)).cast("int")), "asked")
     asked = asked.withColumn("cell", F.explode("visits")).drop("visits")
     pairs = asked.select(F.col("cell").alias("__cell"), F.col("chunk").alias("__chunk")).distinct()
     spread = cells.join(pairs, F.col("cell") == F.col("__cell")).select(*cells.columns, F.col("__chunk").alias("chunk"))
@@ -47,11 +47,17 @@ def block_join(
     return spread.groupBy("cell", "chunk").cogroup(asked.groupBy("cell", "chunk")).applyInPandas(both, schema)
 
 
+def numbered_queries(rows: DataFrame, *more: str) -> DataFrame:
+    """q, query_id, vector (and more columns, given by those two) of rows with vec_id and vector: each distinct pair once, however often it comes."""
+    each = rows.groupBy(F.col("vec_id").alias("query_id"), "vector").agg(*[F.min(c).alias(c) for c in more], F.count(F.lit(1)).alias("__n")).drop("__n")
+    return materialise(each.select(F.monotonically_increasing_id().alias("q"), "query_id", "vector", *more), "queries")
+
+
 def best(found: DataFrame, k: int) -> DataFrame:
-    """query_id, rank (from 1), vec_id and score of each query's k best; ties to the smaller vec_id."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    """q, query_id, rank (from 1), vec_id and score of each query's k best; ties to the smaller vec_id."""
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return ranked.select("q", "query_id", "rank", "vec_id", "score")
 
 
 def top(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:

@@ -16,7 +16,8 @@ cell, so a query gets k rows wherever there are k. There is no cap on candidates
 
 Edge cases: vectors that are null, zero or hold null, NaN or infinite components take no part;
 a shorter vector counts as filled up with zeros; copies tie and rank by id; a query leaves out
-every row with its id; with fewer candidates than asked for all are returned.
+every row with its id; a query row that comes several times is asked once, and one id with
+several vectors asks for each of them, with a list of k for each; with fewer candidates than asked for all are returned.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointlake.llm.blocks import best, block_join, stack, top, usable
+from pointlake.llm.blocks import best, block_join, numbered_queries, stack, top, usable
 from pointlake.llm.common import materialise
 
 _SUB = 16
@@ -146,20 +147,20 @@ def hamming_top_k(
         for batch in batches:
             x, ids = stack(pd.Series(batch.column("vector").to_pylist()), width, np.float64), np.array(batch.column("vec_id"))
             scores, own, out = x @ probe_x.T, codes.of(x), []
-            for j, qid in enumerate(probe_id):
+            for j, qid in enumerate(probe_id):  # a repeated id is as many queries
                 some = np.flatnonzero(ids != qid)
                 d = np.bitwise_count(own ^ probe_code[j]).sum(1, dtype=np.int64)
                 n_at = np.bincount(d[some], minlength=bits + 1)
                 some = some[top(ids[some], scores[some, j], k)]
-                out.append((np.full(len(some) + bits + 1, qid), np.append(ids[some], n_at), np.append(scores[some, j], np.full(bits + 1, np.nan)), np.append(d[some], np.arange(bits + 1))))
+                out.append((np.full(len(some) + bits + 1, j), np.append(ids[some], n_at), np.append(scores[some, j], np.full(bits + 1, np.nan)), np.append(d[some], np.arange(bits + 1))))
             cols = [np.concatenate([o[c] for o in out]) for c in range(4)]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(cols, (np.int64, np.int64, float, np.int64), strict=True)], ["query_id", "vec_id", "score", "d"])
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(cols, (np.int64, np.int64, float, np.int64), strict=True)], ["q", "vec_id", "score", "d"])
 
-    near = materialise(rows.mapInArrow(truth, "query_id long, vec_id long, score double, d long"), "index-truth")
-    far = best(near.where(~F.isnan("score")).select("query_id", F.struct("score", "d").alias("score"), "vec_id"), k).select("query_id", "score.d").toPandas()  # k a sampled query
-    at = near.where(F.isnan("score")).groupBy("query_id", "d").agg(F.sum("vec_id").alias("n")).toPandas()  # bits + 1 a sampled query
-    at = at.pivot(index="query_id", columns="d", values="n").cumsum(axis=1)
-    ranks = [at.loc[q, d] for q, d in zip(far["query_id"], far["d"], strict=True)]
+    near = materialise(rows.mapInArrow(truth, "q long, vec_id long, score double, d long"), "index-truth")
+    far = best(near.where(~F.isnan("score")).select("q", F.lit(0).alias("query_id"), F.struct("score", "d").alias("score"), "vec_id"), k).select("q", "score.d").toPandas()  # k a sampled query
+    at = near.where(F.isnan("score")).groupBy("q", "d").agg(F.sum("vec_id").alias("n")).toPandas()  # bits + 1 a sampled query
+    at = at.pivot(index="q", columns="d", values="n").cumsum(axis=1)
+    ranks = [at.loc[q, d] for q, d in zip(far["q"], far["d"], strict=True)]
     wanted_codes = int(np.quantile(ranks, keep, method="higher")) if ranks else n
     usual = np.quantile([np.searchsorted(r, min(wanted_codes, r[-1])) for r in at.to_numpy()], 0.1, method="lower") if len(at) else 0
 
@@ -190,15 +191,15 @@ def hamming_top_k(
         q = stack(wanted["vector"], width, np.float64)
         code = np.ascontiguousarray(codes.of(q))
         out = []
-        for i, qid in enumerate(wanted["query_id"]):
+        for i, (number, qid) in enumerate(zip(wanted["q"], wanted["query_id"], strict=True)):
             some = tables.nearest(code[i], enough, first_level)
             some = some[ids[some] != qid]
             score = np.einsum("ij,j->i", x[some], q[i])
             keep_ = top(ids[some], score, k)
-            out.append((np.full(len(keep_), qid), ids[some][keep_], score[keep_]))
-        cols = [np.concatenate([o[c] for o in out]) for c in range(3)]
-        return pd.DataFrame({"query_id": cols[0].astype(np.int64), "vec_id": cols[1].astype(np.int64), "score": cols[2].astype(float)})
+            out.append((np.full(len(keep_), number), np.full(len(keep_), qid), ids[some][keep_], score[keep_]))
+        cols = [np.concatenate([o[c] for o in out]) for c in range(4)]
+        return pd.DataFrame({c: cols[i].astype(float if c == "score" else np.int64) for i, c in enumerate(("q", "query_id", "vec_id", "score"))})
 
-    queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "vector", F.sequence(F.lit(0), F.lit(cells - 1)).alias("visits"))
-    found = block_join(table, queries, -(-asked // chunk_queries), search, "query_id long, vec_id long, score double")
-    return best(found, k)
+    queries = numbered_queries(rows.where(is_query)).withColumn("visits", F.sequence(F.lit(0), F.lit(cells - 1)))
+    found = block_join(table, queries, -(-asked // chunk_queries), search, "q long, query_id long, vec_id long, score double")
+    return best(found, k).drop("q")

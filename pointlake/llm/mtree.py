@@ -15,8 +15,10 @@ distances rule out entries by the triangle inequality before any score is comput
 are exact integers; bounds give way by a small slack, so that rounding loses nothing.
 
 Edge cases: vectors that are null or hold null, NaN or infinite components take no part; a
-shorter vector counts as filled up with zeros; copies of a vector rank by id; repeated ids are
-rows of their own, and a query leaves out every row with its id. Sums must stay within 2**53.
+shorter vector counts as filled up with zeros; copies of a vector rank by id; rows with a
+repeated id are candidates of their own, and a query leaves out every row with its id. A query
+row that comes several times is asked once; one id with several vectors asks for each of them, and
+has a list of k for each. Sums must stay within 2**53.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointlake.llm.blocks import best, block_join, stack, top, usable
+from pointlake.llm.blocks import best, block_join, numbered_queries, stack, top, usable
 from pointlake.llm.common import materialise
 
 
@@ -66,7 +68,7 @@ def exact_top_k(
     rows = materialise(rows.where(usable(F.col("vector"))), "mtree-rows")
     norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     n, longest, width, asked = rows.agg(F.count(F.lit(1)), F.max(norm), F.max(F.size("vector")), F.count_if(is_query)).first()
-    schema = "query_id long, vec_id long, score long"
+    schema = "q long, query_id long, vec_id long, score long"
     if not n or not asked:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     width = max(width, 1)
@@ -117,7 +119,7 @@ def exact_top_k(
         parents = [np.frombuffer(p) for p in nodes["parents"]]
         slack = 1e-6 * (1 + np.sqrt(longest))
         out = []
-        for i, (qid, floor) in enumerate(zip(wanted["query_id"], wanted["floor"], strict=True)):
+        for i, (number, qid, floor) in enumerate(zip(wanted["q"], wanted["query_id"], wanted["floor"], strict=True)):
             square = q[i] @ q[i] + longest
             least = np.maximum(to_mid[i] - radius - slack, 0)
             got_ids, got, bar = np.zeros(0, np.int64), np.zeros(0, np.int64), floor
@@ -133,16 +135,16 @@ def exact_top_k(
                     got_ids, got = got_ids[keep], got[keep]
                     if len(got) == k:
                         bar = max(bar, int(got[-1]))
-            out.append((np.full(len(got), qid), got_ids, got))
-        return pd.DataFrame({c: np.concatenate([o[j] for o in out]).astype(np.int64) for j, c in enumerate(("query_id", "vec_id", "score"))})
+            out.append((np.full(len(got), number), np.full(len(got), qid), got_ids, got))
+        return pd.DataFrame({c: np.concatenate([o[j] for o in out]).astype(np.int64) for j, c in enumerate(("q", "query_id", "vec_id", "score"))})
 
-    queries = materialise(routed.where(is_query).select(F.col("vec_id").alias("query_id"), "vector", "route"), "mtree-queries")
+    queries = numbered_queries(routed.where(is_query), "route")
     chunks = -(-asked // chunk_queries)
     none = np.iinfo(np.int64).min
     at_home = F.element_at(F.create_map(*[y for r, (a, m) in first.items() for y in (F.lit(r), F.array(*[F.lit(c) for c in range(a, a + m)]))]), F.col("route"))
-    near = block_join(pages, queries.select("query_id", "vector", F.lit(none).alias("floor"), at_home.alias("visits")), chunks, search, schema)
+    near = block_join(pages, queries.select("q", "query_id", "vector", F.lit(none).alias("floor"), at_home.alias("visits")), chunks, search, schema)
     near = materialise(near, "mtree-near")
-    kth = best(near, k).where(F.col("rank") == k).select(F.col("query_id").alias("__q"), F.col("score").alias("kth"))
+    kth = best(near, k).where(F.col("rank") == k).select(F.col("q").alias("__q"), F.col("score").alias("kth"))
     reach = {r: stats[r][1] for r in first}
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,9 +156,9 @@ def exact_top_k(
             for i, (home, bar) in enumerate(zip(batch.column("route").to_pylist(), batch.column("floor").to_pylist(), strict=True)):
                 bound = {r: (square[i] - max(d[i, r] - reach[r] - slack, 0) ** 2) / 2 + 1 for r in first if r != home}
                 out.append([c for r, b in bound.items() if b >= bar for c in range(first[r][0], sum(first[r]))])
-            cols = [batch.column(c) for c in ("query_id", "vector", "floor")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.list_(pa.int32()))], ["query_id", "vector", "floor", "visits"])
+            cols = [batch.column(c) for c in ("q", "query_id", "vector", "floor")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.list_(pa.int32()))], ["q", "query_id", "vector", "floor", "visits"])
 
-    bounded = queries.join(kth, F.col("query_id") == F.col("__q"), "left").select("query_id", "vector", "route", F.coalesce("kth", F.lit(none)).alias("floor"))
-    onward = bounded.mapInArrow(visits, "query_id long, vector array<long>, floor long, visits array<int>")
-    return best(near.union(block_join(pages, onward, chunks, search, schema)), k)
+    bounded = queries.join(kth, F.col("q") == F.col("__q"), "left").select("q", "query_id", "vector", "route", F.coalesce("kth", F.lit(none)).alias("floor"))
+    onward = bounded.mapInArrow(visits, "q long, query_id long, vector array<long>, floor long, visits array<int>")
+    return best(near.union(block_join(pages, onward, chunks, search, schema)), k).drop("q")

@@ -60,6 +60,27 @@ def test_approximate(spark, vectors):
     assert hamming_top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("search", [exact_top_k, hamming_top_k])
+def test_repeated_query_ids(spark, vectors, search):
+    """A repeated row is asked once; an id with two vectors has a list of k for each; candidates count row by row."""
+    ids, x = vectors
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)]
+    rows += [rows[0]] * 3 + [(10, x[500].tolist())] + [rows[33]]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<long>")
+    all_ids, all_x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    want = []
+    for q, v in {(r[0], tuple(r[1])) for r in rows if r[0] % 10 == 0}:
+        score = all_x @ np.array(v)
+        want.append((q, [float(score[j]) for j in np.lexsort((all_ids, -score)) if all_ids[j] != q][:10]))
+    got = {}
+    for r in search(df, F.col("vec_id") % 10 == 0, 10).collect():
+        got.setdefault(r.query_id, []).append((r.rank, float(r.score)))
+    assert {q: len(v) for q, v in got.items()} == {int(q): 20 if q == 10 else 10 for q in ids[ids % 10 == 0]}
+    if search is exact_top_k:
+        flat = sorted((q, i + 1, s) for q, scores in want for i, s in enumerate(scores))
+        assert sorted((q, *v) for q, vs in got.items() for v in vs) == flat
+
+
 def test_isolated_queries_find_as_many(spark):
     """Most rows in one tight cluster, a few far from everything: every query gets k rows, the cluster's and the others'."""
     rng = np.random.default_rng(3)
