@@ -486,6 +486,10 @@ def _meet(frame: pd.DataFrame, length: int) -> pd.DataFrame:
 _RANGE, _REPLY, _TWIN, _COPY, _SUFFIX = range(5)  # what a packed value is
 
 
+#: What a row counts besides its text.
+ROW_BYTES = 64
+
+
 def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 16 << 20, least_batches: int = 12) -> tuple[DataFrame, DataFrame]:
     """(the batched rows, what to remove from them) of docs (doc_id, text, and anything in __rest).
 
@@ -497,7 +501,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 16 << 2
         raise ValueError("length must be 8 bytes or more")
     # texts with much in common go to one batch, which then sends what they share once; a group of
     # such texts that is large for a batch is dealt out over several
-    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + ROW_BYTES  # so that very many empty texts are dealt out as well
     groups = materialise(_with_lead(docs.select("text")).groupBy("lead").agg(F.sum(size).alias("n")), "passage-groups")
     total = groups.agg(F.sum("n")).first()[0] or 0
     batches = max(least_batches, -(-total // batch_bytes))  # by the data alone: batches tell each other through as many buckets
