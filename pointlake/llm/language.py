@@ -152,8 +152,8 @@ def fit_language(
     """Fit on the rows of docs with a lang for which train holds.
 
     Document frequencies cover all those rows. Weights are fitted on about max_train of them,
-    as many of each language where it has so many; the sample is drawn by a hash of doc_id and
-    only its hashed features come to the driver.
+    as many of each language where it has so many; the sample is drawn by a hash of doc_id (of a
+    repeated one, one text counts) and only its hashed features come to the driver.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.lit(True) if train is None else train))
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_languages + 1).collect()}
@@ -167,7 +167,9 @@ def fit_language(
     share = F.lit(0.0)
     for name, n in sizes.items():
         share = F.when(F.col("lang") == name, F.lit(min(1.0, max_train / len(languages) / n))).otherwise(share)
-    drawn = materialise(rows.where(uniform(F.lit(11), "doc_id") < share).select("doc_id", "lang", "text"), "language-sample")
+    met = rows.where(uniform(F.lit(11), "doc_id") < share).select("doc_id", "lang", "text")
+    one = met.groupBy("doc_id").agg(F.min_by(F.struct("lang", "text"), F.struct(F.xxhash64("text"), "text", "lang")).alias("r"))
+    drawn = materialise(one.select("doc_id", "r.lang", "r.text"), "language-sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,7 +193,8 @@ def fit_language(
 
 
 def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """All columns of docs, lang_pred and score."""
+    """All columns of docs, lang_pred and score; columns of docs that are called so give way."""
+    docs = docs.drop("lang_pred", "score")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -342,8 +342,9 @@ _MODELS: dict[bytes, PieceModel] = {}
 def encode_texts(docs: DataFrame, model: PieceModel, column: str = "ids", check: bool = False) -> DataFrame:
     """All columns of docs but text, `ids array<int>`, and with check `intact boolean`: decoding gives the text.
 
-    A null text has null ids and is intact.
+    A null text has null ids and is intact. Columns of docs that are called like the new ones give way.
     """
+    docs = docs.drop(column, *["intact"] * check)
     names = [c for c in docs.columns if c != "text"]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the vocabulary: its size is the model file's
 
@@ -364,7 +365,8 @@ def encode_texts(docs: DataFrame, model: PieceModel, column: str = "ids", check:
 
 
 def decode_ids(rows: DataFrame, model: PieceModel, column: str = "ids") -> DataFrame:
-    """All columns of rows but `column`, and `text`."""
+    """All columns of rows but `column`, and `text`; another column of that name gives way."""
+    rows = rows.drop("text")
     names = [c for c in rows.columns if c != column]
     shared = rows.sparkSession.sparkContext.broadcast(model)
 

@@ -259,7 +259,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: Column | None = None,
 
 
 def score_quality(docs: DataFrame, model: AdditiveModel, column: str = "score") -> DataFrame:
-    """All columns of docs and the score of the whole text."""
+    """All columns of docs and the score of the whole text; a column of docs that is called like it gives way."""
+    docs = docs.drop(column)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -315,3 +315,56 @@ def test_pipeline_stages(spark, odd_docs, no_docs, tmp_path):
             if name != "pieces":
                 assert made.columns == docs.columns
                 docs = spark.read.parquet(path)
+
+
+def test_old_columns_give_way(spark, odd_docs):
+    """The new columns' names may be in use already."""
+    clash = odd_docs.withColumns({"ids": F.lit("old"), "intact": F.lit("old"), "lang_pred": F.lit(1), "score": F.lit("old")})
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 13)], "doc_id long, quality int, toxic int")
+    lang = predict_language(clash, fit_language(clash))
+    assert dict(lang.dtypes)["lang_pred"] == "string" and {r.doc_id: r.lang_pred for r in lang.collect()}[4] == "und"
+    for df in (score_toxicity(clash, fit_toxicity(clash, labels)), score_quality(clash, fit_quality(clash, labels)), lang):
+        assert df.columns.count("score") == 1 and all(0 <= r.score <= 1 for r in df.collect())
+    pieces = encode_texts(clash, PieceModel.load(PIECE_MODEL), check=True)
+    assert len(set(pieces.columns)) == len(pieces.columns) and all(r.intact is True for r in pieces.collect())
+    back = decode_ids(pieces.withColumn("text", F.lit(0)), PieceModel.load(PIECE_MODEL))
+    assert sorted(map(str, (r.text for r in back.collect()))) == sorted(map(str, (r.text for r in odd_docs.collect())))
+
+
+def test_language_sample_of_a_hot_id(spark):
+    """A third of all rows on one doc_id is one text of the sample."""
+    texts = {"en": "the quick brown fox and the lazy dog", "de": "der schnelle braune Fuchs und der faule Hund"}
+    rows = [(i, f"{texts[la]} {i}", la) for i in range(300) for la in texts]
+    rows = [(2 * i + (la == "de"), t, la) for i, t, la in rows] + [(1_000_000, f"zzz qqq xxx {i}", "en") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = predict_language(docs, fit_language(docs, max_train=200)).where("doc_id < 1000000")
+    assert got.where("lang_pred <> lang").count() == 0
+
+
+def test_blank_texts_are_dealt_out(spark):
+    """Three quarters of the rows are empty: no batch holds most of them."""
+    from pointlake.llm.common import pack_rest
+    from pointlake.llm.suffixes import repeated_spans
+
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 == 0, F.concat(F.lit("text number "), F.col("id").cast("string"))).otherwise("").alias("text"))
+    rows, _ = repeated_spans(pack_rest(docs, "doc_id", "text"), 50)
+    sizes = [r["count"] for r in rows.groupBy("batch").count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 1000
+    assert remove_repeats(docs).where("n_removed > 0").count() == 0
+
+
+def test_held_out_accuracy(spark):
+    """On the driver's tables, rows that no model has seen."""
+    from pointlake.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), spark.read.parquet(f"{sf}/labels.parquet")
+    lang = QUERIES["op8_language_id"](spark, sf).where("held_out").join(docs.where("lang IS NOT NULL"), "doc_id").toPandas()
+    assert len(lang) > 100 and (lang["lang"] == lang["lang_pred"]).mean() >= 0.97
+
+    def auc(name, label):
+        f = QUERIES[name](spark, sf).where("held_out").join(labels.select("doc_id", F.col(label).alias("y")), "doc_id").toPandas()
+        good, bad = f["score"][f["y"] == 1].to_numpy(), f["score"][f["y"] == 0].to_numpy()
+        return (good[:, None] > bad[None, :]).mean() + (good[:, None] == bad[None, :]).mean() / 2
+
+    assert auc("op9_toxicity", "toxic") >= 0.9 and auc("op10_quality", "quality") >= 0.95
