@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pointlake.plans import point_cases, surface_cases, tool_cases, workflow_cases
+from pointlake.plans import file_cases, point_cases, surface_cases, tool_cases, workflow_cases
 
-QUERIES = point_cases.QUERIES | tool_cases.QUERIES | surface_cases.QUERIES | workflow_cases.QUERIES
-ORACLE_SQL = point_cases.ORACLE_SQL | tool_cases.ORACLE_SQL | surface_cases.ORACLE_SQL | workflow_cases.ORACLE_SQL
+_CASES = (point_cases, tool_cases, surface_cases, workflow_cases, file_cases)
+QUERIES = {name: query for cases in _CASES for name, query in cases.QUERIES.items()}
+ORACLE_SQL = {name: sql for cases in _CASES for name, sql in cases.ORACLE_SQL.items()}

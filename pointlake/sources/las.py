@@ -1,24 +1,44 @@
-"""LAS files (1.0 to 1.4, uncompressed): a partitioned reader and a writer as Spark data sources.
-
-The reader looks at each file's header only, leaves out files whose box doesn't meet the option
-`inside`, and cuts the others' records into ranges, so a large file is read by many tasks; records are decoded by one numpy view per range. Files are opened
-through pyarrow's file systems, so the path may be any that those know. Register both with
+"""LAS files (1.0 to 1.4, uncompressed): a partitioned reader, a table of headers, and a writer, as Spark data sources.
+
+Every file has its own scaling. All operators count in one (`schema.DEFAULT_SCALE`), so the reader
+brings xi, yi and zi to it, whatever mixture of scales and offsets a folder holds; x, y and z keep
+the file's own precision, and with the option `scaling` each row brings its file's scale and offset.
+
+The driver looks at headers only, leaves out files whose box doesn't meet the bounds, and cuts the
+others' records into ranges, so a large file is read by many tasks. Bounds are those of the
+option `inside` and those that Spark pushes down: comparisons of x, y and z with constants. A
+task then reads, of files that have an index beside them (`write_index`), only the ranges of
+records whose cells meet the bounds. Records are decoded by one numpy view a range. Files are
+opened through pyarrow's file systems, so the path may be any that those know. Register all with
 `register(spark)`, then spark.read.format("las").load(path), df.write.format("las").save(dir).
 """
 
 from __future__ import annotations
 
+import io
+import re
+import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import (
+    DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition,
+    LessThan, LessThanOrEqual, WriterCommitMessage,
+)
+
+from pointlake.operators.index import Quadtree, limit_intervals
+from pointlake.operators.spatial import index_intervals
+from pointlake.schema import DEFAULT_SCALE
 
 #: The size of each record format without extra bytes.
 RECORD_SIZES = (20, 28, 26, 34, 57, 63, 30, 36, 38, 59, 67)
@@ -26,17 +46,50 @@ RECORD_SIZES = (20, 28, 26, 34, 57, 63, 30, 36, 38, 59, 67)
 WITH_TIME = (1, 3, 4, 5, 6, 7, 8, 9, 10)
 WITH_COLOUR = (2, 3, 5, 7, 8, 10)
 WITH_NIR = (8, 10)
+WITH_WAVE = (4, 5, 9, 10)
 EXTENDED = (6, 7, 8, 9, 10)
-
-SCHEMA = (
-    "source_file string, point_index long, xi int, yi int, zi int, x double, y double, z double, intensity int, return_number int, "
-    "number_of_returns int, scan_direction_flag int, edge_of_flight_line int, classification int, synthetic_flag int, keypoint_flag int, "
-    "withheld_flag int, overlap_flag int, scanner_channel int, ext_classification int, scan_angle_rank int, user_data int, "
-    "point_source_id int, gps_time double, red int, green int, blue int, nir int"
-)
-
-
-def record_type(format_: int, size: int) -> np.dtype:
+#: Types of extra attributes, by their number.
+EXTRA_TYPES = {1: "u1", 2: "i1", 3: "<u2", 4: "<i2", 5: "<u4", 6: "<i4", 7: "<u8", 8: "<i8", 9: "<f4", 10: "<f8"}
+#: The attributes that hold what formats below 6 can't.
+COMPATIBLE = (
+    ("LAS 1.4 scan angle", 4), ("LAS 1.4 extended returns", 1), ("LAS 1.4 classification", 1),
+    ("LAS 1.4 flags and channel", 1), ("LAS 1.4 NIR band", 3),
+)
+#: Fixed value: degrees a step of an extended scan angle.
+ANGLE_STEP = 0.006
+ATTRIBUTES = 5
+
+COLUMNS = {
+    "source_file": "string", "point_index": "long", "xi": "int", "yi": "int", "zi": "int", "x": "double", "y": "double", "z": "double",
+    "intensity": "int", "return_number": "int", "number_of_returns": "int", "scan_direction_flag": "int", "edge_of_flight_line": "int",
+    "classification": "int", "synthetic_flag": "int", "keypoint_flag": "int", "withheld_flag": "int", "overlap_flag": "int",
+    "scanner_channel": "int", "ext_classification": "int", "ext_return_number": "int", "ext_number_of_returns": "int",
+    "scan_angle_rank": "int", "scan_angle": "double", "user_data": "int", "point_source_id": "int", "gps_time": "double",
+    "red": "int", "green": "int", "blue": "int", "nir": "int", "wave_index": "int", "wave_offset": "long", "wave_size": "int",
+    "wave_location": "double", "wave_xt": "double", "wave_yt": "double", "wave_zt": "double",
+    **{f"attr_{k}": "double" for k in range(ATTRIBUTES)},
+}
+SCALING = {f"{kind}_{a}": "double" for kind in ("scale", "offset") for a in "xyz"}
+_ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+
+
+@dataclass(frozen=True)
+class Attribute:
+    """An extra attribute of a record: its value is stored * scale + shift, and null where it equals none."""
+
+    name: str
+    type: int
+    at: int
+    scale: float = 1.0
+    shift: float = 0.0
+    none: float | None = None
+
+    def values(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        value = raw.astype(float) * self.scale + self.shift
+        return value, None if self.none is None else raw == raw.dtype.type(self.none)
+
+
+def record_type(format_: int, size: int, extra: tuple[Attribute, ...] = ()) -> np.dtype:
     """The numpy type of a record; what is behind the known fields is skipped."""
     fields: list[tuple] = [("X", "<i4"), ("Y", "<i4"), ("Z", "<i4"), ("intensity", "<u2")]
     if format_ in EXTENDED:
@@ -46,193 +99,496 @@ def record_type(format_: int, size: int) -> np.dtype:
         fields += [("time", "<f8")] * (format_ in WITH_TIME)
     fields += [(c, "<u2") for c in ("red", "green", "blue")] * (format_ in WITH_COLOUR)
     fields += [("nir", "<u2")] * (format_ in WITH_NIR)
-    rest = size - np.dtype(fields).itemsize
-    return np.dtype([*fields, ("rest", f"V{rest}")] if rest else fields)
+    if format_ in WITH_WAVE:
+        fields += [("wave_index", "u1"), ("wave_offset", "<u8"), ("wave_size", "<u4"), ("wave_location", "<f4"), ("wave_xt", "<f4"), ("wave_yt", "<f4"), ("wave_zt", "<f4")]
+    known = np.dtype(fields)
+    names = [*known.names, *(a.name for a in extra)]
+    types = [*(known.fields[n][0] for n in known.names), *(np.dtype(EXTRA_TYPES[a.type]) for a in extra)]
+    places = [*(known.fields[n][1] for n in known.names), *(RECORD_SIZES[format_] + a.at for a in extra)]
+    return np.dtype({"names": names, "formats": types, "offsets": places, "itemsize": size})
 
 
 def read_header(raw: bytes) -> dict:
     """The parts of a header that reading needs."""
     if raw[:4] != b"LASF":
         raise ValueError("not a LAS file")
-    n = lambda at, kind, count=1: np.frombuffer(raw, kind, count, at)
-    head = {"minor": raw[25], "offset": int(n(96, "<u4")[0]), "format": raw[104] & 0x3F, "size": int(n(105, "<u2")[0]), "points": int(n(107, "<u4")[0])}
-    head |= {"scale": n(131, "<f8", 3).tolist(), "shift": n(155, "<f8", 3).tolist()}
-    head |= dict(zip(("max_x", "min_x", "max_y", "min_y", "max_z", "min_z"), n(179, "<f8", 6).tolist(), strict=True))
     if raw[104] & 0x80:
         raise ValueError("compressed points are not read")
-    if head["minor"] >= 4 and len(raw) >= 255:
-        head["points"] = int(n(247, "<u8")[0]) or head["points"]
+    n = lambda at, kind, count=1: np.frombuffer(raw, kind, count, at).tolist()
+    head = {"minor": raw[25], "header_size": n(94, "<u2")[0], "offset": n(96, "<u4")[0], "vlrs": n(100, "<u4")[0], "format": raw[104] & 0x3F}
+    head |= {"size": n(105, "<u2")[0], "points": n(107, "<u4")[0], "by_return": n(111, "<u4", 5)}
+    head |= {"scale": n(131, "<f8", 3), "shift": n(155, "<f8", 3)}
+    head |= dict(zip(("max_x", "min_x", "max_y", "min_y", "max_z", "min_z"), n(179, "<f8", 6), strict=True))
+    if head["minor"] >= 4 and len(raw) >= 375:
+        head["points"] = n(247, "<u8")[0] or head["points"]
+        head["by_return"] = n(255, "<u8", 15) if any(n(255, "<u8", 15)) else head["by_return"]
+        head |= {"evlr_at": n(235, "<u8")[0], "evlrs": n(243, "<u4")[0]}
+    if head["format"] >= len(RECORD_SIZES) or head["size"] < RECORD_SIZES[head["format"]]:
+        raise ValueError(f"records of format {head['format']} with {head['size']} bytes are not known")
     return head
 
 
-def decode(raw: bytes, head: dict, path: str, first: int) -> pa.RecordBatch:
-    r = np.frombuffer(raw, record_type(head["format"], head["size"]))
+def read_records(file: pa.NativeFile, head: dict) -> list[tuple[str, int, bytes]]:
+    """user_id, record_id and data of the variable records before and behind the points."""
+    out, at = [], head["header_size"]
+    for k in range(head["vlrs"] + head.get("evlrs", 0)):
+        wide = k >= head["vlrs"]
+        at = head["evlr_at"] if k == head["vlrs"] else at
+        intro = file.read_at(60 if wide else 54, at)
+        if len(intro) < (60 if wide else 54):
+            break
+        user, number = intro[2:18].split(b"\0")[0].decode("latin-1"), struct.unpack_from("<H", intro, 18)[0]
+        size = struct.unpack_from("<Q" if wide else "<H", intro, 20)[0]
+        out.append((user, number, file.read_at(size, at + len(intro))))
+        at += len(intro) + size
+    return out
+
+
+def attributes(records: list[tuple[str, int, bytes]], room: int) -> tuple[Attribute, ...]:
+    """The extra attributes that a file describes; those that don't fit into the record's extra bytes are left out."""
+    out, at = [], 0
+    for user, number, data in records:
+        if (user, number) != ("LASF_Spec", 4):
+            continue
+        for d in (data[i : i + 192] for i in range(0, len(data) - 191, 192)):
+            kind, options = d[2], d[3]
+            if kind not in EXTRA_TYPES:
+                at += options if kind == 0 else 0  # undocumented bytes
+                continue
+            size, code = np.dtype(EXTRA_TYPES[kind]).itemsize, EXTRA_TYPES[kind][-2:-1]
+            none = struct.unpack_from("<d" if code == "f" else "<q" if code == "i" else "<Q", d, 40)[0]
+            scale, shift = struct.unpack_from("<d", d, 112)[0], struct.unpack_from("<d", d, 136)[0]
+            if at + size <= room:
+                out.append(Attribute(d[4:36].split(b"\0")[0].decode("latin-1"), kind, at, scale if options & 8 else 1.0, shift if options & 16 else 0.0, none if options & 1 else None))
+            at += size
+    return tuple(out)
+
+
+def _raw(value: np.ndarray, scale: float, shift: float) -> np.ndarray:
+    """Coordinates in steps of scale from shift, halves away from it, as `schema.ScaleOffset.raw` has them."""
+    steps = (value - shift) / scale
+    steps = np.where(value >= shift, np.floor(steps + 0.5), np.ceil(steps - 0.5))
+    if len(steps) and np.abs(steps).max() > 2**31 - 1:
+        raise ValueError(f"a coordinate doesn't fit into 32 bits at scale {scale} and offset {shift}")
+    return steps.astype(np.int32)
+
+
+def decode(raw: bytes, head: dict, path: str, first: int, columns: Iterable[str] = COLUMNS) -> pa.RecordBatch:
+    """Records as columns of `COLUMNS` and `SCALING`; only those asked for are made."""
+    r = np.frombuffer(raw, record_type(head["format"], head["size"], head.get("extra", ())))
     ext, names = head["format"] in EXTENDED, r.dtype.names
-    returns = r["returns"].astype(np.int32)
-    cls = r["classification"].astype(np.int32)
+    extra = {a.name: a for a in head.get("extra", ())}
+    returns, cls = r["returns"].astype(np.int32), r["classification"].astype(np.int32)
     if ext:
         flags = r["flags"].astype(np.int32)
-        rn, nr, full = returns & 15, returns >> 4, cls
+        rn, nr, full, angle = returns & 15, returns >> 4, cls, r["angle"] * ANGLE_STEP
         bits = {"synthetic_flag": flags & 1, "keypoint_flag": flags >> 1 & 1, "withheld_flag": flags >> 2 & 1, "overlap_flag": flags >> 3 & 1,
                 "scanner_channel": flags >> 4 & 3, "scan_direction_flag": flags >> 6 & 1, "edge_of_flight_line": flags >> 7}
-        legacy, angle = np.where(cls <= 31, cls, 0), np.clip(np.rint(r["angle"] * 0.006), -128, 127).astype(np.int32)
+        legacy, rank = np.where(cls <= 31, cls, 0), np.clip(np.rint(angle), -128, 127).astype(np.int32)
+        legacy_rn, legacy_nr = _legacy_returns(rn, nr)
     else:
         rn, nr, legacy = returns & 7, returns >> 3 & 7, cls & 31
-        zero = np.zeros(len(r), np.int32)
+        zero, rank = np.zeros(len(r), np.int32), r["angle"].astype(np.int32)
         bits = {"synthetic_flag": cls >> 5 & 1, "keypoint_flag": cls >> 6 & 1, "withheld_flag": cls >> 7, "overlap_flag": zero,
                 "scanner_channel": zero, "scan_direction_flag": returns >> 6 & 1, "edge_of_flight_line": returns >> 7}
-        full, angle = legacy, r["angle"].astype(np.int32)
-    cols = {"source_file": pa.array([path] * len(r)), "point_index": np.arange(first, first + len(r))}
+        full, angle, legacy_rn, legacy_nr = legacy, rank.astype(float), rn, nr
+        if COMPATIBLE[0][0] in extra:  # extended fields were put into extra bytes
+            more = {n: r[n].astype(np.int32) for n, _ in COMPATIBLE[:4]}
+            steps, both, far = (more[COMPATIBLE[k][0]] for k in range(3))
+            angle = (np.rint(rank / ANGLE_STEP) + steps) * ANGLE_STEP
+            rn, nr, full = rn + (both >> 4), nr + (both & 15), np.where(far > 0, far, legacy)
+            bits |= {"overlap_flag": more[COMPATIBLE[3][0]] & 1, "scanner_channel": more[COMPATIBLE[3][0]] >> 1 & 3}
+    make = {"source_file": lambda: pa.array([path]).take(pa.array(np.zeros(len(r), np.int32))), "point_index": lambda: np.arange(first, first + len(r))}
     for k, a in enumerate("xyz"):
-        raw_axis = r[a.upper()]
-        cols |= {f"{a}i": raw_axis, a: raw_axis * head["scale"][k] + head["shift"][k]}
-    cols |= {"intensity": r["intensity"].astype(np.int32), "return_number": rn, "number_of_returns": nr, "classification": legacy, "ext_classification": full}
-    cols |= {"scan_angle_rank": angle, "user_data": r["user_data"].astype(np.int32), "point_source_id": r["source"].astype(np.int32), **bits}
-    cols["gps_time"] = r["time"] if "time" in names else pa.nulls(len(r), pa.float64())
-    for c in ("red", "green", "blue", "nir"):
-        cols[c] = r[c].astype(np.int32) if c in names else pa.nulls(len(r), pa.int32())
-    order = [f.split()[0] for f in SCHEMA.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(cols[c]) for c in order], order)
+        x, scale, shift = r[a.upper()], head["scale"][k], head["shift"][k]
+        own = (scale, shift) == (DEFAULT_SCALE.scale[k], DEFAULT_SCALE.offset[k])
+        make[f"{a}i"] = lambda x=x, scale=scale, shift=shift, own=own, k=k: x if own else _raw(x * scale + shift, DEFAULT_SCALE.scale[k], DEFAULT_SCALE.offset[k])
+        make[a] = lambda x=x, scale=scale, shift=shift: x * scale + shift
+        make[f"scale_{a}"] = lambda scale=scale: np.full(len(r), scale)
+        make[f"offset_{a}"] = lambda shift=shift: np.full(len(r), shift)
+    make |= {n: lambda v=v: v for n, v in bits.items()}
+    make |= {"return_number": lambda: legacy_rn, "number_of_returns": lambda: legacy_nr, "ext_return_number": lambda: rn, "ext_number_of_returns": lambda: nr}
+    make |= {"classification": lambda: legacy, "ext_classification": lambda: full, "scan_angle_rank": lambda: rank, "scan_angle": lambda: angle}
+    make |= {"intensity": lambda: r["intensity"], "user_data": lambda: r["user_data"], "point_source_id": lambda: r["source"]}
+    stored = {"gps_time": "time"} | {c: c for c in ("red", "green", "blue", "nir", "wave_index", "wave_offset", "wave_size", "wave_location", "wave_xt", "wave_yt", "wave_zt")}
+    stored["nir"] = "nir" if "nir" in names else COMPATIBLE[4][0]
+    make |= {c: lambda n=n: r[n] if n in names else None for c, n in stored.items()}
+    own = [a for a in extra.values() if a.name not in dict(COMPATIBLE)][:ATTRIBUTES]
+    make |= {f"attr_{k}": lambda a=a: a.values(r[a.name]) for k, a in enumerate(own)}
+    arrays, kinds = [], COLUMNS | SCALING
+    for c in columns:
+        value, kind = make.get(c, lambda: None)(), _ARROW[kinds[c]]
+        if value is None:
+            arrays.append(pa.nulls(len(r), kind))
+        elif isinstance(value, tuple):
+            arrays.append(pa.array(value[0], kind, mask=value[1]))
+        else:
+            arrays.append(value if isinstance(value, pa.Array) else pa.array(np.ascontiguousarray(value).astype(kind.to_pandas_dtype(), copy=False)))
+    return pa.RecordBatch.from_arrays(arrays, list(columns))
+
+
+def _legacy_returns(rn: np.ndarray, nr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Return numbers that three bits hold: the last return stays the last, and no other becomes it."""
+    few = np.minimum(nr, 7)
+    return np.where(nr > 7, np.where(rn >= nr, 7, np.minimum(rn, 6)), np.minimum(rn, 7)), few
 
 
+@dataclass
 class _Range(InputPartition):
-    def __init__(self, path: str, head: dict, first: int, count: int) -> None:
-        self.path, self.head, self.first, self.count = path, head, first, count
+    path: str
+    head: dict
+    first: int
+    count: int
+
+
+@dataclass
+class _Files(InputPartition):
+    paths: list[str]
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def _listed(path: str, listed: str = "") -> list[str]:
+    store, path = _open(path)
+    info = store.get_file_info(path)
+    found = [info] if info.is_file else store.get_file_info(fs.FileSelector(path, recursive=True))
+    files = sorted(f.path for f in found if f.is_file and f.path.lower().endswith(".las"))
+    if listed:  # a text file of names below the path, one a line; a repeated one counts once
+        with store.open_input_file(_open(listed)[1]) as names:
+            wanted = {n.strip() for n in names.read().decode().splitlines()}
+        files = [f for f in files if f in wanted or f.removeprefix(path).lstrip("/") in wanted]
+    return files
+
+
+def _head_of(store: fs.FileSystem, file: str) -> dict:
+    with store.open_input_file(file) as opened:
+        head = read_header(opened.read(375))
+        head["records"] = read_records(opened, head) if head["vlrs"] or head.get("evlrs") else []
+    head["extra"] = attributes(head["records"], head["size"] - RECORD_SIZES[head["format"]])
+    return head
+
+
 class LasReader(DataSourceReader):
-    def __init__(self, options: dict) -> None:
+    def __init__(self, options: dict, columns: list[str] | None = None) -> None:
         self.path, self.each = options["path"], int(options.get("recordsPerPartition", 1_000_000))
-        self.inside, self.listed = options.get("inside", ""), options.get("listed", "")
+        self.listed, self.columns = options.get("listed", ""), columns or list(COLUMNS)
+        self.low, self.high = dict.fromkeys("xyz", -np.inf), dict.fromkeys("xyz", np.inf)
+        if inside := options.get("inside", ""):  # min_x,min_y,max_x,max_y
+            self.low["x"], self.low["y"], self.high["x"], self.high["y"] = (float(v) for v in inside.split(","))
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
+        """Comparisons of x, y and z with constants bound what is read; Spark applies all filters to what comes."""
+        for f in filters:
+            if isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual | LessThan | LessThanOrEqual) and f.attribute in (("x",), ("y",), ("z",)) and f.value is not None:
+                axis, value = f.attribute[0], float(f.value)
+                if not isinstance(f, LessThan | LessThanOrEqual):
+                    self.low[axis] = max(self.low[axis], value)
+                if not isinstance(f, GreaterThan | GreaterThanOrEqual):
+                    self.high[axis] = min(self.high[axis], value)
+            yield f
 
     def partitions(self) -> list[InputPartition]:
-        store, path = _open(self.path)
-        info = store.get_file_info(path)
-        found = [info] if info.is_file else store.get_file_info(fs.FileSelector(path, recursive=True))
-        files = sorted(f.path for f in found if f.is_file and f.path.lower().endswith(".las"))
-        if self.listed:  # a text file of names below the path, one a line; a repeated one counts once
-            with store.open_input_file(_open(self.listed)[1]) as names:
-                wanted = {n.strip() for n in names.read().decode().splitlines()}
-            files = [f for f in files if f in wanted or f.removeprefix(path).lstrip("/") in wanted]
-
-        def head_of(file: str) -> dict:
-            with store.open_input_file(file) as opened:
-                return read_header(opened.read(375))
-
+        store, _ = _open(self.path)
+        files = _listed(self.path, self.listed)
         with ThreadPoolExecutor(16) as pool:
-            heads = list(pool.map(head_of, files))
+            heads = list(pool.map(lambda f: _head_of(store, f), files))
         return [
-            _Range(f, head, a, min(self.each, head["points"] - a))
+            _Range(f, {k: v for k, v in head.items() if k != "records"}, a, min(self.each, head["points"] - a))
             for f, head in zip(files, heads, strict=True) if self.meets(head) for a in range(0, head["points"], self.each)
         ]
 
-    def meets(self, head: dict) -> bool:
-        """Whether a file's box meets that of the option `inside` (min_x,min_y,max_x,max_y); such files are read, others aren't opened again."""
-        if not self.inside:
-            return True
-        low_x, low_y, high_x, high_y = (float(v) for v in self.inside.split(","))
-        return head["min_x"] <= high_x and head["max_x"] >= low_x and head["min_y"] <= high_y and head["max_y"] >= low_y
+    def meets(self, box: dict) -> bool:
+        """Whether a box meets the bounds."""
+        return all(box.get(f"min_{a}", -np.inf) <= self.high[a] and box.get(f"max_{a}", np.inf) >= self.low[a] for a in "xyz")
+
+    def ranges(self, partition: _Range) -> list[tuple[int, int]]:
+        """(first, count) of the partition's records that are to be read: with an index beside the file those of cells that meet the bounds."""
+        whole = [(partition.first, partition.count)]
+        store, path = _open(self.path)[0], index_path(partition.path)
+        if not (np.isfinite([*self.low.values(), *self.high.values()]).any() and store.get_file_info(path).is_file):
+            return whole
+        with store.open_input_file(path) as file:
+            cells = pq.read_table(file).to_pandas()
+        on = (cells["first"] < partition.first + partition.count) & (cells["last"] >= partition.first)
+        for a in "xy":
+            on &= (cells[f"min_{a}"] <= self.high[a]) & (cells[f"max_{a}"] >= self.low[a])
+        out: list[list[int]] = []
+        for a, b in cells[on].sort_values("first")[["first", "last"]].itertuples(index=False, name=None):
+            a, b = max(a, partition.first), min(b, partition.first + partition.count - 1)
+            if out and a <= out[-1][1] + 1:
+                out[-1][1] = max(out[-1][1], b)
+            else:
+                out.append([a, b])
+        return [(int(a), int(b - a + 1)) for a, b in out]
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         store, _ = _open(self.path)
         size, step = partition.head["size"], 100_000
         with store.open_input_file(partition.path) as file:
-            for a in range(partition.first, partition.first + partition.count, step):
-                n = min(step, partition.first + partition.count - a)
-                raw = file.read_at(n * size, partition.head["offset"] + a * size)
-                yield decode(raw, partition.head, partition.path, a)
+            for first, count in self.ranges(partition):
+                for a in range(first, first + count, step):
+                    n = min(step, first + count - a)
+                    raw = file.read_at(n * size, partition.head["offset"] + a * size)
+                    if len(raw) < n * size:
+                        raise ValueError(f"{partition.path} ends before its last record")
+                    yield decode(raw, partition.head, partition.path, a, self.columns)
+
+
+HEADERS = (
+    "source_file string, version string, format int, record_size int, points long, scale array<double>, offset array<double>, min_x double, min_y double, "
+    "min_z double, max_x double, max_y double, max_z double, by_return array<long>, attributes array<string>, "
+    "records array<struct<user_id: string, record_id: int, data: binary>>"
+)
+
+
+class HeaderReader(DataSourceReader):
+    """A row a file; files are dealt to tasks, which open them."""
+
+    def __init__(self, options: dict) -> None:
+        self.path, self.listed, self.each = options["path"], options.get("listed", ""), int(options.get("filesPerPartition", 64))
+
+    def partitions(self) -> list[InputPartition]:
+        files = _listed(self.path, self.listed)
+        return [_Files(files[i : i + self.each]) for i in range(0, len(files), self.each)]
+
+    def read(self, partition: _Files) -> Iterator[tuple]:
+        store, _ = _open(self.path)
+        for f in partition.paths:
+            h = _head_of(store, f)
+            box = [h[f"{m}_{a}"] for m in ("min", "max") for a in "xyz"]
+            yield (f, f"1.{h['minor']}", h["format"], h["size"], h["points"], h["scale"], h["shift"], *box, h["by_return"], [a.name for a in h["extra"]], h["records"])
+
+
+def index_path(file: str) -> str:
+    return re.sub(r"(?i)\.las$", "", file) + ".lasindex"
+
+
+def write_index(spark: SparkSession, path: str, cell: float, most: int = 1000) -> None:
+    """Writes an index beside each file below path: for each cell the runs of its records, at most `most` a file (and one a cell).
+
+    A file's runs are written by one task; readers need them only where they have bounds.
+    """
+    points = spark.read.format("las").option("columns", "source_file,point_index,xi,yi,x,y").load(path)
+    tree = Quadtree.of(points, cell)
+    runs = index_intervals(tree.indexed(points).withColumnRenamed("cell_code", "cell_index"))
+    runs = limit_intervals(runs, most)
+    # a cell's edge belongs to its neighbour after rounding, so boxes are wider by a step
+    pad = max(DEFAULT_SCALE.scale)
+    box = {n.removeprefix("cell_"): v - pad if "min" in n else v + pad for n, v in tree.box(F.col("cell_index")).items()}
+    rows = runs.select("source_file", "first", "last", *[v.alias(n) for n, v in box.items()])
+
+    def write(frame: pd.DataFrame) -> pd.DataFrame:
+        file = frame["source_file"].iloc[0]
+        store, _ = _open(path)
+        out = io.BytesIO()
+        pq.write_table(pa.Table.from_pandas(frame.drop(columns="source_file").sort_values("first"), preserve_index=False), out)
+        with store.open_output_stream(index_path(file)) as stream:
+            stream.write(out.getvalue())
+        return pd.DataFrame({"source_file": [file], "runs": [len(frame)]})
+
+    rows.groupBy("source_file").applyInPandas(write, "source_file string, runs long").agg(F.sum("runs")).collect()
 
 
 @dataclass
 class _Written(WriterCommitMessage):
-    waiting: str
-    final: str
+    files: list[tuple[str, str]] = field(default_factory=list)  # waiting and final names
 
 
 class LasWriter(DataSourceArrowWriter):
-    """One file of format 3 (1.2) for each partition, written aside and moved to its name when the job commits."""
-
-    def __init__(self, options: dict) -> None:
-        self.path = options["path"]
-        self.scale = [float(s) for s in options.get("scale", "0.01,0.01,0.01").split(",")]
-        self.shift = [float(s) for s in options.get("offset", "0,0,0").split(",")]
+    """Files of at most recordsPerFile records, written aside and moved to their names when the job commits; with overwrite the old files go then.
+
+    Options: scale and offset of the files (the library's own by default), inScale and inOffset of
+    the rows' xi, yi and zi; pointFormat (0 to 10; from 6 on the version is 1.4, else 1.2);
+    compatible: a format from 6 on is written as the one of 1.2 that has the same fields, what that
+    can't hold in extra bytes; extra: attributes to write, such as attr_0=height,attr_1=range.
+    """
+
+    def __init__(self, options: dict, overwrite: bool = False) -> None:
+        three = lambda key, default: [float(s) for s in options[key].split(",")] if key in options else list(default)
+        self.path, self.overwrite, self.each = options["path"], overwrite, int(options.get("recordsPerFile", 1_000_000))
+        self.scale, self.shift = three("scale", DEFAULT_SCALE.scale), three("offset", DEFAULT_SCALE.offset)
+        self.in_scale, self.in_shift = three("inScale", DEFAULT_SCALE.scale), three("inOffset", DEFAULT_SCALE.offset)
+        self.format, self.compatible = int(options.get("pointFormat", 3)), options.get("compatible", "false").lower() == "true"
+        named = [pair.split("=") for pair in options.get("extra", "").split(",") if pair]
+        extra = [(n, 10) for _, n in named]
+        if self.compatible:
+            #: Formats of 1.2 with the fields of those of 1.4.
+            self.format, infrared = {6: 1, 7: 3, 8: 3, 9: 4, 10: 5}[self.format], self.format in WITH_NIR
+            extra = [*COMPATIBLE[: 5 if infrared else 4], *extra]
+        at, self.extra, self.columns_of = 0, [], dict((n, c) for c, n in named)
+        for name, kind in extra:
+            self.extra.append(Attribute(name, kind, at))
+            at += np.dtype(EXTRA_TYPES[kind]).itemsize
+        self.type = record_type(self.format, RECORD_SIZES[self.format] + at, tuple(self.extra))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        rows = [self.records(batch) for batch in iterator if batch.num_rows]
-        if not rows:
-            return _Written("", "")
+        """One file's records are held until their number and box are known, never the partition's."""
+        out, rows, n = _Written(), [], 0
+        for batch in iterator:
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, min(self.each - n, batch.num_rows - at))
+                rows.append(self.records(part))
+                at, n = at + part.num_rows, n + part.num_rows
+                if n == self.each:
+                    out.files.append(self.save(np.concatenate(rows)))
+                    rows, n = [], 0
+        if n:
+            out.files.append(self.save(np.concatenate(rows)))
+        return out
+
+    def save(self, rows: np.ndarray) -> tuple[str, str]:
         store, path = _open(self.path)
         store.create_dir(path, recursive=True)
         name = uuid.uuid4().hex
         with store.open_output_stream(f"{path}/_{name}.waiting") as out:
-            out.write(self.header(np.concatenate(rows)))
-            for part in rows:
-                out.write(part.tobytes())
-        return _Written(f"{path}/_{name}.waiting", f"{path}/part-{name}.las")
+            out.write(self.header(rows))
+            out.write(rows.tobytes())
+        return f"{path}/_{name}.waiting", f"{path}/part-{name}.las"
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        store, _ = _open(self.path)
-        for m in messages:
-            if m is not None and m.waiting:
-                store.move(m.waiting, m.final)
+        store, path = _open(self.path)
+        old = _listed(self.path) if self.overwrite and store.get_file_info(path).type == fs.FileType.Directory else []
+        for waiting, final in (f for m in messages if m is not None for f in m.files):
+            store.move(waiting, final)
+        for file in old:
+            store.delete_file(file)
+            if store.get_file_info(index_path(file)).is_file:
+                store.delete_file(index_path(file))
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         store, _ = _open(self.path)
-        for m in messages:
-            if m is not None and m.waiting:
-                store.delete_file(m.waiting)
+        for waiting, _final in (f for m in messages if m is not None for f in m.files):
+            store.delete_file(waiting)
 
-    @staticmethod
-    def records(batch: pa.RecordBatch) -> np.ndarray:
+    def records(self, batch: pa.RecordBatch) -> np.ndarray:
         """Records of a batch; columns that it lacks, and nulls, are zero."""
-        names, out = batch.schema.names, np.zeros(batch.num_rows, record_type(3, RECORD_SIZES[3]))
-
-        def get(name: str, kind: type = np.int64) -> np.ndarray:
-            return pc.fill_null(batch.column(name), 0).to_numpy(zero_copy_only=False).astype(kind) if name in names else np.zeros(len(out), kind)
-
-        for field, name in (("X", "xi"), ("Y", "yi"), ("Z", "zi"), ("intensity", "intensity"), ("angle", "scan_angle_rank"), ("user_data", "user_data"), ("source", "point_source_id"), ("red", "red"), ("green", "green"), ("blue", "blue")):
-            out[field] = get(name).astype(out.dtype[field])
-        out["time"] = get("gps_time", float)
-        out["returns"] = get("return_number") & 7 | (get("number_of_returns") & 7) << 3 | (get("scan_direction_flag") & 1) << 6 | (get("edge_of_flight_line") & 1) << 7
-        out["classification"] = get("classification") & 31 | (get("synthetic_flag") & 1) << 5 | (get("keypoint_flag") & 1) << 6 | (get("withheld_flag") & 1) << 7
+        names, out = batch.schema.names, np.zeros(batch.num_rows, self.type)
+
+        def get(*columns: str, kind: type = np.int64) -> np.ndarray:
+            """The first of the columns that the rows have."""
+            for name in columns:
+                if name in names:
+                    return pc.fill_null(batch.column(name), 0).to_numpy(zero_copy_only=False).astype(kind)
+            return np.zeros(len(out), kind)
+
+        for k, a in enumerate("xyz"):
+            raw, own = get(f"{a}i"), (self.in_scale[k], self.in_shift[k]) == (self.scale[k], self.shift[k])
+            out[a.upper()] = raw if own else _raw(raw * self.in_scale[k] + self.in_shift[k], self.scale[k], self.shift[k])
+        for name in ("intensity", "user_data", "red", "green", "blue", "nir", "wave_index", "wave_offset", "wave_size"):
+            if name in self.type.names:
+                out[name] = get(name).astype(self.type[name])
+        for name in ("wave_location", "wave_xt", "wave_yt", "wave_zt"):
+            if name in self.type.names:
+                out[name] = get(name, kind=float)
+        out["source"] = get("point_source_id").astype("<u2")
+        if "time" in self.type.names:
+            out["time"] = get("gps_time", kind=float)
+        for a in self.extra:
+            if a.name in self.columns_of:
+                out[a.name] = get(self.columns_of[a.name], kind=float)
+        bits = {n: get(n) & 1 for n in ("scan_direction_flag", "edge_of_flight_line", "synthetic_flag", "keypoint_flag", "withheld_flag", "overlap_flag")}
+        rn, nr, full = get("ext_return_number", "return_number"), get("ext_number_of_returns", "number_of_returns"), get("ext_classification", "classification") & 255
+        steps = np.rint(get("scan_angle", "scan_angle_rank", kind=float) / ANGLE_STEP).astype(np.int64)
+        channel = get("scanner_channel") & 3
+        if self.format in EXTENDED:
+            out["returns"], out["classification"], out["angle"] = rn & 15 | (nr & 15) << 4, full, np.clip(steps, -30_000, 30_000)
+            out["flags"] = bits["synthetic_flag"] | bits["keypoint_flag"] << 1 | bits["withheld_flag"] << 2 | bits["overlap_flag"] << 3 | channel << 4
+            out["flags"] |= (bits["scan_direction_flag"] << 6 | bits["edge_of_flight_line"] << 7).astype(np.uint8)
+            return out
+        few_rn, few_nr, legacy, rank = get("return_number"), get("number_of_returns"), get("classification"), get("scan_angle_rank")
+        if self.compatible:
+            few_rn, few_nr = _legacy_returns(rn, nr)
+            legacy, rank = np.where(full <= 31, full, 0), np.clip(np.rint(steps * ANGLE_STEP), -128, 127).astype(np.int64)
+            out[COMPATIBLE[0][0]] = steps - np.rint(rank / ANGLE_STEP)
+            out[COMPATIBLE[1][0]] = rn - few_rn << 4 | nr - few_nr
+            out[COMPATIBLE[2][0]] = np.where(full > 31, full, 0)
+            out[COMPATIBLE[3][0]] = bits["overlap_flag"] | channel << 1
+            if COMPATIBLE[4][0] in self.type.names:
+                out[COMPATIBLE[4][0]] = get("nir").astype(np.uint16)
+        out["angle"] = np.clip(rank, -128, 127)
+        out["returns"] = few_rn & 7 | (few_nr & 7) << 3 | bits["scan_direction_flag"] << 6 | bits["edge_of_flight_line"] << 7
+        out["classification"] = legacy & 31 | bits["synthetic_flag"] << 5 | bits["keypoint_flag"] << 6 | bits["withheld_flag"] << 7
         return out
 
     def header(self, rows: np.ndarray) -> bytes:
-        raw = bytearray(227)
-        raw[:4], raw[24:26] = b"LASF", bytes([1, 2])
+        """The header of a file with these records, and the record that describes its extra attributes."""
+        ext = self.format in EXTENDED
+        size = 375 if ext else 227
+        described = b"".join(self.describe(a) for a in self.extra)
+        raw = bytearray(size)
+        raw[:4], raw[24:26] = b"LASF", bytes([1, 4 if ext else 2])
         put = lambda at, kind, *v: raw.__setitem__(slice(at, at + np.dtype(kind).itemsize * len(v)), np.array(v, kind).tobytes())
-        put(94, "<u2", 227)
-        put(96, "<u4", 227)
-        raw[104] = 3
-        put(105, "<u2", RECORD_SIZES[3])
-        put(107, "<u4", len(rows))
-        by_return = [int(((rows["returns"] & 7) == k).sum()) for k in range(1, 6)]
-        put(111, "<u4", *by_return)
+        put(94, "<u2", size)
+        put(96, "<u4", size + len(described) + (54 if described else 0))
+        put(100, "<u4", int(bool(described)))
+        raw[104] = self.format
+        put(105, "<u2", self.type.itemsize)
+        by_return = np.bincount(rows["returns"] & (15 if ext else 7), minlength=16)[1:]
+        if ext:
+            put(247, "<u8", len(rows))
+            put(255, "<u8", *by_return[:15])
+        else:
+            put(107, "<u4", len(rows))
+            put(111, "<u4", *by_return[:5])
         put(131, "<f8", *self.scale)
         put(155, "<f8", *self.shift)
         box = [f(rows[a]) * self.scale[k] + self.shift[k] for k, a in enumerate("XYZ") for f in (np.max, np.min)]
         put(179, "<f8", *box)
+        intro = struct.pack("<H16sHH32s", 0, b"LASF_Spec", 4, len(described), b"extra bytes") if described else b""
+        return bytes(raw) + intro + described
+
+    @staticmethod
+    def describe(a: Attribute) -> bytes:
+        scaled = a.name == COMPATIBLE[0][0]
+        raw = bytearray(192)
+        raw[2], raw[3] = a.type, 8 if scaled else 0
+        raw[4:36] = a.name.encode("latin-1", "replace")[:32].ljust(32, b"\0")
+        struct.pack_into("<d", raw, 112, ANGLE_STEP if scaled else 1.0)
         return bytes(raw)
 
 
 class LasSource(DataSource):
+    """Options of reading: recordsPerPartition, inside, listed, columns (a comma-separated list, as Spark doesn't tell a source which it needs), scaling."""
+
     @classmethod
     def name(cls) -> str:
         return "las"
 
+    def columns(self) -> list[str]:
+        kinds = COLUMNS | SCALING
+        asked = [c.strip() for c in self.options.get("columns", "").split(",") if c.strip()] or list(COLUMNS)
+        if self.options.get("scaling", "false").lower() == "true":
+            asked += [c for c in SCALING if c not in asked]
+        if unknown := [c for c in asked if c not in kinds]:
+            raise ValueError(f"no such columns: {unknown}")
+        return asked
+
     def schema(self) -> str:
-        return SCHEMA
+        return ", ".join(f"{c} {(COLUMNS | SCALING)[c]}" for c in self.columns())
 
     def reader(self, schema: object) -> LasReader:
-        return LasReader(self.options)
+        return LasReader(self.options, self.columns())
 
     def writer(self, schema: object, overwrite: bool) -> LasWriter:
-        return LasWriter(self.options)
+        return LasWriter(self.options, overwrite)
+
+
+class LasHeaders(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "las_headers"
+
+    def schema(self) -> str:
+        return HEADERS
+
+    def reader(self, schema: object) -> HeaderReader:
+        return HeaderReader(self.options)
 
 
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(LasSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    for source in (LasSource, LasHeaders):
+        spark.dataSource.register(source)

@@ -35,7 +35,7 @@ def test_las_round_trip_and_box(spark, sf_dir, tmp_path):
 
 def test_las_abort_leaves_nothing(tmp_path):
     (tmp_path / "_a.waiting").write_bytes(b"x")
-    LasWriter({"path": str(tmp_path)}).abort([_Written(f"{tmp_path}/_a.waiting", f"{tmp_path}/part-a.las"), None, _Written("", "")])
+    LasWriter({"path": str(tmp_path)}).abort([_Written([(f"{tmp_path}/_a.waiting", f"{tmp_path}/part-a.las")]), None, _Written()])
     assert list(tmp_path.iterdir()) == []
 
 
