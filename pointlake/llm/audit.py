@@ -32,34 +32,31 @@ def failed_filters(docs: DataFrame) -> DataFrame:
     larger than another: E never holds for it, and its text makes no other one a copy. Equal
     texts of one doc_id aren't copies of each other, as neither doc_id is smaller.
 
-    Copies, also thousands of them, meet only in an aggregate (the least doc_id of a digest),
-    and find out by an equality on (digest, doc_id) whether they are the first one; a very long
-    text is spread over all tasks by its words.
+    Texts are shuffled once, to where all words of a document then meet: repeated rows are one
+    before that. Copies, also thousands of them, meet only in an aggregate (the least doc_id of a
+    digest), and find out by an equality on (digest, doc_id) whether they are the first one.
     """
     rows = docs.select(
         F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.col("doc_id").isNotNull().alias("known"),
         F.coalesce("source", F.lit("")).alias("part"), F.coalesce("text", F.lit("")).alias("text"),
     ).withColumn("key", F.xxhash64("text"))
+    row = ["id", "known", "part", "key"]
+    texts = rows.groupBy(*row).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
 
     capitals = F.length("text") - F.length(F.translate("text", CAPITALS, ""))
-    flags = rows.select(
-        "id", "key", "known", "part",
-        F.unhex(F.sha2("text", 256)).alias("digest"),
-        (capitals * 100 > F.length("text") * MOST_CAPITALS_PERCENT).alias("c"),
-        F.col("text").rlike(SYMBOLS).alias("d"),
+    flags = texts.select(
+        *row, "n", F.unhex(F.sha2("text", 256)).alias("digest"),
+        (capitals * 100 > F.length("text") * MOST_CAPITALS_PERCENT).alias("c"), F.col("text").rlike(SYMBOLS).alias("d"),
     )
-    flags = flags.groupBy("id", "key", "known", "part", "digest", "c", "d").agg(F.count(F.lit(1)).alias("n"))
-    flags = materialise(flags, "filter-flags")  # one small row a document, used three times
-
-    words = rows.select("id", "key", F.explode(F.split("text", WORD_BREAK)).alias("word")).where("word <> ''")
-    words = words.groupBy("id", "key", "word").agg(F.count(F.lit(1)).alias("times"))
-    totals = words.groupBy("id", "key").agg(F.sum("times").alias("words"), F.count(F.lit(1)).alias("distincts"))
-    copies = flags.groupBy("id", "key").agg(F.sum("n").alias("copies"))  # words of repeated rows were counted as often
-
-    first = flags.where("known").groupBy("digest").agg(F.min("id").alias("id")).withColumn("first", F.lit(True)).withColumn("known", F.lit(True))
-    met = flags.join(totals, ["id", "key"], "left").join(copies, ["id", "key"], "left").join(first, ["id", "known", "digest"], "left")
-    n_words = F.coalesce((F.col("words") / F.col("copies")).cast("long"), F.lit(0))
-    n_distinct = F.coalesce("distincts", F.lit(0))
+    # n goes along with the words, so that both sides read the same shuffled texts
+    words = texts.select(*row, "n", F.explode(F.split("text", WORD_BREAK)).alias("word")).where("word <> ''")
+    words = words.groupBy(*row, "n", "word").agg(F.count(F.lit(1)).alias("times"))
+    totals = words.groupBy(*row, "n").agg(F.sum("times").alias("words"), F.count(F.lit(1)).alias("distincts")).drop("n")
+    told = materialise(flags.join(totals, row, "left"), "filter-flags")  # one small row a document
+
+    first = told.where("known").groupBy("digest").agg(F.min("id").alias("id")).withColumn("first", F.lit(True)).withColumn("known", F.lit(True))
+    met = told.join(first, ["id", "known", "digest"], "left")
+    n_words, n_distinct = F.coalesce("words", F.lit(0)), F.coalesce("distincts", F.lit(0))
     fails = {
         "A": n_words < LEAST_WORDS,
         "B": n_distinct * 100 < n_words * LEAST_DISTINCT_PERCENT,
