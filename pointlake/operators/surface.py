@@ -1,9 +1,7 @@
-"""Surfaces: triangulation, elevation rasters, contours, heights, ground and boundaries.
+"""Surfaces: elevation rasters, contours, heights, ground and boundaries over the triangulation of a cloud.
 
-Triangulation runs on buffered tiles: every tile sees the points within its buffer, and keeps the
-triangles whose centre lies in it, so tiles fit together wherever triangles are smaller than the
-buffer. A tile's size bounds a task; tiles that hold too many points are to be made smaller
-(`spatial.refine_tiles` finds their sizes). Everything behind the triangles is column arithmetic.
+The triangles are those of the whole cloud (`triangulation.tin`). What is behind them is column
+arithmetic, grouping and joins by equality; ground is found in tiles of bounded size.
 """
 
 from __future__ import annotations
@@ -13,75 +11,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pointlake.functions.tables import written
 from pointlake.operators.filters import xyz
-from pointlake.operators.spatial import tiles
+from pointlake.operators.triangulation import CORNERS, deal, delaunay, tin
+from pointlake.schema import DEFAULT_SCALE
 
-CORNERS = [f"{c}{k}" for k in range(3) for c in "xyz"]
-TRIANGLES = "tile_col long, tile_row long, " + ", ".join(f"{c} double" for c in CORNERS)
-
-
-def delaunay(xy: np.ndarray) -> np.ndarray:
-    """Triangles (corners counter-clockwise) over distinct points, by insertion.
-
-    Each point removes the triangles whose circumcircle holds it and joins the hole's edge.
-    Coordinates are taken relative to their middle, which keeps the circle test exact enough
-    for raw coordinates of a tile. Fewer than three points or a single line give no triangle.
-    """
-    n = len(xy)
-    if n < 3:
-        return np.zeros((0, 3), int)
-    mid = (xy.max(0) + xy.min(0)) / 2
-    size = max(float((xy.max(0) - xy.min(0)).max()), 1e-9)
-    p = np.vstack([(xy - mid) / size, [[-40.0, -30.0], [40.0, -30.0], [0.0, 60.0]]])
-    tri = np.array([[n, n + 1, n + 2]])
-    centre, square = np.empty((1, 2)), np.empty(1)
-
-    def circle(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b, c = p[t[:, 0]], p[t[:, 1]] - p[t[:, 0]], p[t[:, 2]] - p[t[:, 0]]
-        d = 2 * (b[:, 0] * c[:, 1] - b[:, 1] * c[:, 0])
-        bb, cc = (b**2).sum(1), (c**2).sum(1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            u = np.column_stack([(c[:, 1] * bb - b[:, 1] * cc) / d, (b[:, 0] * cc - c[:, 0] * bb) / d])
-        return a + u, np.where(d > 0, (u**2).sum(1), np.inf)
-
-    centre, square = circle(tri)
-    for i in np.lexsort((p[:n, 1], p[:n, 0])):
-        bad = ((p[i] - centre) ** 2).sum(1) < square * (1 + 1e-12)
-        edges = np.vstack([tri[bad][:, [0, 1]], tri[bad][:, [1, 2]], tri[bad][:, [2, 0]]])
-        key, back = edges[:, 0] * (n + 3) + edges[:, 1], edges[:, 1] * (n + 3) + edges[:, 0]
-        rim = edges[~np.isin(key, back)]
-        a, b = p[rim[:, 0]] - p[i], p[rim[:, 1]] - p[i]
-        rim = rim[a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0] > 1e-14]
-        new = np.column_stack([rim, np.full(len(rim), i)])
-        c, s = circle(new)
-        tri, centre, square = np.vstack([tri[~bad], new]), np.vstack([centre[~bad], c]), np.concatenate([square[~bad], s])
-    return tri[(tri < n).all(1)]
-
-
-def _distinct(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """xy and z of the lowest point at each place."""
-    f = frame.sort_values(["x", "y", "z"]).drop_duplicates(["x", "y"])
-    return f[["x", "y"]].to_numpy(float), f["z"].to_numpy(float)
-
-
-def _real(points: DataFrame) -> DataFrame:
-    return points.withColumns({a: xyz(a) for a in "xyz"})
-
-
-def tin(points: DataFrame, tile: float, buffer: float) -> DataFrame:
-    """The triangles whose centre lies in their tile: tile_col, tile_row and nine coordinates."""
-
-    def triangulate(frame: pd.DataFrame) -> pd.DataFrame:
-        xy, z = _distinct(frame)
-        t = delaunay(xy)
-        col, row = frame["tile_col"].iloc[0], frame["tile_row"].iloc[0]
-        c = xy[t].mean(1) if len(t) else np.zeros((0, 2))
-        t = t[(np.floor(c[:, 0] / tile) == col) & (np.floor(c[:, 1] / tile) == row)]
-        flat = np.concatenate([xy[t], z[t][:, :, None]], 2).reshape(-1, 9)
-        return pd.DataFrame(flat, columns=CORNERS).assign(tile_col=col, tile_row=row)[["tile_col", "tile_row", *CORNERS]]
-
-    spread = _real(tiles(points, tile, buffer)).select("tile_col", "tile_row", "x", "y", "z")
-    return spread.groupBy("tile_col", "tile_row").applyInPandas(triangulate, TRIANGLES)
+__all__ = ["CORNERS", "boundary", "classify_ground", "classify_objects", "contours", "convex_hull", "dem", "height_above_ground", "heights_at", "hillshade", "normals", "tin", "without_long_edges"]
 
 
 def without_long_edges(triangles: DataFrame, kill: float) -> DataFrame:
@@ -112,11 +47,23 @@ def normals(triangles: DataFrame) -> DataFrame:
     return triangles.withColumns({"nx": F.try_divide(nx, size), "ny": F.try_divide(ny, size), "nz": F.try_divide(nz, size)})
 
 
-def hillshade(triangles: DataFrame, light: tuple[float, float, float] = (1.0, 1.0, 2.0)) -> DataFrame:
-    """Adds shade, 0 to 255: the size of the normal's part along the light."""
+def hillshade(triangles: DataFrame, step: float, light: tuple[float, float, float] = (1.0, 1.0, 2.0), kill: float = 100.0) -> DataFrame:
+    """col, row and value (0 to 255): the shade at corners, from the sum of the normals of all triangles that meet there, and between them linearly.
+
+    The normals of one corner's triangles are added up where they meet; a shade is the size of the sum's part along the light.
+    """
     size = sum(v * v for v in light) ** 0.5
-    lit = sum((F.col(n) * (v / size) for n, v in zip(("nx", "ny", "nz"), light, strict=True)), F.lit(0.0))
-    return normals(triangles).withColumn("shade", F.floor(F.abs(lit) * 255).cast("int"))
+    faces = normals(triangles)
+    tri = [f"{c}{k}" for k in range(3) for c in "xy"]
+    corner = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in range(3)]))
+    each = faces.select(*tri, "nx", "ny", "nz", corner.alias("c")).select(*tri, "nx", "ny", "nz", "c.*")
+    summed = each.groupBy("x", "y").agg(*[F.sum(n).alias(f"s{n}") for n in ("nx", "ny", "nz")])
+    length = F.sqrt(sum((F.col(f"s{n}") * F.col(f"s{n}") for n in ("nx", "ny", "nz")), F.lit(0.0)))
+    lit = sum((F.col(f"s{n}") * (v / size) for n, v in zip(("nx", "ny", "nz"), light, strict=True)), F.lit(0.0))
+    shades = summed.select("x", "y", (F.abs(F.try_divide(lit, length)) * 255).alias("shade"))
+    back = each.select(*tri, "k", "x", "y").join(shades, ["x", "y"]).groupBy(*tri)
+    shaded = back.agg(*[F.max(F.when(F.col("k") == k, F.col("shade"))).alias(f"z{k}") for k in range(3)])
+    return dem(shaded.select(*CORNERS), step, kill)
 
 
 def contours(triangles: DataFrame, every: float) -> DataFrame:
@@ -128,10 +75,11 @@ def contours(triangles: DataFrame, every: float) -> DataFrame:
     level = F.col("level")
 
     def cut(a: int, b: int) -> Column:
-        za, zb = F.col(f"z{a}"), F.col(f"z{b}")
-        f = F.try_divide(level - za, zb - za)
-        point = F.struct((F.col(f"x{a}") + f * (F.col(f"x{b}") - F.col(f"x{a}"))).alias("x"), (F.col(f"y{a}") + f * (F.col(f"y{b}") - F.col(f"y{a}"))).alias("y"))
-        return F.when((za >= level) != (zb >= level), point)
+        ends = [F.struct(*[F.col(f"{c}{k}").alias(c) for c in "xyz"]) for k in (a, b)]
+        p, q = F.least(*ends), F.greatest(*ends)  # the same order, and so the same place, for the triangle on the other side
+        f = F.try_divide(level - p["z"], q["z"] - p["z"])
+        point = F.struct(*[(p[c] + f * (q[c] - p[c])).alias(c) for c in "xy"])
+        return F.when((p["z"] >= level) != (q["z"] >= level), point)
 
     ends = F.array_compact(F.array(cut(0, 1), cut(1, 2), cut(2, 0)))
     cuts = t.withColumn("e", ends).where(F.size("e") == 2)
@@ -168,46 +116,80 @@ def _beyond(xy: np.ndarray, z: np.ndarray, at: np.ndarray, base: np.ndarray) ->
     return out
 
 
-def height_above_ground(points: DataFrame, tile: float, buffer: float, ground_class: int = 2) -> DataFrame:
-    """source_file, point_index and height: z above the triangulated ground; null outside of it."""
+def _size_class(low: Column, high: Column) -> Column:
+    """The power of two that is at least the larger extent, as its exponent."""
+    return F.ceil(F.log2(F.greatest(high, low, F.lit(2.0**-20)))).cast("int")
+
 
-    def heights(frame: pd.DataFrame) -> pd.DataFrame:
-        xy, z = _distinct(frame[frame["classification"] == ground_class])
-        own = frame[~frame["is_buffer"]]
-        base = _interpolate(xy, z, delaunay(xy), own[["x", "y"]].to_numpy(float))
-        return own[["source_file", "point_index"]].assign(height=own["z"].to_numpy(float) - base)
+def heights_at(triangles: DataFrame, places: DataFrame, key: list[str]) -> DataFrame:
+    """key and surface: the height of the surface at places (key, x, y); places outside of it are missing.
 
-    spread = _real(tiles(points, tile, buffer))
-    spread = spread.select("tile_col", "tile_row", "is_buffer", "source_file", "point_index", "classification", "x", "y", "z")
-    found = spread.groupBy("tile_col", "tile_row").applyInPandas(heights, "source_file string, point_index long, height double")
-    return found.withColumn("height", F.when(~F.isnan("height"), F.col("height")))
+    A triangle is dealt to the cells, of about its own size, that its box meets (four at most),
+    and a place looks into its cell of every size that there is: a join by equality, whatever
+    the triangles' sizes. At edges, where several triangles hold a place, heights are the same but for rounding; the least counts.
+    """
+    box = {f"{f}{a}": g(*[F.col(f"{a}{k}") for k in range(3)]) for a in "xy" for f, g in (("low", F.least), ("high", F.greatest))}
+    t = triangles.withColumns(box).withColumn("size", _size_class(F.col("highx") - F.col("lowx"), F.col("highy") - F.col("lowy")))
+    side = F.pow(F.lit(2.0), F.col("size"))
+    cells = lambda a: F.explode(F.sequence(F.floor(F.col(f"low{a}") / side), F.floor(F.col(f"high{a}") / side)))
+    dealt = written(t.withColumn("cx", cells("x")).withColumn("cy", cells("y")).select("size", "cx", "cy", *CORNERS), "tin-index")
+    sizes = F.broadcast(dealt.select("size").distinct())  # exponents of doubles: some tens
+    at = places.select(*key, "x", "y").join(sizes)
+    at = at.withColumns({"cx": F.floor(F.col("x") / side), "cy": F.floor(F.col("y") / side)})
+    met = at.join(dealt, ["size", "cx", "cy"])
+    cross = lambda a, b: (F.col(f"x{b}") - F.col(f"x{a}")) * (F.col("y") - F.col(f"y{a}")) - (F.col(f"y{b}") - F.col(f"y{a}")) * (F.col("x") - F.col(f"x{a}"))
+    w = [cross(1, 2), cross(2, 0), cross(0, 1)]
+    whole = w[0] + w[1] + w[2]
+    slack = -1e-9 * whole
+    height = (w[0] * F.col("z0") + w[1] * F.col("z1") + w[2] * F.col("z2")) / whole
+    inside = met.where((w[0] >= slack) & (w[1] >= slack) & (w[2] >= slack) & (whole > 0))
+    return inside.select(*key, height.alias("surface")).groupBy(*key).agg(F.min("surface").alias("surface"))
+
+
+def height_above_ground(points: DataFrame, ground_class: int = 2, most: int = 150_000) -> DataFrame:
+    """source_file, point_index and height: z above the triangulated ground; null outside of it."""
+    key = ["source_file", "point_index"]
+    triangles = tin(points.where(F.col("classification") == ground_class), most)
+    at = points.select(*key, *[xyz(a).alias(a) for a in "xyz"])
+    found = heights_at(triangles, at, key)
+    return at.join(found, key, "left").select(*key, (F.col("z") - F.col("surface")).alias("height"))
 
 
-def classify_ground(points: DataFrame, tile: float, buffer: float, step: float, offset: float, rounds: int = 3) -> DataFrame:
+def classify_ground(points: DataFrame, step: float, offset: float, rounds: int = 3, most: int = 60_000) -> DataFrame:
     """source_file, point_index and is_ground: the lowest point of each cell of `step` begins a surface that grows.
 
     In each round the points within `offset` of the surface join it, and the surface is made
-    anew; outside of it the nearest point of the surface counts. An approximation of bare earth by progressive densification.
+    anew; outside of it the nearest point of the surface counts. An approximation of bare earth by
+    progressive densification, in tiles with margins that hold at most `most` points together
+    (more only where so many share three raw units). Points with a null coordinate are left out.
     """
+    scale, shift = DEFAULT_SCALE.scale, DEFAULT_SCALE.offset
 
     def grow(frame: pd.DataFrame) -> pd.DataFrame:
         f = frame.reset_index(drop=True)
-        cell = pd.Series(list(zip(np.floor(f["x"] / step), np.floor(f["y"] / step), strict=True)))
+        raw, z = f[["x0", "y0"]].to_numpy(np.int64), f["zi"].to_numpy(float) * scale[2] + shift[2]
+        xy = raw * np.array(scale[:2]) + np.array(shift[:2])
+        cell = np.floor(xy / step).astype(np.int64)
+        order = np.lexsort((z, cell[:, 1], cell[:, 0]))
         ground = np.zeros(len(f), bool)
-        ground[f.groupby(cell, sort=False)["z"].idxmin()] = True
+        ground[order[np.r_[True, (np.diff(cell[order], axis=0) != 0).any(1)]]] = True
         for _ in range(rounds):
-            xy, z = _distinct(f[ground])
-            base = _beyond(xy, z, f[["x", "y"]].to_numpy(float), _interpolate(xy, z, delaunay(xy), f[["x", "y"]].to_numpy(float)))
+            at = np.flatnonzero(ground)
+            at = at[np.lexsort((z[at], raw[at, 1], raw[at, 0]))]
+            at = at[np.r_[True, (np.diff(raw[at], axis=0) != 0).any(1)]] if len(at) else at  # the lowest at each place
+            base = _beyond(xy[at], z[at], xy, _interpolate(xy[at], z[at], delaunay(raw[at, 0], raw[at, 1]), xy))
             with np.errstate(invalid="ignore"):
-                more = ground | (np.abs(f["z"].to_numpy(float) - base) <= offset)
+                more = ground | (np.abs(z - base) <= offset)
             if (more == ground).all():
                 break
             ground = more
-        own = ~f["is_buffer"].to_numpy(bool)
+        own = f["own"].to_numpy(bool)
         return f.loc[own, ["source_file", "point_index"]].assign(is_ground=ground[own])
 
-    spread = _real(tiles(points, tile, buffer)).select("tile_col", "tile_row", "is_buffer", "source_file", "point_index", "x", "y", "z")
-    return spread.groupBy("tile_col", "tile_row").applyInPandas(grow, "source_file string, point_index long, is_ground boolean")
+    known = points.where("xi IS NOT NULL AND yi IS NOT NULL AND zi IS NOT NULL")
+    rows = written(known.select("source_file", "point_index", F.col("xi").cast("long").alias("x0"), F.col("yi").cast("long").alias("y0"), "zi"), "ground-points")
+    dealt, _ = deal(rows, rows.count(), most)
+    return dealt.groupBy("level", "col", "row").applyInPandas(grow, "source_file string, point_index long, is_ground boolean")
 
 
 def classify_objects(heights: DataFrame, points: DataFrame, planes: DataFrame, step: float, least: float = 2.0, flat: float = 0.05) -> DataFrame:
@@ -235,20 +217,21 @@ def boundary(triangles: DataFrame, concavity: float) -> DataFrame:
 
 
 def _hull(xy: np.ndarray) -> np.ndarray:
-    """Corners of the convex hull, counter-clockwise."""
+    """Corners of the convex hull, counter-clockwise; exact for integers."""
     p = np.unique(xy, axis=0)
     if len(p) < 3:
         return p
 
-    def half(points: np.ndarray) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        for q in points:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]) <= 0:
+    def half(points: list[list]) -> list[list]:
+        out: list[list] = []
+        for x, y in points:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (y - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (x - out[-2][0]):
                 out.pop()
-            out.append(q)
+            out.append([x, y])
         return out[:-1]
 
-    return np.array(half(p) + half(p[::-1]))
+    rows = p.tolist()
+    return np.array(half(rows) + half(rows[::-1]))
 
 
 def convex_hull(points: DataFrame) -> DataFrame:

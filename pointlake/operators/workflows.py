@@ -1,7 +1,7 @@
 """Whole workflows over flight lines and very large clouds: every step is an operator, and Spark plans them as one job.
 
 Cutting into tiles and merging the results again, which a folder of files needs, is what the
-buffered tiles of `surface` do inside a job; there are no files in between.
+tiles of `triangulation` do inside a job; there are no files in between.
 """
 
 from __future__ import annotations
@@ -15,41 +15,41 @@ from pointlake.operators.filters import xyz
 KEY = ["source_file", "point_index"]
 
 
-def with_ground(points: DataFrame, tile: float, buffer: float, step: float, offset: float) -> DataFrame:
+def with_ground(points: DataFrame, step: float, offset: float) -> DataFrame:
     """Points with ground found and written as class 2; what was class 2 and isn't ground becomes 1."""
-    ground = surface.classify_ground(points, tile, buffer, step, offset)
+    ground = surface.classify_ground(points, step, offset)
     was = F.when(F.col("classification") == 2, 1).otherwise(F.col("classification"))
     return points.join(ground, KEY).withColumn("classification", F.when(F.col("is_ground"), 2).otherwise(was)).drop("is_ground")
 
 
-def normalize(points: DataFrame, tile: float, buffer: float) -> DataFrame:
+def normalize(points: DataFrame) -> DataFrame:
     """Points with heights above the class 2 surface in place of z; points outside of it go."""
-    heights = surface.height_above_ground(points, tile, buffer).where("height IS NOT NULL")
+    heights = surface.height_above_ground(points).where("height IS NOT NULL")
     return points.join(heights, KEY).withColumn("zi", F.round(F.col("height") * 100).cast("int")).drop("height")
 
 
-def terrain_model(points: DataFrame, tile: float, buffer: float, step: float) -> DataFrame:
+def terrain_model(points: DataFrame, step: float, kill: float = 100.0) -> DataFrame:
     """col, row, value: the ground's surface."""
-    return surface.dem(surface.tin(points.where("classification = 2"), tile, buffer), step, buffer)
+    return surface.dem(surface.tin(points.where("classification = 2")), step, kill)
 
 
-def surface_model(points: DataFrame, tile: float, buffer: float, step: float) -> DataFrame:
+def surface_model(points: DataFrame, step: float, kill: float = 100.0) -> DataFrame:
     """col, row, value: the surface of first returns."""
-    return surface.dem(surface.tin(points.where("return_number <= 1"), tile, buffer), step, buffer)
+    return surface.dem(surface.tin(points.where("return_number <= 1")), step, kill)
 
 
-def canopy_model(normalized: DataFrame, tile: float, buffer: float, step: float, thin: float) -> DataFrame:
+def canopy_model(normalized: DataFrame, step: float, thin: float, kill: float = 100.0) -> DataFrame:
     """col, row, value: the surface of the highest point of each cell of `thin`."""
     highest = cleaning.thin_by_cell(normalized.where("return_number <= 1"), thin, "highest").drop("cx", "cy")
-    return surface.dem(surface.tin(highest, tile, buffer), step, buffer)
+    return surface.dem(surface.tin(highest), step, kill)
 
 
 def pit_free_canopy_model(
-    normalized: DataFrame, tile: float, buffer: float, step: float, thin: float, levels: tuple[float, ...] = (0.0, 2.0, 5.0, 10.0, 15.0, 20.0), kill: float = 10.0
+    normalized: DataFrame, step: float, thin: float, levels: tuple[float, ...] = (0.0, 2.0, 5.0, 10.0, 15.0, 20.0), kill: float = 10.0, first_kill: float = 100.0
 ) -> DataFrame:
     """col, row, value: of surfaces over the points from each level up, without edges over `kill` above the lowest level, the highest."""
     highest = cleaning.thin_by_cell(normalized.where("return_number <= 1"), thin, "highest").drop("cx", "cy")
-    layers = [surface.dem(surface.tin(highest.where(xyz("z") >= level), tile, buffer), step, buffer if k == 0 else kill) for k, level in enumerate(levels)]
+    layers = [surface.dem(surface.tin(highest.where(xyz("z") >= level)), step, first_kill if k == 0 else kill) for k, level in enumerate(levels)]
     merged = layers[0]
     for layer in layers[1:]:
         merged = merged.union(layer)

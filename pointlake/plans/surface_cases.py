@@ -6,10 +6,11 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pointlake.functions import projections as proj
+from pointlake.operators import contours as lines
 from pointlake.operators import spatial, surface
 from pointlake.plans.point_cases import X, Y, points_sql
 from pointlake.schema import lineitem_points
@@ -19,26 +20,45 @@ from pointlake.streaming import points as streams
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-TILE, BUFFER = 200.0, 100.0  # the buffer is as long as the longest edge that rasters keep
+KILL = 100.0  # rasters leave out triangles with a longer edge
 
 
 def _tin(spark: SparkSession, sf: str) -> DataFrame:
-    return surface.tin(lineitem_points(spark, sf).where("classification = 2"), TILE, BUFFER)
+    return surface.tin(lineitem_points(spark, sf).where("classification = 2"))
 
 
 QUERIES["tin"] = _tin
 QUERIES["dem"] = lambda spark, sf: surface.dem(_tin(spark, sf), 10.0)
-QUERIES["hillshade"] = lambda spark, sf: surface.hillshade(_tin(spark, sf)).select("tile_col", "tile_row", "shade")
+QUERIES["hillshade"] = lambda spark, sf: surface.hillshade(_tin(spark, sf), 10.0)
 QUERIES["contours"] = lambda spark, sf: surface.contours(_tin(spark, sf), 100.0)
+QUERIES["contour_lines"] = lambda spark, sf: lines.link(surface.contours(_tin(spark, sf), 100.0))
+QUERIES["contour_lines_smooth"] = lambda spark, sf: lines.smooth(lines.simplify_length(lines.clean(lines.link(surface.contours(_tin(spark, sf), 200.0)), 50.0), 5.0), 2)
+
+
+def _chains(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of consecutive points of a supplier, those of class 5 left out, as segments; of every second supplier's runs of 4 and more the ends are joined."""
+    at = lineitem_points(spark, sf).select(F.col("source_file").cast("double").alias("level"), "point_index", "classification")
+    runs = at.where("classification <> 5").withColumn("run", F.col("point_index") - F.row_number().over(Window.partitionBy("level").orderBy("point_index")))
+    segment = lambda a, b: (F.col(a).cast("double").alias("ax"), F.lit(0.0).alias("ay"), F.col(b).cast("double").alias("bx"), F.lit(0.0).alias("by"))
+    ahead = runs.withColumn("next", F.lead("point_index").over(Window.partitionBy("level", "run").orderBy("point_index"))).where("next IS NOT NULL")
+    ends = runs.groupBy("level", "run").agg(F.min("point_index").alias("a"), F.max("point_index").alias("b")).where("b - a >= 3 AND level % 2 = 0")
+    linked = lines.link(ahead.select("level", *segment("next", "point_index")).union(ends.select("level", *segment("b", "a"))))
+    return lines.line_lengths(linked).select("level", "ring", "corners", "length")
+
+
+QUERIES["line_linking"] = _chains
+ORACLE_SQL["line_linking"] = points_sql("""WITH r AS (SELECT CAST(source_file AS DOUBLE) AS level, point_index, point_index - row_number() OVER (PARTITION BY source_file ORDER BY point_index) AS run FROM pts WHERE classification <> 5),
+    g AS (SELECT level, run, max(point_index) - min(point_index) AS n FROM r GROUP BY 1, 2)
+    SELECT level, n >= 3 AND level % 2 = 0 AS ring, n + CASE WHEN n >= 3 AND level % 2 = 0 THEN 2 ELSE 1 END AS corners, CAST(n * CASE WHEN n >= 3 AND level % 2 = 0 THEN 2 ELSE 1 END AS DOUBLE) AS length FROM g WHERE n >= 1""")
 QUERIES["boundary"] = lambda spark, sf: surface.boundary(_tin(spark, sf), 50.0)
-QUERIES["height_above_ground"] = lambda spark, sf: surface.height_above_ground(lineitem_points(spark, sf), TILE, BUFFER)
-QUERIES["classify_ground"] = lambda spark, sf: surface.classify_ground(lineitem_points(spark, sf), TILE, BUFFER, 40.0, 30.0)
+QUERIES["height_above_ground"] = lambda spark, sf: surface.height_above_ground(lineitem_points(spark, sf))
+QUERIES["classify_ground"] = lambda spark, sf: surface.classify_ground(lineitem_points(spark, sf), 40.0, 30.0)
 QUERIES["convex_hull"] = lambda spark, sf: surface.convex_hull(lineitem_points(spark, sf))
 
 
 def _objects_of(points: DataFrame) -> DataFrame:
     """source_file, point_index and classification of every point; planes are those of the points above ground."""
-    heights = surface.height_above_ground(points, TILE, BUFFER)
+    heights = surface.height_above_ground(points)
     high = points.join(heights.where("height > 2.0"), ["source_file", "point_index"])
     return surface.classify_objects(heights, points, spatial.planes(high, 50.0), 50.0).select("source_file", "point_index", "classification")
 

@@ -11,7 +11,7 @@ from pointlake.operators import raster, spatial, workflows
 from pointlake.operators import index as quadtree
 from pointlake.operators.filters import FILTERS
 from pointlake.plans.point_cases import X, Y, Z, points_sql
-from pointlake.plans.surface_cases import BUFFER, TILE, scratch
+from pointlake.plans.surface_cases import scratch
 from pointlake.plans.tool_cases import AS_CELL
 from pointlake.plans.tool_cases import ORACLE_SQL as TOOL_SQL
 from pointlake.schema import lineitem_points
@@ -79,15 +79,15 @@ ORACLE_SQL["index_merged_intervals"] = f"""WITH v AS ({_SPANS}),
 
 # --- workflows
 def _normalized(spark: SparkSession, sf: str) -> DataFrame:
-    return workflows.normalize(lineitem_points(spark, sf), TILE, BUFFER)
+    return workflows.normalize(lineitem_points(spark, sf))
 
 
-QUERIES["workflow_ground"] = lambda spark, sf: workflows.with_ground(lineitem_points(spark, sf), TILE, BUFFER, 40.0, 30.0).select("source_file", "point_index", "classification")
-QUERIES["workflow_terrain"] = lambda spark, sf: workflows.terrain_model(lineitem_points(spark, sf), TILE, BUFFER, 10.0)
-QUERIES["workflow_surface"] = lambda spark, sf: workflows.surface_model(lineitem_points(spark, sf), TILE, BUFFER, 10.0)
+QUERIES["workflow_ground"] = lambda spark, sf: workflows.with_ground(lineitem_points(spark, sf), 40.0, 30.0).select("source_file", "point_index", "classification")
+QUERIES["workflow_terrain"] = lambda spark, sf: workflows.terrain_model(lineitem_points(spark, sf), 10.0)
+QUERIES["workflow_surface"] = lambda spark, sf: workflows.surface_model(lineitem_points(spark, sf), 10.0)
 QUERIES["workflow_normalized"] = lambda spark, sf: _normalized(spark, sf).select("source_file", "point_index", "zi")
-QUERIES["workflow_canopy"] = lambda spark, sf: workflows.canopy_model(_normalized(spark, sf), TILE, BUFFER, 10.0, 5.0)
-QUERIES["workflow_canopy_pit_free"] = lambda spark, sf: workflows.pit_free_canopy_model(_normalized(spark, sf), TILE, BUFFER, 10.0, 5.0, (0.0, 50.0, 200.0, 400.0), 40.0)
+QUERIES["workflow_canopy"] = lambda spark, sf: workflows.canopy_model(_normalized(spark, sf), 10.0, 5.0)
+QUERIES["workflow_canopy_pit_free"] = lambda spark, sf: workflows.pit_free_canopy_model(_normalized(spark, sf), 10.0, 5.0, (0.0, 50.0, 200.0, 400.0), 40.0)
 QUERIES["workflow_remove_duplicates"] = lambda spark, sf: workflows.remove_duplicates(lineitem_points(spark, sf)).select("source_file", "point_index", "zi")
 ORACLE_SQL["workflow_remove_duplicates"] = TOOL_SQL["duplicates_xyz"]
 

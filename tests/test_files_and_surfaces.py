@@ -48,7 +48,7 @@ def test_triangles_are_delaunay_and_cover_the_hull(spark):
     rng = np.random.default_rng(5)
     xyz = np.column_stack([rng.uniform(0, 90, (400, 2)).round(2), rng.uniform(0, 20, 400).round(2)])
     xyz = np.vstack([xyz, xyz[:20] + [0, 0, 5]])  # places that repeat: the lowest counts
-    t = surface.tin(_points(spark, xyz), 100.0, 50.0).toPandas()
+    t = surface.tin(_points(spark, xyz)).toPandas()
     c = t[surface.CORNERS].to_numpy().reshape(-1, 3, 3)
     u, v = c[:, 1, :2] - c[:, 0, :2], c[:, 2, :2] - c[:, 0, :2]
     area = np.abs(u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]) / 2
@@ -73,20 +73,22 @@ def test_raster_and_heights_of_a_plane(spark):
     above = rng.uniform(40, 160, (50, 2)).round(2)
     xyz = np.vstack([np.column_stack([xy, plane(xy)]), np.column_stack([above, plane(above) + 7])])
     points = _points(spark, xyz, [2] * 600 + [1] * 50)
-    cells = surface.dem(surface.tin(points.where("classification = 2"), 100.0, 60.0), 5.0).toPandas()
+    cells = surface.dem(surface.tin(points.where("classification = 2")), 5.0).toPandas()
     want = plane((cells[["col", "row"]].to_numpy() + 0.5) * 5.0)
     assert len(cells) > 1200 and np.abs(cells["value"] - want).max() < 0.05
-    heights = surface.height_above_ground(points, 100.0, 60.0).toPandas().set_index("point_index")["height"].sort_index()
+    heights = surface.height_above_ground(points).toPandas().set_index("point_index")["height"].sort_index()
     assert len(heights) == 650 and np.abs(heights.loc[600:] - 7).max() < 0.05 and heights.loc[:599].abs().max() < 1e-9
 
 
-def test_ground_is_told_from_what_stands_on_it(spark):
+@pytest.mark.parametrize(("most", "least"), [(60_000, 0.97), (2_500, 0.95)])
+def test_ground_is_told_from_what_stands_on_it(spark, most, least):
+    """In one tile, and in sixteen."""
     rng = np.random.default_rng(7)
-    xy = rng.uniform(0, 200, (900, 2))
-    tree = rng.uniform(20, 180, (200, 2))
-    xyz = np.vstack([np.column_stack([xy, 0.05 * xy[:, 0]]), np.column_stack([tree, 0.05 * tree[:, 0] + rng.uniform(5, 20, 200)])])
-    got = surface.classify_ground(_points(spark, xyz, [1] * 1100), 100.0, 50.0, 20.0, 1.0).toPandas().set_index("point_index")["is_ground"].sort_index()
-    assert got.loc[:899].mean() > 0.97 and got.loc[900:].sum() == 0
+    xy = rng.uniform(0, 400, (3600, 2))
+    tree = rng.uniform(20, 380, (800, 2))
+    xyz = np.vstack([np.column_stack([xy, 0.05 * xy[:, 0]]), np.column_stack([tree, 0.05 * tree[:, 0] + rng.uniform(5, 20, 800)])])
+    got = surface.classify_ground(_points(spark, xyz, [1] * 4400), 20.0, 1.0, most=most).toPandas().set_index("point_index")["is_ground"].sort_index()
+    assert len(got) == 4400 and got.loc[:3599].mean() > least and got.loc[3600:].mean() < 0.01
 
 
 def test_equal_points_in_polygons_stay(spark):

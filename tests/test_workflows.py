@@ -30,13 +30,13 @@ def test_canopy_models(spark):
     crown = np.column_stack([rng.uniform(40, 60, (400, 2)), np.full(400, 12.0)])
     pits = np.column_stack([rng.uniform(44, 56, (15, 2)), np.full(15, 1.0)])
     points = _points(spark, np.vstack([ground, crown, pits]), [2] * 800 + [1] * 415).withColumn("return_number", F.lit(1))
-    tall = workflows.normalize(points, 60.0, 50.0)
+    tall = workflows.normalize(points)
     assert tall.count() > 1150
     inside = (F.col("col").between(45, 54)) & (F.col("row").between(45, 54))
-    plain = workflows.canopy_model(tall, 60.0, 50.0, 1.0, 0.5).where(inside).agg(F.min("value")).first()[0]
-    free = workflows.pit_free_canopy_model(tall, 60.0, 50.0, 1.0, 0.5, (0.0, 2.0, 5.0), 10.0).where(inside).agg(F.min("value")).first()[0]
+    plain = workflows.canopy_model(tall, 1.0, 0.5, 50.0).where(inside).agg(F.min("value")).first()[0]
+    free = workflows.pit_free_canopy_model(tall, 1.0, 0.5, (0.0, 2.0, 5.0), 10.0).where(inside).agg(F.min("value")).first()[0]
     assert plain < 9 and abs(free - 12) < 0.1  # pits and ground below the crown are gone
-    terrain = workflows.terrain_model(points, 60.0, 50.0, 5.0).toPandas()
+    terrain = workflows.terrain_model(points, 5.0).toPandas()
     assert len(terrain) > 300 and terrain["value"].abs().max() < 1e-9
-    again = workflows.with_ground(points.withColumn("classification", F.lit(1)), 100.0, 50.0, 30.0, 0.5).toPandas().set_index("point_index")["classification"].sort_index()
+    again = workflows.with_ground(points.withColumn("classification", F.lit(1)), 30.0, 0.5).toPandas().set_index("point_index")["classification"].sort_index()
     assert (again.loc[800:1199] == 1).all() and (again.loc[:799] == 2).mean() > 0.9
