@@ -52,6 +52,53 @@ ORACLE_SQL["index_cell_boxes"] = points_sql(
 )
 
 
+def _tree_of(spark: SparkSession, sf: str) -> tuple[quadtree.Quadtree, DataFrame]:
+    tree = quadtree.Quadtree.tiling(0.0, 0.0, 32768.0, 10)
+    return tree, tree.indexed(lineitem_points(spark, sf))
+
+
+_ADAPTED_LEAST, _ADAPTED_LEVELS = 1500, 10
+
+
+def _adapted_sql() -> str:
+    """Merged level by level: a cell takes the place of its four quadrants if all are cells and hold fewer points than the least."""
+    bits = lambda v: " + ".join(f"((CAST(floor({v} / 32) AS BIGINT) >> {k} & 1) << {2 * k})" for k in range(_ADAPTED_LEVELS))
+    steps = [f"m{_ADAPTED_LEVELS} AS (SELECT {bits(X)} + (({bits(Y)}) << 1) AS code, count(*) AS n FROM pts GROUP BY 1)"]
+    for level in range(_ADAPTED_LEVELS - 1, -1, -1):
+        steps.append(f"m{level} AS (SELECT code >> 2 AS code, CAST(sum(n) AS BIGINT) AS n FROM m{level + 1} GROUP BY 1 HAVING count(*) = 4 AND sum(n) < {_ADAPTED_LEAST})")
+    left = [f"SELECT {level} AS level, code, n FROM m{level}" + (f" WHERE code >> 2 NOT IN (SELECT code FROM m{level - 1})" if level else "") for level in range(_ADAPTED_LEVELS + 1)]
+    return f"WITH {', '.join(steps)} {' UNION ALL '.join(left)}"
+
+
+def _adapted(spark: SparkSession, sf: str) -> DataFrame:
+    tree, indexed = _tree_of(spark, sf)
+    return tree.adapted(indexed, _ADAPTED_LEAST)
+
+
+def _adapted_region(spark: SparkSession, sf: str, shape: str, *args: float) -> DataFrame:
+    tree, indexed = _tree_of(spark, sf)
+    met = getattr(tree, f"meeting_{shape}")(tree.adapted(indexed, _ADAPTED_LEAST), *args)
+    return met.select("level", "code", "n", tree.cell_index(F.col("level"), F.col("code")).alias("cell_index"))
+
+
+QUERIES["index_adaptive"] = _adapted
+ORACLE_SQL["index_adaptive"] = points_sql(_adapted_sql())
+_SIDES = {a: " + ".join(f"((code >> {2 * k + odd} & 1) << {k})" for k in range(_ADAPTED_LEVELS)) for odd, a in enumerate("xy")}
+_BOXED = f"SELECT *, 32768.0 / (1 << level) AS size, ({_SIDES['x']}) * 32768.0 / (1 << level) AS ax, ({_SIDES['y']}) * 32768.0 / (1 << level) AS ay FROM ({_adapted_sql()})"
+_CELL_INDEX = "CAST(((CAST(1 AS BIGINT) << (2 * level)) - 1) // 3 + code AS BIGINT) AS cell_index"
+QUERIES["index_adaptive_rectangle"] = lambda spark, sf: _adapted_region(spark, sf, "rectangle", 200.0, 96.0, 900.0, 416.0)
+ORACLE_SQL["index_adaptive_rectangle"] = points_sql(f"SELECT level, code, n, {_CELL_INDEX} FROM ({_BOXED}) WHERE ax < 900 AND ax + size > 200 AND ay < 416 AND ay + size > 96")
+QUERIES["index_adaptive_circle"] = lambda spark, sf: _adapted_region(spark, sf, "circle", 1000.0, 300.0, 150.0)
+ORACLE_SQL["index_adaptive_circle"] = points_sql(
+    f"SELECT level, code, n, {_CELL_INDEX} FROM ({_BOXED}) WHERE pow(greatest(ax - 1000, 1000 - ax - size, 0), 2) + pow(greatest(ay - 300, 300 - ay - size, 0), 2) < 22500"
+)
+QUERIES["index_rectangle_cells"] = lambda spark, sf: _tree_of(spark, sf)[0].rectangle(spark, 200.0, 96.0, 900.0, 416.0).select("col", "row").join(
+    _tree_of(spark, sf)[1].select(F.floor(F.col("xi") * 0.01 / 32).alias("col"), F.floor(F.col("yi") * 0.01 / 32).alias("row")), ["col", "row"], "left"
+).groupBy("col", "row").agg(F.count(F.lit(1)).alias("rows"))
+ORACLE_SQL["index_rectangle_cells"] = points_sql(f"""SELECT c.col, r.row, count(*) AS rows FROM (SELECT unnest(range(6, 29)) AS col) AS c CROSS JOIN (SELECT unnest(range(3, 13)) AS row) AS r
+    LEFT JOIN (SELECT CAST(floor({X} / 32) AS BIGINT) AS col, CAST(floor({Y} / 32) AS BIGINT) AS row FROM pts) AS p ON p.col = c.col AND p.row = r.row GROUP BY 1, 2""")
+
+
 def _intervals(spark: SparkSession, sf: str) -> DataFrame:
     return spatial.index_intervals(spatial.quadtree_cell(lineitem_points(spark, sf), 0.0, 0.0, 64.0, 6), 5)
 
