@@ -32,7 +32,8 @@ class Ellipsoid:
 ELLIPSOIDS = {
     "wgs84": Ellipsoid(6378137.0, 298.257223563), "grs80": Ellipsoid(6378137.0, 298.257222101), "wgs72": Ellipsoid(6378135.0, 298.26),
     "clarke1866": Ellipsoid(6378206.4, 294.9786982), "airy": Ellipsoid(6377563.396, 299.3249646), "bessel": Ellipsoid(6377397.155, 299.1528128),
-    "international": Ellipsoid(6378388.0, 297.0),
+    "international": Ellipsoid(6378388.0, 297.0), "krassowsky": Ellipsoid(6378245.0, 298.3), "clarke1880": Ellipsoid(6378249.145, 293.465),
+    "everest1967": Ellipsoid(6377298.556, 300.8017), "australian": Ellipsoid(6378160.0, 298.25),
 }
 WGS84 = ELLIPSOIDS["wgs84"]
 
@@ -139,6 +140,108 @@ def albers(lon: Column, lat: Column, lon0: float, lat0: float, lat1: float, lat2
     return east + r * F.sin(angle), north + r0 - r * F.cos(angle)
 
 
+def inverse_albers(x: Column, y: Column, lon0: float, lat0: float, lat1: float, lat2: float, east: float = 0.0, north: float = 0.0, e: Ellipsoid = WGS84) -> tuple[Column, Column]:
+    p0, p1, p2 = map(math.radians, (lat0, lat1, lat2))
+    n = (_m(p1, e) ** 2 - _m(p2, e) ** 2) / (_authalic(p2, e) - _authalic(p1, e)) if lat1 != lat2 else math.sin(p1)
+    c = _m(p1, e) ** 2 + n * _authalic(p1, e)
+    k, sign = math.sqrt(e.e2), 1.0 if n > 0 else -1.0
+    dx, dy = sign * (x - east), sign * (e.a * math.sqrt(c - n * _authalic(p0, e)) / n - (y - north))
+    q = (c - (dx * dx + dy * dy) * (n / e.a) ** 2) / n
+    pole = _authalic(math.pi / 2, e)
+    beta = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), q / pole)))  # the authalic latitude
+    e2, e4, e6 = e.e2, e.e2**2, e.e2**3
+    lat = beta + (e2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040) * F.sin(2 * beta) + (23 * e4 / 360 + 251 * e6 / 3780) * F.sin(4 * beta) + 761 * e6 / 45360 * F.sin(6 * beta)
+    s = F.sin(lat)
+    w = 1 - e2 * s * s
+    lat = lat + F.when(F.cos(lat) > 1e-9, w * w / (2 * F.cos(lat)) * (q / (1 - e2) - s / w - F.atanh(k * s) / k)).otherwise(0.0)
+    return lon0 + F.degrees(F.atan2(dx, dy) / n), F.degrees(lat)
+
+
+@dataclass(frozen=True)
+class _Oblique:
+    """What an oblique Mercator projection needs: a conformal sphere (a, b), and the great circle through the centre, by g and lon0."""
+
+    a: float
+    b: float
+    h: float
+    g: float
+    lon0: float
+    shift: float
+
+    @staticmethod
+    def of(lon_c: float, lat_c: float, azimuth: float, k: float, e: Ellipsoid, centred: bool) -> _Oblique:
+        p, az, sin = math.radians(lat_c), math.radians(azimuth), math.sin(math.radians(lat_c))
+        b = math.sqrt(1 + e.e2 * math.cos(p) ** 4 / (1 - e.e2))
+        a = e.a * b * k * math.sqrt(1 - e.e2) / (1 - e.e2 * sin * sin)
+        d = max(b * math.sqrt(1 - e.e2) / (math.cos(p) * math.sqrt(1 - e.e2 * sin * sin)), 1.0)
+        f = d + math.copysign(math.sqrt(d * d - 1), lat_c)
+        h = f * math.exp(-b * _q(p, e))
+        g = math.asin(max(-1.0, min(1.0, math.sin(az) / d)))
+        lon0 = math.radians(lon_c) - math.asin(max(-1.0, min(1.0, (f - 1 / f) / 2 * math.tan(g)))) / b
+        u = math.copysign(a / b * math.atan2(math.sqrt(d * d - 1), math.cos(az)), lat_c) if abs(azimuth) != 90 else a * (math.radians(lon_c) - lon0)
+        return _Oblique(a, b, h, g, lon0, u if centred else 0.0)
+
+
+def oblique_mercator(
+    lon: Column, lat: Column, lon_c: float, lat_c: float, azimuth: float, rectified: float, k: float = 1.0, east: float = 0.0, north: float = 0.0, e: Ellipsoid = WGS84, centred: bool = False
+) -> tuple[Column, Column]:
+    """Hotine's oblique Mercator; east and north are given where the circle crosses the sphere's equator, or (centred) at the projection's centre."""
+    o, ecc, p = _Oblique.of(lon_c, lat_c, azimuth, k, e, centred), math.sqrt(e.e2), F.radians(lat)
+    q = o.h * F.exp(o.b * (F.atanh(F.sin(p)) - ecc * F.atanh(ecc * F.sin(p))))
+    s, t, angle = (q - 1 / q) / 2, (q + 1 / q) / 2, o.b * (F.radians(lon) - o.lon0)
+    across = (s * math.sin(o.g) - F.sin(angle) * math.cos(o.g)) / t
+    v = -o.a / o.b * F.atanh(across)
+    u = o.a / o.b * F.atan2(s * math.cos(o.g) + F.sin(angle) * math.sin(o.g), F.cos(angle)) - o.shift
+    c, d = math.cos(math.radians(rectified)), math.sin(math.radians(rectified))
+    return east + v * c + u * d, north + u * c - v * d
+
+
+def inverse_oblique_mercator(
+    x: Column, y: Column, lon_c: float, lat_c: float, azimuth: float, rectified: float, k: float = 1.0, east: float = 0.0, north: float = 0.0, e: Ellipsoid = WGS84, centred: bool = False
+) -> tuple[Column, Column]:
+    o = _Oblique.of(lon_c, lat_c, azimuth, k, e, centred)
+    c, d = math.cos(math.radians(rectified)), math.sin(math.radians(rectified))
+    v, u = (x - east) * c - (y - north) * d, (y - north) * c + (x - east) * d + o.shift
+    s, t = F.sinh(-o.b / o.a * v), F.cosh(-o.b / o.a * v)
+    angle = o.b / o.a * u
+    up = (F.sin(angle) * math.cos(o.g) + s * math.sin(o.g)) / t
+    isometric = (F.atanh(up) - math.log(o.h)) / o.b
+    return F.degrees(o.lon0 - F.atan2(s * math.cos(o.g) - F.sin(angle) * math.sin(o.g), F.cos(angle)) / o.b), F.degrees(_latitude(isometric, e))
+
+
+def _double_sphere(lat0: float, e: Ellipsoid) -> tuple[float, float, float, float]:
+    """Radius, exponent, factor and the centre's latitude of the conformal sphere of an oblique stereographic projection."""
+    p, sin = math.radians(lat0), math.sin(math.radians(lat0))
+    radius = e.a * math.sqrt(1 - e.e2) / (1 - e.e2 * sin * sin)
+    n = math.sqrt(1 + e.e2 * math.cos(p) ** 4 / (1 - e.e2))
+    centre = math.asin(sin / n)  # where the sphere touches
+    return radius, n, math.atanh(math.sin(centre)) - n * _q(p, e), centre
+
+
+def oblique_stereographic(lon: Column, lat: Column, lon0: float, lat0: float, k: float = 1.0, east: float = 0.0, north: float = 0.0, e: Ellipsoid = WGS84) -> tuple[Column, Column]:
+    """The ellipsoid onto a sphere, conformally, and that onto a plane at the centre."""
+    radius, n, c, centre = _double_sphere(lat0, e)
+    ecc, p = math.sqrt(e.e2), F.radians(lat)
+    on_sphere = F.asin(F.tanh(n * (F.atanh(F.sin(p)) - ecc * F.atanh(ecc * F.sin(p))) + c))
+    angle = n * F.radians(lon - lon0)
+    whole = 1 + F.sin(on_sphere) * math.sin(centre) + F.cos(on_sphere) * math.cos(centre) * F.cos(angle)
+    x = F.cos(on_sphere) * F.sin(angle) / whole
+    y = (F.sin(on_sphere) * math.cos(centre) - F.cos(on_sphere) * math.sin(centre) * F.cos(angle)) / whole
+    return east + 2 * radius * k * x, north + 2 * radius * k * y
+
+
+def inverse_oblique_stereographic(x: Column, y: Column, lon0: float, lat0: float, k: float = 1.0, east: float = 0.0, north: float = 0.0, e: Ellipsoid = WGS84) -> tuple[Column, Column]:
+    radius, n, c, centre = _double_sphere(lat0, e)
+    dx, dy = (x - east) / (2 * radius * k), (y - north) / (2 * radius * k)
+    far = F.hypot(dx, dy)
+    z = 2 * F.atan(far)  # the angle from the centre
+    up = F.cos(z) * math.sin(centre) + F.when(far > 0, dy * F.sin(z) * math.cos(centre) / far).otherwise(0.0)
+    angle = F.atan2(dx * F.sin(z), far * math.cos(centre) * F.cos(z) - dy * math.sin(centre) * F.sin(z))
+    angle = F.when(far > 0, angle).otherwise(0.0)
+    isometric = (F.atanh(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), up))) - c) / n
+    return lon0 + F.degrees(angle) / n, F.degrees(_latitude(isometric, e))
+
+
 def to_ecef(lon: Column, lat: Column, height: Column, e: Ellipsoid = WGS84) -> tuple[Column, Column, Column]:
     p, g = F.radians(lat), F.radians(lon)
     n = e.a / F.sqrt(1 - e.e2 * F.sin(p) * F.sin(p))
