@@ -53,7 +53,8 @@ def split_every(points: DataFrame, size: int) -> DataFrame:
 def repair_number_of_returns(points: DataFrame) -> DataFrame:
     """number_of_returns becomes the largest return number of the pulse (file and time); points without a time stay."""
     pulse = Window.partitionBy("source_file", "gps_time")
-    return points.withColumn("number_of_returns", F.when(F.col("gps_time").isNull(), F.col("number_of_returns")).otherwise(F.max("return_number").over(pulse)))
+    timed = points.where("gps_time IS NOT NULL").withColumn("number_of_returns", F.max("return_number").over(pulse))
+    return timed.unionByName(points.where("gps_time IS NULL"))  # those aren't one pulse, and don't meet
 
 
 def check_returns(points: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointlake.operators.filters import xyz
+from pointlake.operators.surface import heights_at, tin
 from pointlake.schema import DEFAULT_SCALE, ScaleOffset
 
 
@@ -53,12 +54,28 @@ def control(points: DataFrame, marks: DataFrame, step: float) -> DataFrame:
     return met.groupBy("name", "z").agg((F.sum("s") / F.sum("n")).alias("ground")).select("name", (F.col("ground") - F.col("z")).alias("dz"))
 
 
+def control_on_surface(points: DataFrame, marks: DataFrame) -> DataFrame:
+    """name, z, surface and dz: control points (name, x, y, z) against the triangulation of the points; surface and dz are null outside of it.
+
+    Every mark is looked up in the triangle that holds it, in the triangulation of the whole cloud (`surface.heights_at`).
+    """
+    found = heights_at(tin(points), marks, ["name"])
+    return marks.select("name", "z").join(found, "name", "left").select("name", "z", "surface", (F.col("surface") - F.col("z")).alias("dz"))
+
+
+def adjust_z(points: DataFrame, control: DataFrame) -> DataFrame:
+    """points lowered by the mean dz of the control points, as raw steps; without one on the surface they stay."""
+    mean = control.agg(F.avg("dz").alias("__dz"))  # a row
+    down = F.round(F.coalesce("__dz", F.lit(0.0)) / DEFAULT_SCALE.scale[2]).cast("int")
+    return points.join(F.broadcast(mean)).withColumn("zi", F.col("zi") - down).select(*points.columns)
+
+
 def track(points: DataFrame, trajectory: DataFrame) -> DataFrame:
     """Adds track_z: the trajectory's height at the point's time, between its neighbours in time linearly.
 
     Both are put in order of time together, within each file, and every point looks at the
     trajectory's last row before and first row after it: one sort, no range join. The trajectory
-    has source_file, gps_time and z.
+    has source_file, gps_time and z. Points without a time have a null track_z.
     """
     side = points.where("gps_time IS NOT NULL").withColumns({"__t": F.lit(None).cast("double"), "__z": F.lit(None).cast("double")})
     rail = trajectory.select("source_file", "gps_time", F.col("gps_time").alias("__t"), F.col("z").cast("double").alias("__z"))
@@ -69,7 +86,8 @@ def track(points: DataFrame, trajectory: DataFrame) -> DataFrame:
     seen = both.withColumns(at).where("__p = 1")
     between = F.col("__z0") + (F.col("__z1") - F.col("__z0")) * (F.col("gps_time") - F.col("__t0")) / (F.col("__t1") - F.col("__t0"))
     value = F.when(F.col("__t1") > F.col("__t0"), between).otherwise(F.coalesce("__z0", "__z1"))
-    return seen.withColumn("track_z", value).select(*points.columns, "track_z")
+    timeless = points.where("gps_time IS NULL").withColumn("track_z", F.lit(None).cast("double"))
+    return seen.withColumn("track_z", value).select(*points.columns, "track_z").unionByName(timeless)
 
 
 def colour(points: DataFrame, raster: DataFrame, step: float) -> DataFrame:

@@ -115,7 +115,7 @@ def sort_spatially(points: DataFrame, cell: float, partitions: int | None = None
     return ranged.sortWithinPartitions("__m", "source_file", "point_index").drop("__m")
 
 
-def sort_by(points: DataFrame, *columns: str) -> DataFrame:
+def sort_by(points: DataFrame, *columns: str | Column) -> DataFrame:
     """By time, return, source or channel; ties by file and number."""
     return points.orderBy(*columns, "source_file", "point_index")
 

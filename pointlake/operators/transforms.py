@@ -221,18 +221,24 @@ _set("translate_attribute", lambda i, o: {f"attr_{i}": F.col(f"attr_{i}") + o})
 
 
 def map_values(points: DataFrame, column: str, pairs: DataFrame) -> DataFrame:
-    """column by a table of (from, to); values that it doesn't name stay. At most 65,536 values: broadcast."""
-    named = F.broadcast(pairs.select(F.col("from").alias("__from"), F.col("to").alias("__to")).dropDuplicates(["__from"]).limit(65_536))
+    """column by a table of (from, to); values that it doesn't name stay.
+
+    Of several rows with one `from` the first counts, by `line` if the table has it (else the
+    smallest `to`). Attributes have 16 bits, so that at most 65,536 rows are left to be broadcast.
+    """
+    first = F.min(F.struct("line", "to") if "line" in pairs.columns else F.struct("to"))["to"]
+    known = pairs.where(F.col("from").between(0, 65_535) & F.col("to").isNotNull())
+    named = F.broadcast(known.groupBy(F.col("from").alias("__from")).agg(first.alias("__to")))
     mapped = points.join(named, F.col(column) == F.col("__from"), "left")
     return mapped.withColumn(column, F.coalesce("__to", column)).drop("__from", "__to")
 
 
 def _map_file(column: str) -> Transform:
     def mapped(points: DataFrame, path: str) -> DataFrame:
-        """path: a text file with lines `from to`."""
-        lines = F.split(F.trim("value"), r"\s+")
-        pairs = points.sparkSession.read.text(path).where(F.size(lines) >= 2)
-        return map_values(points, column, pairs.select(lines[0].cast("int").alias("from"), lines[1].cast("int").alias("to")))
+        """path: a text file with lines `from to`; other lines are left out."""
+        rows = points.sparkSession.read.text(path).select("value", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()).alias("line"))
+        words = rows.where(F.trim("value").rlike(r"^\d{1,9}\s+\d{1,9}(\s|$)")).withColumn("w", F.split(F.trim("value"), r"\s+"))
+        return map_values(points, column, words.select("line", F.col("w")[0].cast("int").alias("from"), F.col("w")[1].cast("int").alias("to")))
 
     return mapped
 

@@ -73,7 +73,8 @@ def remove_duplicates(points: DataFrame) -> DataFrame:
 
 
 def sort_in_time(points: DataFrame) -> DataFrame:
-    return spatial.sort_by(points, "gps_time")
+    """By time; points without one come last."""
+    return spatial.sort_by(points, F.col("gps_time").asc_nulls_last())
 
 
 def raster_difference(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pointlake.functions import projections as proj
 from pointlake.operators import contours as lines
-from pointlake.operators import spatial, surface
+from pointlake.operators import cleaning, matching, spatial, surface
 from pointlake.plans.point_cases import X, Y, points_sql
 from pointlake.schema import lineitem_points
 from pointlake.sources import las, text
@@ -70,6 +70,20 @@ def _objects(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES["classify_objects"] = _objects
 
 
+def _control(spark: SparkSession, sf: str) -> DataFrame:
+    """Every ground point itself as a control point, half a metre too low: the surface passes through the lowest point of its place."""
+    points = lineitem_points(spark, sf).where("classification = 2")
+    marks = points.select(F.concat_ws("/", "source_file", "point_index").alias("name"), (F.col("xi") * 0.01).alias("x"), (F.col("yi") * 0.01).alias("y"), (F.col("zi") * 0.01 - 0.5).alias("z"))
+    return matching.control_on_surface(points, marks).select("name", F.round("dz", 3).alias("dz"))
+
+
+QUERIES["control_on_surface"] = _control
+ORACLE_SQL["control_on_surface"] = points_sql("""WITH g AS (SELECT * FROM pts WHERE classification = 2), p AS (SELECT xi, yi, min(zi) AS low FROM g GROUP BY 1, 2)
+    SELECT concat(source_file, '/', point_index) AS name, round((low - zi) * CAST(0.01 AS DOUBLE) + 0.5, 3) AS dz FROM g JOIN p USING (xi, yi)""")
+#: Against a flood fill in the tests; SQL would need a recursion over all cells.
+QUERIES["noise_unconnected"] = lambda spark, sf: cleaning.mark_unconnected(lineitem_points(spark, sf), 10.0, 10.0, 20).where("is_noise").select("source_file", "point_index", "zi")
+
+
 # --- projections: round trips within a millimetre, and forward values
 def _lonlat(spark: SparkSession, sf: str) -> DataFrame:
     return lineitem_points(spark, sf).select((8.0 + F.col("xi") / 1e5).alias("lon"), (45.0 + F.col("yi") / 1e5).alias("lat"), (F.col("zi") * 0.01).alias("h"))

@@ -209,7 +209,8 @@ _case("track_height", lambda p: matching.track(p, p.where("classification = 2 AN
       f"""WITH t AS (SELECT source_file, gps_time AS t, min({Z}) AS z FROM pts WHERE classification = 2 AND gps_time IS NOT NULL GROUP BY 1, 2),
       a AS (SELECT p.source_file, p.point_index, p.gps_time, t0.t AS t0, t0.z AS z0 FROM (SELECT * FROM pts WHERE gps_time IS NOT NULL) p ASOF LEFT JOIN t t0 ON p.source_file = t0.source_file AND p.gps_time >= t0.t),
       b AS (SELECT a.*, t1.t AS t1, t1.z AS z1 FROM a ASOF LEFT JOIN t t1 ON a.source_file = t1.source_file AND a.gps_time <= t1.t)
-      SELECT source_file, point_index, CASE WHEN t1 > t0 THEN z0 + (z1 - z0) * (gps_time - t0) / (t1 - t0) ELSE coalesce(z0, z1) END AS track_z FROM b""")
+      SELECT source_file, point_index, CASE WHEN t1 > t0 THEN z0 + (z1 - z0) * (gps_time - t0) / (t1 - t0) ELSE coalesce(z0, z1) END AS track_z FROM b
+      UNION ALL SELECT source_file, point_index, NULL FROM pts WHERE gps_time IS NULL""")
 _case("colour_from_raster", lambda p: matching.colour(p, raster.cells(p.where("classification = 2"), 50.0).groupBy("col", "row").agg(*[F.max(c).alias(c) for c in ("red", "green", "blue")]), 50.0).select("source_file", "point_index", "red", "green", "blue"),
       f"""WITH r AS (SELECT {AS_CELL}, max(red) AS r, max(green) AS g, max(blue) AS b FROM pts WHERE classification = 2 GROUP BY 1, 2), p AS (SELECT *, {AS_CELL} FROM pts)
       SELECT {_K}, coalesce(r, red) AS red, coalesce(g, green) AS green, coalesce(b, blue) AS blue FROM p LEFT JOIN r USING (col, row)""")

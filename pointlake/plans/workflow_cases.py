@@ -143,7 +143,8 @@ def _order(spark: SparkSession, sf: str) -> DataFrame:
     """How many rows the sorted table has, and how many of them come before the one in front of them; by partition and between partitions."""
     from pyspark.sql import Window
 
-    rows = workflows.sort_in_time(lineitem_points(spark, sf).where("gps_time IS NOT NULL")).select("gps_time", F.monotonically_increasing_id().alias("at"))
+    late = F.coalesce("gps_time", F.lit(float("inf"))).alias("gps_time")  # points without a time come last
+    rows = workflows.sort_in_time(lineitem_points(spark, sf)).select(late, F.monotonically_increasing_id().alias("at"))
     rows = rows.withColumn("part", F.shiftright("at", 33))
     inside = rows.withColumn("back", F.col("gps_time") < F.lag("gps_time").over(Window.partitionBy("part").orderBy("at")))
     parts = inside.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_if("back").alias("back"), F.min("gps_time").alias("low"), F.max("gps_time").alias("high"))
@@ -152,7 +153,7 @@ def _order(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["workflow_sort_in_time"] = _order
-ORACLE_SQL["workflow_sort_in_time"] = points_sql("SELECT count(*) AS n, CAST(0 AS BIGINT) AS out_of_order FROM pts WHERE gps_time IS NOT NULL")
+ORACLE_SQL["workflow_sort_in_time"] = points_sql("SELECT count(*) AS n, CAST(0 AS BIGINT) AS out_of_order FROM pts")
 QUERIES["workflow_quality_report"] = lambda spark, sf: workflows.quality_report(lineitem_points(spark, sf), 50.0)
 ORACLE_SQL["workflow_quality_report"] = f"""WITH v AS ({TOOL_SQL["validate"]}), o AS ({TOOL_SQL["occupancy"]}), l AS ({TOOL_SQL["overlap"]})
     SELECT concat('failed: ', rule) AS item, CAST(failed AS DOUBLE) AS value FROM v UNION ALL SELECT 'points', CAST(points AS DOUBLE) FROM o UNION ALL SELECT 'cells', CAST(cells AS DOUBLE) FROM o

@@ -87,3 +87,23 @@ def test_shade_of_a_plane_and_a_ridge(spark):
     ridge = surface.tin(_points(spark, np.column_stack([xy, -np.abs(xy[:, 0] - 50)])))
     got = surface.hillshade(ridge, 5.0, (0.0, 0.0, 1.0)).toPandas().set_index(["col", "row"])["value"]
     assert got.loc[(2, 5)] == pytest.approx(255 / math.sqrt(2)) and got.loc[(10, 5)] > 255 / math.sqrt(2) + 20
+
+
+def test_control_points(spark):
+    """On a plane the marks' errors come out, and lowering by their mean takes the mean away; outside there is no height. On stairs the triangle's own height counts."""
+    from pointlake.operators import matching
+
+    rng = np.random.default_rng(5)
+    xy = rng.uniform(0, 100, (500, 2)).round(2)
+    points = _points(spark, np.column_stack([xy, 0.2 * xy[:, 0] + 50]))
+    marks = [(f"m{i}", float(x), float(y), 0.2 * float(x) + 50 - e) for i, (x, y, e) in enumerate(zip(rng.uniform(20, 80, 20), rng.uniform(20, 80, 20), rng.uniform(0, 2, 20)))]
+    df = spark.createDataFrame([*marks, ("far", 500.0, 500.0, 1.0)], "name string, x double, y double, z double")
+    control = matching.control_on_surface(points, df)
+    got = {r.name: r.dz for r in control.collect()}
+    assert got.pop("far") is None and all(got[n] == pytest.approx(0.2 * x + 50 - z, abs=0.01) for n, x, _, z in marks)
+    lower = matching.control_on_surface(matching.adjust_z(points, control), df)
+    assert abs(lower.selectExpr("avg(dz)").first()[0]) < 0.01
+    steps = np.array([(x, y) for x in range(0, 50, 10) for y in range(0, 50, 10)], float)
+    stairs = _points(spark, np.column_stack([steps, np.floor(steps[:, 0] / 20) * 5]))
+    places = spark.createDataFrame([("tread", 5.0, 23.0, 0.0), ("riser", 15.0, 23.0, 0.0), ("corner", 20.0, 20.0, 0.0)], "name string, x double, y double, z double")
+    assert {r.name: r.surface for r in matching.control_on_surface(stairs, places).collect()} == pytest.approx({"tread": 0.0, "riser": 2.5, "corner": 5.0})
