@@ -9,7 +9,7 @@ from pointlake.operators.filters import keep_circle, xyz
 from pointlake.plans.point_cases import points_sql
 from pointlake.plans.surface_cases import scratch
 from pointlake.schema import lineitem_points
-from pointlake.sources import las
+from pointlake.sources import binary, las
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -91,3 +91,27 @@ def _bounded(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES["las_bounded"] = _bounded
 ORACLE_SQL["las_bounded"] = points_sql("SELECT xi, yi, zi FROM pts WHERE xi >= 30000 AND xi < 70000 AND yi > 10000 AND yi <= 50000")
+
+
+def _shapes(spark: SparkSession, sf: str) -> DataFrame:
+    binary.register(spark)
+    folder = scratch(spark)[0]
+    lineitem_points(spark, sf).select(*[xyz(a).alias(a) for a in "xyz"]).write.format("shapefile").mode("append").save(folder)
+    return spark.read.format("shapefile").load(folder).select(*[F.round(F.col(a) * 100).cast("int").alias(f"{a}i") for a in "xyz"])
+
+
+QUERIES["shapefile_write_read"] = _shapes
+ORACLE_SQL["shapefile_write_read"] = points_sql("SELECT xi, yi, zi FROM pts")
+
+
+def _bil(spark: SparkSession, sf: str) -> DataFrame:
+    """The count of points of each cell of 25, as a raster in files and read again by its places."""
+    binary.register(spark)
+    folder = scratch(spark)[0]
+    counts = lineitem_points(spark, sf).groupBy(F.floor(xyz("x") / 25.0).alias("col"), F.floor(xyz("y") / 25.0).alias("row")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    binary.write_bil(counts, folder, 25.0).agg(F.sum("cells")).collect()
+    return spark.read.format("bil").load(folder).select(F.floor(F.col("x") / 25).alias("col"), F.floor(F.col("y") / 25).alias("row"), "value")
+
+
+QUERIES["bil_write_read"] = _bil
+ORACLE_SQL["bil_write_read"] = points_sql("SELECT CAST(floor(xi * CAST(0.01 AS DOUBLE) / 25) AS BIGINT) AS col, CAST(floor(yi * CAST(0.01 AS DOUBLE) / 25) AS BIGINT) AS row, CAST(count(*) AS DOUBLE) AS value FROM pts GROUP BY 1, 2")

@@ -96,7 +96,7 @@ def test_control_points(spark):
     rng = np.random.default_rng(5)
     xy = rng.uniform(0, 100, (500, 2)).round(2)
     points = _points(spark, np.column_stack([xy, 0.2 * xy[:, 0] + 50]))
-    marks = [(f"m{i}", float(x), float(y), 0.2 * float(x) + 50 - e) for i, (x, y, e) in enumerate(zip(rng.uniform(20, 80, 20), rng.uniform(20, 80, 20), rng.uniform(0, 2, 20)))]
+    marks = [(f"m{i}", float(x), float(y), 0.2 * float(x) + 50 - float(e)) for i, (x, y, e) in enumerate(zip(rng.uniform(20, 80, 20), rng.uniform(20, 80, 20), rng.uniform(0, 2, 20)))]
     df = spark.createDataFrame([*marks, ("far", 500.0, 500.0, 1.0)], "name string, x double, y double, z double")
     control = matching.control_on_surface(points, df)
     got = {r.name: r.dz for r in control.collect()}
