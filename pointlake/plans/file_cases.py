@@ -115,3 +115,22 @@ def _bil(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES["bil_write_read"] = _bil
 ORACLE_SQL["bil_write_read"] = points_sql("SELECT CAST(floor(xi * CAST(0.01 AS DOUBLE) / 25) AS BIGINT) AS col, CAST(floor(yi * CAST(0.01 AS DOUBLE) / 25) AS BIGINT) AS row, CAST(count(*) AS DOUBLE) AS value FROM pts GROUP BY 1, 2")
+
+
+def _waves(spark: SparkSession, sf: str) -> DataFrame:
+    """Written with packets of 8 or 12 samples made from each point's numbers, those of class 5 without; read by the packets' offsets."""
+    las.register(spark)
+    n = F.when(F.col("point_index") % 2 == 0, 8).otherwise(12)
+    samples = F.when(F.col("classification") != 5, F.transform(F.sequence(F.lit(0), n - 1), lambda k: (F.col("xi") + F.col("zi") * k) % 65536))
+    points = lineitem_points(spark, sf).withColumns({"samples": samples, "wave_location": F.lit(500.0), "wave_xt": F.lit(0.0), "wave_yt": F.lit(0.0), "wave_zt": F.lit(0.125)})
+    folder = _written(spark, points, pointFormat="4", spacing="2000")
+    waves = spark.read.format("las_waveforms").load(folder)
+    return waves.select(
+        F.round(F.col("x") * 100).cast("long").alias("xi"), F.size("samples").alias("n"), F.aggregate("samples", F.lit(0.0), lambda a, v: a + v).cast("long").alias("total"),
+        F.col("samples")[1].cast("long").alias("second"), F.round(F.col("z") * 100 - 6250).cast("long").alias("zi"), F.col("step_z").cast("long").alias("step_z"),
+    )
+
+
+QUERIES["las_waveforms"] = _waves
+ORACLE_SQL["las_waveforms"] = points_sql("""WITH w AS (SELECT CAST(xi AS BIGINT) AS xi, CAST(zi AS BIGINT) AS zi, CASE WHEN point_index % 2 = 0 THEN 8 ELSE 12 END AS n FROM pts WHERE classification <> 5)
+    SELECT xi, zi, CAST(n AS INT) AS n, CAST(list_sum(list_transform(range(n), lambda k: (xi + zi * k) % 65536)) AS BIGINT) AS total, (xi + zi) % 65536 AS second, CAST(-250 AS BIGINT) AS step_z FROM w""")

@@ -123,6 +123,7 @@ def read_header(raw: bytes) -> dict:
         head["points"] = n(247, "<u8")[0] or head["points"]
         head["by_return"] = n(255, "<u8", 15) if any(n(255, "<u8", 15)) else head["by_return"]
         head |= {"evlr_at": n(235, "<u8")[0], "evlrs": n(243, "<u4")[0]}
+    head["wave_start"] = n(227, "<u8")[0] if head["minor"] >= 3 and len(raw) >= 235 else 0
     if head["format"] >= len(RECORD_SIZES) or head["size"] < RECORD_SIZES[head["format"]]:
         raise ValueError(f"records of format {head['format']} with {head['size']} bytes are not known")
     return head
@@ -267,6 +268,7 @@ def _head_of(store: fs.FileSystem, file: str) -> dict:
         head = read_header(opened.read(375))
         head["records"] = read_records(opened, head) if head["vlrs"] or head.get("evlrs") else []
     head["extra"] = attributes(head["records"], head["size"] - RECORD_SIZES[head["format"]])
+    head["waves"] = wave_descriptors(head["records"])
     return head
 
 
@@ -336,6 +338,77 @@ class LasReader(DataSourceReader):
                     yield decode(raw, partition.head, partition.path, a, self.columns)
 
 
+WAVEFORMS = "source_file string, point_index long, wave_index int, spacing double, samples array<double>, x double, y double, z double, step_x double, step_y double, step_z double"
+
+
+def wave_descriptors(records: list[tuple[str, int, bytes]]) -> dict[int, tuple[int, int, int, float, float]]:
+    """By index: bits a sample, number of samples, picoseconds between them, gain and offset of the digitiser; packed ones are left out."""
+    out = {}
+    for user, number, data in records:
+        if user == "LASF_Spec" and 100 <= number < 355 and len(data) >= 26:
+            bits, packed, count, spacing, gain, offset = struct.unpack_from("<BBIIdd", data)
+            if not packed and bits in (8, 16):
+                out[number - 99] = (bits, count, spacing, gain, offset)
+    return out
+
+
+class WaveReader(LasReader):
+    """The waveforms of points: samples in volts, the place of the first one, and the way from one to the next.
+
+    Packets lie in a second file (.wdp), or behind the points, at the points' own offsets. Those of a
+    stretch of points are read in the order of their offsets, neighbours with one request. Points
+    without a packet, or with one whose descriptor is missing or packed, have no row.
+    """
+
+    GAP, MOST = 1 << 16, 1 << 24  # bytes read over, and at once
+
+    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+        store, head = _open(self.path)[0], partition.head
+        if head["format"] not in WITH_WAVE or not head["waves"]:
+            return
+        beside = re.sub(r"(?i)\.las$", ".wdp", partition.path)
+        outside = store.get_file_info(beside).is_file
+        start = 0 if outside else head["wave_start"]
+        columns = ["source_file", "point_index", "wave_index", "wave_offset", "wave_size", "wave_location", "wave_xt", "wave_yt", "wave_zt", "x", "y", "z"]
+        with store.open_input_file(partition.path) as points, store.open_input_file(beside if outside else partition.path) as waves:
+            for a in range(partition.first, partition.first + partition.count, 20_000):
+                n = min(20_000, partition.first + partition.count - a)
+                raw = points.read_at(n * head["size"], head["offset"] + a * head["size"])
+                yield from self.waves(decode(raw, head, partition.path, a, columns).to_pandas(), head["waves"], waves, start)
+
+    def waves(self, rows: pd.DataFrame, descriptors: dict, file: pa.NativeFile, start: int) -> Iterator[pa.RecordBatch]:
+        rows = rows[rows["wave_index"].isin(list(descriptors))].sort_values("wave_offset")
+        size = rows["wave_index"].map(lambda k: descriptors[k][1] * descriptors[k][0] // 8).to_numpy(np.int64)
+        at = rows["wave_offset"].to_numpy(np.int64) + start
+        i = 0
+        while i < len(rows):
+            j, end = i + 1, at[i] + size[i]
+            while j < len(rows) and at[j] <= end + self.GAP and at[j] + size[j] - at[i] <= self.MOST:
+                end, j = max(end, at[j] + size[j]), j + 1
+            data = file.read_at(int(end - at[i]), int(at[i]))
+            yield self.batch(rows.iloc[i:j], [data[b - at[i] : b - at[i] + n] for b, n in zip(at[i:j], size[i:j], strict=True)], descriptors)
+            i = j
+
+    @staticmethod
+    def batch(rows: pd.DataFrame, packets: list[bytes], descriptors: dict) -> pa.RecordBatch:
+        samples, spacing = [], []
+        for k, raw in zip(rows["wave_index"], packets, strict=True):
+            bits, count, gap, gain, offset = descriptors[k]
+            if len(raw) < count * bits // 8:
+                raise ValueError("a waveform packet ends before its last sample")
+            samples.append(np.frombuffer(raw, "u1" if bits == 8 else "<u2", count) * gain + offset)
+            spacing.append(float(gap))
+        spacing = np.array(spacing)
+        out = {"source_file": rows["source_file"], "point_index": rows["point_index"], "wave_index": rows["wave_index"], "spacing": spacing, "samples": samples}
+        for a in "xyz":
+            along = rows[f"wave_{a}t"].to_numpy()  # metres a picosecond, towards the sensor: a later sample lies further back
+            out[a] = rows[a].to_numpy() + rows["wave_location"].to_numpy() * along
+            out[f"step_{a}"] = -spacing * along
+        names = [c.split()[0] for c in WAVEFORMS.split(", ")]
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.float64()), *[pa.float64()] * 6]
+        return pa.RecordBatch.from_arrays([pa.array(out[c], k) for c, k in zip(names, kinds, strict=True)], names)
+
+
 HEADERS = (
     "source_file string, version string, format int, record_size int, points long, scale array<double>, offset array<double>, min_x double, min_y double, "
     "min_z double, max_x double, max_y double, max_z double, by_return array<long>, attributes array<string>, "
@@ -402,7 +475,9 @@ class LasWriter(DataSourceArrowWriter):
     Options: scale and offset of the files (the library's own by default), inScale and inOffset of
     the rows' xi, yi and zi; pointFormat (0 to 10; from 6 on the version is 1.4, else 1.2);
     compatible: a format from 6 on is written as the one of 1.2 that has the same fields, what that
-    can't hold in extra bytes; extra: attributes to write, such as attr_0=height,attr_1=range.
+    can't hold in extra bytes; extra: attributes to write, such as attr_0=height,attr_1=range. In
+    formats with waves a column `samples` (array of 0 ... 65535) is written as 16-bit packets into a
+    file beside the points, `spacing` picoseconds apart; points without samples have no packet.
     """
 
     def __init__(self, options: dict, overwrite: bool = False) -> None:
@@ -410,6 +485,7 @@ class LasWriter(DataSourceArrowWriter):
         self.path, self.overwrite, self.each = options["path"], overwrite, int(options.get("recordsPerFile", 1_000_000))
         self.scale, self.shift = three("scale", DEFAULT_SCALE.scale), three("offset", DEFAULT_SCALE.offset)
         self.in_scale, self.in_shift = three("inScale", DEFAULT_SCALE.scale), three("inOffset", DEFAULT_SCALE.offset)
+        self.spacing = int(options.get("spacing", 1000))
         self.format, self.compatible = int(options.get("pointFormat", 3)), options.get("compatible", "false").lower() == "true"
         named = [pair.split("=") for pair in options.get("extra", "").split(",") if pair]
         extra = [(n, 10) for _, n in named]
@@ -425,28 +501,42 @@ class LasWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         """One file's records are held until their number and box are known, never the partition's."""
-        out, rows, n = _Written(), [], 0
+        out, rows, waves, n = _Written(), [], [], 0
         for batch in iterator:
             at = 0
             while at < batch.num_rows:
                 part = batch.slice(at, min(self.each - n, batch.num_rows - at))
                 rows.append(self.records(part))
+                if self.format in WITH_WAVE and "samples" in part.schema.names:
+                    waves += [None if v is None else np.array(v, "<u2") for v in part.column("samples").to_pylist()]
                 at, n = at + part.num_rows, n + part.num_rows
                 if n == self.each:
-                    out.files.append(self.save(np.concatenate(rows)))
-                    rows, n = [], 0
+                    out.files += self.save(np.concatenate(rows), waves)
+                    rows, waves, n = [], [], 0
         if n:
-            out.files.append(self.save(np.concatenate(rows)))
+            out.files += self.save(np.concatenate(rows), waves)
         return out
 
-    def save(self, rows: np.ndarray) -> tuple[str, str]:
+    def save(self, rows: np.ndarray, waves: list[np.ndarray | None]) -> list[tuple[str, str]]:
         store, path = _open(self.path)
         store.create_dir(path, recursive=True)
-        name = uuid.uuid4().hex
+        name, lengths, files = uuid.uuid4().hex, [], []
+        if waves:
+            lengths = sorted({len(w) for w in waves if w is not None})
+            if len(lengths) > 255:
+                raise ValueError("waveforms of more than 255 lengths in one file")
+            size = np.array([0 if w is None else 2 * len(w) for w in waves])
+            rows["wave_index"] = [0 if w is None else lengths.index(len(w)) + 1 for w in waves]
+            rows["wave_offset"], rows["wave_size"] = np.cumsum(size) - size + 60, size  # behind the record's own header
+            with store.open_output_stream(f"{path}/_{name}.wdp.waiting") as out:
+                out.write(struct.pack("<H16sHQ32s", 0, b"LASF_Spec", 65535, int(size.sum()), b"waveform packets"))
+                for w in waves:
+                    out.write(b"" if w is None else w.tobytes())
+            files.append((f"{path}/_{name}.wdp.waiting", f"{path}/part-{name}.wdp"))
         with store.open_output_stream(f"{path}/_{name}.waiting") as out:
-            out.write(self.header(rows))
+            out.write(self.header(rows, lengths))
             out.write(rows.tobytes())
-        return f"{path}/_{name}.waiting", f"{path}/part-{name}.las"
+        return [*files, (f"{path}/_{name}.waiting", f"{path}/part-{name}.las")]
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         store, path = _open(self.path)
@@ -455,8 +545,9 @@ class LasWriter(DataSourceArrowWriter):
             store.move(waiting, final)
         for file in old:
             store.delete_file(file)
-            if store.get_file_info(index_path(file)).is_file:
-                store.delete_file(index_path(file))
+            for beside in (index_path(file), re.sub(r"(?i)\.las$", ".wdp", file)):
+                if store.get_file_info(beside).is_file:
+                    store.delete_file(beside)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         store, _ = _open(self.path)
@@ -513,17 +604,20 @@ class LasWriter(DataSourceArrowWriter):
         out["classification"] = legacy & 31 | bits["synthetic_flag"] << 5 | bits["keypoint_flag"] << 6 | bits["withheld_flag"] << 7
         return out
 
-    def header(self, rows: np.ndarray) -> bytes:
-        """The header of a file with these records, and the record that describes its extra attributes."""
+    def header(self, rows: np.ndarray, lengths: list[int] = []) -> bytes:  # noqa: B006
+        """The header of a file with these records, and the records that describe its extra attributes and waveforms."""
         ext = self.format in EXTENDED
-        size = 375 if ext else 227
+        size = 375 if ext else 235 if self.format in WITH_WAVE else 227
         described = b"".join(self.describe(a) for a in self.extra)
+        records = [struct.pack("<H16sHH32s", 0, b"LASF_Spec", 4, len(described), b"extra bytes") + described] if described else []
+        for k, count in enumerate(lengths):
+            records.append(struct.pack("<H16sHH32sBBIIdd", 0, b"LASF_Spec", 100 + k, 26, b"waveform packet", 16, 0, count, self.spacing, 1.0, 0.0))
         raw = bytearray(size)
-        raw[:4], raw[24:26] = b"LASF", bytes([1, 4 if ext else 2])
+        raw[:4], raw[24:26] = b"LASF", bytes([1, 4 if ext else 3 if self.format in WITH_WAVE else 2])
         put = lambda at, kind, *v: raw.__setitem__(slice(at, at + np.dtype(kind).itemsize * len(v)), np.array(v, kind).tobytes())
         put(94, "<u2", size)
-        put(96, "<u4", size + len(described) + (54 if described else 0))
-        put(100, "<u4", int(bool(described)))
+        put(96, "<u4", size + sum(map(len, records)))
+        put(100, "<u4", len(records))
         raw[104] = self.format
         put(105, "<u2", self.type.itemsize)
         by_return = np.bincount(rows["returns"] & (15 if ext else 7), minlength=16)[1:]
@@ -537,8 +631,7 @@ class LasWriter(DataSourceArrowWriter):
         put(155, "<f8", *self.shift)
         box = [f(rows[a]) * self.scale[k] + self.shift[k] for k, a in enumerate("XYZ") for f in (np.max, np.min)]
         put(179, "<f8", *box)
-        intro = struct.pack("<H16sHH32s", 0, b"LASF_Spec", 4, len(described), b"extra bytes") if described else b""
-        return bytes(raw) + intro + described
+        return bytes(raw) + b"".join(records)
 
     @staticmethod
     def describe(a: Attribute) -> bytes:
@@ -576,6 +669,18 @@ class LasSource(DataSource):
         return LasWriter(self.options, overwrite)
 
 
+class LasWaveforms(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "las_waveforms"
+
+    def schema(self) -> str:
+        return WAVEFORMS
+
+    def reader(self, schema: object) -> WaveReader:
+        return WaveReader(self.options)
+
+
 class LasHeaders(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -590,5 +695,5 @@ class LasHeaders(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    for source in (LasSource, LasHeaders):
+    for source in (LasSource, LasHeaders, LasWaveforms):
         spark.dataSource.register(source)

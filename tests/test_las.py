@@ -73,7 +73,7 @@ def test_extended_fields_in_both_forms(spark, tmp_path, options):
         assert tuple(r)[:14] == pytest.approx(want, abs=1e-9)
     assert [tuple(r)[14:] for r in got] == [(6, 7, 0, 31), (7, 7, 6, -90), (1, 1, 31, 0)]
     head = spark.read.format("las_headers").load(str(tmp_path)).first()
-    assert head.attributes[-1] == "height" and head.version == ("1.2" if "compatible" in options else "1.4")
+    assert head.attributes[-1] == "height" and head.version == ("1.4" if "compatible" not in options else "1.3" if options["pointFormat"] == "10" else "1.2")
     # and back: what was read is written in the other form and gives the same again
     other = {"pointFormat": options["pointFormat"]} | ({} if "compatible" in options else {"compatible": "true"})
     save(load(spark, tmp_path), tmp_path / "other", extra="attr_0=height", **other)
@@ -133,3 +133,25 @@ def test_bounds_skip_files_and_records(spark, sf_dir, tmp_path):
     assert whole[1] == points.count() and some[0] < whole[0] and len(want) <= some[1] < whole[1] / 2
     plan = scan()._jdf.queryExecution().toString()
     assert "PushedFilters" in plan or "BatchScan" in plan
+
+
+@pytest.mark.parametrize("format_", ["4", "5", "9", "10"])
+def test_waveforms(spark, tmp_path, format_):
+    """Packets of several lengths beside the points, far apart and in another order than the points; also behind them."""
+    rng = np.random.default_rng(1)
+    rows = [(100 * i, 0, 50 * i, [int(v) for v in rng.integers(0, 65536, int(rng.choice([3, 40, 64])))] if i % 3 else None, 100.0 * i, 0.001 * i, 0.0, -0.001) for i in range(60)]
+    df = spark.createDataFrame(rows, "xi int, yi int, zi int, samples array<int>, wave_location double, wave_xt double, wave_yt double, wave_zt double")
+    save(df, tmp_path, pointFormat=format_, spacing="500")
+    got = {r.point_index: r for r in spark.read.format("las_waveforms").option("recordsPerPartition", "7").load(str(tmp_path)).collect()}
+    assert set(got) == {i for i in range(60) if i % 3}
+    for i, r in got.items():
+        assert r.samples == list(map(float, rows[i][3])) and r.spacing == 500.0
+        assert (r.x, r.z) == pytest.approx((i + 0.1 * i * i, 0.5 * i - 0.1 * i), abs=1e-3) and (r.step_x, r.step_z) == pytest.approx((-0.5 * i, 0.5), abs=1e-4)
+    points = load(spark, tmp_path)
+    assert points.count() == 60 and points.where("wave_index = 0").count() == 20
+    wdp = next(tmp_path.glob("*.wdp"))
+    wdp.write_bytes(wdp.read_bytes()[:-2])
+    with pytest.raises(Exception, match="before its last sample"):
+        spark.read.format("las_waveforms").load(str(tmp_path)).collect()
+    save(df, tmp_path, "overwrite", pointFormat="3")
+    assert not list(tmp_path.glob("*.wdp")) and spark.read.format("las_waveforms").load(str(tmp_path)).count() == 0
