@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -249,8 +250,40 @@ for _name, (_args, _sql) in FILTER_CASES.items():
 for _name, (_args, _exprs) in TRANSFORM_CASES.items():
     QUERIES[_name] = _transform_query(_name, _args, list(_exprs))
     ORACLE_SQL[_name] = points_sql(f"SELECT source_file, {', '.join(f'{e} AS {c}' for c, e in _exprs.items())} FROM pts")
+
+
+def _angle_sql() -> dict[str, dict[str, str]]:
+    """By axis, the real coordinates after each transform."""
+    d = "CAST({!r} AS DOUBLE)".format
+
+    def turned(first: str, second: str, degrees: float, a: float, b: float) -> tuple[str, str]:
+        c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+        return f"({first} - {d(a)}) * {d(c)} - ({second} - {d(b)}) * {d(s)} + {d(a)}", f"({second} - {d(b)}) * {d(c)} + ({first} - {d(a)}) * {d(s)} + {d(b)}"
+
+    dx, dy, dz, *arc, ppm = ANGLE_CASES["transform_helmert"]
+    (rx, ry, rz), m = (math.radians(r / 3600) for r in arc), 1 + 1e-6 * ppm
+    r, w, tx, ty = ANGLE_CASES["transform_affine"]
+    c, s = math.cos(math.radians(w / 3600)), math.sin(math.radians(w / 3600))
+    return {
+        "rotate_xy": dict(zip("xy", turned(X, Y, *ANGLE_CASES["rotate_xy"]), strict=True)),
+        "rotate_xz": dict(zip("xz", turned(X, Z, *ANGLE_CASES["rotate_xz"]), strict=True)),
+        "transform_helmert": {
+            "x": f"{d(m)} * ({X} - {d(rz)} * {Y} + {d(ry)} * {Z}) + {d(dx)}", "y": f"{d(m)} * ({d(rz)} * {X} + {Y} - {d(rx)} * {Z}) + {d(dy)}",
+            "z": f"{d(m)} * ({d(-ry)} * {X} + {d(rx)} * {Y} + {Z}) + {d(dz)}",
+        },
+        "transform_affine": {"x": f"{d(r)} * ({d(c)} * {X} + {d(s)} * {Y}) + {d(tx)}", "y": f"{d(r)} * ({d(c)} * {Y} - {d(s)} * {X}) + {d(ty)}"},
+    }
+
+
+def _raw_sql(value: str) -> str:
+    steps = f"(({value}) / CAST(0.01 AS DOUBLE))"
+    return f"CAST(CASE WHEN ({value}) >= 0 THEN floor({steps} + 0.5) ELSE ceil({steps} - 0.5) END AS INT)"
+
+
 for _name, _args in ANGLE_CASES.items():
     QUERIES[_name] = _transform_query(_name, _args, ["xi", "yi", "zi"])
+    _moved = _angle_sql()[_name]
+    ORACLE_SQL[_name] = points_sql("SELECT source_file, " + ", ".join(f"{_raw_sql(_moved[_a])} AS {_a}i" if _a in _moved else f"{_a}i" for _a in "xyz") + " FROM pts")
 for _name, (_args, _sql) in ORDERED_CASES.items():
     QUERIES[_name] = _ordered_query(_name, _args)
     ORACLE_SQL[_name] = points_sql(f"SELECT source_file, point_index, {', '.join(KEPT)} FROM ({_sql})")

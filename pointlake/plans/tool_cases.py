@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -94,6 +96,9 @@ _case("grid_fill", lambda p: raster.fill(raster.grid(p.where("zi % 3 = 0"), 50.0
     o AS (SELECT col + dc AS col, row + dr AS row, value, dc = 0 AND dr = 0 AS own FROM g, (VALUES (-1), (0), (1)) AS a(dc), (VALUES (-1), (0), (1)) AS b(dr))
     SELECT col, row, coalesce(max(value) FILTER (own), avg(value)) AS value FROM o GROUP BY 1, 2""")
 QUERIES["grid_subcircle_highest"] = lambda spark, sf: raster.grid_subcircle_highest(lineitem_points(spark, sf), 50.0, 5.0)
+_ring = [(0.0, 0.0), *((5.0 * math.cos(k * math.pi / 4), 5.0 * math.sin(k * math.pi / 4)) for k in range(8))]
+ORACLE_SQL["grid_subcircle_highest"] = points_sql(f"""SELECT CAST(floor(({X} + dx) / 50) AS BIGINT) AS col, CAST(floor(({Y} + dy) / 50) AS BIGINT) AS row, max({Z}) AS value
+    FROM pts, (VALUES {", ".join(f"(CAST({a!r} AS DOUBLE), CAST({b!r} AS DOUBLE))" for a, b in _ring)}) AS s(dx, dy) GROUP BY 1, 2""")
 _up = f"CASE WHEN {Z} > 300 THEN {Z} END"
 _first = "return_number <= 1"
 _skew = f"avg(pow({Z} - m, 3)) / pow(stddev_pop({Z}), 3)"
@@ -233,6 +238,11 @@ _case("tile_buffered", lambda p: spatial.tiles(p, 100.0, 10.0).groupBy("tile_col
       f AS (SELECT *, unnest(range(CAST(floor((y - 10) / 100.0) AS BIGINT), CAST(floor((y + 10) / 100.0) AS BIGINT) + 1)) AS tile_row FROM e)
       SELECT tile_col, tile_row, count(*) AS n, count(*) FILTER (tile_col <> floor(x / 100.0) OR tile_row <> floor(y / 100.0)) AS buffered FROM f GROUP BY 1, 2""")
 QUERIES["tile_refined"] = lambda spark, sf: spatial.refine_tiles(lineitem_points(spark, sf), 256.0, 200).groupBy("tile_level", "tile_index").agg(F.count(F.lit(1)).alias("n"))
+_morton = " + ".join(f"((CAST(floor({v} / 4) AS BIGINT) >> {k} & 1) << {2 * k + odd})" for odd, v in enumerate((X, Y)) for k in range(24))
+ORACLE_SQL["tile_refined"] = points_sql(f"""WITH c AS (SELECT {_morton} AS m, count(*) AS n FROM pts GROUP BY 1), l AS (SELECT unnest(range(7)) AS level),
+    e AS (SELECT m, n, level, m >> (2 * (6 - level)) AS i, sum(n) OVER (PARTITION BY level, m >> (2 * (6 - level))) AS t FROM c, l),
+    f AS (SELECT m, any_value(n) AS n, min(level) AS level FROM e WHERE t <= 200 OR level = 6 GROUP BY m)
+    SELECT CAST(level AS INT) AS tile_level, m >> (2 * (6 - level)) AS tile_index, CAST(sum(n) AS BIGINT) AS n FROM f GROUP BY 1, 2""")
 POLYGON = [[(100.0, 0.0), (900.0, 100.0), (700.0, 800.0), (150.0, 500.0)], [(300.0, 150.0), (500.0, 150.0), (400.0, 350.0)]]
 
 
