@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointlake.operators import workflows
 from pointlake.operators.filters import keep_circle, xyz
 from pointlake.plans.point_cases import points_sql
 from pointlake.plans.surface_cases import scratch
@@ -134,3 +135,22 @@ def _waves(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES["las_waveforms"] = _waves
 ORACLE_SQL["las_waveforms"] = points_sql("""WITH w AS (SELECT CAST(xi AS BIGINT) AS xi, CAST(zi AS BIGINT) AS zi, CASE WHEN point_index % 2 = 0 THEN 8 ELSE 12 END AS n FROM pts WHERE classification <> 5)
     SELECT xi, zi, CAST(n AS INT) AS n, CAST(list_sum(list_transform(range(n), lambda k: (xi + zi * k) % 65536)) AS BIGINT) AS total, (xi + zi) % 65536 AS second, CAST(-250 AS BIGINT) AS step_z FROM w""")
+
+
+def _optimized(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw coordinates in tenths, far from the origin in x: steps of a tenth and an offset; what is read is what was written."""
+    folder = scratch(spark)[0]
+    points = lineitem_points(spark, sf).withColumns({"xi": F.col("xi") * 10 + 300_000_000, "yi": F.col("yi") * 10})
+    workflows.write_optimized(points, folder, 64.0)
+    head = spark.read.format("las_headers").load(folder).select(F.col("source_file").alias("__f"), *[F.round(F.col("scale")[k], 6).alias(f"scale_{a}") for k, a in enumerate("xyz")], *[F.col("offset")[k].alias(f"offset_{a}") for k, a in enumerate("xyz")])
+    read = spark.read.format("las").option("columns", "source_file,xi,yi,zi,user_data").load(folder)
+    return read.join(head, F.col("source_file") == F.col("__f")).drop("source_file", "__f")
+
+
+QUERIES["las_optimized"] = _optimized
+ORACLE_SQL["las_optimized"] = points_sql("""WITH p AS (SELECT xi * 10 + 300000000 AS xi, yi * 10 AS yi, zi FROM pts),
+    m AS (SELECT bool_and(xi % 100 = 0) AS x2, bool_and(yi % 100 = 0) AS y2, (min(xi) + max(xi)) * CAST(0.01 AS DOUBLE) AS sx, (min(yi) + max(yi)) * CAST(0.01 AS DOUBLE) AS sy, (min(zi) + max(zi)) * CAST(0.01 AS DOUBLE) AS sz, bool_and(zi % 10 = 0) AS z1 FROM p),
+    s AS (SELECT CASE WHEN x2 THEN 1.0 ELSE 0.1 END AS tx, CASE WHEN y2 THEN 1.0 ELSE 0.1 END AS ty, CASE WHEN z1 THEN 0.1 ELSE 0.01 END AS tz, sx, sy, sz FROM m)
+    SELECT CAST(xi AS INT) AS xi, CAST(yi AS INT) AS yi, zi, 0 AS user_data, CAST(tx AS DOUBLE) AS scale_x, CAST(ty AS DOUBLE) AS scale_y, CAST(tz AS DOUBLE) AS scale_z,
+        CAST(trunc(sx / CAST(tx AS DOUBLE) / 20000000) * 10000000 * tx AS DOUBLE) AS offset_x, CAST(trunc(sy / CAST(ty AS DOUBLE) / 20000000) * 10000000 * ty AS DOUBLE) AS offset_y,
+        CAST(trunc(sz / CAST(tz AS DOUBLE) / 20000000) * 10000000 * tz AS DOUBLE) AS offset_z FROM p, s""")

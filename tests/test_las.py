@@ -155,3 +155,17 @@ def test_waveforms(spark, tmp_path, format_):
         spark.read.format("las_waveforms").load(str(tmp_path)).collect()
     save(df, tmp_path, "overwrite", pointFormat="3")
     assert not list(tmp_path.glob("*.wdp")) and spark.read.format("las_waveforms").load(str(tmp_path)).count() == 0
+
+
+def test_fitting_scaling(spark, tmp_path):
+    from pointlake.operators.workflows import fitting_scaling, write_optimized
+
+    points = spark.createDataFrame([(600_000_000 + 100 * i, -5 - i, 7000 * i, "f", i, 9) for i in range(20)], "xi int, yi int, zi int, source_file string, point_index long, user_data int")
+    assert fitting_scaling(points) == fitting_scaling(points, False)
+    fit = fitting_scaling(points, True)
+    assert fit.scale == (1.0, 0.01, 10.0) and fit.offset == (0.0, 0.0, 0.0)
+    assert fitting_scaling(points).offset == (6_000_000.0, 0.0, 0.0)
+    assert fitting_scaling(points.limit(0)).scale == (0.01, 0.01, 0.01)
+    write_optimized(points, str(tmp_path), 16.0)
+    got = load(spark, tmp_path)
+    assert sorted((r.xi, r.yi, r.zi) for r in got.collect()) == sorted((r.xi, r.yi, r.zi) for r in points.collect()) and got.agg(F.max("user_data")).first()[0] == 0
