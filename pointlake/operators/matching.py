@@ -65,9 +65,8 @@ def control_on_surface(points: DataFrame, marks: DataFrame) -> DataFrame:
 
 def adjust_z(points: DataFrame, control: DataFrame) -> DataFrame:
     """points lowered by the mean dz of the control points, as raw steps; without one on the surface they stay."""
-    mean = control.agg(F.avg("dz").alias("__dz"))  # a row
-    down = F.round(F.coalesce("__dz", F.lit(0.0)) / DEFAULT_SCALE.scale[2]).cast("int")
-    return points.join(F.broadcast(mean)).withColumn("zi", F.col("zi") - down).select(*points.columns)
+    down = round((control.agg(F.avg("dz")).first()[0] or 0.0) / DEFAULT_SCALE.scale[2])
+    return points.withColumn("zi", F.col("zi") - F.lit(down))
 
 
 def track(points: DataFrame, trajectory: DataFrame) -> DataFrame:

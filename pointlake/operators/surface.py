@@ -133,8 +133,8 @@ def heights_at(triangles: DataFrame, places: DataFrame, key: list[str]) -> DataF
     side = F.pow(F.lit(2.0), F.col("size"))
     cells = lambda a: F.explode(F.sequence(F.floor(F.col(f"low{a}") / side), F.floor(F.col(f"high{a}") / side)))
     dealt = written(t.withColumn("cx", cells("x")).withColumn("cy", cells("y")).select("size", "cx", "cy", *CORNERS), "tin-index")
-    sizes = F.broadcast(dealt.select("size").distinct())  # exponents of doubles: some tens
-    at = places.select(*key, "x", "y").join(sizes)
+    sizes = sorted(r["size"] for r in dealt.select("size").distinct().collect())  # exponents of doubles: some tens
+    at = places.select(*key, "x", "y", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("size"))
     at = at.withColumns({"cx": F.floor(F.col("x") / side), "cy": F.floor(F.col("y") / side)})
     met = at.join(dealt, ["size", "cx", "cy"])
     cross = lambda a, b: (F.col(f"x{b}") - F.col(f"x{a}")) * (F.col("y") - F.col(f"y{a}")) - (F.col(f"y{b}") - F.col(f"y{a}")) * (F.col("x") - F.col(f"x{a}"))

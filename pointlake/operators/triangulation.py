@@ -273,10 +273,10 @@ def _leaves(points: DataFrame, size: int, n: int, most: int) -> tuple[DataFrame,
     homes = homes.select("bc", "br", "home_level", _cell(F.col("bc"), up).alias("home_col"), _cell(F.col("br"), up).alias("home_row"))
     homes = written(homes, "tin-homes")
     tiles = homes.select(F.col("home_level").alias("level"), F.col("home_col").alias("col"), F.col("home_row").alias("row")).distinct()
-    levels = tiles.select("level").distinct()  # at most `size` rows
+    levels = sorted(r["level"] for r in tiles.select("level").distinct().collect())  # at most `size` and one
     side, margin = _cell(F.lit(1 << size), F.col("level")), F.greatest(_cell(F.lit(1 << size), F.col("level") + 3), F.lit(1))
     reach = lambda b: F.sequence(F.floor((F.shiftleft(F.col(b), size - level) - margin) / side), F.floor((F.shiftleft(F.col(b) + 1, size - level) - 1 + margin) / side))
-    asked = homes.join(F.broadcast(levels)).withColumn("col", F.explode(reach("bc"))).withColumn("row", F.explode(reach("br")))
+    asked = homes.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumn("col", F.explode(reach("bc"))).withColumn("row", F.explode(reach("br")))
     return written(asked.join(tiles, ["level", "col", "row"]), "tin-tiles"), level
 
 

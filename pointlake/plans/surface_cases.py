@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pointlake.functions import projections as proj
+from pointlake.functions.tables import shared_folder
 from pointlake.operators import contours as lines
 from pointlake.operators import cleaning, matching, spatial, surface
 from pointlake.plans.point_cases import X, Y, points_sql
@@ -163,11 +163,7 @@ ORACLE_SQL["las_write_read"] = points_sql("""SELECT xi, yi, zi, intensity, retur
 
 # --- streams: run to the end of what there is
 def scratch(spark: SparkSession) -> tuple[str, str]:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir is not set, and a cluster shares no other folder")
-        base = f"file://{tempfile.gettempdir()}"
+    base = shared_folder(spark)
     return f"{base}/stream-{uuid.uuid4().hex}", f"{base}/stream-out-{uuid.uuid4().hex}"
 
 
