@@ -97,7 +97,9 @@ class ShapeReader(DataSourceReader):
                 yield at + 8, size
                 at += 8 + size
 
-    def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
+    def read(self, part: _Part | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # no files
+            return
         store = _open(self.path)[0]
         with store.open_input_file(part.path) as file:
             if struct.unpack(">i", file.read_at(4, 0))[0] != 9994:
@@ -233,7 +235,9 @@ class BilReader(DataSourceReader):
             out += [_Part(path, a, min(step, head["rows"] - a), head) for a in range(0, head["rows"], step)]
         return out
 
-    def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
+    def read(self, part: _Part | None) -> Iterator[pa.RecordBatch]:
+        if part is None:
+            return
         store, h = _open(self.path)[0], part.more
         with store.open_input_file(part.path) as file:
             for r in range(part.first, part.first + part.count):

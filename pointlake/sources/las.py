@@ -325,7 +325,9 @@ class LasReader(DataSourceReader):
                 out.append([a, b])
         return [(int(a), int(b - a + 1)) for a, b in out]
 
-    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no file meets the bounds
+            return
         store, _ = _open(self.path)
         size, step = partition.head["size"], 100_000
         with store.open_input_file(partition.path) as file:
@@ -362,7 +364,9 @@ class WaveReader(LasReader):
 
     GAP, MOST = 1 << 16, 1 << 24  # bytes read over, and at once
 
-    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:
+            return
         store, head = _open(self.path)[0], partition.head
         if head["format"] not in WITH_WAVE or not head["waves"]:
             return
@@ -426,9 +430,9 @@ class HeaderReader(DataSourceReader):
         files = _listed(self.path, self.listed)
         return [_Files(files[i : i + self.each]) for i in range(0, len(files), self.each)]
 
-    def read(self, partition: _Files) -> Iterator[tuple]:
+    def read(self, partition: _Files | None) -> Iterator[tuple]:
         store, _ = _open(self.path)
-        for f in partition.paths:
+        for f in partition.paths if partition else []:
             h = _head_of(store, f)
             box = [h[f"{m}_{a}"] for m in ("min", "max") for a in "xyz"]
             yield (f, f"1.{h['minor']}", h["format"], h["size"], h["points"], h["scale"], h["shift"], *box, h["by_return"], [a.name for a in h["extra"]], h["records"])

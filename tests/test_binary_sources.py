@@ -60,3 +60,8 @@ def test_bil_round_trip(spark, tmp_path):
     assert sum(f.cells for f in files) == len(cells) and len(files) == 9
     got = spark.read.format("bil").load(str(tmp_path))
     assert sorted((r.x, r.y, r.value) for r in got.collect()) == sorted(((c + 0.5) * 2, (r + 0.5) * 2, v) for c, r, v in cells)
+
+
+def test_no_files(spark, tmp_path):
+    binary.register(spark)
+    assert [spark.read.format(kind).load(str(tmp_path)).count() for kind in ("shapefile", "bil")] == [0, 0]

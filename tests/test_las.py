@@ -131,6 +131,10 @@ def test_bounds_skip_files_and_records(spark, sf_dir, tmp_path):
     whole = read()
     some = read(las.GreaterThanOrEqual(("x",), 30.0), las.LessThan(("x",), 60.0), las.GreaterThan(("y",), 20.0), las.LessThanOrEqual(("y",), 70.0), las.EqualTo(("intensity",), 5))
     assert whole[1] == points.count() and some[0] < whole[0] and len(want) <= some[1] < whole[1] / 2
+    assert load(spark, tmp_path).where("x > 1e9").count() == 0  # no file is left
+    (tmp_path / "empty").mkdir()
+    for kind in ("las", "las_headers", "las_waveforms"):
+        assert spark.read.format(kind).load(str(tmp_path / "empty")).count() == 0
     plan = scan()._jdf.queryExecution().toString()
     assert "PushedFilters" in plan or "BatchScan" in plan
 

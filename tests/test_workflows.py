@@ -21,7 +21,8 @@ def test_quadtree(spark):
         assert ((x >= wide[f"{p}cell_min_x"]) & (x < wide[f"{p}cell_max_x"]) & (y >= wide[f"{p}cell_min_y"]) & (y < wide[f"{p}cell_max_y"])).all()
         assert (wide[f"{p}cell_max_x"] - wide[f"{p}cell_min_x"] == size).all()
     assert tree.rectangle(spark, 500.0, 500.0, 600.0, 600.0).count() == 0
-    assert tree.circle(spark, 50.0, 20.0, 10.0).count() < tree.rectangle(spark, 40.0, 10.0, 60.0, 30.0).count()
+    assert tree.rectangle(spark, 40.0, 10.0, 60.0, 30.0).count() == tree.circle(spark, 50.0, 20.0, 10.0).count() == 4  # upper edges are left out
+    assert (tree.rectangle(spark, 36.0, 6.0, 64.0, 34.0).count(), tree.circle(spark, 50.0, 20.0, 14.0).count()) == (16, 12)
 
 
 def test_canopy_models(spark):
