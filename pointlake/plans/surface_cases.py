@@ -80,6 +80,26 @@ def _control(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES["control_on_surface"] = _control
 ORACLE_SQL["control_on_surface"] = points_sql("""WITH g AS (SELECT * FROM pts WHERE classification = 2), p AS (SELECT xi, yi, min(zi) AS low FROM g GROUP BY 1, 2)
     SELECT concat(source_file, '/', point_index) AS name, round((low - zi) * CAST(0.01 AS DOUBLE) + 0.5, 3) AS dz FROM g JOIN p USING (xi, yi)""")
+def _on_a_plane(spark: SparkSession, sf: str) -> DataFrame:
+    """Ground moved onto a plane (x - 2 y), with four more ground points around all others; the other points keep their heights above z = 0."""
+    points = lineitem_points(spark, sf).select("source_file", "point_index", "xi", "yi", "zi", "classification")
+    low_x, low_y, high_x, high_y = points.agg(F.min("xi"), F.min("yi"), F.max("xi"), F.max("yi")).first()
+    corners = [("corner", k, x, y, 0, 2) for k, (x, y) in enumerate((x, y) for x in (low_x - 1000, high_x + 1000) for y in (low_y - 1000, high_y + 1000))]
+    both = points.union(spark.createDataFrame(corners, points.schema))
+    return both.withColumn("zi", F.when(F.col("classification") == 2, F.col("xi") - 2 * F.col("yi")).otherwise(F.col("zi")))
+
+
+def _heights_over_plane(spark: SparkSession, sf: str) -> DataFrame:
+    heights = surface.height_above_ground(_on_a_plane(spark, sf)).where("source_file <> 'corner'")
+    return heights.select("source_file", "point_index", (F.round("height", 3) + 0.0).alias("height"))
+
+
+QUERIES["height_above_plane"] = _heights_over_plane
+ORACLE_SQL["height_above_plane"] = points_sql("SELECT source_file, point_index, round((CASE WHEN classification = 2 THEN 0 ELSE zi - xi + 2 * yi END) * CAST(0.01 AS DOUBLE), 3) AS height FROM pts")
+QUERIES["dem_of_plane"] = lambda spark, sf: surface.dem(surface.tin(_on_a_plane(spark, sf).where("classification = 2")), 50.0, 1e9).select("col", "row", F.round("value", 3).alias("value"))
+ORACLE_SQL["dem_of_plane"] = points_sql("""WITH b AS (SELECT (min(xi) - 1000) / 5000.0 - 0.5 AS x0, (max(xi) + 1000) / 5000.0 - 0.5 AS x1, (min(yi) - 1000) / 5000.0 - 0.5 AS y0, (max(yi) + 1000) / 5000.0 - 0.5 AS y1 FROM pts),
+    c AS (SELECT unnest(range(CAST(ceil(x0) AS BIGINT), CAST(floor(x1) AS BIGINT) + 1)) AS col, y0, y1 FROM b), r AS (SELECT col, unnest(range(CAST(ceil(y0) AS BIGINT), CAST(floor(y1) AS BIGINT) + 1)) AS row FROM c)
+    SELECT col, row, round((col + 0.5) * 50 - 2 * (row + 0.5) * 50, 3) AS value FROM r""")
 #: Against a flood fill in the tests; SQL would need a recursion over all cells.
 QUERIES["noise_unconnected"] = lambda spark, sf: cleaning.mark_unconnected(lineitem_points(spark, sf), 10.0, 10.0, 20).where("is_noise").select("source_file", "point_index", "zi")
 
