@@ -36,7 +36,7 @@ def recover_flightlines(points: DataFrame, gap: float) -> DataFrame:
 
 
 def split_key(column: str, interval: float | None = None) -> Column:
-    """What lassplit writes to one output: a value, or an interval of values."""
+    """What goes to one output: a value, or an interval of values."""
     return F.col(column).cast("long") if interval is None else F.floor(F.col(column) / F.lit(float(interval)))
 
 

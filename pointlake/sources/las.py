@@ -439,7 +439,7 @@ class HeaderReader(DataSourceReader):
 
 
 def index_path(file: str) -> str:
-    return re.sub(r"(?i)\.las$", "", file) + ".lasindex"
+    return re.sub(r"(?i)\.las$", "", file) + ".ranges"
 
 
 def write_index(spark: SparkSession, path: str, cell: float, most: int = 1000) -> None:
