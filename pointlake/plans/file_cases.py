@@ -10,7 +10,7 @@ from pointlake.operators.filters import keep_circle, xyz
 from pointlake.plans.point_cases import points_sql
 from pointlake.plans.surface_cases import scratch
 from pointlake.schema import lineitem_points
-from pointlake.sources import binary, las
+from pointlake.sources import binary, las, records
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -118,6 +118,76 @@ QUERIES["bil_write_read"] = _bil
 ORACLE_SQL["bil_write_read"] = points_sql("SELECT CAST(floor(xi * CAST(0.01 AS DOUBLE) / 25) AS BIGINT) AS col, CAST(floor(yi * CAST(0.01 AS DOUBLE) / 25) AS BIGINT) AS row, CAST(count(*) AS DOUBLE) AS value FROM pts GROUP BY 1, 2")
 
 
+def _through(spark: SparkSession, points: DataFrame, kind: str, **options: str) -> DataFrame:
+    """Points as read from the files that they were written to."""
+    records.register(spark)
+    folder = scratch(spark)[0]
+    points.write.format(kind).options(**options).mode("append").save(folder)
+    return spark.read.format(kind).load(folder)
+
+
+def _terrasolid(spark: SparkSession, sf: str, **options: str) -> DataFrame:
+    points = lineitem_points(spark, sf).withColumn("gps_time", F.pmod(F.col("gps_time"), F.lit(604800.0)))
+    return _through(spark, points, "terrasolid", **options).select(
+        "xi", "yi", "zi", "intensity", "return_number", "number_of_returns", "classification", F.col("point_source_id").alias("line"),
+        F.round(F.col("gps_time") * 10).cast("long").alias("tenths"), "red", "green", "blue",
+    )
+
+
+def _terrasolid_sql(line: str) -> str:
+    return points_sql(f"""SELECT xi, yi, zi, intensity, CASE WHEN number_of_returns <= 1 OR return_number = 1 THEN 1 ELSE 2 END AS return_number,
+        CASE WHEN number_of_returns <= 1 THEN 1 WHEN return_number = 1 OR return_number >= number_of_returns THEN 2 ELSE 3 END AS number_of_returns, classification, {line} AS line,
+        CAST(coalesce((CAST(gps_time AS BIGINT) % 604800 + 604800) % 604800, 0) * 10 AS BIGINT) AS tenths, red // 256 * 256 AS red, green // 256 * 256 AS green, blue // 256 * 256 AS blue FROM pts""")
+
+
+QUERIES["terrasolid_write_read"] = _terrasolid
+ORACLE_SQL["terrasolid_write_read"] = _terrasolid_sql("point_source_id")
+QUERIES["terrasolid_narrow"] = lambda spark, sf: _terrasolid(spark, sf, layout="ts8")
+ORACLE_SQL["terrasolid_narrow"] = _terrasolid_sql("point_source_id % 256")
+
+
+def _qfit(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw coordinates as longitudes and latitudes by remainders, seconds of a day as times, waves as attitude."""
+    degrees = {"x": (F.col("xi") % 360_000 - 180_000) / 1000.0, "y": (F.col("yi") % 180_000 - 90_000) / 1000.0, "z": F.col("zi") / 1000.0, "gps_time": F.pmod(F.col("gps_time"), F.lit(86_400.0))}
+    points = lineitem_points(spark, sf).withColumns(degrees | {"pitch": F.col("wave_xt"), "roll": -F.col("wave_yt"), "pulse_width": F.col("user_data")})
+    kept = [F.round(F.col(c) * 1000).cast("long").alias(c) for c in ("x", "y", "z", "gps_time", "pitch", "roll")]
+    return _through(spark, points, "qfit").select(*kept, "intensity", "pulse_width", "scan_angle_rank")
+
+
+QUERIES["qfit_write_read"] = _qfit
+ORACLE_SQL["qfit_write_read"] = points_sql("""SELECT CAST(xi % 360000 - 180000 AS BIGINT) AS x, CAST(yi % 180000 - 90000 AS BIGINT) AS y, CAST(zi AS BIGINT) AS z,
+    CAST(coalesce((CAST(gps_time AS BIGINT) % 86400 + 86400) % 86400, 0) * 1000 AS BIGINT) AS gps_time, CAST(round(wave_xt * 1000) AS BIGINT) AS pitch, CAST(round(-wave_yt * 1000) AS BIGINT) AS roll,
+    intensity, user_data AS pulse_width, CAST(greatest(scan_angle_rank - 180, -128) AS INT) AS scan_angle_rank FROM pts""")
+QUERIES["ply_write_read"] = lambda spark, sf: _through(spark, lineitem_points(spark, sf), "ply").select("xi", "yi", "zi", "intensity", "red", "green", "blue")
+ORACLE_SQL["ply_write_read"] = points_sql(f"SELECT xi, yi, zi, intensity, {', '.join(f'CASE WHEN {c} > 255 THEN {c} // 256 ELSE {c} END AS {c}' for c in ('red', 'green', 'blue'))} FROM pts")
+
+
+def _vrml(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of points of the files."""
+    records.register(spark)
+    folder = scratch(spark)[0]
+    lineitem_points(spark, sf).write.format("vrml").option("colour", "false").mode("append").save(folder)
+    words = F.split("value", " ")
+    return spark.read.text(folder).where(F.col("value").rlike("^[-0-9.]+ [-0-9.]+ [-0-9.]+$")).select(*[F.round(words[k].cast("double") * 100).cast("int").alias(f"{a}i") for k, a in enumerate("xyz")])
+
+
+QUERIES["vrml_write"] = _vrml
+ORACLE_SQL["vrml_write"] = points_sql("SELECT xi, yi, zi FROM pts")
+
+
+def _dtm(spark: SparkSession, sf: str) -> DataFrame:
+    """The highest point of each cell of 25, as a raster in files and read again by its places."""
+    records.register(spark)
+    folder = scratch(spark)[0]
+    highest = lineitem_points(spark, sf).groupBy(F.floor(xyz("x") / 25.0).alias("col"), F.floor(xyz("y") / 25.0).alias("row")).agg(F.max("zi").cast("double").alias("value"))
+    records.write_dtm(highest, folder, 25.0).agg(F.sum("cells")).collect()
+    return spark.read.format("dtm").load(folder).select(F.floor(F.col("x") / 25).alias("col"), F.floor(F.col("y") / 25).alias("row"), "value")
+
+
+QUERIES["dtm_write_read"] = _dtm
+ORACLE_SQL["dtm_write_read"] = points_sql("SELECT CAST(floor(xi * CAST(0.01 AS DOUBLE) / 25) AS BIGINT) AS col, CAST(floor(yi * CAST(0.01 AS DOUBLE) / 25) AS BIGINT) AS row, CAST(max(zi) AS DOUBLE) AS value FROM pts GROUP BY 1, 2")
+
+
 def _waves(spark: SparkSession, sf: str) -> DataFrame:
     """Written with packets of 8 or 12 samples made from each point's numbers, those of class 5 without; read by the packets' offsets."""
     las.register(spark)

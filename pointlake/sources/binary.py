@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -130,27 +130,66 @@ class _Written(WriterCommitMessage):
     moves: list[tuple[str, str]] = field(default_factory=list)
 
 
-class ShapeWriter(DataSourceArrowWriter):
+class FileWriter(DataSourceArrowWriter):
+    """Files are written under waiting names and moved when all tasks are done; overwriting then deletes the old ones of the same endings."""
+
+    endings: tuple[str, ...] = ()
+
+    def __init__(self, path: str, overwrite: bool) -> None:
+        self.path, self.overwrite = path, overwrite
+
+    def save_batches(self, iterator: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str, bytes]]]:
+        """(ending, content) of the files that belong together, for each such set."""
+        raise NotImplementedError
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        out, (store, path) = _Written(), _open(self.path)
+        for files in self.save_batches(iterator):
+            store.create_dir(path, recursive=True)
+            name = uuid.uuid4().hex
+            for ending, content in files:
+                with store.open_output_stream(f"{path}/_{name}{ending}.waiting") as stream:
+                    stream.write(content)
+                out.moves.append((f"{path}/_{name}{ending}.waiting", f"{path}/part-{name}{ending}"))
+        return out
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        store, path = _open(self.path)
+        old = []
+        if self.overwrite and store.get_file_info(path).type == fs.FileType.Directory:
+            old = [file for ending in self.endings for file in _files(self.path, ending)]
+        for waiting, final in (m for message in messages if message is not None for m in message.moves):
+            store.move(waiting, final)
+        for file in old:
+            store.delete_file(file)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        store, _ = _open(self.path)
+        for waiting, _final in (m for message in messages if message is not None for m in message.moves):
+            store.delete_file(waiting)
+
+
+class ShapeWriter(FileWriter):
     """Multipoints with heights, of `record` points each (256 by default), and their index; x, y and z of the rows. A file holds at most recordsPerFile records."""
 
+    endings = (".shp", ".shx")
+
     def __init__(self, options: dict, overwrite: bool) -> None:
-        self.path, self.size, self.each, self.overwrite = options["path"], int(options.get("record", 256)), int(options.get("recordsPerFile", 4_000)), overwrite
+        super().__init__(options["path"], overwrite)
+        self.size, self.each = int(options.get("record", 256)), int(options.get("recordsPerFile", 4_000))
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        out, left = _Written(), np.zeros((0, 3))
-        whole = self.size * self.each
+    def save_batches(self, iterator: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str, bytes]]]:
+        left, whole = np.zeros((0, 3)), self.size * self.each
         for batch in iterator:
             rows = np.column_stack([pc.fill_null(batch.column(batch.schema.get_field_index(c)).cast(pa.float64()), 0.0).to_numpy() for c in "xyz"])
             left = np.concatenate([left, rows])
             while len(left) >= whole:
-                out.moves += self.save(left[:whole])
+                yield self.files(left[:whole])
                 left = left[whole:]
-        out.moves += self.save(left) if len(left) else []
-        return out
+        if len(left):
+            yield self.files(left)
 
-    def save(self, points: np.ndarray) -> list[tuple[str, str]]:
-        store, path = _open(self.path)
-        store.create_dir(path, recursive=True)
+    def files(self, points: np.ndarray) -> list[tuple[str, bytes]]:
         records, index, at = [], [], 50
         for k in range(0, len(points), self.size):
             p = points[k : k + self.size]
@@ -162,28 +201,7 @@ class ShapeWriter(DataSourceArrowWriter):
             at += 4 + len(body) // 2
         low, high = points.min(0), points.max(0)
         head = lambda words: struct.pack(">7i", 9994, 0, 0, 0, 0, 0, words) + struct.pack("<2i8d", 1000, 18, low[0], low[1], high[0], high[1], low[2], high[2], 0.0, 0.0)
-        name, moves = uuid.uuid4().hex, []
-        for ending, parts, words in ((".shx", index, 50 + 4 * len(index)), (".shp", records, at)):
-            with store.open_output_stream(f"{path}/_{name}{ending}.waiting") as out:
-                out.write(head(words))
-                out.write(b"".join(parts))
-            moves.append((f"{path}/_{name}{ending}.waiting", f"{path}/part-{name}{ending}"))
-        return moves
-
-    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        store, path = _open(self.path)
-        old = []
-        if self.overwrite and store.get_file_info(path).type == fs.FileType.Directory:
-            old = [*_files(self.path, ".shp"), *_files(self.path, ".shx")]
-        for waiting, final in (m for message in messages if message is not None for m in message.moves):
-            store.move(waiting, final)
-        for file in old:
-            store.delete_file(file)
-
-    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        store, _ = _open(self.path)
-        for waiting, _final in (m for message in messages if message is not None for m in message.moves):
-            store.delete_file(waiting)
+        return [(".shx", head(50 + 4 * len(index)) + b"".join(index)), (".shp", head(at) + b"".join(records))]
 
 
 class ShapeSource(DataSource):
@@ -265,8 +283,8 @@ class BilSource(DataSource):
         return BilReader(self.options)
 
 
-def write_bil(raster: DataFrame, path: str, step: float, rows_per_file: int = 256, cols_per_file: int = 4096, none: float = -9999.0) -> DataFrame:
-    """Writes a raster (col, row, value) as tiles of 32-bit floats, each file by one task; gives source_file and cells of each. Written when the result is."""
+def write_tiles(raster: DataFrame, path: str, rows_per_file: int, cols_per_file: int, none: float, tile: Callable[[np.ndarray, int, int], list[tuple[str, bytes]]]) -> DataFrame:
+    """Writes a raster (col, row, value) as tiles, highest row first, each by one task; `tile` makes (ending, content) of its files. Gives source_file (the last) and cells of each."""
 
     def write(frame: pd.DataFrame) -> pd.DataFrame:
         tc, tr = int(frame["tc"].iloc[0]), int(frame["tr"].iloc[0])
@@ -275,17 +293,26 @@ def write_bil(raster: DataFrame, path: str, step: float, rows_per_file: int = 25
         store, folder = _open(path)
         store.create_dir(folder, recursive=True)
         name = f"{folder}/tile_{tc}_{tr}"
+        for ending, content in tile(cells, tc, tr):
+            with store.open_output_stream(name + ending) as out:
+                out.write(content)
+        return pd.DataFrame({"source_file": [name + ending], "cells": [len(frame)]})
+
+    dealt = raster.where("value IS NOT NULL").withColumns({"tc": F.floor(F.col("col") / cols_per_file), "tr": F.floor(F.col("row") / rows_per_file)})
+    return dealt.select("tc", "tr", "col", "row", "value").groupBy("tc", "tr").applyInPandas(write, "source_file string, cells long")
+
+
+def write_bil(raster: DataFrame, path: str, step: float, rows_per_file: int = 256, cols_per_file: int = 4096, none: float = -9999.0) -> DataFrame:
+    """Writes a raster (col, row, value) as tiles of 32-bit floats, each file by one task; gives source_file and cells of each. Written when the result is."""
+
+    def tile(cells: np.ndarray, tc: int, tr: int) -> list[tuple[str, bytes]]:
         head = {
             "nrows": rows_per_file, "ncols": cols_per_file, "nbands": 1, "nbits": 32, "pixeltype": "FLOAT", "byteorder": "I", "layout": "bil", "nodata": none,
             "ulxmap": (tc * cols_per_file + 0.5) * step, "ulymap": ((tr + 1) * rows_per_file - 0.5) * step, "xdim": step, "ydim": step,
         }
-        for ending, data in ((".hdr", "".join(f"{k} {v}\n" for k, v in head.items()).encode()), (".bil", cells.tobytes())):
-            with store.open_output_stream(name + ending) as out:
-                out.write(data)
-        return pd.DataFrame({"source_file": [name + ".bil"], "cells": [len(frame)]})
+        return [(".hdr", "".join(f"{k} {v}\n" for k, v in head.items()).encode()), (".bil", cells.tobytes())]
 
-    dealt = raster.where("value IS NOT NULL").withColumns({"tc": F.floor(F.col("col") / cols_per_file), "tr": F.floor(F.col("row") / rows_per_file)})
-    return dealt.select("tc", "tr", "col", "row", "value").groupBy("tc", "tr").applyInPandas(write, "source_file string, cells long")
+    return write_tiles(raster, path, rows_per_file, cols_per_file, none, tile)
 
 
 def register(spark: SparkSession) -> None:
