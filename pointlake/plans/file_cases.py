@@ -10,7 +10,7 @@ from pointlake.operators.filters import keep_circle, xyz
 from pointlake.plans.point_cases import points_sql
 from pointlake.plans.surface_cases import scratch
 from pointlake.schema import lineitem_points
-from pointlake.sources import binary, las, records
+from pointlake.sources import binary, las, ptx, records
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -224,3 +224,41 @@ ORACLE_SQL["las_optimized"] = points_sql("""WITH p AS (SELECT xi * 10 + 30000000
     SELECT CAST(xi AS INT) AS xi, CAST(yi AS INT) AS yi, zi, 0 AS user_data, CAST(tx AS DOUBLE) AS scale_x, CAST(ty AS DOUBLE) AS scale_y, CAST(tz AS DOUBLE) AS scale_z,
         CAST(trunc(sx / CAST(tx AS DOUBLE) / 20000000) * 10000000 * tx AS DOUBLE) AS offset_x, CAST(trunc(sy / CAST(ty AS DOUBLE) / 20000000) * 10000000 * ty AS DOUBLE) AS offset_y,
         CAST(trunc(sz / CAST(tz AS DOUBLE) / 20000000) * 10000000 * tz AS DOUBLE) AS offset_z FROM p, s""")
+
+
+def _attributes(spark: SparkSession, sf: str) -> DataFrame:
+    """Attributes of one byte in hundredths, and of eight bytes in halves from 100 with a no-data value."""
+    folder = _written(spark, lineitem_points(spark, sf), pointFormat="1", extra="wave_yt=discount:2:0.01,gps_time=time:8:0.5:100:-1")
+    read = spark.read.format("las").option("columns", "xi,yi,attr_0,attr_1").load(folder)
+    return read.select("xi", "yi", F.round(F.col("attr_0") * 100).cast("int").alias("hundredths"), F.col("attr_1").alias("time"))
+
+
+QUERIES["las_added_attributes"] = _attributes
+ORACLE_SQL["las_added_attributes"] = points_sql("SELECT xi, yi, CAST(round(wave_yt * 100) AS INT) AS hundredths, gps_time AS time FROM pts")
+
+
+def _auto_offset(spark: SparkSession, sf: str) -> DataFrame:
+    """Offsets from the box of the points, far from the origin in x: what is read is what was written."""
+    points = lineitem_points(spark, sf).withColumn("xi", F.col("xi") + 300_000_000)
+    fit = workflows.fitting_scaling(points)
+    folder = _written(spark, points, scale=",".join(map(repr, fit.scale)), offset=",".join(map(repr, fit.offset)))
+    return spark.read.format("las").options(columns="xi,yi,zi", scaling="true").load(folder).select("xi", "yi", "zi", "offset_x", "offset_y", "offset_z")
+
+
+QUERIES["las_auto_offset"] = _auto_offset
+ORACLE_SQL["las_auto_offset"] = points_sql("""WITH p AS (SELECT CAST(xi + 300000000 AS INT) AS xi, yi, zi FROM pts),
+    m AS (SELECT trunc((min(xi) + max(xi)) / 20000000) * 100000 AS x, trunc((min(yi) + max(yi)) / 20000000) * 100000 AS y, trunc((min(zi) + max(zi)) / 20000000) * 100000 AS z FROM p)
+    SELECT xi, yi, zi, CAST(x AS DOUBLE) AS offset_x, CAST(y AS DOUBLE) AS offset_y, CAST(z AS DOUBLE) AS offset_z FROM p, m""")
+
+
+def _ptx(spark: SparkSession, sf: str) -> DataFrame:
+    """Points as one scan with a turned and shifted scanner, read by ranges of the file's bytes and moved by its matrix."""
+    ptx.register(spark)
+    folder = scratch(spark)[0]
+    points = lineitem_points(spark, sf).select(*[xyz(a).alias(a) for a in "xyz"], (F.col("intensity") / 4095).alias("strength"))
+    points.write.format("ptx").options(matrix="0,1,0,0,-1,0,0,0,0,0,1,0,1000,2000,-50,1").mode("append").save(folder)
+    return ptx.read_ptx(spark, folder, moved=True, bytesPerPartition="200000").select("xi", "yi", "zi", "intensity")
+
+
+QUERIES["ptx_write_read"] = _ptx
+ORACLE_SQL["ptx_write_read"] = points_sql("SELECT CAST(100000 - yi AS INT) AS xi, CAST(200000 + xi AS INT) AS yi, CAST(zi - 5000 AS INT) AS zi, intensity FROM pts")

@@ -21,7 +21,7 @@ import struct
 import uuid
 from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -84,10 +84,35 @@ class Attribute:
     shift: float = 0.0
     none: float | None = None
 
+    @property
+    def field(self) -> str:
+        """The record's field: attributes may be named like fields of the format, or like each other."""
+        return self.name if self.name in dict(COMPATIBLE) else f"extra {self.at}"
+
     def values(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
         value = raw.astype(float) * self.scale + self.shift
         return value, None if self.none is None else raw == raw.dtype.type(self.none)
 
+    def stored(self, value: np.ndarray, no: np.ndarray) -> np.ndarray:
+        """What a record holds of values: whole numbers nearest to them; nulls are the no-data value, or zero as it's stored where there is none."""
+        kind = np.dtype(EXTRA_TYPES[self.type])
+        raw = np.where(no, 0.0 if self.none is None else self.none, (value - self.shift) / self.scale)
+        if kind.kind == "f":
+            return raw.astype(kind)
+        raw, limits = np.rint(raw), np.iinfo(kind)
+        if len(raw) and not (limits.min <= raw.min() and raw.max() <= limits.max):
+            raise ValueError(f"{self.name}: values don't fit into its type")
+        return raw.astype(kind)
+
+
+def added_attribute(spec: str) -> tuple[str, Attribute]:
+    """The column and the attribute of column=name[:type[:scale[:shift[:none]]]]; a type is its number in `EXTRA_TYPES`, by default doubles."""
+    column, described = spec.split("=", 1)
+    name, kind, scale, shift, none = [*described.split(":"), *[""] * 4][:5]
+    if int(kind or 10) not in EXTRA_TYPES or float(scale or 1) == 0:
+        raise ValueError(f"no type of attributes, or a scale of zero: {spec}")
+    return column.strip(), Attribute(name, int(kind or 10), 0, float(scale or 1), float(shift or 0), float(none) if none else None)
+
 
 def record_type(format_: int, size: int, extra: tuple[Attribute, ...] = ()) -> np.dtype:
     """The numpy type of a record; what is behind the known fields is skipped."""
@@ -102,7 +127,7 @@ def record_type(format_: int, size: int, extra: tuple[Attribute, ...] = ()) -> n
     if format_ in WITH_WAVE:
         fields += [("wave_index", "u1"), ("wave_offset", "<u8"), ("wave_size", "<u4"), ("wave_location", "<f4"), ("wave_xt", "<f4"), ("wave_yt", "<f4"), ("wave_zt", "<f4")]
     known = np.dtype(fields)
-    names = [*known.names, *(a.name for a in extra)]
+    names = [*known.names, *(a.field for a in extra)]
     types = [*(known.fields[n][0] for n in known.names), *(np.dtype(EXTRA_TYPES[a.type]) for a in extra)]
     places = [*(known.fields[n][1] for n in known.names), *(RECORD_SIZES[format_] + a.at for a in extra)]
     return np.dtype({"names": names, "formats": types, "offsets": places, "itemsize": size})
@@ -214,8 +239,8 @@ def decode(raw: bytes, head: dict, path: str, first: int, columns: Iterable[str]
     stored = {"gps_time": "time"} | {c: c for c in ("red", "green", "blue", "nir", "wave_index", "wave_offset", "wave_size", "wave_location", "wave_xt", "wave_yt", "wave_zt")}
     stored["nir"] = "nir" if "nir" in names else COMPATIBLE[4][0]
     make |= {c: lambda n=n: r[n] if n in names else None for c, n in stored.items()}
-    own = [a for a in extra.values() if a.name not in dict(COMPATIBLE)][:ATTRIBUTES]
-    make |= {f"attr_{k}": lambda a=a: a.values(r[a.name]) for k, a in enumerate(own)}
+    own = [a for a in head.get("extra", ()) if a.name not in dict(COMPATIBLE)][:ATTRIBUTES]
+    make |= {f"attr_{k}": lambda a=a: a.values(r[a.field]) for k, a in enumerate(own)}
     arrays, kinds = [], COLUMNS | SCALING
     for c in columns:
         value, kind = make.get(c, lambda: None)(), _ARROW[kinds[c]]
@@ -479,7 +504,8 @@ class LasWriter(DataSourceArrowWriter):
     Options: scale and offset of the files (the library's own by default), inScale and inOffset of
     the rows' xi, yi and zi; pointFormat (0 to 10; from 6 on the version is 1.4, else 1.2);
     compatible: a format from 6 on is written as the one of 1.2 that has the same fields, what that
-    can't hold in extra bytes; extra: attributes to write, such as attr_0=height,attr_1=range. In
+    can't hold in extra bytes; extra: attributes to write, such as attr_0=height,attr_1=range:4:0.01:0:-1
+    (`added_attribute`). In
     formats with waves a column `samples` (array of 0 ... 65535) is written as 16-bit packets into a
     file beside the points, `spacing` picoseconds apart; points without samples have no packet.
     """
@@ -491,16 +517,18 @@ class LasWriter(DataSourceArrowWriter):
         self.in_scale, self.in_shift = three("inScale", DEFAULT_SCALE.scale), three("inOffset", DEFAULT_SCALE.offset)
         self.spacing = int(options.get("spacing", 1000))
         self.format, self.compatible = int(options.get("pointFormat", 3)), options.get("compatible", "false").lower() == "true"
-        named = [pair.split("=") for pair in options.get("extra", "").split(",") if pair]
-        extra = [(n, 10) for _, n in named]
+        named = [added_attribute(spec) for spec in options.get("extra", "").split(",") if spec]
+        extra = [a for _, a in named]
         if self.compatible:
             #: Formats of 1.2 with the fields of those of 1.4.
             self.format, infrared = {6: 1, 7: 3, 8: 3, 9: 4, 10: 5}[self.format], self.format in WITH_NIR
-            extra = [*COMPATIBLE[: 5 if infrared else 4], *extra]
-        at, self.extra, self.columns_of = 0, [], dict((n, c) for c, n in named)
-        for name, kind in extra:
-            self.extra.append(Attribute(name, kind, at))
-            at += np.dtype(EXTRA_TYPES[kind]).itemsize
+            own = [Attribute(n, kind, 0, ANGLE_STEP if n == COMPATIBLE[0][0] else 1.0) for n, kind in COMPATIBLE[: 5 if infrared else 4]]
+            extra = [*own, *extra]
+        at, self.extra = 0, []
+        for a in extra:
+            self.extra.append(replace(a, at=at))
+            at += np.dtype(EXTRA_TYPES[a.type]).itemsize
+        self.columns_of = {a.field: c for (c, _), a in zip(named, self.extra[len(extra) - len(named) :], strict=True)}
         self.type = record_type(self.format, RECORD_SIZES[self.format] + at, tuple(self.extra))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
@@ -582,8 +610,10 @@ class LasWriter(DataSourceArrowWriter):
         if "time" in self.type.names:
             out["time"] = get("gps_time", kind=float)
         for a in self.extra:
-            if a.name in self.columns_of:
-                out[a.name] = get(self.columns_of[a.name], kind=float)
+            if a.field in self.columns_of:
+                column = self.columns_of[a.field]
+                no = pc.is_null(batch.column(column)).to_numpy(zero_copy_only=False) if column in names else np.ones(len(out), bool)
+                out[a.field] = a.stored(get(column, kind=float), no)
         bits = {n: get(n) & 1 for n in ("scan_direction_flag", "edge_of_flight_line", "synthetic_flag", "keypoint_flag", "withheld_flag", "overlap_flag")}
         rn, nr, full = get("ext_return_number", "return_number"), get("ext_number_of_returns", "number_of_returns"), get("ext_classification", "classification") & 255
         steps = np.rint(get("scan_angle", "scan_angle_rank", kind=float) / ANGLE_STEP).astype(np.int64)
@@ -639,11 +669,14 @@ class LasWriter(DataSourceArrowWriter):
 
     @staticmethod
     def describe(a: Attribute) -> bytes:
-        scaled = a.name == COMPATIBLE[0][0]
         raw = bytearray(192)
-        raw[2], raw[3] = a.type, 8 if scaled else 0
+        raw[2], raw[3] = a.type, (a.none is not None) + 8 * (a.scale != 1.0) + 16 * (a.shift != 0.0)
         raw[4:36] = a.name.encode("latin-1", "replace")[:32].ljust(32, b"\0")
-        struct.pack_into("<d", raw, 112, ANGLE_STEP if scaled else 1.0)
+        if a.none is not None:
+            code = EXTRA_TYPES[a.type][-2:-1]
+            struct.pack_into("<d" if code == "f" else "<q" if code == "i" else "<Q", raw, 40, a.none if code == "f" else int(a.none))
+        struct.pack_into("<d", raw, 112, a.scale)
+        struct.pack_into("<d", raw, 136, a.shift)
         return bytes(raw)
 
 

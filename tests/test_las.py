@@ -81,6 +81,21 @@ def test_extended_fields_in_both_forms(spark, tmp_path, options):
     assert [tuple(r) for r in again] == [tuple(r)[:14] for r in got]
 
 
+def test_added_attributes(spark, tmp_path):
+    """Written as scaled integers, read as what they stand for; nulls by a no-data value."""
+    df = spark.createDataFrame([(1, 12.34, -5.0, None, 7.5), (2, None, 100.0, 3.0, None), (3, -300.0, 0.0, 255.0, -1e300)], "xi int, h double, t double, mark double, d double")
+    spec = "h=height:4:0.01:10:-32768, t=time:2:1:0, mark=user_data:1:1:0:0, d=height"
+    for options in ({"pointFormat": "7"}, {"pointFormat": "7", "compatible": "true"}, {"pointFormat": "1"}):
+        save(df, tmp_path, "overwrite", extra=spec, **options)
+        got = [tuple(r) for r in load(spark, tmp_path, columns="xi,attr_0,attr_1,attr_2,attr_3").orderBy("xi").collect()]
+        want = [(1, 12.34, -5.0, None, 7.5), (2, None, 100.0, 3.0, 0.0), (3, -300.0, 0.0, 255.0, -1e300)]
+        assert [[v if v is None else round(v, 6) if abs(v) < 1e6 else v for v in r] for r in got] == [list(r) for r in want]
+        assert spark.read.format("las_headers").load(str(tmp_path)).first().attributes[-4:] == ["height", "time", "user_data", "height"]
+    for bad, why in (("h=height:2:0.01", "fit into its type"), ("h=height:11", "no type"), ("h=height:4:0", "scale of zero")):
+        with pytest.raises(Exception, match=why):
+            save(df, tmp_path, "overwrite", extra=bad)
+
+
 def test_described_attributes(tmp_path, spark):
     """A file of format 6 made by hand: an attribute with scale, offset and a no-data value, another undocumented."""
     def description(kind, options, name, none=0, scale=1.0, shift=0.0):
