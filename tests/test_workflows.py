@@ -1,9 +1,12 @@
 """The index and the canopy models on a planted scene."""
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from pointlake.operators import workflows
+from pointlake.operators.aggregates import precision
 from pointlake.operators.index import Quadtree, coarsen
 from tests.test_files_and_surfaces import _points
 
@@ -41,3 +44,15 @@ def test_canopy_models(spark):
     assert len(terrain) > 300 and terrain["value"].abs().max() < 1e-9
     again = workflows.with_ground(points.withColumn("classification", F.lit(1)), 30.0, 0.5).toPandas().set_index("point_index")["classification"].sort_index()
     assert (again.loc[800:1199] == 1).all() and (again.loc[:799] == 2).mean() > 0.9
+
+
+def test_precision_of_far_values(spark):
+    """Differences across ranges of every level, ends of 32 bits and nulls."""
+    values = [-(2**31), -(2**31), -(2**22) - 1, -1, 0, 0, 0, 4095, 4096, 2**22, 2**31 - 1, None]
+    df = spark.createDataFrame([(v,) for v in values], "xi int")
+    placed = sorted(v for v in values if v is not None)
+    want = Counter(b - a for a, b in zip(placed, placed[1:], strict=False))
+    assert {r["diff"]: r.n for r in precision(df).collect()} == want
+    far = df.where("xi IN (-2147483648, 2147483647)").distinct()
+    assert [(r["diff"], r.n) for r in precision(far).collect()] == [(None, 1)]
+    assert precision(df.where("xi IS NULL")).collect() == [] and precision(df.limit(0)).collect() == []
