@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointlake.functions.ordering import running_sum, with_previous
 from pointlake.operators.raster import cells
-from pointlake.schema import in_file_order
 
 
 def overlap(points: DataFrame, step: float) -> DataFrame:
@@ -28,11 +28,22 @@ def overage(points: DataFrame, step: float) -> DataFrame:
 
 
 def recover_flightlines(points: DataFrame, gap: float) -> DataFrame:
-    """Adds line: a new one begins where the time between neighbours of a file is over gap. Points without a time are left out."""
-    timed = Window.partitionBy("source_file").orderBy("gps_time", "point_index")
-    jump = F.coalesce(F.col("gps_time") - F.lag("gps_time").over(timed) > gap, F.lit(False)).cast("int")
-    known = points.where("gps_time IS NOT NULL").withColumn("__j", jump)
-    return known.withColumn("line", F.sum("__j").over(timed.rowsBetween(Window.unboundedPreceding, 0))).drop("__j")
+    """Adds line: a new one begins where the time between neighbours of a file is over gap. Points without a time are left out.
+
+    Times of one span of half a gap can't be so far apart, so only the ends of spans are compared: a
+    row a span is put in order, not the points, and every point takes the line of its span.
+    """
+    if gap < 0:
+        raise ValueError("a gap is at least 0")
+    time = F.col("gps_time")
+    span = F.when(F.isnan(time), F.lit(2**63 - 1)).otherwise(F.floor(time / (gap / 2))) if gap else time
+    known = points.where("gps_time IS NOT NULL").drop("line").withColumn("__s", span)
+    spans = known.groupBy(F.col("source_file").alias("__f"), F.col("__s").alias("__b")).agg(F.min("gps_time").alias("__low"), F.max("gps_time").alias("__high"))
+    order = Window.partitionBy("__f").orderBy("__low")
+    jump = F.coalesce(F.col("__low") - F.lag("__high").over(order) > gap, F.lit(False)).cast("int")
+    lines = spans.withColumn("__j", jump).select("__f", "__b", F.sum("__j").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("line"))
+    met = F.col("source_file").eqNullSafe(F.col("__f")) & (F.col("__s") == F.col("__b"))
+    return known.join(lines, met).drop("__f", "__b", "__s")
 
 
 def split_key(column: str, interval: float | None = None) -> Column:
@@ -76,5 +87,5 @@ def return_distances(points: DataFrame, step: float) -> DataFrame:
 
 def scan_lines(points: DataFrame) -> DataFrame:
     """Adds scan_line: counts changes of direction within a file."""
-    change = F.coalesce(F.lag("scan_direction_flag").over(in_file_order()) != F.col("scan_direction_flag"), F.lit(False)).cast("int")
-    return points.withColumn("__c", change).withColumn("scan_line", F.sum("__c").over(in_file_order().rowsBetween(Window.unboundedPreceding, 0))).drop("__c")
+    change = F.coalesce(F.col("__d") != F.col("scan_direction_flag"), F.lit(False)).cast("int")
+    return running_sum(with_previous(points, "scan_direction_flag", "__d"), change, "scan_line").drop("__d")

@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointlake.functions.columns import cell
+from pointlake.functions.ordering import running_sum, with_previous
 from pointlake.operators.filters import xyz
-from pointlake.schema import in_file_order
 
 
 def _number(points: DataFrame) -> DataFrame:
-    return points.withColumn("__k", F.row_number().over(in_file_order()))
+    return running_sum(points, F.lit(1), "__k")
 
 
 def keep_every_nth(points: DataFrame, n: int) -> DataFrame:
@@ -36,8 +36,7 @@ def keep_random_fraction(points: DataFrame, fraction: float, seed: int = 0) -> D
 
 def keep_scan_direction_change(points: DataFrame) -> DataFrame:
     """Points whose direction differs from that of the point before; a file's first point goes."""
-    before = F.lag("scan_direction_flag").over(in_file_order())
-    return points.withColumn("__d", before).where(F.col("__d") != F.col("scan_direction_flag")).drop("__d")
+    return with_previous(points, "scan_direction_flag", "__d").where(F.col("__d") != F.col("scan_direction_flag")).drop("__d")
 
 
 def _first_of(points: DataFrame, *cells: Column) -> DataFrame:
