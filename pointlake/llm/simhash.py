@@ -250,10 +250,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
     return found.select(*[F.col(c) if c == "doc_id" else F.col("__rest")[c].alias(c) for c in columns], "fp", "component_id")
 
 
-# --- similar documents: candidates by bands of minima, similarity by the sets themselves ------------
+# --- similar documents: fingerprints first, bands of minima for the rest, similarity by the sets themselves ---
 
 KEYS = ("k0", "k1")
 SKETCH = ("s0", "s1", "s2", "s3")
+_CODE_WORDS = 3  # words of a fingerprint's shingle, as in operator 3
 _BAND, _BANDS = 5, 28  # minima in a band, bands
 _RNG = np.random.default_rng(97)
 _ADDED = _RNG.integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -296,20 +297,24 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     """All columns of docs, `rid` (a row number) and `group` (the smallest rid that is linked, over any number of links).
 
     Two texts link if the Jaccard similarity of their sets of words-shingles is at least
-    similarity. Candidates share one of 28 bands of five minima of the sets, which a pair at 0.8
-    misses with a chance of 0.000015, at 0.85 of 2e-7, whatever the edits and the length; every
-    candidate's sets are made again and compared whole. Texts with equal sets are one.
-
-    Large families don't become all their pairs: first each text is compared with one leader of
-    its bands. Texts of a band that have no leader in common after that are paired by prefixes of
-    their sets (`_prefix_pairs`), if 256 one-bit minima don't rule it out (by 5.5 standard errors).
+    similarity. First comes the operator's own search: fingerprints of three-word shingles that
+    differ in at most 3 bits, by the generalised pigeonhole (`_fingerprint_links`). It can't find
+    all such pairs (at 0.8 about 9 of 64 bits differ), so what it leaves apart is looked for in
+    28 bands of five minima of the sets, which a pair at 0.8 misses with a chance of 0.000015, at
+    0.85 of 2e-7, whatever the edits and the length. Every candidate's sets are made again and
+    compared whole. Texts with equal sets are one.
+
+    Large families don't become all their pairs: each text is compared with one leader, of its
+    fingerprint's links and then of its bands. Texts of a band that have no leader in common after
+    that are paired by prefixes of their sets (`_prefix_pairs`), if 256 one-bit minima don't rule
+    it out (by 5.5 standard errors).
     """
     marked, group = _families(docs, words, similarity)
     return _with_group(marked, group).select(*docs.columns, "rid", "group")
 
 
 def _families(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(docs with rid, keys of the set, bands and one-bit minima; the group of each set), both written."""
+    """(docs with rid, keys of the set, fingerprint, bands and one-bit minima; the group of each set), both written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -327,17 +332,19 @@ def _families(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tuple
             short = (bands >> np.uint64(32)).astype(np.uint32).view(np.int32)
             ends = np.concatenate([[0], np.cumsum(filled) * _BANDS]).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(short[filled].ravel()))
-            more = [*map(pa.array, keys.view(np.int64).T), listed, *map(pa.array, sketch)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *KEYS, "bands", *SKETCH])
+            code = pa.array([fingerprint(t.as_py(), _CODE_WORDS) for t in batch.column("text")], pa.int64())
+            more = [*map(pa.array, keys.view(np.int64).T), code, listed, *map(pa.array, sketch)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *KEYS, "code", "bands", *SKETCH])
             give_back()
 
     numbered = docs.withColumn("rid", F.monotonically_increasing_id())
-    schema = fields(numbered.schema, "k0 long, k1 long, bands array<int>, " + ", ".join(f"{s} long" for s in SKETCH))
+    schema = fields(numbered.schema, "k0 long, k1 long, code long, bands array<int>, " + ", ".join(f"{s} long" for s in SKETCH))
     marked = materialise(numbered.mapInArrow(run, schema), "similar-marked")
     stays = shared_path(docs.sparkSession, "similar-groups")
     with scratch(docs.sparkSession):  # only the groups stay of what follows
-        first = F.min(F.struct("rid", "bands", *SKETCH)).alias("x")
-        codes = materialise(marked.groupBy(*KEYS).agg(first).select(*KEYS, F.col("x.rid").alias("node"), "x.bands", *[f"x.{s}" for s in SKETCH]), "similar-codes")
+        first = F.min(F.struct("rid", "code", "bands", *SKETCH)).alias("x")
+        codes = marked.groupBy(*KEYS).agg(first).select(*KEYS, F.col("x.rid").alias("node"), F.col("x.code").alias("fp"), "x.bands", *[f"x.{s}" for s in SKETCH])
+        codes = materialise(codes, "similar-codes")
         linked = _linked(codes, marked.select("rid", "text"), words, similarity)
         at = F.col("__node")
         group = codes.select(*[F.col(c).alias(f"__{c}") for c in KEYS], F.col("node").alias("__node")).join(linked, at == F.col("node"), "left")
@@ -345,8 +352,43 @@ def _families(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tuple
         return marked, materialise(group, "similar-groups", stays)
 
 
+def _fingerprint_links(codes: DataFrame, texts: DataFrame, words: int, similarity: float, radius: int = 3) -> DataFrame:
+    """Links (u, v) of nodes whose fingerprints differ in at most radius bits and whose whole sets are similar; v leads u.
+
+    A fingerprint's first text leads its others; itself it is led by the one of its links that has
+    the most links, if that has more than itself. So links go up, and there are fewer than nodes.
+    """
+    first = materialise(codes.groupBy("fp").agg(F.min("node").alias("node")), "similar-fingerprints")
+    links = materialise(hamming_links(first, radius, node="node"), "similar-near")
+    both = links.union(links.select("v", "u"))
+    degree = both.groupBy("u").agg(F.count(F.lit(1)).alias("n_v")).select(F.col("u").alias("__v"), "n_v")
+    lead = both.join(degree, F.col("v") == F.col("__v")).groupBy("u").agg(F.max(F.struct("n_v", "v")).alias("x"), F.count(F.lit(1)).alias("n"))
+    lead = lead.where("x.n_v > n OR x.n_v = n AND x.v > u").select("u", "x.v")
+    alike = codes.select(F.col("node").alias("u"), "fp").join(first.select(F.col("fp").alias("__fp"), F.col("node").alias("v")), F.col("fp") == F.col("__fp"))
+    pairs = materialise(lead.union(alike.where("u <> v").select("u", "v")), "similar-pairs")
+    return materialise(_as_similar(pairs, texts, words, similarity), "similar-near-links")
+
+
+def _follow(own: DataFrame, up: DataFrame, jumps: int) -> DataFrame:
+    """(node, own) with each own led on by up (u, v), one v a u at most, so many times."""
+    up = up.select(F.col("u").alias("__u"), F.col("v").alias("__v"))
+    for _ in range(jumps):
+        own = own.join(up, F.col("own") == F.col("__u"), "left").select("node", F.coalesce("__v", "own").alias("own"))
+    return own
+
+
+def _with_own(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """The pairs (u, v) with own_u and own_v."""
+    first = own.select(F.col("node").alias("__u"), F.col("own").alias("own_u"))
+    second = own.select(F.col("node").alias("__v"), F.col("own").alias("own_v"))
+    return pairs.join(first, F.col("u") == F.col("__u")).join(second, F.col("v") == F.col("__v")).select("u", "v", "own_u", "own_v")
+
+
 def _linked(codes: DataFrame, texts: DataFrame, words: int, similarity: float, jumps: int = 3) -> DataFrame:
     """(node, component) of the nodes that are linked to others."""
+    # texts of one `own` are known to be linked: at first by their fingerprints
+    near_links = _fingerprint_links(codes, texts, words, similarity)
+    known = materialise(_follow(codes.select("node", F.col("node").alias("own")), near_links, jumps), "similar-known")
     entries = codes.select("node", F.posexplode("bands").alias("band", "short"))
     value = F.shiftleft(F.col("band").cast("long"), 32).bitwiseOR(F.col("short").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
     entries = entries.select("node", value.alias("value"))
@@ -364,13 +406,13 @@ def _linked(codes: DataFrame, texts: DataFrame, words: int, similarity: float, j
     lead = lead.select(F.col("value").alias("value_2"), F.col("x.node").alias("lead"), F.col("x.central").alias("central_2"), *[F.col(f"x.{s}").alias(f"{s}_2") for s in SKETCH])
     led = seen.join(lead, (F.col("value") == F.col("value_2")) & (F.col("node") != F.col("lead")) & near)
     led = led.groupBy("node").agg(F.max(F.struct("central_2", "lead")).alias("x")).select(F.col("node").alias("u"), F.col("x.lead").alias("v"))
-    led = materialise(_as_similar(materialise(led, "similar-pairs"), texts, words, similarity), "similar-led")
-    # each text's leader, and that one's, and so on: texts of one `own` are known to be linked
-    own = met.select("node").distinct().withColumn("own", F.col("node"))
-    up = led.select(F.col("u").alias("__u"), F.col("v").alias("__v"))
-    for _ in range(jumps):
-        own = own.join(up, F.col("own") == F.col("__u"), "left").select("node", F.coalesce("__v", "own").alias("own"))
-    own = materialise(own, "similar-own")
+    led = materialise(_with_own(led, known), "similar-pairs")  # what the fingerprints have linked isn't compared again
+    fresh = _as_similar(led.where("own_u <> own_v").select("u", "v"), texts, words, similarity)
+    led = materialise(led.where("own_u = own_v").select("u", "v").union(fresh), "similar-led")
+    # each text's leader, and that one's, and so on; then what the fingerprints link, from smaller to larger ones
+    own = materialise(_follow(met.select("node").distinct().withColumn("own", F.col("node")), led, jumps), "similar-own")
+    up = _with_own(near_links, own).where("own_u <> own_v").select(F.least("own_u", "own_v").alias("u"), F.greatest("own_u", "own_v").alias("v"))
+    own = materialise(_follow(own, materialise(up.groupBy("u").agg(F.max("v").alias("v")), "similar-up"), jumps), "similar-own")
     seen = met.select("value", "node").join(own.select(F.col("node").alias("__n"), "own"), F.col("node") == F.col("__n"))
     mixed = seen.groupBy("value").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select(F.col("value").alias("__value"))
     left = seen.select("value", "node", "own").join(mixed, F.col("value") == F.col("__value")).groupBy("node").agg(F.min("own").alias("own"))
@@ -378,7 +420,7 @@ def _linked(codes: DataFrame, texts: DataFrame, words: int, similarity: float, j
     first, second = codes.select(F.col("node").alias("__u"), *SKETCH), codes.select(F.col("node").alias("__v"), *other)
     pairs = pairs.join(first, F.col("u") == F.col("__u")).join(second, F.col("v") == F.col("__v")).where(near).select("u", "v")
     found = materialise(_as_similar(materialise(pairs, "similar-pairs"), texts, words, similarity), "similar-links")
-    return materialise(connected_components(led.union(found)), "similar-linked")
+    return materialise(connected_components(near_links.union(led).union(found)), "similar-linked")
 
 
 def _prefix_pairs(left: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:

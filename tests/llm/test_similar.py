@@ -2,7 +2,8 @@
 
 import numpy as np
 
-from pointlake.llm.simhash import similar_documents
+from pointlake.llm import simhash
+from pointlake.llm.simhash import fingerprint, similar_documents
 
 
 def shingles(text):
@@ -56,3 +57,54 @@ def test_every_pair_from_the_similarity_up_is_linked(spark):
     rows = similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas()
     got = {frozenset(g) for g in rows.groupby("group")["doc_id"].apply(list)}
     assert got == want
+
+
+def test_near_copies_go_through_the_fingerprints(spark, monkeypatch):
+    """Links within 3 bits come from operator 3's search and are checked by whole sets; the rest is found as well."""
+    rng = np.random.default_rng(21)
+    texts = []
+    for n in (60, 400, 1500):
+        for _ in range(6):
+            base = [f"w{x}" for x in rng.integers(0, 10**6, n)]
+            for at in (None, 0, n - 1, n // 2):
+                own = list(base)
+                if at is not None:
+                    own[at] = f"w{rng.integers(0, 10**6)}"
+                texts.append(" ".join(own))
+            texts.append(" ".join(base + [f"w{x}" for x in rng.integers(0, 10**6, n // 6)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    codes = [fingerprint(t, 3) % (1 << 64) for t in texts]
+    sets = [shingles(t) for t in texts]
+    linked, similar = set(), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    for a in range(len(texts)):
+        linked |= {(a, b) for b in range(a) if (codes[a] ^ codes[b]).bit_count() <= 3 and similar(a, b)}
+    searched, found = [], []
+    search, checked = simhash.hamming_links, simhash._fingerprint_links
+
+    def searching(of, *more, **named):
+        searched.append([r.fp % (1 << 64) for r in of.collect()])
+        return search(of, *more, **named)
+
+    def finding(*given):
+        links = checked(*given)
+        found.extend(links.collect())  # its table goes with the scratch
+        return links
+
+    monkeypatch.setattr(simhash, "hamming_links", searching)
+    monkeypatch.setattr(simhash, "_fingerprint_links", finding)
+    rows = similar_documents(docs).toPandas()
+    assert [sorted(s) for s in searched] == [sorted(set(codes))]
+    doc_of = dict(zip(rows["rid"], rows["doc_id"], strict=True))
+    pairs = {(max(p), min(p)) for p in ((doc_of[r.u], doc_of[r.v]) for r in found)}
+    assert len(pairs) > 20 and pairs <= linked  # each within 3 bits and similar as a whole
+    assert together(pairs) == together(linked)
+    assert {frozenset(g) for g in rows.groupby("group")["doc_id"].apply(list)} == components(sets, 0.8)
+
+
+def together(pairs):
+    """The groups of what is paired."""
+    groups = []
+    for p in map(set, pairs):
+        met = [g for g in groups if g & p]
+        groups = [g for g in groups if not g & p] + [p.union(*met)]
+    return {frozenset(g) for g in groups}
