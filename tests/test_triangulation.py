@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from pointlake.operators import surface
+from pointlake.operators import surface, triangulation
 from pointlake.operators.triangulation import delaunay, raw_triangles
 from tests.test_files_and_surfaces import _points
 
@@ -58,6 +58,35 @@ def test_time_is_nearly_linear():
     assert took[1] < 8 * 2.5 * took[0]
 
 
+def test_steps_are_array_operations():
+    """The number of calls doesn't grow with the places, neither to triangulate nor to find places in the triangles."""
+    import sys
+
+    p, made = np.unique(np.random.default_rng(0).integers(0, 1_000_000, (20_000, 2)), axis=0), []
+
+    def count(frame, event, arg):
+        if event == "call":
+            made.append(1)
+
+    sys.setprofile(count)
+    try:
+        mesh = triangulation.Mesh(p[:, 0], p[:, 1])
+        mesh.heights(p[:, 0].astype(float), p[:, 1], p[:, 0])
+    finally:
+        sys.setprofile(None)
+    assert len(made) < 20_000 < len(mesh.triangles())
+
+
+@pytest.mark.parametrize("top", [9, 60, 2**31 - 1])
+def test_heights_of_a_plane(top):
+    """Places at corners, on edges and on the hull's edges have a height; places beyond have none."""
+    rng = np.random.default_rng(top % 7)
+    p = np.unique(np.concatenate([rng.integers(-top, top + 1, (300, 2)), [(-top, -top), (-top, top), (top, -top), (top, top)]]), axis=0)
+    at = np.concatenate([p, rng.integers(-top, top + 1, (300, 2)), [(-top, 1), (top, 0), (1, top), (0, -top), (top + 1, 0), (top + 3, top), (-top - 1, -top)]])
+    got = triangulation.Mesh(p[:, 0], p[:, 1]).heights(2.0 * p[:, 0] - p[:, 1], at[:, 0], at[:, 1])
+    assert np.allclose(got[:-3], 2.0 * at[:-3, 0] - at[:-3, 1], rtol=1e-6) and np.isnan(got[-3:]).all()
+
+
 CLOUDS = {
     "even": np.random.default_rng(2).integers(-3000, 3000, (4000, 2)),
     "clusters": np.concatenate([np.random.default_rng(3).normal(c, s, (900, 2)) for c, s in ((0, 30), (5000, 500), (100_000, 10))] + [np.random.default_rng(4).integers(-200_000, 200_000, (100, 2))]).astype(int),
