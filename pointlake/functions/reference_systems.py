@@ -300,7 +300,8 @@ def of_header(records: list[tuple[str, int, bytes]]) -> ReferenceSystem | None:
 def reproject(points: DataFrame, source: ReferenceSystem, target: ReferenceSystem, to: ScaleOffset | None = None, scaling: ScaleOffset = DEFAULT_SCALE) -> DataFrame:
     """points with x, y and z in the target system, and xi, yi and zi in steps of `to` (1e-7 degrees for longitude and latitude, else the library's own)."""
     to = to or (ScaleOffset((1e-7, 1e-7, scaling.scale[2])) if target.kind == "longlat" else DEFAULT_SCALE)
-    there = target.from_lonlat(*source.to_lonlat(*(xyz(a, scaling) for a in "xyz")))
-    real = points.withColumns(dict(zip(("__x", "__y", "__z"), there, strict=True)))
+    between = ("__lon", "__lat", "__h")  # columns of their own, as the way on uses each many times
+    known = points.withColumns(dict(zip(between, source.to_lonlat(*(xyz(a, scaling) for a in "xyz")), strict=True)))
+    real = known.withColumns(dict(zip(("__x", "__y", "__z"), target.from_lonlat(*map(F.col, between)), strict=True))).drop(*between)
     raw = real.withColumns({f"{a}i": to.raw(a, F.col(f"__{a}")) for a in "xyz"} | {a: F.col(f"__{a}") for a in "xyz"})
     return raw.drop("__x", "__y", "__z")
