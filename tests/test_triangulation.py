@@ -136,3 +136,20 @@ def test_control_points(spark):
     stairs = _points(spark, np.column_stack([steps, np.floor(steps[:, 0] / 20) * 5]))
     places = spark.createDataFrame([("tread", 5.0, 23.0, 0.0), ("riser", 15.0, 23.0, 0.0), ("corner", 20.0, 20.0, 0.0)], "name string, x double, y double, z double")
     assert {r.name: r.surface for r in matching.control_on_surface(stairs, places).collect()} == pytest.approx({"tread": 0.0, "riser": 2.5, "corner": 5.0})
+
+
+def test_heights_with_triangles_of_all_sizes(spark):
+    """A dense cluster, thin triangles across the whole cloud, and places outside, without coordinates and at corners: on a plane each has its height, from one cell for all but an uneven cloud."""
+    rng = np.random.default_rng(8)
+    xy = np.concatenate([rng.uniform(0, 4, (900, 2)), rng.uniform(0, 900, (300, 2)), [(-1000, -1000), (3000, -1010), (3000, 3000), (-1000, 2990)]]).round(2)
+    tri = surface.tin(_points(spark, np.column_stack([xy, 0.5 * xy[:, 0] + 700])))
+    at = np.concatenate([xy[:50], rng.uniform(0, 4, (100, 2)), rng.uniform(-900, 2900, (300, 2)), [(3000, 0), (5000, 0), (-2000, 100)]])
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(at)] + [(10**6, None, 1.0)]
+    places = spark.createDataFrame(rows, "k long, x double, y double")
+    got = {r.k: r.surface for r in surface.heights_at(tri, places, ["k"], outside=True).collect()}
+    known = {r.k: r.surface for r in surface.heights_at(tri, places, ["k"]).collect()}
+    assert len(got) == len(rows) and {k for k, v in got.items() if v is None} == {len(at) - 1, len(at) - 2, 10**6}
+    assert known == {k: v for k, v in got.items() if v is not None}
+    assert all(abs(v - (0.5 * at[k][0] + 700)) < 0.02 for k, v in known.items())
+    assert surface._levels({k: 10**k for k in range(6)}) == [5] and surface._levels({}) == [0]
+    assert surface._levels({0: 500, 9: 500, 20: 3}) == [0, 3, 6, 9]
