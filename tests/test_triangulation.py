@@ -153,3 +153,15 @@ def test_heights_with_triangles_of_all_sizes(spark):
     assert all(abs(v - (0.5 * at[k][0] + 700)) < 0.02 for k, v in known.items())
     assert surface._levels({k: 10**k for k in range(6)}) == [5] and surface._levels({}) == [0]
     assert surface._levels({0: 500, 9: 500, 20: 3}) == [0, 3, 6, 9]
+
+
+def test_cells_on_edges_come_once(spark):
+    """Centres at corners, on edges, on the hull and within triangles: each cell once, and only those on edges are shuffled."""
+    xy = np.array([(x, y) for x in range(0, 60, 5) for y in range(0, 60, 5)] + [(x + 2.13, y + 1.77) for x in range(0, 50, 10) for y in range(0, 50, 10)], float)
+    raster = surface.dem(surface.tin(_points(spark, np.column_stack([xy, 2 * xy[:, 0] - xy[:, 1] + 100]))), 1.0 / 2, 1e9)
+    got = raster.toPandas()
+    assert not got.duplicated(["col", "row"]).any() and len(got) == 110 * 110
+    assert np.allclose(got["value"], got["col"] + 0.5 - got["row"] / 2 - 0.25 + 100, atol=0.02)
+    coarse = surface.dem(surface.tin(_points(spark, np.column_stack([xy, xy[:, 0]]))), 2.0, 1e9).toPandas()  # centres on the lines x = 5, 15 ...
+    assert not coarse.duplicated(["col", "row"]).any() and len(coarse) == 27 * 27 + 2 * 27 + 1
+    assert "Union" in raster._jdf.queryExecution().optimizedPlan().toString()
